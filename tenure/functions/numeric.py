@@ -20,11 +20,12 @@ def fix(col, digits: int = 12) -> Column:
     oracles.
     """
     scale = float(10 ** digits)
-    return F.round(_c(col) * F.lit(scale)) / F.lit(scale)
+    # "+ 0.0" turns a negative zero into 0.0 so that both engines print the same value
+    return F.round(_c(col) * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
 def fix_sql(expr: str, digits: int = 12) -> str:
-    return f"(ROUND(({expr}) * 1e{digits}) / 1e{digits})"
+    return f"(ROUND(({expr}) * 1e{digits}) / 1e{digits} + CAST(0.0 AS DOUBLE))"
 
 
 def ratio(num, den, zero: float = 0.0) -> Column:
