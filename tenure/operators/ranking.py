@@ -7,8 +7,12 @@ values do not pile into one partition), number rows inside each partition,
 then add the row counts of all earlier partitions. Only the per-partition
 counts (one row per partition and group) are combined with a window.
 
-The order columns must form a total order (end with a unique key); then a
-recomputed partition after an executor loss yields the same numbers.
+The range bounds are sampled from the input, so two evaluations of the same
+plan can partition differently. The partitioned rows are therefore written
+once to the shared checkpoint folder (``durable=True``, the default) and both
+passes read that copy; a lost executor re-reads it instead of re-sampling.
+The order columns should form a total order (end with a unique key) so that
+ranks are reproducible run to run.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ def _partitioned(df: DataFrame, group_cols: Sequence[str], order: list[Column],
 def global_rank(df: DataFrame, order_cols: Sequence, group_cols: Sequence[str] = (),
                 descending: Sequence[bool] | None = None, rank_col: str = "rank",
                 count_col: str | None = None, num_partitions: int | None = None,
-                durable: bool = False) -> DataFrame:
+                durable: bool = True) -> DataFrame:
     """1-based position of every row in ``order_cols`` order, restarting per ``group_cols``.
 
     Equivalent to ``row_number() OVER (PARTITION BY groups ORDER BY order)``
@@ -70,24 +74,31 @@ def global_rank(df: DataFrame, order_cols: Sequence, group_cols: Sequence[str] =
 
 
 def running_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
-                 descending: Sequence[bool] | None = None, prefix: str = "cum_",
-                 num_partitions: int | None = None, durable: bool = False) -> DataFrame:
-    """Inclusive cumulative sums of ``sum_cols`` down a global order.
-
-    Rows are range-partitioned on the order; each partition computes its
-    local running sums and adds the totals of the earlier partitions.
+                 group_cols: Sequence[str] = (), descending: Sequence[bool] | None = None,
+                 prefix: str = "cum_", total_prefix: str | None = None,
+                 num_partitions: int | None = None, durable: bool = True) -> DataFrame:
+    """Inclusive cumulative sums of ``sum_cols`` down a global order, restarting per group.
+
+    Rows are range-partitioned on (groups, order); each (partition, group)
+    computes its local running sums and adds the totals of the same group in
+    earlier partitions. ``total_prefix`` also attaches each group's totals.
     """
+    group_cols = list(group_cols)
     order = _order_exprs(order_cols, descending)
-    parted = _partitioned(df, [], order, num_partitions, durable)
-    totals = parted.groupBy("_pid").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
-    w_before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = F.broadcast(totals.select(
-        "_pid", *[F.coalesce(F.sum(f"_tot_{c}").over(w_before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols]))
-    w_local = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    parted = _partitioned(df, group_cols, order, num_partitions, durable)
+    totals = parted.groupBy("_pid", *group_cols).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
+    w_before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = [F.coalesce(F.sum(f"_tot_{c}").over(w_before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols]
+    if total_prefix:
+        offs += [F.sum(f"_tot_{c}").over(Window.partitionBy(*group_cols)).alias(total_prefix + c) for c in sum_cols]
+    offsets = totals.select("_pid", *group_cols, *offs)
+    if not group_cols:
+        offsets = F.broadcast(offsets)  # one row per range partition
+    w_local = Window.partitionBy("_pid", *group_cols).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
     local = parted
     for c in sum_cols:
         local = local.withColumn(f"_loc_{c}", F.sum(c).over(w_local))
-    out = local.join(offsets, "_pid", "inner")
+    out = local.join(offsets, ["_pid", *group_cols], "inner")
     for c in sum_cols:
         out = out.withColumn(prefix + c, F.col(f"_off_{c}") + F.col(f"_loc_{c}"))
     return out.drop("_pid", "_mid", *[f"_loc_{c}" for c in sum_cols], *[f"_off_{c}" for c in sum_cols])
@@ -107,7 +118,7 @@ def rank_bucket(rank: Column | str, n: Column | str, q: int) -> Column:
 
 
 def rank_buckets(df: DataFrame, value_col: str, key_col: str, q: int, bucket_col: str,
-                 fill: float | None = None, durable: bool = False) -> DataFrame:
+                 fill: float | None = None, durable: bool = True) -> DataFrame:
     """Attach a rank-first quantile bucket of ``value_col`` (ties ordered by ``key_col``).
 
     ``fill`` replaces nulls before ranking (pandas ``fillna``); otherwise

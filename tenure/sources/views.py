@@ -99,3 +99,46 @@ panel AS (
          MIN(c.c_custkey) % 5 = 0 AS voc_yn, MIN(c.c_custkey) % 10 = 0 AS voc_cancel_yn
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   GROUP BY o.o_custkey, strftime(o.o_orderdate, '%Y%m'))"""
+
+
+def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel as a raw text extract (as a CSV load would type it), for profiling and cleaning.
+
+    Flags become Y/N (and yes/no) text, ints become text with '-' for a
+    missing contract segment, one category value carries a leading space,
+    one column is 90% missing and one is constant.
+    """
+    p = panel(spark, sf_dir)
+    c = F.col
+    return p.select(
+        c("user_id").cast("string").alias("user_id"),
+        c("p_mt").cast("string").alias("p_mt"),
+        c("cancel_yn").cast("string").alias("cancel_yn"),
+        c("tv_hours"),
+        F.when(c("ott_yn"), "Y").when(~c("ott_yn"), "N").alias("ott_yn"),
+        F.when(c("voc_yn"), "Y").otherwise("N").alias("voc_yn"),
+        F.when(c("voc_cancel_yn"), "yes").otherwise("no").alias("voc_cancel_yn"),
+        F.when(c("last_view_grp") == 0, F.lit(" grp0"))
+         .otherwise(F.concat(F.lit("grp"), c("last_view_grp").cast("string"))).alias("view_grp"),
+        F.when(c("agmt_end_seg") == 7, F.lit("-")).otherwise(c("agmt_end_seg").cast("string")).alias("agmt_seg"),
+        F.when(c("user_id") % 10 == 0, F.lit("x")).alias("note"),
+        F.lit("tv").alias("src"),
+    )
+
+
+ORACLE_RAW_PANEL = """raw_panel AS (
+  SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(p_mt AS VARCHAR) AS p_mt, CAST(cancel_yn AS VARCHAR) AS cancel_yn,
+         tv_hours,
+         CASE WHEN ott_yn THEN 'Y' WHEN NOT ott_yn THEN 'N' END AS ott_yn,
+         CASE WHEN voc_yn THEN 'Y' ELSE 'N' END AS voc_yn,
+         CASE WHEN voc_cancel_yn THEN 'yes' ELSE 'no' END AS voc_cancel_yn,
+         CASE WHEN last_view_grp = 0 THEN ' grp0' ELSE 'grp' || CAST(last_view_grp AS VARCHAR) END AS view_grp,
+         CASE WHEN agmt_end_seg = 7 THEN '-' ELSE CAST(agmt_end_seg AS VARCHAR) END AS agmt_seg,
+         CASE WHEN user_id % 10 = 0 THEN 'x' END AS note,
+         'tv' AS src
+  FROM panel)"""
+
+# (name, type) of raw_panel, in order
+RAW_PANEL_COLUMNS = [("user_id", "VARCHAR"), ("p_mt", "VARCHAR"), ("cancel_yn", "VARCHAR"), ("tv_hours", "DOUBLE"),
+                     ("ott_yn", "VARCHAR"), ("voc_yn", "VARCHAR"), ("voc_cancel_yn", "VARCHAR"),
+                     ("view_grp", "VARCHAR"), ("agmt_seg", "VARCHAR"), ("note", "VARCHAR"), ("src", "VARCHAR")]
