@@ -73,4 +73,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     rows between partitions). Survives executor loss, unlike a local checkpoint.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # keep the rows while the checkpoint job writes them, so the plan runs once, not twice
+    df = df.persist()
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
