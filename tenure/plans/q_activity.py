@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tenure.functions.months import month_label
 from tenure.functions.numeric import exact_mean, fix, fix_sql, mean
 from tenure.operators import activity as act
-from tenure.operators.catalog import keyword_assets, keyword_table
+from tenure.operators.catalog import keyword_assets, keyword_table, pick_column
 from tenure.operators.joins import full_outer_fill
 from tenure.plans import datasets as ds
 from tenure.plans.fixture import KEYWORDS, REF_DATE, YEAR_END, YEAR_START
@@ -43,8 +43,15 @@ def _year_users(panel):
     return panel.filter(F.col("p_mt").between(Y0, Y1)).select("user_id")
 
 
+# Candidate names of the catalog's title and adult-flag columns.
+TITLE_CANDIDATES = ["asset_nm", "prog_nm", "title", "content_nm", "vod_ttl", "ep_ttl"]
+ADULT_CANDIDATES = ["adult_yn", "adult_fl", "is_adult", "adult_rate_yn", "adult"]
+
+
 def _trend_assets(spark, sf_dir):
-    return keyword_assets(views.content(spark, sf_dir), keyword_table(spark, KEYWORDS))
+    content = views.content(spark, sf_dir)
+    title = pick_column(content, TITLE_CANDIDATES)  # a missing title column is an error
+    return keyword_assets(content, keyword_table(spark, KEYWORDS), title_col=title)
 
 
 # ---------------------------------------------------------------- A5 (flagship)
@@ -223,8 +230,9 @@ LEFT JOIN v1agg t ON b.user_id = t.user_id"""))
 def a9_channel_dataset(spark, sf_dir):
     panel, log, content = _inputs(spark, sf_dir)
     totals = act.user_activity(log, users=panel)
+    adult = pick_column(content, ADULT_CANDIDATES, required=False)  # no flag -> adult share 0
     return ds.channel(panel, log, content, _trend_assets(spark, sf_dir), totals, Y0, Y1, "tv_hours",
-                      attributes=CHANNEL_ATTRS)
+                      attributes=CHANNEL_ATTRS, adult_col=adult)
 
 
 # ---------------------------------------------------------------- J9 / A13 / P10

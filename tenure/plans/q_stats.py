@@ -312,3 +312,67 @@ def q7_leakage_report(spark, sf_dir):
 
 
 _ = ORACLES
+
+
+# ---------------------------------------------------------------- M1 / M2 / M3
+M1_COLS = ["tv_hours", "last_view_grp", "agmt_end_seg", "ott_yn", "voc_yn", "vod_view_cnt", "vod_use_tms_sum",
+           "vod_asset_cnt", "recency", "flag_kids"]
+M1_TYPES = {"tv_hours": "DOUBLE", "last_view_grp": "INTEGER", "agmt_end_seg": "INTEGER", "ott_yn": "BOOLEAN",
+            "voc_yn": "BOOLEAN", "vod_view_cnt": "BIGINT", "vod_use_tms_sum": "BIGINT", "vod_asset_cnt": "BIGINT",
+            "recency": "INTEGER", "flag_kids": "INTEGER"}
+
+
+@register("m1_column_kinds", with_views(SQL_V2X, " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CASE WHEN '{M1_TYPES[c]}' <> 'BOOLEAN' AND COUNT(DISTINCT {c}) > 20 "
+    f"THEN 'numeric' ELSE 'categorical' END AS kind FROM v2x" for c in M1_COLS)))
+def m1_column_kinds(spark, sf_dir):
+    from tenure.operators.encode import column_kinds
+    kinds = column_kinds(_v2(spark, sf_dir), M1_COLS)
+    return spark.createDataFrame(list(kinds.items()), "feature string, kind string")
+
+
+@register("m2_encoded_features", with_views(SQL_ENC, "SELECT user_id, p_mt, " + ", ".join(
+    f"{D(_enc_col(c))} AS {c}" if c != "ott_yn" else "CAST(ott_code AS DOUBLE) AS ott_yn" for c in CORR_COLS)
+    + " FROM enc"))
+def m2_encoded_features(spark, sf_dir):
+    enc = encoded_v2(spark, sf_dir)
+    return enc.select("user_id", "p_mt", *[F.col(c).cast("double").alias(c) for c in CORR_COLS])
+
+
+STD_COLS = ["tv_hours", "vod_view_cnt", "recency"]
+
+
+@register("m3_standardized", with_views(SQL_V2X, "SELECT user_id, p_mt, " + ", ".join(
+    fix_sql(f"({D(c)} - AVG({D(c)}) OVER ()) / STDDEV_POP({D(c)}) OVER ()", 9) + f" AS {c}" for c in STD_COLS)
+    + " FROM v2x"))
+def m3_standardized(spark, sf_dir):
+    from tenure.operators.encode import standardize
+    v2 = _v2(spark, sf_dir)
+    out = standardize(v2, STD_COLS)
+    # standardized values carry the rounding noise of a mean and a deviation: report 9 decimals
+    return out.select("user_id", "p_mt", *[fix(c, 9).alias(c) for c in STD_COLS])
+
+
+# ---------------------------------------------------------------- F16
+# The feature dictionary (name, formula, sources).
+FEATURE_SPEC = [
+    ("flag_kids", "max(ct_cl = 14) over the user's dated events", "activity.ct_cl"),
+    ("flag_movie", "max(ct_cl = 12) over the user's dated events", "activity.ct_cl"),
+    ("recency", "days from the last event to the as-of date, floor 0, 999 without events", "activity.strt_dt"),
+    ("total_watch_time", "sum(use_tms) of dated events, else the v1 total", "activity.use_tms"),
+    ("log_watch_time", "ln(1 + total_watch_time)", "total_watch_time"),
+    ("is_ott", "ott_yn as 0/1 (null -> 0)", "panel.ott_yn"),
+    ("risk_kids_ott", "flag_kids = 1 and ott_yn", "flag_kids, panel.ott_yn"),
+    ("lagged_rvod_cnt", "paid views in the previous calendar month", "activity, content.asset_prod"),
+]
+
+
+@register("f16_feature_dictionary", with_views("", "SELECT * FROM (VALUES " + ", ".join(
+    "('{}', '{}', '{}', {})".format(n, f.replace("'", "''"), s, "TRUE" if n in V2_FEATURES else "FALSE")
+    for n, f, s in FEATURE_SPEC)
+    + ") t(feature, formula, sources, present)"))
+def f16_feature_dictionary(spark, sf_dir):
+    """Feature specs joined to the schema of the built dataset (present or not)."""
+    cols = set(_v2(spark, sf_dir).columns)
+    return spark.createDataFrame([(n, f, s, n in cols) for n, f, s in FEATURE_SPEC],
+                                 "feature string, formula string, sources string, present boolean")
