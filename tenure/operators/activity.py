@@ -196,3 +196,28 @@ def content_mix(log: DataFrame, catalog: DataFrame, trend_assets: DataFrame, sta
     if users is not None:
         agg = restrict_to_users(agg, users, user_col)
     return agg
+
+
+def recency_month_end(panel_rows: DataFrame, log: DataFrame, user_col: str = "user_id", month_col: str = "p_mt",
+                      strt_col: str = "strt_dt", no_event: int = 999) -> DataFrame:
+    """A4 point-in-time variant (``as_of='month_end'``): days from the last event on or before the
+    end of each panel row's month to that month end; ``no_event`` when there is none yet.
+
+    The log is first reduced to the last event day per (user, month); panel months and event
+    months are then merged per user and a running max carries the latest day forward. The window
+    runs over one user's months (not events), so a heavy user costs a few hundred rows.
+    """
+    from pyspark.sql import Window
+    from tenure.functions.months import month_end
+
+    last = (dated(log, strt_col).withColumn(month_col, month_of(strt_col))
+            .groupBy(user_col, month_col).agg(F.max(day_of(strt_col)).alias("_last")))
+    keys = panel_rows.select(user_col, month_col).distinct().withColumn("_last", F.lit(None).cast("date"))
+    merged = last.unionByName(keys).groupBy(user_col, month_col).agg(F.max("_last").alias("_last"))
+    w = Window.partitionBy(user_col).orderBy(month_col).rowsBetween(Window.unboundedPreceding, 0)
+    upto = merged.withColumn("_upto", F.max("_last").over(w))
+    days = F.datediff(month_end(month_col), F.col("_upto"))
+    rec = upto.select(user_col, month_col,
+                      F.when(days.isNull(), F.lit(no_event)).otherwise(F.greatest(days, F.lit(0)))
+                      .alias("recency_month_end"))
+    return panel_rows.join(rec, [user_col, month_col], "left")

@@ -134,3 +134,30 @@ def share_within(df: DataFrame, value_col: str, group_cols: Sequence[str], share
     """Value / total of its group (``sum().over(partitionBy)``)."""
     w = Window.partitionBy(*group_cols)
     return df.withColumn(share_col, F.col(value_col).cast("double") / F.sum(value_col).over(w))
+
+
+def multi_rank_buckets(df: DataFrame, key_col: str, specs: dict[str, tuple[Column, int]],
+                       durable: bool = True) -> DataFrame:
+    """Several rank-first quantile buckets in one ranking pass.
+
+    ``specs`` maps output column -> (value expression, q). Each distinct value
+    expression is ranked once (ties by ``key_col``); the metrics travel as one
+    long (metric, value, key) table through a single range partitioning, and
+    the buckets return to one row per key. ``key_col`` must be unique in ``df``.
+    """
+    exprs: dict[str, Column] = {}
+    metric_of: dict[str, str] = {}
+    for out_col, (expr, _q) in specs.items():
+        name = next((m for m, e in exprs.items() if str(e) == str(expr)), None)
+        if name is None:
+            name = f"m{len(exprs)}"
+            exprs[name] = expr
+        metric_of[out_col] = name
+    items = F.array(*[F.struct(F.lit(m).alias("_metric"), e.cast("double").alias("_v")) for m, e in exprs.items()])
+    long = df.select(F.col(key_col), F.explode(items).alias("_it")).select(key_col, "_it._metric", "_it._v")
+    ranked = global_rank(long, ["_v", key_col], group_cols=["_metric"], rank_col="_r", count_col="_n",
+                         durable=durable)
+    wide = ranked.groupBy(key_col).agg(*[
+        F.max(F.when(F.col("_metric") == metric_of[c], rank_bucket("_r", "_n", q))).alias(c)
+        for c, (_e, q) in specs.items()])
+    return df.join(wide, key_col, "inner")

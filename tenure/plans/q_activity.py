@@ -35,8 +35,11 @@ trend_assets AS (SELECT DISTINCT k.p_mt, c.asset_id FROM content c
                  JOIN kw k ON REPLACE(c.asset_nm, ' ', '') LIKE '%' || k.keyword || '%')"""
 
 
-def _inputs(spark, sf_dir):
-    return views.panel(spark, sf_dir), views.activity(spark, sf_dir), views.content(spark, sf_dir)
+def _inputs(spark, sf_dir, year: bool = False):
+    """Panel, log and catalog; ``year=True`` restricts panel and log to the analysis year at the scan."""
+    months = (Y0, Y1) if year else None
+    return (views.panel(spark, sf_dir, months=months), views.activity(spark, sf_dir, months=months),
+            views.content(spark, sf_dir))
 
 
 def _year_users(panel):
@@ -62,7 +65,7 @@ FROM activity a JOIN year_users u ON a.user_id = u.user_id
 WHERE a.strt_dt IS NOT NULL AND {MONTH_SQL} BETWEEN {Y0} AND {Y1}
 GROUP BY a.user_id, {MONTH_SQL}"""))
 def a5_monthly_activity(spark, sf_dir):
-    panel, log, _ = _inputs(spark, sf_dir)
+    panel, log, _ = _inputs(spark, sf_dir, year=True)
     return act.monthly_activity(log, Y0, Y1, users=_year_users(panel))
 
 
@@ -125,7 +128,7 @@ SQL_BYTYPE = f"""bytype AS (
 
 @register("a6_monthly_time_by_type", with_views(SQL_YEAR_USERS + ",\n" + SQL_BYTYPE, "SELECT * FROM bytype"))
 def a6_monthly_time_by_type(spark, sf_dir):
-    panel, log, content = _inputs(spark, sf_dir)
+    panel, log, content = _inputs(spark, sf_dir, year=True)
     return act.monthly_time_by_type(log, content, Y0, Y1, users=_year_users(panel))
 
 
@@ -143,7 +146,7 @@ SQL_COUNTS = f"""monthly AS (
 
 @register("a7_monthly_counts_by_type", with_views(SQL_BASE + ",\n" + SQL_COUNTS, "SELECT * FROM monthly"))
 def a7_monthly_counts_by_type(spark, sf_dir):
-    panel, log, content = _inputs(spark, sf_dir)
+    panel, log, content = _inputs(spark, sf_dir, year=True)
     return act.monthly_counts_by_type(log, content, Y0, Y1, users=_year_users(panel))
 
 
@@ -157,7 +160,7 @@ SELECT t.*, t.rvod_cnt AS vod_purchase_cnt, CAST(COALESCE(l.rvod_cnt, 0) AS BIGI
 FROM typed t LEFT JOIN monthly l
   ON t.user_id = l.user_id AND l.p_mt = CASE WHEN t.p_mt % 100 = 1 THEN t.p_mt - 89 ELSE t.p_mt - 1 END"""))
 def j6_purchase_dataset(spark, sf_dir):
-    panel, log, content = _inputs(spark, sf_dir)
+    panel, log, content = _inputs(spark, sf_dir, year=True)
     base = panel.filter(F.col("p_mt").between(Y0, Y1))
     return ds.purchase(base, log, content, Y0, Y1)
 
@@ -190,7 +193,7 @@ SELECT b.*, CAST(COALESCE(tr.trend_watch_cnt, 0) AS BIGINT) AS trend_watch_cnt,
 FROM base b LEFT JOIN tr ON b.user_id = tr.user_id AND b.p_mt = tr.p_mt
 LEFT JOIN tot ON b.user_id = tot.user_id AND b.p_mt = tot.p_mt"""))
 def a8_churn_v3(spark, sf_dir):
-    panel, log, _ = _inputs(spark, sf_dir)
+    panel, log, _ = _inputs(spark, sf_dir, year=True)
     base = panel.filter(F.col("p_mt").between(Y0, Y1))
     return ds.churn_v3(base, log, _trend_assets(spark, sf_dir), Y0, Y1)
 
@@ -228,8 +231,9 @@ FROM base b LEFT JOIN mix m ON b.user_id = m.user_id AND b.p_mt = m.p_mt
 LEFT JOIN tr ON b.user_id = tr.user_id AND b.p_mt = tr.p_mt
 LEFT JOIN v1agg t ON b.user_id = t.user_id"""))
 def a9_channel_dataset(spark, sf_dir):
-    panel, log, content = _inputs(spark, sf_dir)
-    totals = act.user_activity(log, users=panel)
+    panel, log, content = _inputs(spark, sf_dir, year=True)
+    full_panel, full_log, _ = _inputs(spark, sf_dir)
+    totals = act.user_activity(full_log, users=full_panel)
     adult = pick_column(content, ADULT_CANDIDATES, required=False)  # no flag -> adult share 0
     return ds.channel(panel, log, content, _trend_assets(spark, sf_dir), totals, Y0, Y1, "tv_hours",
                       attributes=CHANNEL_ATTRS, adult_col=adult)
@@ -251,7 +255,7 @@ SELECT COALESCE(tv.p_mt, vod.p_mt) AS p_mt, COALESCE(tv.tv_avg, 0) AS tv_avg, CO
        SUBSTR(CAST(COALESCE(tv.p_mt, vod.p_mt) AS VARCHAR), 5, 2) AS p_mt_str
 FROM tv FULL OUTER JOIN vod ON tv.p_mt = vod.p_mt"""))
 def j9_monthly_tv_vod_by_type(spark, sf_dir):
-    panel, log, content = _inputs(spark, sf_dir)
+    panel, log, content = _inputs(spark, sf_dir, year=True)
     tv = (panel.filter(F.col("p_mt").between(Y0, Y1) & F.col("tv_hours").isNotNull())
                .groupBy("p_mt").agg(mean("tv_hours").alias("tv_avg")))
     bytype = act.monthly_time_by_type(log, content, Y0, Y1, users=_year_users(panel))
@@ -279,7 +283,7 @@ pm AS (
 
 def panel_month_rows(spark, sf_dir):
     """J13 input of the segment analyses: year panel rows with that month's activity."""
-    panel, log, _ = _inputs(spark, sf_dir)
+    panel, log, _ = _inputs(spark, sf_dir, year=True)
     rows = panel.filter(F.col("p_mt").between(Y0, Y1) & F.col("tv_hours").isNotNull()) \
                 .select("user_id", "cancel_yn", "p_mt", "tv_hours")
     monthly = act.monthly_activity(log, Y0, Y1, users=_year_users(panel))
@@ -295,3 +299,19 @@ def j13_panel_monthly(spark, sf_dir):
 
 
 _ = (fix,)
+
+
+# ---------------------------------------------------------------- A4 point-in-time variant
+@register("a4_recency_month_end", with_views("""
+days AS (SELECT user_id, CAST(STRPTIME(SUBSTR(strt_dt, 1, 8), '%Y%m%d') AS DATE) AS d FROM activity
+         WHERE strt_dt IS NOT NULL),
+pe AS (SELECT user_id, p_mt, LAST_DAY(MAKE_DATE(CAST(p_mt // 100 AS BIGINT), CAST(p_mt % 100 AS BIGINT), 1)) AS me FROM panel),
+j AS (SELECT pe.user_id, pe.p_mt, pe.me, MAX(days.d) AS lastd FROM pe
+      LEFT JOIN days ON days.user_id = pe.user_id AND days.d <= pe.me GROUP BY pe.user_id, pe.p_mt, pe.me)""", """
+SELECT p.*, CAST(CASE WHEN j.lastd IS NULL THEN 999 ELSE GREATEST(DATEDIFF('day', j.lastd, j.me), 0) END AS INT)
+         AS recency_month_end
+FROM panel p JOIN j ON p.user_id = j.user_id AND p.p_mt = j.p_mt"""))
+def a4_recency_month_end(spark, sf_dir):
+    """Recency as of each panel row's month end (no look-ahead), next to the fixed as-of date of A4."""
+    panel, log, _ = _inputs(spark, sf_dir)
+    return act.recency_month_end(panel, log)

@@ -142,12 +142,15 @@ def q2_dominance(spark, sf_dir):
 @register("m13_topk_selection")
 def m13_topk_selection(spark, sf_dir):
     """Order features by RF importance, then validation AP of a logistic model on the top k, k = 5..15."""
-    imp, churn, _ = _prior_rf(spark, sf_dir)
+    imp, churn, prep = _prior_rf(spark, sf_dir)
     order = [f for f, _ in imp]
+    train, val = churn.filter(~F.col("is_val")), churn.filter("is_val")
     rows = []
     for k in range(5, min(15, len(order)) + 1):
-        _, _, r = _fit_eval("churn", "logistic", churn, order[:k], "cancel_yn")
-        rows.append((k, ", ".join(order[:k]), r["val_ap"]))
+        sub = prep.subset(order[:k])  # statistics fitted once on the training rows
+        model = md.fit_classifier("logistic", train, sub)
+        ap = md.mt.ap_auc(md.score(model, val, sub), "score", "cancel_yn").first()["ap"]
+        rows.append((k, ", ".join(order[:k]), ap))
     best_k = max(rows, key=lambda x: (x[2] if x[2] is not None else -1, -x[0]))[0] if rows else None
     return spark.createDataFrame([(k, f, ap, k == best_k) for k, f, ap in rows],
                                  "k int, features string, val_ap double, chosen boolean")

@@ -42,7 +42,7 @@ SQL_YEAR_ROWS = f"yrows AS (SELECT * FROM panel WHERE p_mt BETWEEN {YEAR_START}
 @register("l3_seeded_sample", with_views(SQL_YEAR_ROWS, f"""
 SELECT * FROM yrows ORDER BY {ROW_HASH}, user_id, p_mt LIMIT 500"""))
 def l3_seeded_sample(spark, sf_dir):
-    rows = views.panel(spark, sf_dir).filter(F.col("p_mt").between(YEAR_START, YEAR_END))
+    rows = views.panel(spark, sf_dir, months=(YEAR_START, YEAR_END))
     return seeded_sample(rows, 500, ["user_id", "p_mt"], SEED)
 
 
@@ -53,7 +53,7 @@ SELECT user_id, p_mt, cancel_yn,
          <= CEIL(COUNT(*) OVER (PARTITION BY cancel_yn) * CAST(0.2 AS DOUBLE)) AS is_val
 FROM yrows"""))
 def l5_train_val_split(spark, sf_dir):
-    rows = views.panel(spark, sf_dir).filter(F.col("p_mt").between(YEAR_START, YEAR_END)) \
+    rows = views.panel(spark, sf_dir, months=(YEAR_START, YEAR_END)) \
                 .select("user_id", "p_mt", "cancel_yn")
     return stratified_split(rows, "cancel_yn", ["user_id", "p_mt"], 0.2, SEED)
 
@@ -64,7 +64,7 @@ SELECT user_id, p_mt, cancel_yn,
        CAST((ROW_NUMBER() OVER (PARTITION BY cancel_yn ORDER BY {ROW_HASH}, user_id, p_mt) - 1) % 5 + 1 AS INT) AS fold
 FROM yrows"""))
 def l6_stratified_folds(spark, sf_dir):
-    rows = views.panel(spark, sf_dir).filter(F.col("p_mt").between(YEAR_START, YEAR_END)) \
+    rows = views.panel(spark, sf_dir, months=(YEAR_START, YEAR_END)) \
                 .select("user_id", "p_mt", "cancel_yn")
     return stratified_folds(rows, "cancel_yn", ["user_id", "p_mt"], 5, SEED)
 
@@ -97,7 +97,8 @@ def kpi_rows(spark, sf_dir):
     panel, log, content = views.panel(spark, sf_dir), views.activity(spark, sf_dir), views.content(spark, sf_dir)
     v2 = ds.churn_v2(ds.churn_v1(panel, log), log, REF_DATE).filter(F.col("p_mt") == KPI_MONTH)
     kbase = panel.filter(F.col("p_mt") == KPI_MONTH)
-    purchase = ds.purchase(kbase, log, content, YEAR_START, YEAR_END) \
+    year_log = views.activity(spark, sf_dir, months=(YEAR_START, YEAR_END))
+    purchase = ds.purchase(kbase, year_log, content, YEAR_START, YEAR_END) \
         .groupBy("user_id").agg(F.max("vod_purchase_cnt").alias("vod_purchase_cnt"),
                                 F.max("lagged_rvod_cnt").alias("lagged_rvod_cnt"))
     return attach(v2, purchase, "user_id", {"vod_purchase_cnt": 0, "lagged_rvod_cnt": 0})

@@ -12,7 +12,7 @@ from tenure.functions.months import month_label
 from tenure.functions.numeric import exact_mean, fix, fix_sql, mean
 from tenure.operators import segments as seg
 from tenure.operators.quantiles import exact_quantiles
-from tenure.operators.ranking import rank_buckets, share_within
+from tenure.operators.ranking import multi_rank_buckets, share_within
 from tenure.plans import datasets as ds
 from tenure.plans.fixture import REF_DATE
 from tenure.plans.q_activity import (SQL_FR, SQL_V1, SQL_V1AGG, SQL_V2, SQL_YEAR_MONTHLY, SQL_YEAR_USERS,
@@ -103,10 +103,11 @@ bk AS (SELECT user_id, cancel_yn, {_bucket_sql('r_tv', 4)} AS tv_quartile, {_buc
 
 
 def _buckets(spark, sf_dir):
+    """TV quartile, VOD quartile and VOD quintile per user from one ranking pass (VOD ranked once)."""
     users = _rollup(spark, sf_dir)
-    out = rank_buckets(users, "tv_mean", "user_id", 4, "tv_quartile")
-    out = rank_buckets(out, "vod_mean", "user_id", 4, "vod_quartile", fill=0.0)
-    out = rank_buckets(out, "vod_mean", "user_id", 5, "vod_quintile", fill=0.0)
+    vod = F.coalesce(F.col("vod_mean"), F.lit(0.0))
+    out = multi_rank_buckets(users, "user_id", {"tv_quartile": (F.col("tv_mean"), 4),
+                                                "vod_quartile": (vod, 4), "vod_quintile": (vod, 5)})
     return out.select("user_id", "cancel_yn", "tv_quartile", "vod_quartile", "vod_quintile")
 
 

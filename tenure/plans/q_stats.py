@@ -77,9 +77,10 @@ HYPOTHESES = [("H1", "lagged_rvod_cnt > 0", "+"), ("H2", "svod_cnt > 0", "+"),
 
 
 def _purchase(spark, sf_dir):
-    panel = views.panel(spark, sf_dir)
-    base = panel.filter(F.col("p_mt").between(YEAR_START, YEAR_END))
-    return ds.purchase(base, views.activity(spark, sf_dir), views.content(spark, sf_dir), YEAR_START, YEAR_END)
+    months = (YEAR_START, YEAR_END)
+    base = views.panel(spark, sf_dir, months=months)
+    return ds.purchase(base, views.activity(spark, sf_dir, months=months), views.content(spark, sf_dir),
+                       YEAR_START, YEAR_END)
 
 
 def _hyp_long(spark, sf_dir):

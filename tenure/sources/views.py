@@ -33,10 +33,32 @@ def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def activity(spark: SparkSession, sf_dir: str, with_month: bool = False) -> DataFrame:
-    """Viewing log: one row per lineitem, keyed by the ordering customer."""
+def month_bounds(start: int, end: int) -> tuple[str, str]:
+    """[first instant of ``start``, first instant after ``end``) as timestamp text."""
+    y, m = divmod(end, 100)
+    y2, m2 = (y + 1, 1) if m == 12 else (y, m + 1)
+    return f"{start // 100:04d}-{start % 100:02d}-01 00:00:00", f"{y2:04d}-{m2:02d}-01 00:00:00"
+
+
+def _in_range(col: str, months: tuple[int, int]):
+    lo, hi = month_bounds(*months)
+    c = F.col(col)
+    return (c >= F.lit(lo).cast("timestamp_ntz")) & (c < F.lit(hi).cast("timestamp_ntz"))
+
+
+def activity(spark: SparkSession, sf_dir: str, with_month: bool = False,
+             months: tuple[int, int] | None = None) -> DataFrame:
+    """Viewing log: one row per lineitem, keyed by the ordering customer.
+
+    ``months=(start, end)`` keeps events of those months only, as a range on
+    the source timestamp so that it reaches the parquet scan (the month text
+    derived from it cannot be pushed down). Same rows as filtering the
+    derived month.
+    """
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate"])
+    if months:
+        li = li.filter(_in_range("l_shipdate", months))
     od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     pt = read_table(spark, sf_dir, "part", ["p_partkey", "p_size"])
     df = (li.join(od, li.l_orderkey == od.o_orderkey, "inner")
@@ -54,10 +76,15 @@ def activity(spark: SparkSession, sf_dir: str, with_month: bool = False) -> Data
     return df
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User-by-month panel with the label ``cancel_yn`` and typed attributes."""
+def panel(spark: SparkSession, sf_dir: str, months: tuple[int, int] | None = None) -> DataFrame:
+    """User-by-month panel with the label ``cancel_yn`` and typed attributes.
+
+    ``months=(start, end)`` keeps those panel months, pushed to the scan as a date range.
+    """
     od = read_table(spark, sf_dir, "orders",
                     ["o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate"])
+    if months:
+        od = od.filter(_in_range("o_orderdate", months))
     cu = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
     per_month = (od.groupBy(F.col("o_custkey").alias("user_id"),
                             F.date_format("o_orderdate", "yyyyMM").cast("int").alias("p_mt"))

@@ -224,3 +224,25 @@ def test_vif_diag_inverse():
     got = dict(st.vif_from_corr(names, r))
     m = np.array([[1, .5, .2], [.5, 1, .3], [.2, .3, 1]])
     assert np.allclose([got[n] for n in names], np.diag(np.linalg.inv(m)))
+
+
+def test_multi_rank_buckets_equal_single(spark):
+    from tenure.operators.ranking import multi_rank_buckets
+    rnd = random.Random(2)
+    df = spark.createDataFrame([(i, float(rnd.randint(0, 9)), float(rnd.randint(0, 3))) for i in range(103)],
+                               "user_id long, a double, b double")
+    multi = multi_rank_buckets(df, "user_id", {"qa": (F.col("a"), 4), "qb4": (F.col("b"), 4), "qb5": (F.col("b"), 5)})
+    single = rank_buckets(rank_buckets(rank_buckets(df, "a", "user_id", 4, "qa"), "b", "user_id", 4, "qb4"),
+                          "b", "user_id", 5, "qb5")
+    j = multi.alias("m").join(single.alias("s"), "user_id")
+    assert j.count() == 103
+    assert j.filter("m.qa <> s.qa OR m.qb4 <> s.qb4 OR m.qb5 <> s.qb5").count() == 0
+
+
+def test_recency_month_end_is_point_in_time(spark):
+    log = spark.createDataFrame([(1, "19980305000000"), (1, "19980520000000"), (2, None)],
+                                "user_id long, strt_dt string")
+    panel = spark.createDataFrame([(1, 199802), (1, 199803), (1, 199804), (1, 199805), (2, 199805)],
+                                  "user_id long, p_mt int")
+    got = {(r.user_id, r.p_mt): r.recency_month_end for r in act.recency_month_end(panel, log).collect()}
+    assert got == {(1, 199802): 999, (1, 199803): 26, (1, 199804): 56, (1, 199805): 11, (2, 199805): 999}
