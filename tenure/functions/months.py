@@ -21,7 +21,9 @@ def day_of(strt_dt) -> Column:
 
 
 def month_from_timestamp(ts) -> Column:
-    return F.date_format(_c(ts), "yyyyMM").cast("int")
+    """YYYYMM of a timestamp as int (arithmetic on the fields, no formatting)."""
+    c = _c(ts)
+    return (F.year(c) * 100 + F.month(c)).cast("int")
 
 
 def prev_month(p_mt) -> Column:

@@ -86,8 +86,9 @@ def panel(spark: SparkSession, sf_dir: str, months: tuple[int, int] | None = Non
     if months:
         od = od.filter(_in_range("o_orderdate", months))
     cu = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
-    per_month = (od.groupBy(F.col("o_custkey").alias("user_id"),
-                            F.date_format("o_orderdate", "yyyyMM").cast("int").alias("p_mt"))
+    # year * 100 + month: the same YYYYMM as formatting the date, without text or time-zone work
+    month = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("int")
+    per_month = (od.groupBy(F.col("o_custkey").alias("user_id"), month.alias("p_mt"))
                    .agg(F.max(F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "5-LOW"), 1)
                                .otherwise(0)).cast("int").alias("cancel_yn"),
                         F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("_cents"),
