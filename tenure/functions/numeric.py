@@ -52,3 +52,18 @@ def clip(col, lo=None, hi=None) -> Column:
     if hi is not None:
         c = F.least(c, F.lit(hi))
     return c
+
+
+def fix_sig(col, digits: int = 12) -> Column:
+    """Round to ``digits`` significant digits (for statistics whose magnitude varies, e.g. variances).
+
+    Written as scientific-notation text and read back, which both engines do
+    the same way (the SQL twin is ``CAST(printf('%.{d-1}e', x) AS DOUBLE)``).
+    """
+    c = _c(col)
+    return F.when(c.isNull() | F.isnan(c), c).otherwise(
+        F.format_string(f"%.{digits - 1}e", c).cast("double") + F.lit(0.0))
+
+
+def fix_sig_sql(expr: str, digits: int = 12) -> str:
+    return f"(CAST(printf('%.{digits - 1}e', ({expr})) AS DOUBLE) + CAST(0.0 AS DOUBLE))"

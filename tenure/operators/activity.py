@@ -221,3 +221,40 @@ def recency_month_end(panel_rows: DataFrame, log: DataFrame, user_col: str = "us
                       F.when(days.isNull(), F.lit(no_event)).otherwise(F.greatest(days, F.lit(0)))
                       .alias("recency_month_end"))
     return panel_rows.join(rec, [user_col, month_col], "left")
+
+
+def user_features(log: DataFrame, ref_date: str | Column, users: DataFrame | None = None,
+                  user_col: str = "user_id", asset_col: str = "asset", time_col: str = "use_tms",
+                  class_col: str = "ct_cl", strt_col: str = "strt_dt", kids_code: int = 14, movie_code: int = 12,
+                  fanout: bool = False, user_rows: DataFrame | None = None) -> DataFrame:
+    """A2 + A3 + A4 in one scan of the log: the v1 totals over all events and the v2 flags,
+    dated watch time and last-event day over dated events, as conditional aggregates.
+
+    Same values as ``user_activity`` and ``flags_and_recency`` combined; users
+    without dated events get null flag / recency / dated time here (filled by the caller).
+    """
+    ref = F.lit(ref_date).cast("date") if isinstance(ref_date, str) else ref_date
+    dated_row = F.col(strt_col).isNotNull()
+    agg = log.groupBy(user_col).agg(
+        F.count(F.lit(1)).alias("vod_view_cnt"),
+        _zero_sum(time_col).alias("vod_use_tms_sum"),
+        F.countDistinct(asset_col).alias("vod_asset_cnt"),
+        F.count_if(dated_row).alias("_n_dated"),
+        F.max(F.when(dated_row & (F.col(class_col) == kids_code), 1).when(dated_row, 0)).alias("flag_kids"),
+        F.max(F.when(dated_row & (F.col(class_col) == movie_code), 1).when(dated_row, 0)).alias("flag_movie"),
+        F.sum(F.when(dated_row, F.col(time_col))).alias("_dated_tms"),
+        F.max(F.when(dated_row, day_of(strt_col))).alias("_last_day"))
+    raw = F.datediff(ref, F.col("_last_day"))
+    agg = agg.select(
+        user_col, "vod_view_cnt", "vod_use_tms_sum", "vod_asset_cnt", "flag_kids", "flag_movie",
+        F.when(F.col("_n_dated") > 0, F.coalesce(F.col("_dated_tms"), F.lit(0)).cast("bigint")).alias("total_watch_time"),
+        F.when(raw < 0, 0).otherwise(raw).alias("recency"))
+    if fanout:
+        m = multiplicity(user_rows if user_rows is not None else users, user_col)
+        return agg.join(m, user_col, "inner").select(
+            user_col, *[(F.col(c) * F.col("_mult")).alias(c) for c in ("vod_view_cnt", "vod_use_tms_sum")],
+            "vod_asset_cnt", "flag_kids", "flag_movie",
+            (F.col("total_watch_time") * F.col("_mult")).alias("total_watch_time"), "recency")
+    if users is not None:
+        agg = restrict_to_users(agg, users, user_col)
+    return agg

@@ -46,6 +46,23 @@ def churn_v2(v1: DataFrame, log: DataFrame, ref_date: str, no_event: int = 999,
         F.when((F.coalesce(F.col("flag_kids"), F.lit(0)) == 1) & ott, 1).otherwise(0).alias("risk_kids_ott"))
 
 
+def churn_v1v2(panel_rows: DataFrame, log: DataFrame, ref_date: str, no_event: int = 999, fanout: bool = False,
+               user_col: str = "user_id", ott_col: str = "ott_yn") -> DataFrame:
+    """``churn_v2(churn_v1(...))`` from a single aggregation pass over the log (same columns and values)."""
+    feats = act.user_features(log, ref_date, users=panel_rows, user_col=user_col, fanout=fanout, user_rows=panel_rows)
+    out = attach(panel_rows, feats, user_col, {c: 0 for c in V1_COLS})
+    out = out.select(*panel_rows.columns, *[F.col(c).cast("bigint").alias(c) for c in V1_COLS],
+                     F.coalesce(F.col("flag_kids"), F.lit(0)).alias("flag_kids"),
+                     F.coalesce(F.col("flag_movie"), F.lit(0)).alias("flag_movie"),
+                     F.coalesce(F.col("recency"), F.lit(no_event)).alias("recency"),
+                     F.coalesce(F.col("total_watch_time"), F.col("vod_use_tms_sum")).alias("total_watch_time"))
+    ott = F.col(ott_col)
+    return out.select(
+        "*", fix(F.log(F.lit(1.0) + F.col("total_watch_time"))).alias("log_watch_time"),
+        F.when(ott, 1).otherwise(0).alias("is_ott"),
+        F.when((F.col("flag_kids") == 1) & ott, 1).otherwise(0).alias("risk_kids_ott"))
+
+
 def churn_v3(base: DataFrame, log: DataFrame, trend_assets: DataFrame, start: int, end: int,
              user_col: str = "user_id", month_col: str = "p_mt") -> DataFrame:
     users = base.select(user_col)

@@ -111,7 +111,7 @@ SELECT *, {fix_sql('LN(1 + total_watch_time)')} AS log_watch_time,
 FROM v2"""))
 def a3_a4_churn_v2(spark, sf_dir):
     panel, log, _ = _inputs(spark, sf_dir)
-    return ds.churn_v2(ds.churn_v1(panel, log), log, REF_DATE)
+    return ds.churn_v1v2(panel, log, REF_DATE)
 
 
 # ---------------------------------------------------------------- A6 / J3

@@ -36,20 +36,20 @@ def _scores(raw: bool = False) -> dict:
     }
 
 
-def predictions(spark, sf_dir, raw: bool = False) -> DataFrame:
-    """(user_id, p_mt, label, is_val, fold, score per model) over the whole churn v2 panel."""
+def predictions(spark, sf_dir, raw: bool = False, folds: bool = False) -> DataFrame:
+    """(user_id, p_mt, label, is_val, [fold,] score per model) over the whole churn v2 panel."""
     panel, log = views.panel(spark, sf_dir), views.activity(spark, sf_dir)
-    v2 = ds.churn_v2(ds.churn_v1(panel, log), log, REF_DATE)
+    v2 = ds.churn_v1v2(panel, log, REF_DATE)
     scored = v2.select("user_id", "p_mt", F.col("cancel_yn").alias("label"),
                        *[c.alias(m) for m, c in _scores(raw).items()])
     split = stratified_split(scored, "label", ["user_id", "p_mt"], 0.2, SEED)
-    return stratified_folds(split, "label", ["user_id", "p_mt"], 5, SEED)
+    return stratified_folds(split, "label", ["user_id", "p_mt"], 5, SEED) if folds else split
 
 
 def long_predictions(preds: DataFrame, models=MODELS) -> DataFrame:
     items = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in models])
-    return preds.select("user_id", "p_mt", "label", "is_val", "fold", F.explode(items).alias("_m")) \
-                .select("user_id", "p_mt", "label", "is_val", "fold", "_m.model", "_m.score")
+    keep = [c for c in ("user_id", "p_mt", "label", "is_val", "fold") if c in preds.columns]
+    return preds.select(*keep, F.explode(items).alias("_m")).select(*keep, "_m.model", "_m.score")
 
 
 def _sql_scores(raw: bool = False) -> str:
@@ -155,7 +155,7 @@ def m11_regression_metrics(spark, sf_dir):
 @register("m8_fold_scores", with_views(SQL_PREDS + ",\nfp AS (SELECT fold, label, rule_batch AS score FROM pv),\n"
                                        + _sql_ap("fp", ["fold"], "fa"), "SELECT fold, ap AS prc_auc FROM fa"))
 def m8_fold_scores(spark, sf_dir):
-    p = predictions(spark, sf_dir)
+    p = predictions(spark, sf_dir, folds=True)
     return mt.fold_scores(p.select("fold", "label", F.col("rule_batch").alias("score")), "score", "label", "fold")
 
 

@@ -35,7 +35,7 @@ RESULT_SCHEMA = "task string, model string, metric string, value double"
 
 def churn_data(spark, sf_dir) -> DataFrame:
     panel, log = views.panel(spark, sf_dir), views.activity(spark, sf_dir)
-    v2 = ds.churn_v2(ds.churn_v1(panel, log), log, REF_DATE)
+    v2 = ds.churn_v1v2(panel, log, REF_DATE)
     return stratified_folds(stratified_split(v2, "cancel_yn", KEYS, 0.2, SEED), "cancel_yn", KEYS, 5, SEED).cache()
 
 

@@ -95,7 +95,7 @@ def kpi_rows(spark, sf_dir):
     merge, so duplicate (user, month) keys cannot multiply rows (trap 13).
     """
     panel, log, content = views.panel(spark, sf_dir), views.activity(spark, sf_dir), views.content(spark, sf_dir)
-    v2 = ds.churn_v2(ds.churn_v1(panel, log), log, REF_DATE).filter(F.col("p_mt") == KPI_MONTH)
+    v2 = ds.churn_v1v2(panel, log, REF_DATE).filter(F.col("p_mt") == KPI_MONTH)
     kbase = panel.filter(F.col("p_mt") == KPI_MONTH)
     year_log = views.activity(spark, sf_dir, months=(YEAR_START, YEAR_END))
     purchase = ds.purchase(kbase, year_log, content, YEAR_START, YEAR_END) \

@@ -46,7 +46,7 @@ def _rollup(spark, sf_dir) -> DataFrame:
 
 def _v2(spark, sf_dir) -> DataFrame:
     panel, log = views.panel(spark, sf_dir), views.activity(spark, sf_dir)
-    return ds.churn_v2(ds.churn_v1(panel, log), log, REF_DATE)
+    return ds.churn_v1v2(panel, log, REF_DATE)
 
 
 def _rate(df, *keys):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.numeric import fix, fix_sql
+from tenure.functions.numeric import fix, fix_sig, fix_sig_sql, fix_sql
 from tenure.operators import leakage as lk
 from tenure.operators import stats as st
 from tenure.operators.encode import apply_codes, code_dictionary, median_fill
@@ -30,7 +30,7 @@ v2x AS (SELECT *, {fix_sql('LN(1 + total_watch_time)')} AS log_watch_time FROM v
 
 def _v2(spark, sf_dir) -> DataFrame:
     panel, log = views.panel(spark, sf_dir), views.activity(spark, sf_dir)
-    return ds.churn_v2(ds.churn_v1(panel, log), log, REF_DATE)
+    return ds.churn_v1v2(panel, log, REF_DATE)
 
 
 # ---------------------------------------------------------------- T1 / T2 / T8
@@ -40,19 +40,20 @@ def _moments_sql(c):
     n0, n1 = f"COUNT(CASE WHEN cancel_yn = 0 THEN {c} END)", f"COUNT(CASE WHEN cancel_yn = 1 THEN {c} END)"
     sp2 = f"(({n0} - 1) * {v0} + ({n1} - 1) * {v1}) / ({n0} + {n1} - 2)"
     return f"""
-SELECT '{c}' AS "column", {n0} AS n0, {n1} AS n1, {fix_sql(m0)} AS mean0, {fix_sql(m1)} AS mean1,
-       {fix_sql(v0)} AS var0, {fix_sql(v1)} AS var1,
-       {fix_sql(f'({m0} - {m1}) / SQRT({v0} / {n0} + {v1} / {n1})')} AS welch_t,
-       {fix_sql(f'({m0} - {m1}) / SQRT({sp2} * (1.0 / {n0} + 1.0 / {n1}))')} AS pooled_t,
-       {fix_sql(f'CASE WHEN {sp2} > 0 THEN ({m1} - {m0}) / SQRT({sp2}) ELSE 0.0 END')} AS cohens_d
+SELECT '{c}' AS "column", {n0} AS n0, {n1} AS n1, {fix_sig_sql(m0)} AS mean0, {fix_sig_sql(m1)} AS mean1,
+       {fix_sig_sql(v0)} AS var0, {fix_sig_sql(v1)} AS var1,
+       {fix_sig_sql(f'({m0} - {m1}) / SQRT({v0} / {n0} + {v1} / {n1})', 9)} AS welch_t,
+       {fix_sig_sql(f'({m0} - {m1}) / SQRT({sp2} * (1.0 / {n0} + 1.0 / {n1}))', 9)} AS pooled_t,
+       {fix_sig_sql(f'CASE WHEN {sp2} > 0 THEN ({m1} - {m0}) / SQRT({sp2}) ELSE 0.0 END', 9)} AS cohens_d
 FROM v2x"""
 
 
 @register("t1_t2_t8_moments", with_views(SQL_V2X, " UNION ALL ".join(_moments_sql(c) for c in NUMERIC)))
 def t1_t2_t8_moments(spark, sf_dir):
     t = st.moments_table(_v2(spark, sf_dir), NUMERIC, "cancel_yn")
-    return t.select("column", "n0", "n1", *[fix(c).alias(c) for c in
-                                            ("mean0", "mean1", "var0", "var1", "welch_t", "pooled_t", "cohens_d")])
+    # differences of close means amplify last-bit noise: effect statistics keep 9 significant digits
+    return t.select("column", "n0", "n1", *[fix_sig(c).alias(c) for c in ("mean0", "mean1", "var0", "var1")],
+                    *[fix_sig(c, 9).alias(c) for c in ("welch_t", "pooled_t", "cohens_d")])
 
 
 # ---------------------------------------------------------------- T3
