@@ -131,9 +131,15 @@ def rank_buckets(df: DataFrame, value_col: str, key_col: str, q: int, bucket_col
 
 
 def share_within(df: DataFrame, value_col: str, group_cols: Sequence[str], share_col: str) -> DataFrame:
-    """Value / total of its group (``sum().over(partitionBy)``)."""
-    w = Window.partitionBy(*group_cols)
-    return df.withColumn(share_col, F.col(value_col).cast("double") / F.sum(value_col).over(w))
+    """Value / total of its group.
+
+    Group totals come from a grouped aggregate joined back on the group keys
+    (one row per group, broadcast by AQE when small) rather than a window,
+    which would put each group, however large, into one task.
+    """
+    totals = df.groupBy(*group_cols).agg(F.sum(value_col).alias("_group_total"))
+    return df.join(totals, list(group_cols), "inner") \
+             .withColumn(share_col, F.col(value_col).cast("double") / F.col("_group_total")).drop("_group_total")
 
 
 def multi_rank_buckets(df: DataFrame, key_col: str, specs: dict[str, tuple[Column, int]],
