@@ -11,7 +11,7 @@ from tenure.plans.fixture import YEAR_END, YEAR_START
 from tenure.plans.registry import ORACLES, QUERIES, register, with_views
 from tenure.sources import ingest, views
 from tenure.sources.tables import read_table
-from tenure.streaming.monthly import monthly_stream
+from tenure.streaming.monthly import monthly_stream, read_latest
 
 from tenure.plans import q_activity, q_segments  # noqa: F401  (oracles reused below)
 
@@ -115,7 +115,7 @@ def a5_streaming_monthly(spark, sf_dir):
     users = panel.filter(F.col("p_mt").between(YEAR_START, YEAR_END)).select("user_id")
     q = monthly_stream(spark, src, log.schema, users, YEAR_START, YEAR_END, target, checkpoint=f"{root}/ckpt")
     q.awaitTermination()
-    return spark.read.parquet(target)
+    return read_latest(spark, target)
 
 
 _ = act

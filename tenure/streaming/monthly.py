@@ -3,9 +3,12 @@
 The viewing log arrives as files; each micro-batch updates the running
 (user, month) counts held in Spark's state store (update mode), and
 ``foreachBatch`` upserts the changed rows into a parquet table (anti-join on
-the key, then append). Restricting to known users is a stream-static
-semi-join. The checkpoint lives in the shared checkpoint folder, so a
-restarted query resumes from its last committed batch.
+the key, then append). Each batch writes a new version directory named by its
+batch id, built from the last complete earlier version, so a batch replayed
+after a failure rewrites only its own version and never a table it reads;
+readers take the newest complete version. Restricting to known users is a
+stream-static semi-join. The checkpoint lives in the shared checkpoint
+folder, so a restarted query resumes from its last committed batch.
 
 Months are calendar months taken from the event text, not fixed-length
 windows, so no watermark is applied: state is one row per active
@@ -36,15 +39,9 @@ def monthly_stream(spark: SparkSession, source_dir: str, schema, users: DataFram
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         batch_spark = batch.sparkSession
-        if _exists(batch_spark, target):
-            current = batch_spark.read.parquet(target)
-            merged = _upsert_keys(current, batch)
-            # materialise before overwriting the table it was read from
-            staged = target + f"__b{batch_id}"
-            merged.write.mode("overwrite").parquet(staged)
-            batch_spark.read.parquet(staged).write.mode("overwrite").parquet(target)
-        else:
-            batch.write.mode("overwrite").parquet(target)
+        prev = latest_version(batch_spark, target, before=batch_id)
+        merged = batch if prev is None else _upsert_keys(batch_spark.read.parquet(prev), batch)
+        merged.write.mode("overwrite").parquet(f"{target}/v={batch_id:012d}")
 
     ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "stream", "monthly_activity")
     return (agg.writeStream.outputMode("update").foreachBatch(merge)
@@ -57,8 +54,30 @@ def _upsert_keys(current: DataFrame, batch: DataFrame) -> DataFrame:
     return kept.unionByName(batch)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def latest_version(spark: SparkSession, target: str, before: int | None = None) -> str | None:
+    """Path of the newest complete version (has ``_SUCCESS``) of a versioned table, optionally below a batch id."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    root = jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    best = None
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if not (st.isDirectory() and name.startswith("v=")):
+            continue
+        vid = int(name[2:])
+        if before is not None and vid >= before:
+            continue
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")) and (best is None or vid > best[0]):
+            best = (vid, st.getPath().toString())
+    return best[1] if best else None
+
+
+def read_latest(spark: SparkSession, target: str) -> DataFrame:
+    """The current state of the incrementally maintained table."""
+    path = latest_version(spark, target)
+    if path is None:
+        raise FileNotFoundError(target)
+    return spark.read.parquet(path)
 
