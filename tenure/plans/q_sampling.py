@@ -46,6 +46,13 @@ def l3_seeded_sample(spark, sf_dir):
     return seeded_sample(rows, 500, ["user_id", "p_mt"], SEED)
 
 
+@register("l4_simple_sample", with_views("", f"""
+SELECT * FROM panel ORDER BY {ROW_HASH}, user_id, p_mt LIMIT 100000"""))
+def l4_simple_sample(spark, sf_dir):
+    """L4: a seeded sample of min(100,000, rows) panel rows (the modeling sample); smaller panels stay whole."""
+    return seeded_sample(views.panel(spark, sf_dir), 100_000, ["user_id", "p_mt"], SEED)
+
+
 # ---------------------------------------------------------------- L5
 @register("l5_train_val_split", with_views(SQL_YEAR_ROWS, f"""
 SELECT user_id, p_mt, cancel_yn,
