@@ -214,3 +214,52 @@ def m17_feature_impact(spark, sf_dir):
     raw = mt.ap_auc(long_predictions(predictions(spark, sf_dir, raw=True), ("rule_batch", "rule_lookup"))
                     .filter("is_val"), "score", "label", ["model"])
     return mt.feature_impact(eng, raw, "ap")
+
+
+# ---------------------------------------------------------------- M8 (regression) / M16 (purchase gate)
+def _purchase_preds(spark, sf_dir):
+    from tenure.plans.q_stats import _purchase
+    p = stratified_folds(_purchase(spark, sf_dir), None, ["user_id", "p_mt"], 5, SEED)
+    return p.select("user_id", "p_mt", "fold", F.col("vod_purchase_cnt").alias("y"),
+                    F.col("lagged_rvod_cnt").cast("double").alias("lagged"),
+                    F.lit(0.0).alias("zero"),
+                    (F.col("lagged_rvod_cnt") + F.col("svod_cnt") * 0.1).alias("lag_plus_svod"))
+
+
+SQL_PURCHASE_FOLDS = SQL_HYP + f""",
+pf AS (SELECT user_id, p_mt, vod_purchase_cnt AS y, CAST(lagged_rvod_cnt AS DOUBLE) AS lagged, 0.0 AS zero,
+              lagged_rvod_cnt + svod_cnt * CAST(0.1 AS DOUBLE) AS lag_plus_svod,
+              CAST((ROW_NUMBER() OVER (ORDER BY {ROW_HASH}, user_id, p_mt) - 1) % 5 + 1 AS INT) AS fold FROM pur)"""
+
+
+def _reg_sql(src, pred, group):
+    p = f"GREATEST(CAST({pred} AS DOUBLE), 0.0)"
+    gsel = f"{group}, " if group else ""
+    gby = f"GROUP BY {group}" if group else ""
+    return f"""SELECT {gsel}{fix_sql(f"CASE WHEN VAR_POP(CAST(y AS DOUBLE)) * COUNT(y) > 0 THEN 1.0 - SUM(POW(CAST(y AS DOUBLE) - {p}, 2)) / (VAR_POP(CAST(y AS DOUBLE)) * COUNT(y)) END")} AS r2,
+       {fix_sql(f"AVG(ABS(CAST(y AS DOUBLE) - {p}))")} AS mae,
+       {fix_sql(f"SQRT(SUM(POW(CAST(y AS DOUBLE) - {p}, 2)) / COUNT(*))")} AS rmse, COUNT(*) AS n FROM {src} {gby}"""
+
+
+@register("m8_regression_fold_scores", with_views(SQL_PURCHASE_FOLDS, _reg_sql("pf", "lagged", "fold")))
+def m8_regression_fold_scores(spark, sf_dir):
+    """M8 for the purchase task: R2 / MAE / RMSE per fold of the previous-month predictor."""
+    return mt.regression_metrics(_purchase_preds(spark, sf_dir), "lagged", "y", ["fold"])
+
+
+PURCHASE_MODELS = ("lagged", "zero", "lag_plus_svod")
+
+
+@register("m16_gate_purchase", with_views(SQL_PURCHASE_FOLDS + ",\nrb AS (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS model, * FROM ({_reg_sql('pf', m, '')})" for m in PURCHASE_MODELS) + ")", """
+SELECT model, r2, mae, COALESCE(r2 >= 0.6 AND mae <= 0.6, FALSE) AS gate_pass,
+       model = (SELECT arg_max(model, CAST(COALESCE(r2 >= 0.6 AND mae <= 0.6, FALSE) AS INT) * 10 + r2) FROM rb)
+         AS is_champion
+FROM rb"""))
+def m16_gate_purchase(spark, sf_dir):
+    """Purchase gate: R2 >= 0.6 and MAE <= 0.6; champion = best passing by R2, else best."""
+    p = _purchase_preds(spark, sf_dir)
+    items = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("pred")) for m in PURCHASE_MODELS])
+    long = p.select("y", F.explode(items).alias("_m")).select("y", "_m.model", "_m.pred")
+    board = mt.regression_metrics(long, "pred", "y", ["model"])
+    return mt.gate(board, "vod_purchase").select("model", "r2", "mae", "gate_pass", "is_champion")

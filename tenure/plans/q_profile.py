@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.numeric import exact_mean, fix, fix_sql, mean
 from tenure.operators import profile as prof
+from tenure.operators.sampling import hash32_sql, seeded_sample
 from tenure.plans import datasets as ds
 from tenure.plans.fixture import REF_DATE
 from tenure.plans.registry import ORACLES, QUERIES, register, with_views
@@ -274,3 +275,26 @@ def a24_trend_summary(spark, sf_dir):
 
 
 _ = (REF_DATE, _v1_sql)
+
+
+# ---------------------------------------------------------------- A1 sample rows
+RAW_KEY_SQL = "user_id || '|' || p_mt"
+
+
+@register("a1_sample_rows", with_views(ORACLE_RAW_PANEL, f"""
+SELECT * FROM raw_panel ORDER BY {hash32_sql(RAW_KEY_SQL, 42)}, user_id, p_mt LIMIT 20"""))
+def a1_sample_rows(spark, sf_dir):
+    """A1's 20 sample rows, drawn by seeded hash order (the reference took whatever rows came first)."""
+    return seeded_sample(views.raw_panel(spark, sf_dir), 20, ["user_id", "p_mt"], 42)
+
+
+# ---------------------------------------------------------------- A17 target distribution
+@register("a17_target_distribution", with_views("", """
+SELECT CAST(cancel_yn AS VARCHAR) AS value, CAST(COUNT(*) AS DOUBLE) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE) AS share
+FROM panel GROUP BY cancel_yn"""))
+def a17_target_distribution(spark, sf_dir):
+    """Share of each target value (the label has at most 10 values; a numeric target would get describe())."""
+    counts = views.panel(spark, sf_dir).groupBy("cancel_yn").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0]
+    return counts.select(F.col("cancel_yn").cast("string").alias("value"),
+                         (F.col("n").cast("double") / F.lit(float(total))).alias("share"))
