@@ -31,7 +31,8 @@ def s1_csv_union_ingest(spark, sf_dir):
     root = _run_dir(spark, "s1")
     ingest.write_csv(panel.filter(F.col("p_mt") < YEAR_START).select("user_id", "p_mt", "cancel_yn"), f"{root}/a_cancel")
     ingest.write_csv(panel.filter(F.col("p_mt") >= YEAR_START).select("user_id", "p_mt", "tv_hours"), f"{root}/b_cancel")
-    return ingest.read_csv_union(spark, ingest.list_paths(spark, f"{root}/*_cancel"))
+    out = ingest.read_csv_union(spark, ingest.list_paths(spark, f"{root}/*_cancel"))
+    return out.withColumn("user_id", F.col("user_id").cast("bigint"))  # keys are BIGINT whatever the sniffed type
 
 
 # ---------------------------------------------------------------- S2
@@ -41,7 +42,8 @@ def s2_first_csv(spark, sf_dir):
     root = _run_dir(spark, "s2")
     ingest.write_csv(content.filter(F.col("asset_prod") == 0), f"{root}/a_vod_mart")
     ingest.write_csv(content.filter(F.col("asset_prod") != 0), f"{root}/b_vod_mart")
-    return ingest.read_first_csv(spark, f"{root}/*vod_mart*")
+    out = ingest.read_first_csv(spark, f"{root}/*vod_mart*")
+    return out.withColumn("asset_id", F.col("asset_id").cast("bigint"))  # keys are BIGINT whatever the sniffed type
 
 
 # ---------------------------------------------------------------- S4 / S5
