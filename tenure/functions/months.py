@@ -15,9 +15,36 @@ def month_of(strt_dt) -> Column:
     return F.substring(_c(strt_dt).cast("string"), 1, 6).try_cast("int")
 
 
+def day_key(strt_dt) -> Column:
+    """yyyyMMdd of the event time as an int; null unless the first eight characters
+    are a calendar date (years 1000-9999).
+
+    Integer arithmetic only (no date parsing), so it is cheap per event. Keys
+    sort in date order: aggregate the key (``max``, ``min``) and convert only
+    the aggregated value with ``key_date``.
+    """
+    k = F.substring(_c(strt_dt).cast("string"), 1, 8).try_cast("int")
+    y, m, d = F.floor(k / 10000), F.floor(k / 100) % 100, k % 100
+    leap = ((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))).cast("int")
+    days = F.when(m == 2, 28 + leap).otherwise(30 + (m + F.floor(m / 8)) % 2)
+    ok = k.between(10000101, 99991231) & m.between(1, 12) & (d >= 1) & (d <= days)
+    return F.when(ok, k)
+
+
+def key_date(key) -> Column:
+    """Date of a ``day_key`` value (null stays null)."""
+    k = _c(key)
+    return F.make_date(F.floor(k / 10000).cast("int"), (F.floor(k / 100) % 100).cast("int"), (k % 100).cast("int"))
+
+
 def day_of(strt_dt) -> Column:
-    """Calendar day of the event time (first eight characters, yyyyMMdd)."""
-    return F.try_to_timestamp(F.substring(_c(strt_dt).cast("string"), 1, 8), F.lit("yyyyMMdd")).cast("date")
+    """Calendar day of the event time (first eight characters, yyyyMMdd); null when not a date."""
+    return key_date(day_key(strt_dt))
+
+
+def last_day_of(strt_dt) -> Column:
+    """Aggregate: latest event day (max over the int keys, one date conversion per group)."""
+    return key_date(F.max(day_key(strt_dt)))
 
 
 def month_from_timestamp(ts) -> Column:

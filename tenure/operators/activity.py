@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.months import day_of, month_of
+from tenure.functions.months import day_key, key_date, last_day_of, month_of
 from tenure.operators.joins import multiplicity, restrict_to_users
 
 
@@ -22,7 +22,16 @@ def _zero_sum(col: str) -> Column:
 
 
 def with_month(log: DataFrame, strt_col: str = "strt_dt", month_col: str = "p_mt") -> DataFrame:
-    """Derive the int month once from the event time."""
+    """Derive the int month once from the event time.
+
+    A log that already carries ``month_col`` keeps it: a table stored
+    partitioned by month, or a view that derived the month from its source
+    timestamp. Such a column must equal the month of ``strt_col`` (null when
+    the event time is null); month filters on it then prune partitions and
+    cost an int comparison instead of cutting text per event.
+    """
+    if month_col in log.columns:
+        return log
     return log.withColumn(month_col, month_of(strt_col))
 
 
@@ -78,7 +87,7 @@ def flags_and_recency(log: DataFrame, ref_date: str | Column, users: DataFrame |
         F.max(F.when(F.col(class_col) == kids_code, 1).otherwise(0)).alias("flag_kids"),
         F.max(F.when(F.col(class_col) == movie_code, 1).otherwise(0)).alias("flag_movie"),
         _zero_sum(time_col).alias("total_watch_time"),
-        F.datediff(ref, F.max(day_of(strt_col))).alias("_recency_raw"))
+        F.datediff(ref, last_day_of(strt_col)).alias("_recency_raw"))
     agg = agg.withColumn("recency", F.when(F.col("_recency_raw") < 0, 0).otherwise(F.col("_recency_raw"))) \
              .drop("_recency_raw")
     if fanout:
@@ -210,8 +219,8 @@ def recency_month_end(panel_rows: DataFrame, log: DataFrame, user_col: str = "us
     from pyspark.sql import Window
     from tenure.functions.months import month_end
 
-    last = (dated(log, strt_col).withColumn(month_col, month_of(strt_col))
-            .groupBy(user_col, month_col).agg(F.max(day_of(strt_col)).alias("_last")))
+    last = (with_month(dated(log, strt_col), strt_col, month_col)
+            .groupBy(user_col, month_col).agg(last_day_of(strt_col).alias("_last")))
     keys = panel_rows.select(user_col, month_col).distinct().withColumn("_last", F.lit(None).cast("date"))
     merged = last.unionByName(keys).groupBy(user_col, month_col).agg(F.max("_last").alias("_last"))
     w = Window.partitionBy(user_col).orderBy(month_col).rowsBetween(Window.unboundedPreceding, 0)
@@ -243,7 +252,7 @@ def user_features(log: DataFrame, ref_date: str | Column, users: DataFrame | Non
         F.max(F.when(dated_row & (F.col(class_col) == kids_code), 1).when(dated_row, 0)).alias("flag_kids"),
         F.max(F.when(dated_row & (F.col(class_col) == movie_code), 1).when(dated_row, 0)).alias("flag_movie"),
         F.sum(F.when(dated_row, F.col(time_col))).alias("_dated_tms"),
-        F.max(F.when(dated_row, day_of(strt_col))).alias("_last_day"))
+        key_date(F.max(F.when(dated_row, day_key(strt_col)))).alias("_last_day"))
     raw = F.datediff(ref, F.col("_last_day"))
     agg = agg.select(
         user_col, "vod_view_cnt", "vod_use_tms_sum", "vod_asset_cnt", "flag_kids", "flag_movie",

@@ -38,7 +38,7 @@ trend_assets AS (SELECT DISTINCT k.p_mt, c.asset_id FROM content c
 def _inputs(spark, sf_dir, year: bool = False):
     """Panel, log and catalog; ``year=True`` restricts panel and log to the analysis year at the scan."""
     months = (Y0, Y1) if year else None
-    return (views.panel(spark, sf_dir, months=months), views.activity(spark, sf_dir, months=months),
+    return (views.panel(spark, sf_dir, months=months), views.activity(spark, sf_dir, with_month=True, months=months),
             views.content(spark, sf_dir))
 
 

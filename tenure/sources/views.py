@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.functions.months import month_of
+from tenure.functions.months import month_from_timestamp
 from tenure.sources.tables import read_table
 
 
@@ -61,19 +61,25 @@ def activity(spark: SparkSession, sf_dir: str, with_month: bool = False,
         li = li.filter(_in_range("l_shipdate", months))
     od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     pt = read_table(spark, sf_dir, "part", ["p_partkey", "p_size"])
-    df = (li.join(od, li.l_orderkey == od.o_orderkey, "inner")
-            .join(pt, li.l_partkey == pt.p_partkey, "inner")
-            .select(
-                F.col("o_custkey").alias("user_id"),
-                F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string"))
-                 .otherwise(F.date_format("l_shipdate", "yyyyMMddHHmmss")).alias("strt_dt"),
-                F.col("l_partkey").alias("asset"),
-                F.col("l_quantity").cast("bigint").alias("use_tms"),
-                (F.col("p_size") % 16).cast("int").alias("ct_cl"),
-            ))
+    ts = F.col("l_shipdate")
+    undated = (F.col("l_linenumber") == 7) | ts.isNull()
+    # date_format of a non-null timestamp is never null; the coalesce only tells the
+    # optimizer so, which lets `strt_dt IS NOT NULL` be decided without formatting.
+    strt = F.when(undated, F.lit(None).cast("string")) \
+            .otherwise(F.coalesce(F.date_format(ts, "yyyyMMddHHmmss"), F.lit("")))
+    cols = [
+        F.col("o_custkey").alias("user_id"),
+        strt.alias("strt_dt"),
+        F.col("l_partkey").alias("asset"),
+        F.col("l_quantity").cast("bigint").alias("use_tms"),
+        (F.col("p_size") % 16).cast("int").alias("ct_cl"),
+    ]
     if with_month:
-        df = df.withColumn("p_mt", month_of("strt_dt"))
-    return df
+        # the month of strt_dt, taken from the timestamp fields (no text cut per event)
+        cols.append(F.when(undated, F.lit(None).cast("int")).otherwise(month_from_timestamp(ts)).alias("p_mt"))
+    return (li.join(od, li.l_orderkey == od.o_orderkey, "inner")
+              .join(pt, li.l_partkey == pt.p_partkey, "inner")
+              .select(*cols))
 
 
 def panel(spark: SparkSession, sf_dir: str, months: tuple[int, int] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tenure.functions import distributions as dist
-from tenure.functions.months import prev_month, valid_month
+from tenure.functions.months import day_of, last_day_of, prev_month, valid_month
 from tenure.operators import activity as act
 from tenure.operators import encode as enc
 from tenure.operators import leakage as lk
@@ -38,6 +38,25 @@ def test_prev_month_and_bad_month(spark):
     assert issues.invalid == 2
 
 
+def test_day_key_matches_date_parse(spark):
+    """The arithmetic day key accepts exactly the strings a yyyyMMdd parse accepts (years 1000-9999)."""
+    import datetime
+    days, d = [], datetime.date(1899, 1, 1)
+    while d.year < 2101:
+        days.append(d.strftime("%Y%m%d") + "120000")
+        d += datetime.timedelta(days=1)
+    odd = [f"{y}{m:02d}{dd:02d}" for y in (1900, 2000, 2023, 2024) for m in range(0, 14) for dd in range(0, 33)]
+    odd += ["2023011", " 2023011", "+2023011", "2023-01-", "abcdefgh", "", None]
+    df = spark.createDataFrame([(v,) for v in days + odd], "s string")
+    parsed = F.try_to_timestamp(F.substring("s", 1, 8), F.lit("yyyyMMdd")).cast("date")
+    assert df.filter(~F.equal_null(parsed, day_of("s"))).count() == 0
+    # latest day per user from the aggregated key equals the max of parsed days
+    ev = spark.createDataFrame([(1, "20231231010101"), (1, "20230229000000"), (1, "20240101"), (2, None), (2, "2023133")],
+                               "u int, s string")
+    got = {r.u: r.d for r in ev.groupBy("u").agg(last_day_of("s").alias("d")).collect()}
+    assert got == {1: datetime.date(2024, 1, 1), 2: None}
+
+
 def test_fanout_equals_distinct_times_multiplicity(spark):
     log = spark.createDataFrame([(1, "a", 10), (1, "b", 5), (1, "a", 1), (2, "c", 4)], "user_id long, asset string, use_tms long")
     panel = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1)], "user_id long, p_mt int")
