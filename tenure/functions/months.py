@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,20 +15,41 @@ def month_of(strt_dt) -> Column:
     return F.substring(_c(strt_dt).cast("string"), 1, 6).try_cast("int")
 
 
+def valid_day_key(raw) -> Column:
+    """``raw`` (an int read from eight characters) when it is a yyyyMMdd calendar date
+    with a year in 1000-9999, else null. Integer arithmetic only."""
+    k = _c(raw)
+    y, md = F.floor(k / 10000), k % 10000
+    m, d = F.floor(md / 100), md % 100
+    leap = ((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))).cast("int")
+    days = F.when(m == 2, 28 + leap).otherwise(30 + (m + F.floor(m / 8)) % 2)
+    return F.when(k.between(10000101, 99991231) & m.between(1, 12) & (d >= 1) & (d <= days), k)
+
+
+def _raw_day(strt_dt) -> Column:
+    return F.substring(_c(strt_dt).cast("string"), 1, 8).try_cast("int")
+
+
 def day_key(strt_dt) -> Column:
     """yyyyMMdd of the event time as an int; null unless the first eight characters
     are a calendar date (years 1000-9999).
 
-    Integer arithmetic only (no date parsing), so it is cheap per event. Keys
-    sort in date order: aggregate the key (``max``, ``min``) and convert only
-    the aggregated value with ``key_date``.
+    No date parsing, and keys sort in date order: aggregate the key (``max``,
+    ``min``) and convert only the aggregated value with ``key_date``. Over
+    many rows prefer ``with_day_key``, which cuts the text once per row.
     """
-    k = F.substring(_c(strt_dt).cast("string"), 1, 8).try_cast("int")
-    y, m, d = F.floor(k / 10000), F.floor(k / 100) % 100, k % 100
-    leap = ((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))).cast("int")
-    days = F.when(m == 2, 28 + leap).otherwise(30 + (m + F.floor(m / 8)) % 2)
-    ok = k.between(10000101, 99991231) & m.between(1, 12) & (d >= 1) & (d <= days)
-    return F.when(ok, k)
+    return valid_day_key(_raw_day(strt_dt))
+
+
+def with_day_key(df: DataFrame, strt_col: str, key_col: str) -> DataFrame:
+    """Add ``day_key(strt_col)`` as ``key_col``, reading the eight characters once per row.
+
+    The raw int is its own projection: the optimizer does not inline an
+    expression that the validity check references several times, so the
+    text is cut and parsed once instead of once per reference.
+    """
+    raw = f"{key_col}__raw"
+    return df.withColumn(raw, _raw_day(strt_col)).withColumn(key_col, valid_day_key(raw)).drop(raw)
 
 
 def key_date(key) -> Column:

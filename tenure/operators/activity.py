@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.months import day_key, key_date, last_day_of, month_of
+from tenure.functions.months import key_date, month_of, with_day_key
 from tenure.operators.joins import multiplicity, restrict_to_users
 
 
@@ -82,12 +82,12 @@ def flags_and_recency(log: DataFrame, ref_date: str | Column, users: DataFrame |
     the caller's default when attached (see ``features.churn_v2``).
     """
     ref = F.lit(ref_date).cast("date") if isinstance(ref_date, str) else ref_date
-    ev = dated(log, strt_col)
+    ev = with_day_key(dated(log, strt_col), strt_col, "_day")
     agg = ev.groupBy(user_col).agg(
         F.max(F.when(F.col(class_col) == kids_code, 1).otherwise(0)).alias("flag_kids"),
         F.max(F.when(F.col(class_col) == movie_code, 1).otherwise(0)).alias("flag_movie"),
         _zero_sum(time_col).alias("total_watch_time"),
-        F.datediff(ref, last_day_of(strt_col)).alias("_recency_raw"))
+        F.datediff(ref, key_date(F.max("_day"))).alias("_recency_raw"))
     agg = agg.withColumn("recency", F.when(F.col("_recency_raw") < 0, 0).otherwise(F.col("_recency_raw"))) \
              .drop("_recency_raw")
     if fanout:
@@ -219,8 +219,8 @@ def recency_month_end(panel_rows: DataFrame, log: DataFrame, user_col: str = "us
     from pyspark.sql import Window
     from tenure.functions.months import month_end
 
-    last = (with_month(dated(log, strt_col), strt_col, month_col)
-            .groupBy(user_col, month_col).agg(last_day_of(strt_col).alias("_last")))
+    last = (with_day_key(with_month(dated(log, strt_col), strt_col, month_col), strt_col, "_day")
+            .groupBy(user_col, month_col).agg(key_date(F.max("_day")).alias("_last")))
     keys = panel_rows.select(user_col, month_col).distinct().withColumn("_last", F.lit(None).cast("date"))
     merged = last.unionByName(keys).groupBy(user_col, month_col).agg(F.max("_last").alias("_last"))
     w = Window.partitionBy(user_col).orderBy(month_col).rowsBetween(Window.unboundedPreceding, 0)
@@ -244,6 +244,7 @@ def user_features(log: DataFrame, ref_date: str | Column, users: DataFrame | Non
     """
     ref = F.lit(ref_date).cast("date") if isinstance(ref_date, str) else ref_date
     dated_row = F.col(strt_col).isNotNull()
+    log = with_day_key(log, strt_col, "_day")  # null for undated events
     agg = log.groupBy(user_col).agg(
         F.count(F.lit(1)).alias("vod_view_cnt"),
         _zero_sum(time_col).alias("vod_use_tms_sum"),
@@ -252,7 +253,7 @@ def user_features(log: DataFrame, ref_date: str | Column, users: DataFrame | Non
         F.max(F.when(dated_row & (F.col(class_col) == kids_code), 1).when(dated_row, 0)).alias("flag_kids"),
         F.max(F.when(dated_row & (F.col(class_col) == movie_code), 1).when(dated_row, 0)).alias("flag_movie"),
         F.sum(F.when(dated_row, F.col(time_col))).alias("_dated_tms"),
-        key_date(F.max(F.when(dated_row, day_key(strt_col)))).alias("_last_day"))
+        key_date(F.max("_day")).alias("_last_day"))
     raw = F.datediff(ref, F.col("_last_day"))
     agg = agg.select(
         user_col, "vod_view_cnt", "vod_use_tms_sum", "vod_asset_cnt", "flag_kids", "flag_movie",
