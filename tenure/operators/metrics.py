@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tenure.functions.numeric import fix
 from tenure.operators.joins import full_outer_fill, upsert
 from tenure.operators.ranking import global_rank, running_sums
+from tenure.session import cut_lineage
 
 # Acceptance thresholds of the gate.
 THRESH_AP = 0.5
@@ -79,7 +80,13 @@ def precision_at(preds: DataFrame, score_col: str, label_col: str, key_cols: Seq
 
 
 def ranking_metrics(preds: DataFrame, score_col: str, label_col: str, key_cols: Sequence[str]) -> DataFrame:
-    """M9: AP, ROC-AUC, P@10%, P@20%, Lift@10% in one row (two one-row aggregates, combined on the driver)."""
+    """M9: AP, ROC-AUC, P@10%, P@20%, Lift@10% in one row (two one-row aggregates, combined on the driver).
+
+    Both aggregates read the predictions, so the needed columns are written
+    once to the checkpoint folder; the upstream plan (features over the whole
+    log) then runs once, not once per metric.
+    """
+    preds = cut_lineage(preds.select(score_col, label_col, *key_cols))
     a = ap_auc(preds, score_col, label_col).first().asDict()
     p = precision_at(preds, score_col, label_col, key_cols).first().asDict()
     row = {**a, **p}

@@ -51,6 +51,19 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[flo
     return [got.get(float(p)) for p in probs]
 
 
+def column_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
+    """Scalar quantiles of several columns in one pass: ``{column: [q for each p]}``.
+
+    The columns go to a long (column, value) form and share one running sum,
+    so the input is read once however many columns are asked for.
+    """
+    cols = list(wanted)
+    probs = sorted({float(p) for ps in wanted.values() for p in ps})
+    rows = grouped_quantiles(melt(df, cols, "column", "value"), "value", probs, ["column"]).collect()
+    got = {(r["column"], float(r["p"])): r["q"] for r in rows}
+    return {c: [got.get((c, float(p))) for p in wanted[c]] for c in cols}
+
+
 def exact_median(df: DataFrame, col: str) -> float | None:
     return exact_quantiles(df, col, [0.5])[0]
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tenure.functions.months import month_label
 from tenure.functions.numeric import exact_mean, fix, fix_sql, mean
 from tenure.operators import segments as seg
-from tenure.operators.quantiles import exact_quantiles
+from tenure.operators.quantiles import column_quantiles
 from tenure.operators.ranking import multi_rank_buckets, share_within
 from tenure.plans import datasets as ds
 from tenure.plans.fixture import REF_DATE
@@ -19,6 +19,7 @@ from tenure.plans.q_activity import (SQL_FR, SQL_V1, SQL_V1AGG, SQL_V2, SQL_YEAR
                                      panel_month_rows)
 from tenure.plans.q_sampling import SQL_KPI_PURCHASE, SQL_KPI_V2, kpi_rows
 from tenure.plans.registry import register, with_views
+from tenure.session import cut_lineage
 from tenure.sources import views
 
 
@@ -78,9 +79,10 @@ SELECT segment, {MEAN_INT('cancel_yn')} AS churn_rate, COUNT(*) AS n,
        {fix_sql('MIN(tv_q25)')} AS tv_q25, {fix_sql('MIN(vod_q75)')} AS vod_q75
 FROM s GROUP BY segment"""))
 def f6_binary_segment(spark, sf_dir):
-    users = _rollup(spark, sf_dir)
-    tv_q25 = exact_quantiles(users, "tv_mean", [0.25])[0]
-    vod_q75 = exact_quantiles(users, "vod_mean", [0.75])[0]
+    # the cut points and the rates read the same rows: write them once
+    users = cut_lineage(_rollup(spark, sf_dir))
+    q = column_quantiles(users, {"tv_mean": [0.25], "vod_mean": [0.75]})
+    tv_q25, vod_q75 = q["tv_mean"][0], q["vod_mean"][0]
     flag = seg.binary_segment(F.col("tv_mean"), F.col("vod_mean"), tv_q25, vod_q75)
     out = _rate(users.withColumn("segment", F.when(flag, "low_tv_high_vod").otherwise("other")), "segment")
     return out.withColumn("tv_q25", fix(F.lit(tv_q25))).withColumn("vod_q75", fix(F.lit(vod_q75)))
@@ -141,9 +143,9 @@ s AS (SELECT rows.*, CASE WHEN tv_hours <= tv_q25 AND vod_use_tms_sum >= vod_q75
 SELECT segment, {MEAN_INT('cancel_yn')} AS churn_rate, COUNT(*) AS n FROM s GROUP BY segment"""))
 def f8_four_way_segment(spark, sf_dir):
     panel, log = views.panel(spark, sf_dir), views.activity(spark, sf_dir)
-    rows = ds.churn_v1(panel, log).select("tv_hours", "vod_use_tms_sum", "cancel_yn").dropna()
-    tv_q25 = exact_quantiles(rows, "tv_hours", [0.25])[0]
-    vod_q75 = exact_quantiles(rows, "vod_use_tms_sum", [0.75])[0]
+    rows = cut_lineage(ds.churn_v1(panel, log).select("tv_hours", "vod_use_tms_sum", "cancel_yn").dropna())
+    q = column_quantiles(rows, {"tv_hours": [0.25], "vod_use_tms_sum": [0.75]})
+    tv_q25, vod_q75 = q["tv_hours"][0], q["vod_use_tms_sum"][0]
     labelled = rows.withColumn("segment", seg.four_way_segment(F.col("tv_hours"), F.col("vod_use_tms_sum"),
                                                                tv_q25, vod_q75))
     return _rate(labelled, "segment")
