@@ -14,6 +14,7 @@ from tenure.plans import datasets as ds
 from tenure.plans.fixture import REF_DATE, SEED, YEAR_END, YEAR_START
 from tenure.plans.q_activity import SQL_BASE, SQL_COUNTS, SQL_FR, SQL_V1, SQL_V1AGG, SQL_V2
 from tenure.plans.registry import ORACLES, register, with_views
+from tenure.session import cut_lineage
 from tenure.sources import views
 
 
@@ -85,7 +86,7 @@ def _purchase(spark, sf_dir):
 
 
 def _hyp_long(spark, sf_dir):
-    pdf = _purchase(spark, sf_dir)
+    pdf = cut_lineage(_purchase(spark, sf_dir))  # read for the cap, then for the tests
     p99 = exact_quantiles(pdf, "vod_purchase_cnt", [0.99])[0]
     y = F.least(F.col("vod_purchase_cnt").cast("double"), F.lit(float(p99)))
     items = F.array(*[F.struct(F.lit(h).alias("hypothesis"), F.expr(cond).alias("is_pos")) for h, cond, _ in HYPOTHESES])
@@ -202,7 +203,7 @@ def t6_t7_chi_square(spark, sf_dir):
 # ---------------------------------------------------------------- T9
 @register("t9_eda_sweep")
 def t9_eda_sweep(spark, sf_dir):
-    rows = st.eda_sweep(_v2(spark, sf_dir), "cancel_yn", NUMERIC, CATEGORICAL, ["user_id", "p_mt"], seed=SEED)
+    rows = st.eda_sweep(cut_lineage(_v2(spark, sf_dir)), "cancel_yn", NUMERIC, CATEGORICAL, ["user_id", "p_mt"], seed=SEED)
     return spark.createDataFrame(
         [(r["column"], r["test"], r["statistic"], r["p_value"], r["effect"], r["mean0"], r["mean1"], r["significant"])
          for r in rows],
@@ -215,9 +216,13 @@ CORR_COLS = ["tv_hours", "vod_view_cnt", "vod_use_tms_sum", "vod_asset_cnt", "re
              "agmt_end_seg", "ott_yn"]
 
 
-def encoded_v2(spark, sf_dir):
-    """Feature table for correlation, VIF and leakage: codes for categorical, medians for gaps (M2)."""
-    v2 = _v2(spark, sf_dir)
+def encoded_v2(spark, sf_dir, v2: DataFrame | None = None):
+    """Feature table for correlation, VIF and leakage: codes for categorical, medians for gaps (M2).
+
+    The dictionary, the medians and the consumer all read the features, so they
+    are written once (``v2`` may be passed already written).
+    """
+    v2 = v2 if v2 is not None else cut_lineage(_v2(spark, sf_dir))
     dictionary = code_dictionary(v2, ["ott_yn"])
     enc = apply_codes(v2, ["ott_yn"], dictionary)
     return median_fill(enc, CORR_COLS)
@@ -305,7 +310,8 @@ def q6_month_format(spark, sf_dir):
 @register("q7_leakage_report")
 def q7_leakage_report(spark, sf_dir):
     names, v2 = _feature_names(spark, sf_dir)
-    corr = lk.target_correlation(encoded_v2(spark, sf_dir), CORR_COLS, "cancel_yn")
+    v2 = cut_lineage(v2)  # read by the correlation, duplicate-key and month checks
+    corr = lk.target_correlation(encoded_v2(spark, sf_dir, v2), CORR_COLS, "cancel_yn")
     tokens = lk.name_token_flags(spark, names)
     dups = lk.duplicate_keys(v2, ["user_id", "p_mt"])
     ids = lk.id_columns_in(spark, names, ID_COLS)
@@ -349,7 +355,7 @@ STD_COLS = ["tv_hours", "vod_view_cnt", "recency"]
     + " FROM v2x"))
 def m3_standardized(spark, sf_dir):
     from tenure.operators.encode import standardize
-    v2 = _v2(spark, sf_dir)
+    v2 = cut_lineage(_v2(spark, sf_dir))  # read for the fit, then scaled
     out = standardize(v2, STD_COLS)
     # standardized values carry the rounding noise of a mean and a deviation: report 9 decimals
     return out.select("user_id", "p_mt", *[fix(c, 9).alias(c) for c in STD_COLS])
