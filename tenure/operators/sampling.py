@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.operators.ranking import global_rank
@@ -69,17 +69,29 @@ def class_ratio_sample(df: DataFrame, label_col: str, key_col: str, sample_pct:
     return df.filter(cond)
 
 
-def seeded_sample(df: DataFrame, n: int | None, key_cols: Sequence[str], seed: int = 42) -> DataFrame:
+def seeded_sample(df: DataFrame, n: int | None, key_cols: Sequence[str], seed: int = 42,
+                  prefix_bits: int = 16) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, chosen by hash order (ties by key).
 
-    ``n=None`` returns every row. The limit is the feature here; Spark keeps
-    the top ``n`` per partition and merges them, so the work is bounded by n.
+    ``n=None`` returns every row. The limit is the feature here. A plain
+    ``orderBy().limit(n)`` keeps the top n of every partition and merges them
+    in one task (up to n x partitions rows). Instead the rows are first
+    counted per hash prefix (at most ``2**prefix_bits`` counts, running-summed
+    in Spark); only rows up to the prefix where the count reaches n go into
+    the top-n, so the merge sees about n + rows / 2**prefix_bits rows.
     """
     if n is None:
         return df
     keys = list(key_cols)
-    return (df.withColumn("_h", hash32(keys, seed))
-              .orderBy(F.col("_h"), *[F.col(k) for k in keys]).limit(int(n)).drop("_h"))
+    hashed = df.withColumn("_h", hash32(keys, seed))
+    prefix = (F.col("_h") / float(2 ** (32 - prefix_bits))).cast("bigint")
+    counts = hashed.groupBy(prefix.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    # one row per prefix: a bounded table, so a single ordered window over it is fine
+    upto = F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    cut = counts.withColumn("_cum", upto).filter(F.col("_cum") >= int(n)).agg(F.min("_b")).first()[0]
+    # a null key hashes to null and sorts first, so null prefixes always stay candidates
+    cand = hashed if cut is None else hashed.filter(prefix.isNull() | (prefix <= cut))
+    return cand.orderBy(F.col("_h"), *[F.col(k) for k in keys]).limit(int(n)).drop("_h")
 
 
 def stratified_split(df: DataFrame, label_col: str | None, key_cols: Sequence[str], val_frac: float = 0.2,

@@ -18,7 +18,8 @@ from tenure.operators import stats as st
 from tenure.operators.joins import calendar_lag
 from tenure.operators.quantiles import exact_quantiles, grouped_quantiles
 from tenure.operators.ranking import global_rank, rank_buckets, running_sums
-from tenure.operators.sampling import class_ratio_sample, seeded_sample, stratified_folds, stratified_split
+from tenure.operators.sampling import (class_ratio_sample, hash32, seeded_sample, stratified_folds,
+                                      stratified_split)
 from tenure.sources import ingest
 
 
@@ -57,6 +58,18 @@ def test_day_key_matches_date_parse(spark):
     assert got == {1: datetime.date(2024, 1, 1), 2: None}
 
 
+@pytest.mark.parametrize("n", [1, 3, 500, 19000, 30000])
+def test_seeded_sample_equals_plain_top_n(spark, n):
+    """The prefix-count pre-filter returns the rows of a plain hash-order top-n (null keys sort first)."""
+    df = spark.range(0, 20000).select((F.col("id") % 7001).alias("u"), (F.col("id") % 13).alias("m")) \
+              .union(spark.createDataFrame([(None, 1), (None, 2)], "u long, m long"))
+    keys = ["u", "m"]
+    plain = df.withColumn("_h", hash32(keys, 42)).orderBy("_h", *keys).limit(n).drop("_h")
+    got = sorted(map(tuple, seeded_sample(df, n, keys, 42, prefix_bits=8).collect()), key=repr)
+    assert got == sorted(map(tuple, plain.collect()), key=repr)
+    assert len(got) == min(n, 20002)
+
+
 def test_fanout_equals_distinct_times_multiplicity(spark):
     log = spark.createDataFrame([(1, "a", 10), (1, "b", 5), (1, "a", 1), (2, "c", 4)], "user_id long, asset string, use_tms long")
     panel = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1)], "user_id long, p_mt int")
