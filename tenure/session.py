@@ -26,6 +26,28 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(shuffle_bytes: int, split_bytes: int = 256 << 20, target_partition_bytes: int = 256 << 20,
+               max_partitions: int = 200_000) -> dict:
+    """Sizing for a cluster run, from the bytes the largest shuffle is expected to move.
+
+    The initial shuffle partition count keeps each reduce partition near
+    ``target_partition_bytes`` (so it sorts and aggregates in executor memory
+    without spilling); AQE then coalesces small partitions to the advisory
+    size, and splits a partition above the skew threshold (a user with a
+    third of the log) across tasks. Scan splits of ``split_bytes`` keep the
+    task count of a 100 TB scan in the hundreds of thousands, not millions.
+    A launcher applies these only for keys it has not set itself.
+    """
+    parts = max(200, min(max_partitions, -(-int(shuffle_bytes) // int(target_partition_bytes))))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "tenure", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the engine defaults.

@@ -41,3 +41,11 @@ def test_fixture_counts(spark):
     sample = qs["l2_class_ratio_sample"](spark, SF01)
     assert {r[0]: r[1] for r in sample.groupBy("cancel_yn").count().collect()} == {0: 540, 1: 128}
     assert qs["a5_monthly_activity"](spark, SF001).count() > 0
+
+
+def test_scale_conf_partition_bounds():
+    from tenure.session import scale_conf
+    c = scale_conf(30 * 1024 ** 4)  # a 30 TiB shuffle: about 256 MiB per reduce partition
+    assert int(c["spark.sql.shuffle.partitions"]) == 30 * 1024 ** 4 // (256 << 20)
+    assert scale_conf(1)["spark.sql.shuffle.partitions"] == "200"
+    assert scale_conf(10 ** 18)["spark.sql.shuffle.partitions"] == "200000"
