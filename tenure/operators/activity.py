@@ -4,7 +4,7 @@ Every aggregate groups first and filters by the user set afterwards (semi-join
 on the already-aggregated rows). Grouping first lets Spark combine map-side,
 so a user holding a third of the log still sends only one partial row per
 map task to the shuffle; the semi-join then works on one row per user or
-user-month. Distinct counts use Spark's two-level expand plan whose first
+user-month. Distinct counts use Spark's two-level distinct plan whose first
 shuffle is keyed by (user, asset), which spreads a hot user as well.
 """
 
