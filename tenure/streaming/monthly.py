@@ -3,12 +3,15 @@
 The viewing log arrives as files; each micro-batch updates the running
 (user, month) counts held in Spark's state store (update mode), and
 ``foreachBatch`` upserts the changed rows into a parquet table (anti-join on
-the key, then append). Each batch writes a new version directory named by its
-batch id, built from the last complete earlier version, so a batch replayed
-after a failure rewrites only its own version and never a table it reads;
-readers take the newest complete version. Restricting to known users is a
-stream-static semi-join. The checkpoint lives in the shared checkpoint
-folder, so a restarted query resumes from its last committed batch.
+the key, then append). The table is kept per month (``month_<YYYYMM>``) and
+each month holds versions named by batch id (``batch_<id>``): a batch
+rewrites only the months it touched, each from that month's last complete
+earlier version, so its cost follows the changed months, not the whole
+table. A batch replayed after a failure rewrites only its own versions and
+never a version it reads; readers take each month's newest complete version.
+Restricting to known users is a stream-static semi-join. The checkpoint
+lives in the shared checkpoint folder, so a restarted query resumes from its
+last committed batch.
 
 Months are calendar months taken from the event text, not fixed-length
 windows, so no watermark is applied: state is one row per active
@@ -25,6 +28,10 @@ from pyspark.sql import functions as F
 from tenure.functions.months import month_of
 from tenure.session import ensure_checkpoint_dir
 
+# directory names without '=', so reading explicit version paths infers no partition columns
+MONTH_PREFIX = "month_"
+VERSION_PREFIX = "batch_"
+
 
 def monthly_stream(spark: SparkSession, source_dir: str, schema, users: DataFrame | None, start: int, end: int,
                    target: str, checkpoint: str | None = None, files_per_batch: int = 2):
@@ -39,9 +46,16 @@ def monthly_stream(spark: SparkSession, source_dir: str, schema, users: DataFram
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         batch_spark = batch.sparkSession
-        prev = latest_version(batch_spark, target, before=batch_id)
-        merged = batch if prev is None else _upsert_keys(batch_spark.read.parquet(prev), batch)
-        merged.write.mode("overwrite").parquet(f"{target}/v={batch_id:012d}")
+        batch = batch.persist()  # read once per touched month
+        # the touched months: at most the months of [start, end]
+        months = sorted(r[0] for r in batch.select("p_mt").distinct().collect())
+        for m in months:
+            rows = batch.filter(F.col("p_mt") == m)
+            month_dir = f"{target}/{MONTH_PREFIX}{m}"
+            prev = latest_version(batch_spark, month_dir, before=batch_id)
+            merged = rows if prev is None else _upsert_keys(batch_spark.read.parquet(prev), rows)
+            merged.write.mode("overwrite").parquet(f"{month_dir}/{VERSION_PREFIX}{batch_id:012d}")
+        batch.unpersist()
 
     ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "stream", "monthly_activity")
     return (agg.writeStream.outputMode("update").foreachBatch(merge)
@@ -54,19 +68,23 @@ def _upsert_keys(current: DataFrame, batch: DataFrame) -> DataFrame:
     return kept.unionByName(batch)
 
 
-def latest_version(spark: SparkSession, target: str, before: int | None = None) -> str | None:
-    """Path of the newest complete version (has ``_SUCCESS``) of a versioned table, optionally below a batch id."""
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(target)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def latest_version(spark: SparkSession, month_dir: str, before: int | None = None) -> str | None:
+    """Path of the newest complete version (has ``_SUCCESS``) in one month, optionally below a batch id."""
+    jvm, root, fs = _fs(spark, month_dir)
     if not fs.exists(root):
         return None
     best = None
     for st in fs.listStatus(root):
         name = st.getPath().getName()
-        if not (st.isDirectory() and name.startswith("v=")):
+        if not (st.isDirectory() and name.startswith(VERSION_PREFIX)):
             continue
-        vid = int(name[2:])
+        vid = int(name[len(VERSION_PREFIX):])
         if before is not None and vid >= before:
             continue
         if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")) and (best is None or vid > best[0]):
@@ -74,10 +92,18 @@ def latest_version(spark: SparkSession, target: str, before: int | None = None)
     return best[1] if best else None
 
 
+def month_dirs(spark: SparkSession, target: str) -> list[str]:
+    """The month directories of a versioned monthly table."""
+    _, root, fs = _fs(spark, target)
+    if not fs.exists(root):
+        return []
+    return sorted(st.getPath().toString() for st in fs.listStatus(root)
+                  if st.isDirectory() and st.getPath().getName().startswith(MONTH_PREFIX))
+
+
 def read_latest(spark: SparkSession, target: str) -> DataFrame:
-    """The current state of the incrementally maintained table."""
-    path = latest_version(spark, target)
-    if path is None:
+    """The current state of the incrementally maintained table (newest complete version of every month)."""
+    paths = [p for p in (latest_version(spark, d) for d in month_dirs(spark, target)) if p]
+    if not paths:
         raise FileNotFoundError(target)
-    return spark.read.parquet(path)
-
+    return spark.read.parquet(*paths)
