@@ -39,3 +39,33 @@ def test_share_within_uses_aggregate_not_window(spark):
     out = share_within(df, "n", ["g"], "s")
     assert "Window" not in _formatted(out)
     assert sorted(r.s for r in out.collect()) == [0.5, 0.5, 1.0]
+
+
+def test_flagship_does_no_text_work_per_event(spark):
+    """The month comes from the timestamp fields: no event time is formatted or cut in the monthly build."""
+    text = _formatted(entry.queries()["a5_monthly_activity"](spark, SF001))
+    assert "date_format" not in text
+    assert "substring" not in text
+
+
+def test_recency_parses_days_once_per_group(spark):
+    """Churn v2 aggregates the int day key; the only date conversion (make_date) sits after the aggregate."""
+    import re
+    text = _formatted(entry.queries()["a3_a4_churn_v2"](spark, SF001))
+    assert "try_to_timestamp" not in text
+    # node details are numbered bottom-up; split them into (id, body) sections
+    parts = re.split(r"\n\((\d+)\) ", text)
+    sections = [(int(parts[i]), parts[i + 1]) for i in range(1, len(parts) - 1, 2)]
+    partial = min(i for i, body in sections if body.startswith("HashAggregate") and "partial_count(1)" in body
+                  and "use_tms" in body)
+    dated = [i for i, body in sections if "make_date" in body]
+    assert dated and all(i > partial for i in dated)
+
+
+def test_seeded_sample_merges_only_candidates(spark):
+    """The top-n input is filtered by the hash-prefix cut before the single merge."""
+    from tenure.operators.sampling import seeded_sample
+    df = spark.range(0, 5000).withColumn("m", F.col("id") % 3)
+    text = _formatted(seeded_sample(df, 10, ["id", "m"], 42))
+    assert "TakeOrderedAndProject" in text
+    assert "Filter" in text
