@@ -28,14 +28,16 @@ V1_COLS = ("vod_view_cnt", "vod_use_tms_sum", "vod_asset_cnt")
 
 def churn_v1(panel_rows: DataFrame, log: DataFrame, fanout: bool = False,
              user_col: str = "user_id") -> DataFrame:
-    a2 = act.user_activity(log, users=panel_rows, user_col=user_col, fanout=fanout, user_rows=panel_rows)
+    # the left join onto the panel rows keeps panel users only, so the aggregate needs no
+    # semi-join of its own (which would build the panel a second time)
+    a2 = act.user_activity(log, user_col=user_col, fanout=fanout, user_rows=panel_rows)
     return attach(panel_rows, a2, user_col, {c: 0 for c in V1_COLS}) \
         .select(*panel_rows.columns, *[F.col(c).cast("bigint").alias(c) for c in V1_COLS])
 
 
 def churn_v2(v1: DataFrame, log: DataFrame, ref_date: str, no_event: int = 999, fanout: bool = False,
              user_col: str = "user_id", ott_col: str = "ott_yn") -> DataFrame:
-    fr = act.flags_and_recency(log, ref_date, users=v1, user_col=user_col, fanout=fanout, user_rows=v1)
+    fr = act.flags_and_recency(log, ref_date, user_col=user_col, fanout=fanout, user_rows=v1)
     out = attach(v1, fr, user_col, {"flag_kids": 0, "flag_movie": 0, "recency": no_event,
                                     "total_watch_time": F.col("vod_use_tms_sum")})
     ott = F.col(ott_col)
@@ -49,7 +51,8 @@ def churn_v2(v1: DataFrame, log: DataFrame, ref_date: str, no_event: int = 999,
 def churn_v1v2(panel_rows: DataFrame, log: DataFrame, ref_date: str, no_event: int = 999, fanout: bool = False,
                user_col: str = "user_id", ott_col: str = "ott_yn") -> DataFrame:
     """``churn_v2(churn_v1(...))`` from a single aggregation pass over the log (same columns and values)."""
-    feats = act.user_features(log, ref_date, users=panel_rows, user_col=user_col, fanout=fanout, user_rows=panel_rows)
+    # attached by a left join from the panel rows: no separate semi-join to the panel users
+    feats = act.user_features(log, ref_date, user_col=user_col, fanout=fanout, user_rows=panel_rows)
     out = attach(panel_rows, feats, user_col, {c: 0 for c in V1_COLS})
     out = out.select(*panel_rows.columns, *[F.col(c).cast("bigint").alias(c) for c in V1_COLS],
                      F.coalesce(F.col("flag_kids"), F.lit(0)).alias("flag_kids"),
