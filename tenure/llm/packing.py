@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.llm.shared import numbered, written
-from tenure.llm.textbatch import runs
+from tenure.llm.textbatch import WORDS_AND_MARKS, Run, runs, span_hashes
 
 WINDOW = 4096
 BIN = 16
@@ -39,10 +40,34 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _units(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and first unit per row of what can be tokenized apart.
+
+    A unit is a word, or a part of one: runs of ASCII letters and digits stand apart from runs of ASCII marks,
+    but a word with an apostrophe (it joins what follows), with the start of a special token or with a mark beside
+    a non-ASCII character (which may be a mark as well, or combine) stays whole.
+    """
+    data = run.data
+    kind = WORDS_AND_MARKS[data]
+    change = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+    word = np.searchsorted(run.starts, change, "right") - 1
+    change, word = change[change < run.ends[word]], word[change < run.ends[word]]  # rows may meet without a space
+    change, word = change[change > run.starts[word]], word[change > run.starts[word]]
+    whole = np.zeros(len(run.starts), bool)
+    whole[word[(data[change] > 127) | (data[change - 1] > 127)]] = True
+    special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # "<|" may begin a special token
+    for at in (np.flatnonzero(data == 39), special):
+        whole[np.searchsorted(run.starts, at, "right") - 1] = True
+    change = change[~whole[word]]
+    starts, ends = np.sort(np.concatenate([run.starts, change])), np.sort(np.concatenate([run.ends, change]))
+    return starts, ends, np.searchsorted(starts, run.offsets)
+
+
 class WordIds:
-    """Token ids of texts, word by word, with the ids of up to ``CACHE_WORDS`` words remembered.
+    """Token ids of texts, unit by unit, with the ids of up to ``CACHE_WORDS`` units remembered.
 
-    Right for tokenizers that never join or look across ASCII white space, as this one, which drops it.
+    Right for this tokenizer, which drops white space and never joins letters or digits with marks, except
+    after an apostrophe.
     """
 
     def __init__(self, path: str):
@@ -57,33 +82,37 @@ class WordIds:
         self.flat, self.end = np.zeros(1 << 18, np.uint32), 0
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
-        if len(self.slot) + len(words) > len(self.at):
-            grow = max(len(self.at), len(words))
-            self.at, self.size = (np.concatenate([a, np.zeros(grow, np.int64)]) for a in (self.at, self.size))
-        for h, e in zip(hashes, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            ids = e.ids
-            if self.end + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            k = self.slot[h] = len(self.slot)
-            self.at[k], self.size[k] = self.end, len(ids)
-            self.flat[self.end:self.end + len(ids)] = ids
-            self.end += len(ids)
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        n = len(self.slot)
+        self.slot.update(zip(hashes, range(n, n + len(got))))
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        ids = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
+        if len(self.slot) > len(self.at):
+            self.at, self.size = (np.concatenate([a, np.zeros(max(len(a), len(got)), np.int64)]) for a in (self.at, self.size))
+        if self.end + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.at[n:n + len(got)] = self.end + np.cumsum(sizes) - sizes
+        self.size[n:n + len(got)] = sizes
+        self.flat[self.end:self.end + len(ids)] = ids
+        self.end += len(ids)
 
     def documents(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, with the end id."""
         for run in runs(column):
             if len(self.slot) > CACHE_WORDS:
                 self.clear()
-            distinct, where, back = np.unique(run.hashes(), return_index=True, return_inverse=True)
+            starts, ends, first = _units(run)
+            distinct, where, back = np.unique(span_hashes(run.data, starts, ends), return_index=True, return_inverse=True)
             known = distinct.tolist()
             new = [i for i, h in enumerate(known) if h not in self.slot]
             if new:
-                self._learn([known[i] for i in new], [run.data[run.starts[where[i]]:run.ends[where[i]]].tobytes().decode() for i in new])
-            slots = np.fromiter((self.slot[h] for h in known), np.int64, len(known))[back]
+                raw, at = run.data.tobytes(), where[new]
+                self._learn([known[i] for i in new], [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            slots = np.fromiter(map(self.slot.__getitem__, known), np.int64, len(known))[back]
             sizes = self.size[slots]
             upto = np.concatenate([[0], np.cumsum(sizes)])
             ids = self.flat[np.repeat(self.at[slots] - upto[:-1], sizes) + np.arange(upto[-1])]
-            cuts = upto[run.first]
+            cuts = upto[first]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 yield np.append(ids[a:b], np.uint32(END_ID))
 
