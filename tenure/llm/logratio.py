@@ -25,6 +25,8 @@ from tenure.llm.textbatch import Run, runs, windows
 
 BUCKETS = 1 << 16
 PSEUDO = 5.0
+#: Trusted ids up to this many (about 80 bytes each in a hash table) are broadcast, so that no text is shuffled.
+BROADCAST_IDS = 1_000_000
 THRESHOLD = -0.1
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -41,7 +43,10 @@ def _grams(run: Run, words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.nd
 
 def ngram_counts(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, target, raw) counts over all documents; ``trusted_ids`` has distinct doc_id."""
-    flagged = docs.select("doc_id", "text").join(trusted_ids.select("doc_id", F.lit(True).alias("trusted")), "doc_id", "left")
+    ids = trusted_ids.select("doc_id", F.lit(True).alias("trusted")).persist()
+    if ids.count() <= BROADCAST_IDS:  # else documents and ids meet in a shuffle
+        ids = F.broadcast(ids)
+    flagged = docs.select("doc_id", "text").join(ids, "doc_id", "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
