@@ -13,6 +13,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,13 +78,6 @@ def moments_table(df: DataFrame, cols: Sequence[str], group_col: str) -> DataFra
 
 
 # ---------------------------------------------------------------- normality
-def subsample_per_group(df: DataFrame, group_col: str, key_cols: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """First ``n`` rows of each group in hash order (one pass for all groups)."""
-    ranked = global_rank(df.withColumn("_h", hash32(list(key_cols), seed)), ["_h", *key_cols],
-                         group_cols=[group_col], rank_col="_r")
-    return ranked.filter(F.col("_r") <= n).drop("_h", "_r")
-
-
 def normality(moments: Mapping) -> tuple[float, float] | None:
     """D'Agostino K2 (statistic, p) from n / skew / kurt; None when it cannot be computed."""
     try:
@@ -164,78 +158,71 @@ def chi_square(table: np.ndarray, correction: bool = True) -> tuple[float, int,
     return stat, int(dof), dist.chi2_sf(stat, dof)
 
 
-def cramers_v(chi2: float, n: float, r: int, k: int) -> float:
-    """sqrt((chi2 / n) / min(r - 1, k - 1))."""
-    denom = min(r - 1, k - 1) or 1
-    return math.sqrt((chi2 / n) / denom)
-
+def chi_square_columns(counts: DataFrame) -> DataFrame:
+    """T6/T7 of every column's crosstab (column, value, group, cnt), as columns: chi2, dof, n, cramers_v.
 
-def chi_square_tables(counts_rows) -> dict[str, np.ndarray]:
-    """Driver-side crosstabs from collected (column, value, group, cnt) rows."""
-    by_col: dict[str, dict] = {}
-    for r in counts_rows:
-        by_col.setdefault(r["column"], {})[(r["value"], r["group"])] = r["cnt"]
-    out = {}
-    for c, cells in by_col.items():
-        values = sorted({v for v, _ in cells})
-        groups = sorted({g for _, g in cells})
-        out[c] = np.array([[cells.get((v, g), 0) for g in groups] for v in values], dtype=float)
-    return out
+    The grid of a column's values and groups holds the empty cells; the sums stay in Spark, whatever the
+    number of values. Tables smaller than 2x2 have no row.
+    """
+    by_value = counts.groupBy("column", "value").agg(F.sum("cnt").alias("rt"))
+    by_group = counts.groupBy("column", "group").agg(F.sum("cnt").alias("ct"))
+    size = by_value.groupBy("column").agg(F.count(F.lit(1)).alias("r"), F.sum("rt").alias("n")).join(
+        by_group.groupBy("column").agg(F.count(F.lit(1)).alias("k")), "column")
+    grid = by_value.join(by_group, "column").join(counts, ["column", "value", "group"], "left").join(size, "column").where("r > 1 AND k > 1")
+    dof = (F.col("r") - 1) * (F.col("k") - 1)
+    expected = F.col("rt").cast("double") * F.col("ct").cast("double") / F.col("n").cast("double")
+    gap = F.abs(F.coalesce("cnt", F.lit(0)).cast("double") - F.col("e"))
+    gap = gap - F.when(F.col("dof") == 1, F.least(F.lit(0.5), gap)).otherwise(0.0)
+    out = grid.withColumns({"dof": dof, "e": expected}).groupBy("column", "dof", "n", "r", "k").agg(F.sum(gap * gap / F.col("e")).alias("chi2"))
+    return out.select("column", "chi2", F.col("dof").cast("long").alias("dof"), F.col("n").cast("long").alias("n"),
+                      F.sqrt(F.col("chi2") / F.col("n") / F.least(F.col("r") - 1, F.col("k") - 1)).alias("cramers_v"))
 
 
 # ---------------------------------------------------------------- sweep
-def eda_sweep(df: DataFrame, group_col: str, numeric: Sequence[str], categorical: Sequence[str],
-              key_cols: Sequence[str], alpha: float = ALPHA, subsample: int = 2000, seed: int = 42,
-              min_group: int = 5) -> list[dict]:
-    """One test per column, chosen like the reference's EDA step.
-
-    numeric: normality on a per-group subsample of 2000; both normal -> Welch
-    t, else Mann-Whitney; effect = Cohen's d (group 1 minus group 0); groups
-    under 5 rows are skipped. categorical: chi-square + Cramer's V on the
-    crosstab (skipped when smaller than 2x2). Bonferroni when >= 10 tests
-    (skipped columns still count). Sorted by |effect|.
+def _numeric_tests(df: DataFrame, group_col: str, cols: Sequence[str], alpha: float, least: int) -> pd.DataFrame:
+    """T9, numeric side: both candidate tests of every column and which one applies (one row per column)."""
+    wide = group_moments(df, cols, group_col).toPandas().set_index(["column", "group"]).unstack("group")
+    if {("n", 0), ("n", 1)} - set(wide.columns):
+        return pd.DataFrame()
+    wide = wide[(wide["n"][0] >= least) & (wide["n"][1] >= least)]
+    split = df.select((F.col(group_col) == 0).alias("is_pos"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("kv"))
+    ranks = rank_sums(split.select("kv.column", "kv.value", "is_pos")).toPandas().set_index("column")
+    side = lambda c, g: wide.loc[c].xs(g, level="group").to_dict()
+    table = pd.DataFrame(index=wide.index)
+    table["normal"] = [all((k := normality(side(c, g))) is not None and k[1] > alpha for g in (0, 1)) for c in table.index]
+    table["t"], table["t_p"] = zip(*[welch_t(side(c, 0), side(c, 1)) for c in table.index]) if len(table) else ((), ())
+    ranked = ranks.loc[table.index]
+    u = [mann_whitney_from(*r) for r in ranked[["n_pos", "n_neg", "rank_sum_pos", "tie_term"]].itertuples(index=False)]
+    table["u"], table["u_p"] = [x[0] for x in u], [x[2] for x in u]
+    pooled = ((wide["n"] - 1) * wide["var"]).sum(axis=1) / (wide["n"].sum(axis=1) - 2)
+    table["effect"] = ((wide["mean"][1] - wide["mean"][0]) / np.sqrt(pooled.where(pooled > 0))).fillna(0.0)
+    return table.assign(test=np.where(table["normal"], "t-test", "Mann-Whitney U"), statistic=np.where(table["normal"], table["t"], table["u"]),
+                        p_value=np.where(table["normal"], table["t_p"], table["u_p"]), mean0=wide["mean"][0], mean1=wide["mean"][1])
+
+
+def eda_sweep(df: DataFrame, group_col: str, numeric: Sequence[str], categorical: Sequence[str], alpha: float = ALPHA,
+              min_group: int = 5) -> pd.DataFrame:
+    """One test per column, a row each, largest effect first.
+
+    Numeric: normality from the moments of all rows; both groups normal -> Welch t, else Mann-Whitney; effect =
+    Cohen's d (group 1 minus group 0); groups under ``min_group`` rows are left out. Categorical: chi-square and
+    Cramer's V (tables under 2x2 are left out). Bonferroni from 10 tests on, counting columns left out. Only one
+    row per column reaches the driver.
     """
-    n_tests = len(numeric) + len(categorical)
-    alpha_c = alpha / n_tests if n_tests >= 10 else alpha
-    rows: list[dict] = []
-    if numeric:
-        mom = {(r["column"], r["group"]): r.asDict() for r in group_moments(df, numeric, group_col).collect()}
-        sub = subsample_per_group(df, group_col, key_cols, subsample, seed)
-        sub_mom = {(r["column"], r["group"]): r.asDict() for r in group_moments(sub, numeric, group_col).collect()}
-        long = df.select((F.col(group_col) == 0).alias("is_pos"), F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in numeric])).alias("_kv")) \
-            .select("_kv.column", "_kv.value", "is_pos")
-        ranks = {r["column"]: r.asDict() for r in rank_sums(long).collect()}
-        for c in numeric:
-            m0, m1 = mom.get((c, 0)), mom.get((c, 1))
-            if not m0 or not m1 or m0["n"] < min_group or m1["n"] < min_group:
-                continue
-            s0, s1 = sub_mom.get((c, 0)), sub_mom.get((c, 1))
-            k0 = normality(s0) if s0 else None
-            k1 = normality(s1) if s1 else None
-            is_normal = k0 is not None and k1 is not None and k0[1] > alpha and k1[1] > alpha
-            if is_normal:
-                stat, p = welch_t(m0, m1)
-                method = "t-test"
-            else:
-                rs = ranks[c]
-                stat, _, p = mann_whitney_from(rs["n_pos"], rs["n_neg"], rs["rank_sum_pos"], rs["tie_term"])
-                method = "Mann-Whitney U"
-            rows.append({"column": c, "test": method, "statistic": float(stat), "p_value": float(p),
-                         "effect": float(cohens_d(m1, m0)), "mean0": float(m0["mean"]), "mean1": float(m1["mean"]),
-                         "significant": bool(p < alpha_c)})
+    parts = []
+    if numeric and len(found := _numeric_tests(df, group_col, numeric, alpha, min_group)):
+        parts.append(found.reset_index())
     if categorical:
-        tables = chi_square_tables(contingency(df, categorical, group_col).collect())
-        for c in categorical:
-            t = tables.get(c)
-            if t is None or t.shape[0] < 2 or t.shape[1] < 2:
-                continue
-            stat, _, p = chi_square(t)
-            v = cramers_v(stat, t.sum(), *t.shape)
-            rows.append({"column": c, "test": "chi2", "statistic": stat, "p_value": float(p), "effect": v,
-                         "mean0": None, "mean1": None, "significant": bool(p < alpha_c)})
-    rows.sort(key=lambda r: abs(r["effect"]), reverse=True)
-    return rows
+        chi = chi_square_columns(contingency(df, categorical, group_col)).toPandas()
+        parts.append(chi.assign(test="chi2", statistic=chi["chi2"], effect=chi["cramers_v"], mean0=None, mean1=None,
+                                p_value=[dist.chi2_sf(x, int(d)) for x, d in zip(chi["chi2"], chi["dof"])]))
+    names = ["column", "test", "statistic", "p_value", "effect", "mean0", "mean1"]
+    rows = pd.concat([x[names].astype(object) for x in parts], ignore_index=True) if parts else pd.DataFrame(columns=names)
+    tests = len(numeric) + len(categorical)
+    rows["significant"] = [bool(x < (alpha / tests if tests >= 10 else alpha)) for x in rows["p_value"]]
+    order = rows["effect"].astype(float).abs().sort_values(ascending=False, kind="stable").index
+    return rows.loc[order].reset_index(drop=True)
 
 
 def stars(p: float) -> str:

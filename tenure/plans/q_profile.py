@@ -87,7 +87,7 @@ SQL_TYPES = ORACLE_RAW_PANEL + ",\ntypes AS (" + " UNION ALL ".join(_infer_sql(n
 
 @register("p2_type_inference", with_views(SQL_TYPES, "SELECT * FROM types"))
 def p2_type_inference(spark, sf_dir):
-    types = prof.infer_types(_raw_profile(spark, sf_dir))
+    types = prof.infer_types(views.raw_panel(spark, sf_dir), _raw_profile(spark, sf_dir))
     return spark.createDataFrame([(c, s, t) for c, (s, t) in types.items()],
                                  "column_name string, source_type string, target_type string")
 
@@ -98,7 +98,7 @@ def cleaned_panel(spark, sf_dir):
     profile = prof.schema_profile(raw, "raw_panel")
     keep = [r["column_name"] for r in prof.column_drops(profile).filter("keep").select("column_name").collect()]
     order = [c for c in raw.columns if c in keep]
-    types = prof.infer_types(profile.filter(F.col("column_name").isin(order)))
+    types = prof.infer_types(raw, profile.filter(F.col("column_name").isin(order)))
     cats = [c for c, (_, t) in types.items() if t == "CATEGORY"]
     dictionary = prof.category_dictionary(raw, cats)
     return prof.clean(raw, types, dictionary, keep=order), dictionary

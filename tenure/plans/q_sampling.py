@@ -46,11 +46,15 @@ def l3_seeded_sample(spark, sf_dir):
     return seeded_sample(rows, 500, ["user_id", "p_mt"], SEED)
 
 
+# Size of the L4 sample; below every panel it is registered on, so that it always samples.
+SIMPLE_SAMPLE_ROWS = 1_000
+
+
 @register("l4_simple_sample", with_views("", f"""
-SELECT * FROM panel ORDER BY {ROW_HASH}, user_id, p_mt LIMIT 100000"""))
-def l4_simple_sample(spark, sf_dir):
-    """L4: a seeded sample of min(100,000, rows) panel rows (the modeling sample); smaller panels stay whole."""
-    return seeded_sample(views.panel(spark, sf_dir), 100_000, ["user_id", "p_mt"], SEED)
+SELECT * FROM panel ORDER BY {ROW_HASH}, user_id, p_mt LIMIT {SIMPLE_SAMPLE_ROWS}"""))
+def l4_simple_sample(spark, sf_dir, n=SIMPLE_SAMPLE_ROWS):
+    """L4: a seeded sample of min(n, rows) panel rows (the modeling sample)."""
+    return seeded_sample(views.panel(spark, sf_dir), n, ["user_id", "p_mt"], SEED)
 
 
 # ---------------------------------------------------------------- L5

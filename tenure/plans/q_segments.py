@@ -367,8 +367,8 @@ def a20_overlapping_segments(spark, sf_dir):
 def grouped_histogram(df: DataFrame, value_col: str, group_col: str, bins: int = 40) -> DataFrame:
     """Equal-width histogram per group over the group's own [min, max], with density.
 
-    One small aggregate gives each group's range (one row per group, joined
-    back by key); bins are then counted in one grouped aggregate. Empty bins
+    One small aggregate gives each group's range (one row per group, for a
+    label with few values, so it is broadcast); bins are then counted in one grouped aggregate. Empty bins
     are not emitted.
     """
     x = df.select(F.col(group_col), F.col(value_col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
@@ -379,7 +379,7 @@ def grouped_histogram(df: DataFrame, value_col: str, group_col: str, bins: int =
     rng = rng.withColumn("_w", (F.col("_hi") - F.col("_lo")) / float(bins))
     b = F.least(F.floor((F.col("_x") - F.col("_lo")) * (F.lit(float(bins)) / (F.col("_hi") - F.col("_lo")))),
                 F.lit(bins - 1)).cast("int")
-    counted = x.join(rng, group_col, "inner").groupBy(group_col, b.alias("bin"), "_lo", "_w", "_n") \
+    counted = x.join(F.broadcast(rng), group_col, "inner").groupBy(group_col, b.alias("bin"), "_lo", "_w", "_n") \
                .agg(F.count(F.lit(1)).alias("cnt"))
     return counted.select(group_col, "bin", fix(F.col("_lo") + F.col("bin") * F.col("_w")).alias("bin_lo"), "cnt",
                           fix(F.col("cnt") / (F.col("_n") * F.col("_w"))).alias("density"))

@@ -61,9 +61,8 @@ def t1_t2_t8_moments(spark, sf_dir):
 @register("t3_normality")
 def t3_normality(spark, sf_dir):
     v2 = _v2(spark, sf_dir)
-    sub = st.subsample_per_group(v2, "cancel_yn", ["user_id", "p_mt"], 2000, SEED)
     rows = []
-    for r in st.group_moments(sub, NUMERIC, "cancel_yn").collect():
+    for r in st.group_moments(v2, NUMERIC, "cancel_yn").collect():
         k = st.normality(r.asDict())
         rows.append((r["column"], int(r["group"]), int(r["n"]), float(r["skew"]) if r["skew"] is not None else None,
                      float(r["kurt"]) if r["kurt"] is not None else None,
@@ -89,7 +88,7 @@ def _hyp_long(spark, sf_dir):
     pdf = cut_lineage(_purchase(spark, sf_dir))  # read for the cap, then for the tests
     p99 = exact_quantiles(pdf, "vod_purchase_cnt", [0.99])[0]
     y = F.least(F.col("vod_purchase_cnt").cast("double"), F.lit(float(p99)))
-    items = F.array(*[F.struct(F.lit(h).alias("hypothesis"), F.expr(cond).alias("is_pos")) for h, cond, _ in HYPOTHESES])
+    items = F.array(*[F.struct(F.lit(h).alias("hypothesis"), F.coalesce(F.expr(cond), F.lit(False)).alias("is_pos")) for h, cond, _ in HYPOTHESES])
     return pdf.select(y.alias("value"), F.explode(items).alias("_h")).select("_h.hypothesis", "_h.is_pos", "value")
 
 
@@ -108,7 +107,7 @@ def _hyp_table(long):
 def _hyp_sql():
     parts = []
     for h, cond, _ in HYPOTHESES:
-        parts.append(f"SELECT '{h}' AS hypothesis, ({cond}) AS is_pos, LEAST({D('vod_purchase_cnt')}, p99) AS value "
+        parts.append(f"SELECT '{h}' AS hypothesis, COALESCE({cond}, FALSE) AS is_pos, LEAST({D('vod_purchase_cnt')}, p99) AS value "
                      f"FROM pur JOIN q ON TRUE")
     return "long AS (" + " UNION ALL ".join(parts) + ")"
 
@@ -189,24 +188,17 @@ SELECT chi."column", {fix_sql('chi2')} AS chi2, CAST(dof AS BIGINT) AS dof, CAST
        {fix_sql('SQRT((chi2 / tot.n) / LEAST(tot.r - 1, tot.k - 1))')} AS cramers_v
 FROM chi JOIN tot ON chi."column" = tot."column\""""))
 def t6_t7_chi_square(spark, sf_dir):
-    tables = st.chi_square_tables(st.contingency(_v2(spark, sf_dir), CATEGORICAL, "cancel_yn").collect())
-    rows = []
-    for c, t in tables.items():
-        if t.shape[0] < 2 or t.shape[1] < 2:
-            continue
-        chi2, dof, _ = st.chi_square(t)
-        rows.append((c, chi2, dof, int(t.sum()), st.cramers_v(chi2, t.sum(), *t.shape)))
-    df = spark.createDataFrame(rows, "column string, chi2 double, dof long, n long, cramers_v double")
-    return df.select("column", fix("chi2").alias("chi2"), "dof", "n", fix("cramers_v").alias("cramers_v"))
+    chi = st.chi_square_columns(st.contingency(_v2(spark, sf_dir), CATEGORICAL, "cancel_yn"))
+    return chi.select("column", fix("chi2").alias("chi2"), "dof", "n", fix("cramers_v").alias("cramers_v"))
 
 
 # ---------------------------------------------------------------- T9
 @register("t9_eda_sweep")
 def t9_eda_sweep(spark, sf_dir):
-    rows = st.eda_sweep(cut_lineage(_v2(spark, sf_dir)), "cancel_yn", NUMERIC, CATEGORICAL, ["user_id", "p_mt"], seed=SEED)
+    rows = st.eda_sweep(cut_lineage(_v2(spark, sf_dir)), "cancel_yn", NUMERIC, CATEGORICAL)
     return spark.createDataFrame(
         [(r["column"], r["test"], r["statistic"], r["p_value"], r["effect"], r["mean0"], r["mean1"], r["significant"])
-         for r in rows],
+         for r in rows.to_dict("records")],
         "column string, test string, statistic double, p_value double, effect double, mean0 double, mean1 double, "
         "significant boolean")
 
@@ -270,19 +262,6 @@ def _feature_names(spark, sf_dir):
     return [c for c in v2.columns if c not in ("user_id", "p_mt", "cancel_yn")], v2
 
 
-@register("q3_name_tokens", with_views("", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{c}', {'TRUE' if lk.has_risk_token(c) else 'FALSE'})" for c in V2_FEATURES) + ") t(feature, temporal_risk)"))
-def q3_name_tokens(spark, sf_dir):
-    names, _ = _feature_names(spark, sf_dir)
-    return lk.name_token_flags(spark, names)
-
-
-@register("q5_id_in_features")
-def q5_id_in_features(spark, sf_dir):
-    names, _ = _feature_names(spark, sf_dir)
-    return lk.id_columns_in(spark, names + ["user_id"], ID_COLS)
-
-
 # ---------------------------------------------------------------- Q4
 @register("q4_duplicate_keys", with_views("", """
 SELECT user_id, strt_dt, COUNT(*) AS cnt FROM activity WHERE strt_dt IS NOT NULL
@@ -312,11 +291,7 @@ def q7_leakage_report(spark, sf_dir):
     names, v2 = _feature_names(spark, sf_dir)
     v2 = cut_lineage(v2)  # read by the correlation, duplicate-key and month checks
     corr = lk.target_correlation(encoded_v2(spark, sf_dir, v2), CORR_COLS, "cancel_yn")
-    tokens = lk.name_token_flags(spark, names)
-    dups = lk.duplicate_keys(v2, ["user_id", "p_mt"])
-    ids = lk.id_columns_in(spark, names, ID_COLS)
-    months = lk.month_format_issues(v2, "p_mt", "p_mt")
-    return lk.severity(spark, corr, tokens, dups, ids, months)
+    return lk.severity(lk.findings(v2, names, ID_COLS, corr, ["user_id", "p_mt"], "p_mt"))
 
 
 _ = ORACLES
@@ -373,14 +348,3 @@ FEATURE_SPEC = [
     ("risk_kids_ott", "flag_kids = 1 and ott_yn", "flag_kids, panel.ott_yn"),
     ("lagged_rvod_cnt", "paid views in the previous calendar month", "activity, content.asset_prod"),
 ]
-
-
-@register("f16_feature_dictionary", with_views("", "SELECT * FROM (VALUES " + ", ".join(
-    "('{}', '{}', '{}', {})".format(n, f.replace("'", "''"), s, "TRUE" if n in V2_FEATURES else "FALSE")
-    for n, f, s in FEATURE_SPEC)
-    + ") t(feature, formula, sources, present)"))
-def f16_feature_dictionary(spark, sf_dir):
-    """Feature specs joined to the schema of the built dataset (present or not)."""
-    cols = set(_v2(spark, sf_dir).columns)
-    return spark.createDataFrame([(n, f, s, n in cols) for n, f, s in FEATURE_SPEC],
-                                 "feature string, formula string, sources string, present boolean")

@@ -32,16 +32,11 @@ def with_views(ctes: str, select: str) -> str:
     return f"WITH {ORACLE_VIEWS.strip()}{extra}\n{select.strip()}"
 
 
-MODULES = ("q_activity", "q_features", "q_sampling", "q_segments", "q_profile", "q_stats",
-           "q_metrics", "q_models", "q_streaming")
+MODULES = ("q_activity", "q_sampling", "q_segments", "q_profile", "q_stats", "q_metrics", "q_models", "q_streaming")
 
 
 def load_all() -> None:
     """Import every module that registers queries."""
     import importlib
     for m in MODULES:
-        try:
-            importlib.import_module(f"tenure.plans.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"tenure.plans.{m}":
-                raise
+        importlib.import_module(f"tenure.plans.{m}")

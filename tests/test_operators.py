@@ -278,3 +278,43 @@ def test_recency_month_end_is_point_in_time(spark):
                                   "user_id long, p_mt int")
     got = {(r.user_id, r.p_mt): r.recency_month_end for r in act.recency_month_end(panel, log).collect()}
     assert got == {(1, 199802): 999, (1, 199803): 26, (1, 199804): 56, (1, 199805): 11, (2, 199805): 999}
+
+
+def test_type_inference_reads_every_value(spark):
+    from tenure.operators import profile as prof
+    codes = [str(i) for i in range(30)]
+    rows = [(c, c if i else "abc", f"{c}.5", "Y" if i % 2 else "n", None, f" {c} ") for i, c in enumerate(codes)]
+    df = spark.createDataFrame(rows, "whole string, late string, number string, flag string, none string, padded string")
+    got = {c: t for c, (_, t) in prof.infer_types(df, prof.schema_profile(df, "t")).items()}
+    assert got == {"whole": "BIGINT", "late": "CATEGORY", "number": "DOUBLE", "flag": "BOOLEAN", "none": "VARCHAR", "padded": "BIGINT"}
+
+
+def test_chi_square_columns_equal_the_array_form(spark):
+    from tenure.operators import stats as st
+    tables = {"two": [[8, 2], [1, 5]], "three": [[3, 0], [4, 6], [1, 9]], "flat": [[4, 4]]}
+    cells = [(c, str(i), j, n) for c, t in tables.items() for i, r in enumerate(t) for j, n in enumerate(r) if n]
+    got = {r["column"]: r for r in st.chi_square_columns(spark.createDataFrame(cells, "column string, value string, group int, cnt long")).collect()}
+    assert set(got) == {"two", "three"}
+    for c, r in got.items():
+        stat, dof, _ = st.chi_square(np.array(tables[c]))
+        assert abs(r["chi2"] - stat) < 1e-9 and r["dof"] == dof and r["n"] == sum(map(sum, tables[c]))
+
+
+def test_severity_rolls_up_findings(spark):
+    from tenure.operators import leakage as lk
+    df = spark.createDataFrame([(1, 202313, 1.0), (1, 202313, 2.0), (2, 202301, 3.0)], "user_id long, p_mt int, agmt_end_seg double")
+    corr = spark.createDataFrame([("agmt_end_seg", 0.99, True), ("x", 0.1, False)], "feature string, corr_with_target double, critical boolean")
+    dominance = spark.createDataFrame([("x", 0.6), ("y", 0.2)], "feature string, share double")
+    r = lk.severity(lk.findings(df, ["agmt_end_seg", "user_id"], ["user_id"], corr, ["user_id", "p_mt"], "p_mt", dominance)).first()
+    assert tuple(r) == ("critical", 1, 1, 1, 1, 2, 1, "agmt_end_seg")
+    clean = df.where("user_id = 2")
+    none = lk.severity(lk.findings(clean, ["tv"], ["user_id"], corr.where("NOT critical"), ["user_id", "p_mt"], "p_mt")).first()
+    assert tuple(none) == ("none", 0, 0, 0, 0, 0, 0, "")
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace as N
+    from tenure.session import ensure_checkpoint_dir
+    sc = N(master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False))))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(N(sparkContext=sc, conf=N(get=lambda k, d: d)))
