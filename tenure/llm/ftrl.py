@@ -25,7 +25,7 @@ from tenure.llm.textbatch import WORDS_AND_MARKS, Run, mix, runs
 
 BUCKETS = 1 << 18
 MAX_ROWS = 6_000
-PASSES = 4
+PASSES = 8
 SEED = 7
 
 
