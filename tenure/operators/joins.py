@@ -43,11 +43,6 @@ def attach(base: DataFrame, extra: DataFrame, keys: list[str] | str,
     return out
 
 
-def enrich(log: DataFrame, catalog: DataFrame, log_key: str, catalog_key: str) -> DataFrame:
-    """Left join a catalog; unmatched rows stay (with null attributes)."""
-    return log.join(catalog, log[log_key] == catalog[catalog_key], "left")
-
-
 def calendar_lag(base: DataFrame, monthly: DataFrame, value_cols: Iterable[str],
                  user_col: str = "user_id", month_col: str = "p_mt", prefix: str = "lagged_",
                  fill=0) -> DataFrame:
@@ -66,6 +61,23 @@ def calendar_lag(base: DataFrame, monthly: DataFrame, value_cols: Iterable[str],
     return attach(base, shifted, [user_col, month_col], {prefix + c: fill for c in cols})
 
 
+def with_lag(monthly: DataFrame, value_cols: Iterable[str], lag_cols: Iterable[str], user_col: str = "user_id",
+             month_col: str = "p_mt", prefix: str = "lagged_") -> DataFrame:
+    """J6/W6 from a single read of ``monthly`` (one row per user and month): a month's values beside those of the
+    calendar month before, a row for every (user, month) that has either; the side it lacks is null.
+
+    Each row is given out twice, as its own month and as the next month's lag, and the two meet in one aggregate;
+    the input, often an aggregate over the whole log, is not planned a second time as a lookup side.
+    """
+    cols, lags = list(value_cols), list(lag_cols)
+    none = {f.name: F.lit(None).cast(f.dataType) for f in monthly.schema.fields}
+    own = F.struct(F.col(month_col), *[F.col(c) for c in cols], *[none[c].alias(prefix + c) for c in lags])
+    later = F.struct(next_month(month_col).alias(month_col), *[none[c].alias(c) for c in cols],
+                     *[F.col(c).alias(prefix + c) for c in lags])
+    rows = monthly.select(user_col, F.explode(F.array(own, later)).alias("_m")).select(user_col, "_m.*")
+    return rows.groupBy(user_col, month_col).agg(*[F.max(c).alias(c) for c in [*cols, *[prefix + c for c in lags]]])
+
+
 def full_outer_fill(left: DataFrame, right: DataFrame, keys: list[str] | str, fill=0) -> DataFrame:
     """Full outer join on ``keys`` with value columns of either side filled."""
     keys = [keys] if isinstance(keys, str) else list(keys)

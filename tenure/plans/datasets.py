@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.numeric import fix, ratio
 from tenure.operators import activity as act
-from tenure.operators.joins import attach, calendar_lag
+from tenure.operators.joins import attach, with_lag
 from tenure.operators.sampling import seeded_sample
 
 V1_COLS = ("vod_view_cnt", "vod_use_tms_sum", "vod_asset_cnt")
@@ -85,9 +85,9 @@ def purchase(base: DataFrame, log: DataFrame, catalog: DataFrame, start: int, en
     users = base.select(user_col)
     monthly = act.monthly_counts_by_type(log, catalog, start, end, users=users, user_col=user_col,
                                          month_col=month_col)
-    typed = attach(base, monthly, [user_col, month_col], {"fod_cnt": 0, "rvod_cnt": 0, "svod_cnt": 0})
-    lagged = calendar_lag(typed, monthly.select(user_col, month_col, "rvod_cnt"), ["rvod_cnt"],
-                          user_col, month_col, prefix="lagged_", fill=0)
+    types = ("fod_cnt", "rvod_cnt", "svod_cnt")
+    both = with_lag(monthly, types, ["rvod_cnt"], user_col, month_col)
+    lagged = attach(base, both, [user_col, month_col], {c: 0 for c in (*types, "lagged_rvod_cnt")})
     return lagged.select(*base.columns,
                          *[F.col(c).cast("bigint").alias(c) for c in ("fod_cnt", "rvod_cnt", "svod_cnt")],
                          F.col("rvod_cnt").cast("bigint").alias("vod_purchase_cnt"),

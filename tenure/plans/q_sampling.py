@@ -11,6 +11,7 @@ from tenure.plans import datasets as ds
 from tenure.plans.fixture import KPI_MONTH, REF_DATE, SEED, YEAR_END, YEAR_START
 from tenure.plans.q_activity import MONTH_SQL, SQL_FR, SQL_V1, SQL_V1AGG, SQL_V2
 from tenure.plans.registry import register, with_views
+from tenure.session import cut_lineage
 from tenure.sources import views
 
 USER_HASH = hash32_sql("CAST(user_id AS VARCHAR)", SEED)
@@ -58,25 +59,23 @@ def l4_simple_sample(spark, sf_dir, n=SIMPLE_SAMPLE_ROWS):
 
 
 # ---------------------------------------------------------------- L5
-@register("l5_train_val_split", with_views(SQL_YEAR_ROWS, f"""
+@register("l5_train_val_split", with_views("", f"""
 SELECT user_id, p_mt, cancel_yn,
        ROW_NUMBER() OVER (PARTITION BY cancel_yn ORDER BY {ROW_HASH}, user_id, p_mt)
          <= CEIL(COUNT(*) OVER (PARTITION BY cancel_yn) * CAST(0.2 AS DOUBLE)) AS is_val
-FROM yrows"""))
+FROM panel"""))
 def l5_train_val_split(spark, sf_dir):
-    rows = views.panel(spark, sf_dir, months=(YEAR_START, YEAR_END)) \
-                .select("user_id", "p_mt", "cancel_yn")
+    rows = views.panel(spark, sf_dir).select("user_id", "p_mt", "cancel_yn")
     return stratified_split(rows, "cancel_yn", ["user_id", "p_mt"], 0.2, SEED)
 
 
 # ---------------------------------------------------------------- L6
-@register("l6_stratified_folds", with_views(SQL_YEAR_ROWS, f"""
+@register("l6_stratified_folds", with_views("", f"""
 SELECT user_id, p_mt, cancel_yn,
        CAST((ROW_NUMBER() OVER (PARTITION BY cancel_yn ORDER BY {ROW_HASH}, user_id, p_mt) - 1) % 5 + 1 AS INT) AS fold
-FROM yrows"""))
+FROM panel"""))
 def l6_stratified_folds(spark, sf_dir):
-    rows = views.panel(spark, sf_dir, months=(YEAR_START, YEAR_END)) \
-                .select("user_id", "p_mt", "cancel_yn")
+    rows = views.panel(spark, sf_dir).select("user_id", "p_mt", "cancel_yn")
     return stratified_folds(rows, "cancel_yn", ["user_id", "p_mt"], 5, SEED)
 
 
@@ -133,7 +132,7 @@ SELECT grp, {L7_COLS.replace('user_id,', 'p.user_id AS user_id,', 1)},
        COALESCE(k.lagged_rvod_cnt, 0) AS lagged_rvod_cnt, COALESCE(k.vod_purchase_cnt, 0) AS vod_purchase_cnt
 FROM picked p LEFT JOIN kpurchase k ON p.user_id = k.user_id"""))
 def l7_rule_sample(spark, sf_dir):
-    rows = kpi_rows(spark, sf_dir)
+    rows = cut_lineage(kpi_rows(spark, sf_dir))  # read by every group's hash counts and top-n
     c = F.col
     groups = [
         ("high", (c("last_view_grp") >= 4) & c("voc_cancel_yn"), 2, 42),

@@ -425,6 +425,6 @@ pick AS (SELECT user_id FROM sc ORDER BY churn_risk DESC, user_id LIMIT 1)""", "
 SELECT sc.* FROM sc JOIN pick ON sc.user_id = pick.user_id"""))
 def p13_key_lookup(spark, sf_dir):
     """Look up one customer's scored row by key: the highest-risk customer of the snapshot month."""
-    sc = scored(spark, sf_dir)
+    sc = cut_lineage(scored(spark, sf_dir))  # read for the key, then for its row
     key = sc.orderBy(F.col("churn_risk").desc(), F.col("user_id")).select("user_id").first()["user_id"]
     return sc.filter(F.col("user_id") == key)

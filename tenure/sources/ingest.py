@@ -11,13 +11,18 @@ caller-given path, never to a machine-local temp folder.
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tenure.session import ensure_checkpoint_dir
 
+WHOLE = r"^[+-]?\d+$"
+NUMBER = r"^([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|NaN|[+-]?Infinity)$"
+DAY = r"^\d{4}-\d{2}-\d{2}"
+
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path inside the cluster's shared checkpoint folder."""
@@ -33,14 +38,45 @@ def list_paths(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(str(s.getPath().toString()) for s in (statuses or []))
 
 
+def type_columns(text: DataFrame, types: Mapping[str, str] | None = None) -> DataFrame:
+    """Type the text columns of ``text`` from all their values, in one aggregate.
+
+    A column gets the first of int, bigint, double, boolean, date and timestamp that every non-null value can be
+    read as; a column with other values, or none, stays text. ``types`` declares types that are not guessed; a
+    value that does not fit a declared type becomes null.
+    """
+    types = dict(types or {})
+    guessed = [c for c in text.columns if c not in types]
+
+    def fits(column: str) -> dict[str, Column]:
+        v = F.trim(F.col(f"`{column}`"))
+        return {"int": v.rlike(WHOLE) & v.try_cast("int").isNotNull(),
+                "bigint": v.rlike(WHOLE) & v.try_cast("bigint").isNotNull(),
+                "double": v.rlike(NUMBER) & v.try_cast("double").isNotNull(),
+                "boolean": F.lower(v).isin("true", "false"),
+                "date": v.rlike(DAY + "$") & v.try_cast("date").isNotNull(),
+                "timestamp": v.rlike(DAY + "[ T]") & v.try_cast("timestamp").isNotNull()}
+
+    tests = [(c, t, test) for c in guessed for t, test in fits(c).items()]
+    held = [F.bool_and(F.when(F.col(f"`{c}`").isNotNull(), test)).alias(str(i)) for i, (c, _, test) in enumerate(tests)]
+    row = text.agg(*held).first() if tests else []
+    for (c, t, _), holds in zip(tests, row):
+        if holds:
+            types.setdefault(c, t)
+    return text.select(*[F.col(f"`{c}`").try_cast(types.get(c, "string")).alias(c) for c in text.columns])
+
+
 def read_csv_union(spark: SparkSession, paths: Sequence[str], header: bool = True, infer_schema: bool = True,
-                   mode: str = "DROPMALFORMED") -> DataFrame:
-    """Each CSV path read on its own, then ``unionByName(allowMissingColumns=True)``."""
-    frames = [spark.read.option("header", header).option("inferSchema", infer_schema).option("mode", mode).csv(p)
-              for p in paths]
+                   mode: str = "DROPMALFORMED", types: Mapping[str, str] | None = None) -> DataFrame:
+    """Each CSV path read as text on its own, united by column name, then typed once over the union.
+
+    Types found per file would clash where one file has a column's numbers and another its text.
+    """
+    frames = [spark.read.option("header", header).option("mode", mode).csv(p) for p in paths]
     if not frames:
         raise FileNotFoundError("no CSV paths")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    text = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return type_columns(text, types) if infer_schema else text
 
 
 def read_first_csv(spark: SparkSession, pattern: str, **kw) -> DataFrame:
