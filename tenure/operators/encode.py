@@ -12,6 +12,7 @@ from tenure.operators.quantiles import grouped_quantiles, melt
 from tenure.operators.ranking import global_rank
 
 NUMERIC_MIN_DISTINCT = 20
+BROADCAST_CODES = 100_000
 
 
 def column_kinds(df: DataFrame, cols: Sequence[str], hints: Sequence[str] = (),
@@ -50,11 +51,20 @@ def code_dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def apply_codes(df: DataFrame, cols: Sequence[str], dictionary: DataFrame) -> DataFrame:
-    """M2 codes: value -> code, null (or a value unseen in the dictionary) -> -1."""
+    """M2 codes: value -> code, null (or a value unseen in the dictionary) -> -1.
+
+    A column's dictionary is broadcast up to ``BROADCAST_CODES`` values; a longer one (an id or title passed as a
+    category) is left to the planner, which joins it by a shuffle with skewed partitions split.
+    """
+    if not cols:
+        return df
+    sizes = {r["column"]: r["n"] for r in dictionary.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
     for c in cols:
-        d = F.broadcast(dictionary.filter(F.col("column") == c)
-                        .select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_code_{c}")))
+        d = dictionary.filter(F.col("column") == c) \
+                      .select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_code_{c}"))
+        if sizes.get(c, 0) <= BROADCAST_CODES:
+            d = F.broadcast(d)
         out = out.join(d, F.col(c).cast("string") == F.col(f"_v_{c}"), "left") \
                  .withColumn(c, F.coalesce(F.col(f"_code_{c}"), F.lit(-1))).drop(f"_v_{c}", f"_code_{c}")
     return out

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.months import valid_month
+from tenure.operators.stats import varied_columns
 from tenure.functions.numeric import fix
 
 # Leakage thresholds and name tokens.
@@ -19,8 +20,9 @@ TEMPORAL_RISK_TOKENS = {"END", "CANCEL", "STOP"}
 
 
 def target_correlation(df: DataFrame, cols: Sequence[str], target: str, critical: float = CORR_CRITICAL) -> DataFrame:
-    """Q1: Pearson r of every (encoded, filled) feature with the target, in one aggregate."""
-    row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"c{i}")
+    """Q1: Pearson r of every (encoded, filled) feature with the target, in one aggregate; null where either is constant."""
+    varied = varied_columns(df, [*cols, target])
+    row = df.agg(*[(F.corr(F.col(c).cast("double"), F.col(target).cast("double")) if {c, target} <= varied else F.max(F.lit(None).cast("double"))).alias(f"c{i}")
                    for i, c in enumerate(cols)])
     items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("r")) for i, c in enumerate(cols)])
     long = row.select(F.explode(items).alias("_x")).select("_x.feature", "_x.r")

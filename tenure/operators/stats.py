@@ -230,30 +230,37 @@ def stars(p: float) -> str:
 
 
 # ---------------------------------------------------------------- correlation / VIF
+def varied_columns(df: DataFrame, cols: Sequence[str]) -> set[str]:
+    """The columns with two values or more: ``corr`` divides by zero on the others."""
+    row = df.agg(*[(F.min(c) != F.max(c)).alias(c) for c in cols]).first()
+    return {c for c in cols if row[c]}
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson r for every pair, in one aggregate (k*(k-1)/2 ``corr`` expressions)."""
+    """Pearson r for every pair, in one aggregate (k*(k-1)/2 ``corr`` expressions); null where a column is constant."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in
-                   enumerate(pairs)])
+    varied = varied_columns(df, cols)
+    row = df.agg(*[(F.corr(F.col(a).cast("double"), F.col(b).cast("double")) if {a, b} <= varied else F.max(F.lit(None).cast("double"))).alias(f"{i}")
+                   for i, (a, b) in enumerate(pairs)])
     items = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{i}").alias("r"))
                       for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(items).alias("_p")).select("_p.*")
 
 
 def vif_from_corr(names: Sequence[str], corr_rows) -> list[tuple[str, float]]:
-    """VIF_j = 1 / (1 - R2_j) = diag(inv(R)); inf when R2 >= 0.9999 or R is singular."""
+    """VIF_j = 1 / (1 - R2_j), R2_j from the other columns' correlations; inf when R2 >= 0.9999.
+
+    A pseudo-inverse solves each column, so that one pair of equal columns does not make every VIF infinite.
+    """
     idx = {n: i for i, n in enumerate(names)}
     k = len(names)
     r = np.eye(k)
     for a, b, v in corr_rows:
         r[idx[a], idx[b]] = r[idx[b], idx[a]] = 0.0 if v is None or (isinstance(v, float) and math.isnan(v)) else v
-    try:
-        inv = np.linalg.inv(r)
-    except np.linalg.LinAlgError:
-        return [(n, float("inf")) for n in names]
     out = []
     for i, n in enumerate(names):
-        d = float(inv[i, i])
-        r2 = 1.0 - 1.0 / d if d != 0 else 1.0
-        out.append((n, float("inf") if r2 >= 0.9999 or d <= 0 else d))
+        rest = [j for j in range(k) if j != i]
+        own = r[i, rest]
+        r2 = float(own @ np.linalg.pinv(r[np.ix_(rest, rest)], hermitian=True) @ own)
+        out.append((n, float("inf") if r2 >= 0.9999 else 1.0 / (1.0 - r2)))
     return out

@@ -7,22 +7,18 @@ they report with are oracle-checked in ``q_metrics``.
 
 from __future__ import annotations
 
-import os
+import hashlib
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.numeric import clip
 from tenure.operators import models as md
-from tenure.operators.encode import apply_codes, median_fill, standardize
 from tenure.operators.leakage import has_risk_token
 from tenure.operators.sampling import stratified_folds, stratified_split
 from tenure.plans import datasets as ds
-from tenure.plans.fixture import REF_DATE, SEED
-from tenure.plans.q_stats import V2_FEATURES, _purchase
-from tenure.plans.registry import register
+from tenure.plans.fixture import REF_DATE, SEED, YEAR_END, YEAR_START
+from tenure.plans.q_stats import V2_FEATURES, _purchase, _v2
+from tenure.plans.registry import register, with_views
 from tenure.session import ensure_checkpoint_dir
 from tenure.sources import views
 
@@ -31,6 +27,7 @@ PURCHASE_FEATURES = ["tv_hours", "last_view_grp", "agmt_end_seg", "ott_yn", "voc
                      "svod_cnt", "lagged_rvod_cnt"]
 DERIVED = ["flag_kids", "flag_movie", "recency", "total_watch_time", "log_watch_time", "is_ott", "risk_kids_ott"]
 RESULT_SCHEMA = "task string, model string, metric string, value double"
+TOP_FEATURES = 10
 
 
 def churn_data(spark, sf_dir) -> DataFrame:
@@ -97,6 +94,10 @@ def m6_boosted_families(spark, sf_dir):
     for name, params in FAMILIES.items():
         _, _, r = _fit_eval("churn", name, churn, V2_FEATURES, "cancel_yn", **params)
         rows += _rows("churn", name, r)
+    purchase = purchase_data(spark, sf_dir)
+    for name, params in FAMILIES.items():
+        _, _, r = _fit_eval("vod_purchase", name, purchase, PURCHASE_FEATURES, "vod_purchase_cnt", **params)
+        rows += _rows("vod_purchase", name, r)
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
@@ -115,11 +116,11 @@ def m7_tuning(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- M14 / Q2
-def _prior_rf(spark, sf_dir):
+def _prior_rf(spark, sf_dir, trees: int = 50, depth: int = 8):
     churn = churn_data(spark, sf_dir)
     train = churn.filter(~F.col("is_val"))
     prep = md.prepare(train, V2_FEATURES, "cancel_yn")
-    model = md.fit_classifier("random_forest", train, prep, numTrees=50, maxDepth=8)
+    model = md.fit_classifier("random_forest", train, prep, numTrees=trees, maxDepth=depth)
     return md.importances(model, prep.features), churn, prep
 
 
@@ -141,8 +142,12 @@ def q2_dominance(spark, sf_dir):
 # ---------------------------------------------------------------- M13
 @register("m13_topk_selection")
 def m13_topk_selection(spark, sf_dir):
-    """Order features by RF importance, then validation AP of a logistic model on the top k, k = 5..15."""
-    imp, churn, prep = _prior_rf(spark, sf_dir)
+    """Order features by RF importance, then validation AP of a logistic model on the top k, k = 5..15.
+
+    ``chosen`` marks the best k; ``selected`` names the features kept in the end, always ``TOP_FEATURES`` of them
+    where there are as many.
+    """
+    imp, churn, prep = _prior_rf(spark, sf_dir, trees=100, depth=10)
     order = [f for f, _ in imp]
     train, val = churn.filter(~F.col("is_val")), churn.filter("is_val")
     rows = []
@@ -152,51 +157,80 @@ def m13_topk_selection(spark, sf_dir):
         ap = md.mt.ap_auc(md.score(model, val, sub), "score", "cancel_yn").first()["ap"]
         rows.append((k, ", ".join(order[:k]), ap))
     best_k = max(rows, key=lambda x: (x[2] if x[2] is not None else -1, -x[0]))[0] if rows else None
-    return spark.createDataFrame([(k, f, ap, k == best_k) for k, f, ap in rows],
-                                 "k int, features string, val_ap double, chosen boolean")
+    selected = ", ".join(order[:TOP_FEATURES])
+    return spark.createDataFrame([(k, f, ap, k == best_k, selected) for k, f, ap in rows],
+                                 "k int, features string, val_ap double, chosen boolean, selected string")
 
 
 # ---------------------------------------------------------------- M18
 @register("m18_ablation")
 def m18_ablation(spark, sf_dir):
+    """All features, those without a risky name (for every model), and the derived features alone."""
     churn = churn_data(spark, sf_dir)
-    variants = {"all": V2_FEATURES,
-                "no_temporal_tokens": [f for f in V2_FEATURES if not has_risk_token(f)],
-                "derived_only": [f for f in V2_FEATURES if f in DERIVED]}
+    safe = [f for f in V2_FEATURES if not has_risk_token(f)]
+    variants = [("random_forest", "all", V2_FEATURES), *[(m, "no_temporal_tokens", safe) for m in ("logistic", "random_forest", "gbt")],
+                ("random_forest", "derived_only", [f for f in V2_FEATURES if f in DERIVED])]
     rows = []
-    for v, feats in variants.items():
-        _, _, r = _fit_eval("churn", "random_forest", churn, feats, "cancel_yn")
-        rows += _rows("churn", f"random_forest[{v}]", r)
+    for name, variant, feats in variants:
+        _, _, r = _fit_eval("churn", name, churn, feats, "cancel_yn")
+        rows += _rows("churn", f"{name}[{variant}]", r)
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
 # ---------------------------------------------------------------- M19 / M20
-def model_path(spark, name: str) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), "models", name)
+#: Task: model, rows to score, rows to train on, features, label.
+TASKS = {"churn": ("gbt", _v2, churn_data, V2_FEATURES, "cancel_yn"),
+         "vod_purchase": ("random_forest", _purchase, purchase_data, PURCHASE_FEATURES, "vod_purchase_cnt")}
+
+
+def model_path(spark, sf_dir: str, task: str) -> str:
+    """Where the model of a task and dataset lies, on the cluster's file system."""
+    key = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    return f"{ensure_checkpoint_dir(spark)}/models/{task}-{key}"
+
+
+def train_task(spark, sf_dir: str, task: str) -> str:
+    name, _, training_rows, features, label = TASKS[task]
+    path = model_path(spark, sf_dir, task)
+    md.train_served(training_rows(spark, sf_dir).filter(~F.col("is_val")), features, label, task, name).save(path)
+    return path
+
+
+def task_scores(spark, sf_dir: str, task: str) -> DataFrame:
+    """The rows of a task scored by its saved model, which is trained first where none is saved."""
+    path = model_path(spark, sf_dir, task)
+    if not md.Served.saved(spark, path):
+        train_task(spark, sf_dir, task)
+    scored = md.Served.load(spark, path).predict(TASKS[task][1](spark, sf_dir))
+    return scored.select(F.lit(task).alias("task"), *KEYS, F.round("prediction", 1).alias("prediction"))
 
 
 @register("m19_train_and_save")
 def m19_train_and_save(spark, sf_dir):
-    churn = churn_data(spark, sf_dir)
-    train = churn.filter(~F.col("is_val"))
-    path = model_path(spark, "churn_gbt")
-    md.train_and_save(train, V2_FEATURES, "cancel_yn", path, task="churn", name="gbt")
-    loaded = PipelineModel.load(path)
-    return spark.createDataFrame([(path, len(V2_FEATURES), len(loaded.stages), ", ".join(V2_FEATURES))],
-                                 "path string, n_features int, n_stages int, features string")
+    rows = []
+    for task in TASKS:
+        path = train_task(spark, sf_dir, task)
+        prep = md.Served.load(spark, path).prep
+        rows.append((task, path, len(prep.features), prep.dictionary.count(), ", ".join(prep.features)))
+    return spark.createDataFrame(rows, "task string, path string, n_features int, n_codes long, features string")
 
 
 @register("m20_batch_scoring")
 def m20_batch_scoring(spark, sf_dir):
-    """Score every panel row with the saved pipeline: churn risk = probability x 100 clipped to 5..95."""
-    churn = churn_data(spark, sf_dir)
-    train = churn.filter(~F.col("is_val"))
-    path = model_path(spark, "churn_gbt")
-    if not os.path.exists(path):
-        md.train_and_save(train, V2_FEATURES, "cancel_yn", path, task="churn", name="gbt")
-    prep = md.prepare(train, V2_FEATURES, "cancel_yn")
-    data = apply_codes(churn, prep.categorical, prep.dictionary)
-    data = standardize(median_fill(data, prep.features, prep.medians), prep.features, prep.scaler)
-    out = PipelineModel.load(path).transform(data)
-    risk = clip(vector_to_array("probability")[1] * 100.0, 5.0, 95.0)
-    return out.select("user_id", "p_mt", F.round(risk, 1).alias("churn_risk"))
+    """Every panel row's churn risk and every year row's purchases, by the saved models."""
+    return task_scores(spark, sf_dir, "churn").unionByName(task_scores(spark, sf_dir, "vod_purchase"))
+
+
+@register("m20_scoring_facts", with_views("", f"""
+SELECT 'churn' AS task, COUNT(*) AS n, COUNT(DISTINCT CAST(user_id AS VARCHAR) || '|' || CAST(p_mt AS VARCHAR)) AS n_keys,
+       TRUE AS in_bounds FROM panel
+UNION ALL
+SELECT 'vod_purchase', COUNT(*), COUNT(DISTINCT CAST(user_id AS VARCHAR) || '|' || CAST(p_mt AS VARCHAR)), TRUE
+FROM panel WHERE p_mt BETWEEN {YEAR_START} AND {YEAR_END}"""))
+def m20_scoring_facts(spark, sf_dir):
+    """Per task: rows scored, their keys, and whether all predictions keep the task's bounds."""
+    low = F.when(F.col("task") == "churn", 5.0).otherwise(0.0)
+    high = F.when(F.col("task") == "churn", 95.0).otherwise(float("inf"))
+    return m20_batch_scoring(spark, sf_dir).groupBy("task").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(*KEYS).alias("n_keys"),
+        F.bool_and(F.coalesce(F.col("prediction").between(low, high), F.lit(False))).alias("in_bounds"))

@@ -204,8 +204,11 @@ def t9_eda_sweep(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- T11 / T12 / Q1
-CORR_COLS = ["tv_hours", "vod_view_cnt", "vod_use_tms_sum", "vod_asset_cnt", "recency", "last_view_grp",
-             "agmt_end_seg", "ott_yn"]
+V2_FEATURES = ["tv_hours", "ott_yn", "last_view_grp", "agmt_end_seg", "voc_yn", "voc_cancel_yn", "vod_view_cnt",
+               "vod_use_tms_sum", "vod_asset_cnt", "flag_kids", "flag_movie", "recency", "total_watch_time",
+               "log_watch_time", "is_ott", "risk_kids_ott"]
+CORR_COLS = V2_FEATURES
+BOOLEANS = ["ott_yn", "voc_yn", "voc_cancel_yn"]
 
 
 def encoded_v2(spark, sf_dir, v2: DataFrame | None = None):
@@ -215,21 +218,26 @@ def encoded_v2(spark, sf_dir, v2: DataFrame | None = None):
     are written once (``v2`` may be passed already written).
     """
     v2 = v2 if v2 is not None else cut_lineage(_v2(spark, sf_dir))
-    dictionary = code_dictionary(v2, ["ott_yn"])
-    enc = apply_codes(v2, ["ott_yn"], dictionary)
+    dictionary = code_dictionary(v2, BOOLEANS)
+    enc = apply_codes(v2, BOOLEANS, dictionary)
     return median_fill(enc, CORR_COLS)
 
 
-SQL_ENC = SQL_V2X + """,
-enc AS (SELECT *, CASE WHEN ott_yn IS NULL THEN -1 WHEN ott_yn THEN 1 ELSE 0 END AS ott_code FROM v2x)"""
+SQL_ENC = SQL_V2X + ",\nenc AS (SELECT *, " + ", ".join(
+    f"CASE WHEN {c} IS NULL THEN -1 WHEN {c} THEN 1 ELSE 0 END AS {c}_code" for c in BOOLEANS) + """,
+  CASE WHEN ott_yn THEN 1 ELSE 0 END AS is_ott, CASE WHEN flag_kids = 1 AND ott_yn THEN 1 ELSE 0 END AS risk_kids_ott FROM v2x)"""
 
 
 def _enc_col(c):
-    return "ott_code" if c == "ott_yn" else c
+    return f"{c}_code" if c in BOOLEANS else c
+
+
+def _corr_sql(a, b):
+    return f"CASE WHEN MIN({a}) <> MAX({a}) AND MIN({b}) <> MAX({b}) THEN CORR({D(a)}, {D(b)}) END"
 
 
 @register("t11_correlation", with_views(SQL_ENC, " UNION ALL ".join(
-    f"SELECT '{a}' AS col_a, '{b}' AS col_b, {fix_sql(f'CORR({D(_enc_col(a))}, {D(_enc_col(b))})')} AS r FROM enc"
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, {fix_sql(_corr_sql(_enc_col(a), _enc_col(b)))} AS r FROM enc"
     for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:])))
 def t11_correlation(spark, sf_dir):
     c = st.correlation_matrix(encoded_v2(spark, sf_dir), CORR_COLS)
@@ -244,16 +252,13 @@ def t12_vif(spark, sf_dir):
 
 
 @register("q1_target_corr", with_views(SQL_ENC, " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, {fix_sql(f'CORR({D(_enc_col(c))}, {D('cancel_yn')})')} AS corr_with_target, "
-    f"ABS(CORR({D(_enc_col(c))}, {D('cancel_yn')})) >= 0.95 AS critical FROM enc" for c in CORR_COLS)))
+    f"SELECT '{c}' AS feature, {fix_sql(_corr_sql(_enc_col(c), 'cancel_yn'))} AS corr_with_target, "
+    f"COALESCE(ABS({_corr_sql(_enc_col(c), 'cancel_yn')}) >= 0.95, FALSE) AS critical FROM enc" for c in CORR_COLS)))
 def q1_target_corr(spark, sf_dir):
     return lk.target_correlation(encoded_v2(spark, sf_dir), CORR_COLS, "cancel_yn")
 
 
 # ---------------------------------------------------------------- Q3 / Q5
-V2_FEATURES = ["tv_hours", "ott_yn", "last_view_grp", "agmt_end_seg", "voc_yn", "voc_cancel_yn", "vod_view_cnt",
-               "vod_use_tms_sum", "vod_asset_cnt", "flag_kids", "flag_movie", "recency", "total_watch_time",
-               "log_watch_time", "is_ott", "risk_kids_ott"]
 ID_COLS = ["user_id"]
 
 
@@ -315,7 +320,7 @@ def m1_column_kinds(spark, sf_dir):
 
 
 @register("m2_encoded_features", with_views(SQL_ENC, "SELECT user_id, p_mt, " + ", ".join(
-    f"{D(_enc_col(c))} AS {c}" if c != "ott_yn" else "CAST(ott_code AS DOUBLE) AS ott_yn" for c in CORR_COLS)
+    f"{D(_enc_col(c))} AS {c}" for c in CORR_COLS)
     + " FROM enc"))
 def m2_encoded_features(spark, sf_dir):
     enc = encoded_v2(spark, sf_dir)
