@@ -4,8 +4,8 @@ Strategy is left to Catalyst + AQE: a side is broadcast only when its measured
 size is under ``spark.sql.autoBroadcastJoinThreshold`` (a checked bound), and
 sort-merge with AQE skew splitting is used otherwise. The only explicit
 ``broadcast`` hints in the engine are on tables whose size is fixed by a
-parameter (keyword lists, strategy tables, category dictionaries capped at 500
-values).
+parameter (keyword lists, strategy tables) or counted first (category
+dictionaries).
 """
 
 from __future__ import annotations
