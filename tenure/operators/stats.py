@@ -86,6 +86,26 @@ def normality(moments: Mapping) -> tuple[float, float] | None:
         return None
 
 
+def normality_columns(moments: DataFrame) -> DataFrame:
+    """T3 as columns: ``group_moments`` rows with ``k2`` and ``p_value`` (null below 8 rows or without variance).
+
+    K2 is the sum of two squared normal scores, Johnson's SU of the skewness and Anscombe and Glynn's cube root of
+    the kurtosis; with two degrees of freedom its tail is exp(-K2 / 2).
+    """
+    n, y, b2 = F.col("n").cast("double"), F.col("skew"), F.col("kurt")
+    y = y * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    spread = F.sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1
+    by_skew = F.asinh(F.when(y == 0, 1.0).otherwise(y) * F.sqrt((spread - 1) / 2)) / F.sqrt(F.ln(spread) / 2)
+    x = (b2 - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))
+    lean = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / lean * (2 / lean + F.sqrt(1 + 4 / (lean * lean)))
+    under = F.nullif(1 + x * F.sqrt(2 / (a - 4)), F.lit(0.0))
+    by_kurt = (1 - 2 / (9 * a) - F.cbrt((1 - 2 / a) / under)) / F.sqrt(2 / (9 * a))
+    defined = (F.col("n") >= 8) & F.col("skew").isNotNull() & ~F.isnan("skew") & ~F.isnan("kurt")
+    out = moments.withColumn("k2", F.when(defined, by_skew * by_skew + by_kurt * by_kurt))
+    return out.withColumn("p_value", F.exp(-F.col("k2") / 2))
+
+
 # ---------------------------------------------------------------- Mann-Whitney
 def rank_sums(long: DataFrame, split_col: str = "is_pos", value_col: str = "value",
               group_cols: Sequence[str] = ("column",)) -> DataFrame:

@@ -337,19 +337,23 @@ def a18_kpi_snapshot(spark, sf_dir):
 
 # ---------------------------------------------------------------- A19
 USAGE_FLAGS = {"flag_kids": "flag_kids", "flag_movie": "flag_movie", "is_ott": "is_ott",
-               "vod_active": "CASE WHEN vod_view_cnt > 0 THEN 1 ELSE 0 END"}
+               "app": f"CASE WHEN {views.APP_USER} THEN 1 ELSE 0 END",
+               "vod_active": "CASE WHEN vod_view_cnt > 0 THEN 1 ELSE 0 END",
+               "kids_vod": f"CASE WHEN {views.KIDS_VIEWS} > 0 THEN 1 ELSE 0 END"}
 
 
 @register("a19_usage_rates", with_views(SQL_V2_ALL, "SELECT cancel_yn, " + ", ".join(
     f"{fix_sql(MEAN_INT(e) + ' * 100.0')} AS {k}_pct" for k, e in USAGE_FLAGS.items()) + " FROM v2x GROUP BY cancel_yn"))
 def a19_usage_rates(spark, sf_dir):
-    v2 = _v2(spark, sf_dir).withColumn("vod_active", F.when(F.col("vod_view_cnt") > 0, 1).otherwise(0))
+    one = lambda cond: F.when(cond, 1).otherwise(0)
+    v2 = _v2(spark, sf_dir).withColumns({"vod_active": one(F.col("vod_view_cnt") > 0), "app": one(F.expr(views.APP_USER)),
+                                         "kids_vod": one(F.expr(views.KIDS_VIEWS) > 0)})
     return v2.groupBy("cancel_yn").agg(*[fix(exact_mean(k) * 100.0).alias(f"{k}_pct") for k in USAGE_FLAGS])
 
 
 # ---------------------------------------------------------------- A20
-OVERLAP = {"kids": "flag_kids = 1", "movie": "flag_movie = 1", "ott": "is_ott = 1",
-           "none": "flag_kids = 0 AND flag_movie = 0 AND is_ott = 0"}
+OVERLAP = {"kids": "flag_kids = 1", "movie": "flag_movie = 1", "ott": "is_ott = 1", "app": views.APP_USER,
+           "none": f"flag_kids = 0 AND flag_movie = 0 AND is_ott = 0 AND NOT {views.APP_USER}"}
 
 
 @register("a20_overlapping_segments", with_views(SQL_V2_ALL, " UNION ALL ".join(
@@ -358,8 +362,9 @@ OVERLAP = {"kids": "flag_kids = 1", "movie": "flag_movie = 1", "ott": "is_ott =
 def a20_overlapping_segments(spark, sf_dir):
     v2 = _v2(spark, sf_dir)
     c = F.col
-    segs = {"kids": c("flag_kids") == 1, "movie": c("flag_movie") == 1, "ott": c("is_ott") == 1,
-            "none": (c("flag_kids") == 0) & (c("flag_movie") == 0) & (c("is_ott") == 0)}
+    app = F.expr(views.APP_USER)
+    segs = {"kids": c("flag_kids") == 1, "movie": c("flag_movie") == 1, "ott": c("is_ott") == 1, "app": app,
+            "none": (c("flag_kids") == 0) & (c("flag_movie") == 0) & (c("is_ott") == 0) & ~app}
     return seg.overlapping_segments(v2, segs)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,23 +60,40 @@ def t1_t2_t8_moments(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- T3
-@register("t3_normality")
+SQL_K2 = "x3 AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", cancel_yn AS grp, {D(c)} AS x FROM v2x WHERE {c} IS NOT NULL AND cancel_yn IS NOT NULL"
+    for c in NUMERIC) + """),
+mu AS (SELECT "column", grp, COUNT(*) AS n, AVG(x) AS m FROM x3 GROUP BY ALL),
+cm AS (SELECT "column", grp, n, AVG(POW(x - m, 2)) AS m2, AVG(POW(x - m, 3)) AS m3, AVG(POW(x - m, 4)) AS m4
+       FROM x3 JOIN mu USING ("column", grp) GROUP BY ALL),
+sk AS (SELECT "column", grp, n, CAST(n AS DOUBLE) AS f, CASE WHEN m2 > 0 THEN m3 / POW(m2, 1.5) END AS skew,
+         CASE WHEN m2 > 0 THEN m4 / (m2 * m2) END AS kurt FROM cm),
+k0 AS (SELECT *, skew / SQRT(6 * (f - 2) / ((f + 1) * (f + 3))) AS y,
+         SQRT(2 * (3 * (f * f + 27 * f - 70) * (f + 1) * (f + 3) / ((f - 2) * (f + 5) * (f + 7) * (f + 9))) - 2) - 1 AS w2,
+         (kurt - 3 * (f - 1) / (f + 1)) / SQRT(24 * f * (f - 2) * (f - 3) / (POW(f + 1, 2) * (f + 3) * (f + 5))) AS x,
+         6 * (f * f - 5 * f + 2) / ((f + 7) * (f + 9)) * SQRT(6 * (f + 3) * (f + 5) / (f * (f - 2) * (f - 3))) AS sb FROM sk),
+k1 AS (SELECT *, y / SQRT(2 / (w2 - 1)) AS ya, 6 + 8 / sb * (2 / sb + SQRT(1 + 4 / POW(sb, 2))) AS a FROM k0),
+k2 AS (SELECT *, LN(ya + SQRT(ya * ya + 1)) / SQRT(0.5 * LN(w2)) AS zs,
+         (1 - 2 / (9 * a) - SIGN(1 + x * SQRT(2 / (a - 4))) * POW((1 - 2 / a) / ABS(1 + x * SQRT(2 / (a - 4))), 1.0 / 3)) / SQRT(2 / (9 * a)) AS zk
+       FROM k1)"""
+
+
+@register("t3_normality", with_views(SQL_V2X + ",\n" + SQL_K2, f"""
+SELECT "column", CAST(grp AS INT) AS "group", n, {fix_sql('skew', 9)} AS skew, {fix_sql('kurt', 9)} AS kurt,
+       {fix_sig_sql('zs * zs + zk * zk', 8)} AS k2, {fix_sql('EXP(-(zs * zs + zk * zk) / 2)', 9)} AS p_value,
+       COALESCE(EXP(-(zs * zs + zk * zk) / 2) > {st.ALPHA}, FALSE) AS normal
+FROM k2"""))
 def t3_normality(spark, sf_dir):
-    v2 = _v2(spark, sf_dir)
-    rows = []
-    for r in st.group_moments(v2, NUMERIC, "cancel_yn").collect():
-        k = st.normality(r.asDict())
-        rows.append((r["column"], int(r["group"]), int(r["n"]), float(r["skew"]) if r["skew"] is not None else None,
-                     float(r["kurt"]) if r["kurt"] is not None else None,
-                     k[0] if k else None, k[1] if k else None, bool(k and k[1] > st.ALPHA)))
-    return spark.createDataFrame(rows, "column string, group int, n long, skew double, kurt double, k2 double, "
-                                       "p_value double, normal boolean")
+    t = st.normality_columns(st.group_moments(_v2(spark, sf_dir), NUMERIC, "cancel_yn"))
+    return t.select("column", F.col("group").cast("int").alias("group"), "n", fix("skew", 9).alias("skew"), fix("kurt", 9).alias("kurt"),
+                    fix_sig("k2", 8).alias("k2"), fix("p_value", 9).alias("p_value"),
+                    F.coalesce(F.col("p_value") > st.ALPHA, F.lit(False)).alias("normal"))
 
 
 # ---------------------------------------------------------------- T4 / T5 / W3 and T10
 # Directed hypotheses on the purchase panel (id, split, expected sign).
 HYPOTHESES = [("H1", "lagged_rvod_cnt > 0", "+"), ("H2", "svod_cnt > 0", "+"),
-              ("H3", "ott_yn", "-"), ("H5", "cancel_yn = 1", "-")]
+              ("H3", "ott_yn", "-"), ("H4", f"{views.KIDS_VIEWS} > 0", "+"), ("H5", "cancel_yn = 1", "-")]
 
 
 def _purchase(spark, sf_dir):
@@ -144,6 +163,33 @@ def t4_t5_mann_whitney(spark, sf_dir):
     return _hyp_table(_hyp_long(spark, sf_dir))
 
 
+#: |z| beyond which the two-sided p falls below each level.
+Z_CUTS = {mark: NormalDist().inv_cdf(1 - p / 2) for mark, p in (("***", 0.001), ("**", 0.01), ("*", 0.05))}
+SQL_RESULT = f"(SELECT hypothesis, expected, mean_pos, mean_neg, 2.0 * {U1} / (n1 * n0) - 1.0 AS rb, n1, n0, " \
+    f"(ABS({U1} - n1 * n0 / 2.0) - 0.5) / SQRT(n1 * n0 / 12.0 * (n1 + n0 + 1 - tie / ((n1 + n0) * (n1 + n0 - 1)))) AS z " \
+    "FROM rs JOIN mm USING (hypothesis) JOIN (VALUES " + ", ".join(f"('{h}', '{e}')" for h, _, e in HYPOTHESES) + ") v(hypothesis, expected) USING (hypothesis))"
+SQL_MARK = "CASE " + " ".join(f"WHEN z > {z!r} THEN '{mark}'" for mark, z in Z_CUTS.items()) + " ELSE 'ns' END"
+
+
+@register("t10_decisions", with_views(SQL_HYP, f"""
+SELECT hypothesis, expected, (mean_pos > mean_neg) = (expected = '+') AS direction_ok, {SQL_MARK} AS significance,
+       {fix_sql('rb')} AS rank_biserial, CAST(n1 AS BIGINT) AS n_pos, CAST(n0 AS BIGINT) AS n_neg,
+       CASE WHEN (mean_pos > mean_neg) = (expected = '+') AND {SQL_MARK} <> 'ns' THEN 'accept' ELSE 'reject' END AS result
+FROM {SQL_RESULT}"""))
+def t10_decisions(spark, sf_dir):
+    """T10 without p-values: direction, significance from the cut-offs of z, effect and result of each hypothesis."""
+    t = _hyp_table(_hyp_long(spark, sf_dir))
+    expected, mark = F.lit(None).cast("string"), F.lit("ns")
+    for h, _, sign in HYPOTHESES:
+        expected = F.when(F.col("hypothesis") == h, F.lit(sign)).otherwise(expected)
+    for stars, z in reversed(Z_CUTS.items()):
+        mark = F.when(F.col("z") > z, F.lit(stars)).otherwise(mark)
+    t = t.withColumns({"expected": expected, "significance": mark})
+    t = t.withColumn("direction_ok", (F.col("mean_pos") > F.col("mean_neg")) == (F.col("expected") == "+"))
+    result = F.when(F.col("direction_ok") & (F.col("significance") != "ns"), "accept").otherwise("reject")
+    return t.select("hypothesis", "expected", "direction_ok", "significance", "rank_biserial", "n_pos", "n_neg", result.alias("result"))
+
+
 @register("t10_directed_hypotheses")
 def t10_directed_hypotheses(spark, sf_dir):
     rows = []

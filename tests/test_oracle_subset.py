@@ -14,7 +14,8 @@ from conftest import SF001
 
 NAMES = ["a5_monthly_activity", "a2_user_activity", "j2_fanout_activity", "a3_a4_churn_v2", "j6_purchase_dataset",
          "a8_churn_v3", "l2_class_ratio_sample", "l5_train_val_split", "w1_rank_buckets", "f10_f15_scores",
-         "a14_class_mix_shift", "p3_p5_clean_panel", "t4_t5_mann_whitney", "t6_t7_chi_square",
+         "a14_class_mix_shift", "p3_p5_clean_panel", "t3_normality", "t4_t5_mann_whitney", "t10_decisions", "t6_t7_chi_square",
+         "a19_usage_rates", "a20_overlapping_segments",
          "m9_ranking_metrics", "m17_feature_impact"]
 
 

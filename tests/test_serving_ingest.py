@@ -1,5 +1,8 @@
 """Saved models that score without their training rows; CSV files of one column with different types; one-scan lag."""
 
+import os
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +10,8 @@ from tenure.operators import models as md
 from tenure.operators.joins import attach, calendar_lag, with_lag
 from tenure.sources import ingest
 
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+
 
 @pytest.fixture(scope="module")
 def train(spark):
@@ -56,3 +61,22 @@ def test_one_scan_lag_equals_the_lookup(spark):
     got = attach(base, with_lag(monthly, ["cnt"], ["cnt"]), keys, {"cnt": 0, "lagged_cnt": 0})
     assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
     assert got.where((F.col("user_id") == 1) & (F.col("p_mt") == 202401)).first().lagged_cnt == 4
+
+
+def test_scoring_facts_of_saved_models_match_duckdb(spark):
+    from check_oracle import digest, duck
+
+    import __spark_entry__ as entry
+    from conftest import SF001
+    from tenure.plans import q_models as qm
+
+    entry.queries()
+    small = {"churn": {"maxIter": 2, "maxDepth": 2}, "vod_purchase": {"numTrees": 3, "maxDepth": 3}}
+    for task, (name, _, rows, features, label) in qm.TASKS.items():  # the query finds these and does not train
+        data = rows(spark, SF001).filter(~F.col("is_val"))
+        md.train_served(data, features, label, task, name, **small[task]).save(qm.model_path(spark, SF001, task))
+    got = qm.m20_scoring_facts(spark, SF001)
+    want = duck(SF001).execute(entry.oracle_sql()["m20_scoring_facts"])
+    columns = [d[0] for d in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert digest([tuple(r) for r in got.collect()], got.columns, None) == digest(want.fetchall(), columns, None)
