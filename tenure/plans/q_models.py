@@ -25,20 +25,26 @@ from tenure.sources import views
 KEYS = ["user_id", "p_mt"]
 PURCHASE_FEATURES = ["tv_hours", "last_view_grp", "agmt_end_seg", "ott_yn", "voc_yn", "voc_cancel_yn", "fod_cnt",
                      "svod_cnt", "lagged_rvod_cnt"]
-DERIVED = ["flag_kids", "flag_movie", "recency", "total_watch_time", "log_watch_time", "is_ott", "risk_kids_ott"]
+DERIVED = ["flag_kids", "flag_movie", "recency", "total_watch_time", "log_watch_time", "is_ott", "risk_kids_ott", "lagged_rvod_cnt"]
 RESULT_SCHEMA = "task string, model string, metric string, value double"
 TOP_FEATURES = 10
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Cached with the same rows in the same places each time: forests and boosting draw by partition and position."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *KEYS).sortWithinPartitions(*KEYS).cache()
+
+
 def churn_data(spark, sf_dir) -> DataFrame:
     panel, log = views.panel(spark, sf_dir), views.activity(spark, sf_dir)
     v2 = ds.churn_v1v2(panel, log, REF_DATE)
-    return stratified_folds(stratified_split(v2, "cancel_yn", KEYS, 0.2, SEED), "cancel_yn", KEYS, 5, SEED).cache()
+    return _dealt(stratified_folds(stratified_split(v2, "cancel_yn", KEYS, 0.2, SEED), "cancel_yn", KEYS, 5, SEED))
 
 
 def purchase_data(spark, sf_dir) -> DataFrame:
     p = _purchase(spark, sf_dir)
-    return stratified_folds(stratified_split(p, None, KEYS, 0.2, SEED), None, KEYS, 5, SEED).cache()
+    return _dealt(stratified_folds(stratified_split(p, None, KEYS, 0.2, SEED), None, KEYS, 5, SEED))
 
 
 def _rows(task, model, result: dict):
@@ -102,41 +108,50 @@ def m6_boosted_families(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- M7 / M8
+def tuning(spark, sf_dir, task: str, family: str, n_trials: int = md.TRIALS, bounds: dict | None = None) -> DataFrame:
+    """Every trial's fold scores for one task and family; ``best`` marks the setting with the best mean."""
+    _, _, training_rows, features, label = TASKS[task]
+    data = training_rows(spark, sf_dir).filter(~F.col("is_val"))
+    best, trials = md.tune(family, data, md.prepare(data, features, label), "fold", bounds, n_trials, task)
+    rows = [(task, family, i, str(t["params"]), fold, float(s), t["params"] == best)
+            for i, t in enumerate(trials) for fold, s in enumerate(t["folds"], start=1)]
+    return spark.createDataFrame(rows, "task string, family string, trial int, params string, fold int, score double, best boolean")
+
+
 @register("m7_tuning")
 def m7_tuning(spark, sf_dir):
-    data = churn_data(spark, sf_dir).filter(~F.col("is_val"))
-    prep = md.prepare(data, V2_FEATURES, "cancel_yn")
-    space = {"numTrees": [50, 100], "maxDepth": [5, 8, 10]}
-    best, trials = md.tune("random_forest", data, prep, "fold", space, n_trials=2)
-    rows = []
-    for i, t in enumerate(trials):
-        for f, s in enumerate(t["folds"], start=1):
-            rows.append((i, str(t["params"]), f, float(s), t["params"] == best))
-    return spark.createDataFrame(rows, "trial int, params string, fold int, prc_auc double, best boolean")
+    """Two forest trials per task; ``tuning`` runs every family, 20 trials unless told otherwise."""
+    bounds = md.SEARCH["random_forest"] | {"numTrees": (30, 60), "maxDepth": (5, 8)}
+    return tuning(spark, sf_dir, "churn", "random_forest", 2, bounds).unionByName(
+        tuning(spark, sf_dir, "vod_purchase", "random_forest", 2, bounds))
 
 
 # ---------------------------------------------------------------- M14 / Q2
-def _prior_rf(spark, sf_dir, trees: int = 50, depth: int = 8):
-    churn = churn_data(spark, sf_dir)
-    train = churn.filter(~F.col("is_val"))
-    prep = md.prepare(train, V2_FEATURES, "cancel_yn")
-    model = md.fit_classifier("random_forest", train, prep, numTrees=trees, maxDepth=depth)
-    return md.importances(model, prep.features), churn, prep
+def _prior_rf(spark, sf_dir, trees: int = 50, depth: int = 8, task: str = "churn"):
+    _, _, training_rows, features, label = TASKS[task]
+    data = training_rows(spark, sf_dir)
+    train = data.filter(~F.col("is_val"))
+    prep = md.prepare(train, features, label)
+    fit = md.fit_classifier if task == "churn" else md.fit_regressor
+    model = fit("random_forest", train, prep, numTrees=trees, maxDepth=depth)
+    return md.importances(model, prep.features), data, prep
 
 
 @register("m14_prior_importance")
 def m14_prior_importance(spark, sf_dir):
-    imp, _, _ = _prior_rf(spark, sf_dir)
-    rows = [(i + 1, f, float(v), f in DERIVED) for i, (f, v) in enumerate(imp)]
-    return spark.createDataFrame(rows, "rank int, feature string, importance double, derived boolean")
+    rows = [(task, i + 1, f, float(v), f in DERIVED) for task in TASKS
+            for i, (f, v) in enumerate(_prior_rf(spark, sf_dir, task=task)[0])]
+    return spark.createDataFrame(rows, "task string, rank int, feature string, importance double, derived boolean")
 
 
 @register("q2_dominance")
 def q2_dominance(spark, sf_dir):
-    imp, _, _ = _prior_rf(spark, sf_dir)
-    top = imp[0] if imp else (None, None)
-    return spark.createDataFrame([(top[0], float(top[1]) if top[1] is not None else None, bool(md.dominance(imp)))],
-                                 "top_feature string, importance double, dominant boolean")
+    rows = []
+    for task in TASKS:
+        imp = _prior_rf(spark, sf_dir, task=task)[0]
+        top, share = imp[0] if imp else (None, None)
+        rows.append((task, top, None if share is None else float(share), bool(md.dominance(imp))))
+    return spark.createDataFrame(rows, "task string, top_feature string, importance double, dominant boolean")
 
 
 # ---------------------------------------------------------------- M13
