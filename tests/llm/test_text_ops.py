@@ -98,6 +98,19 @@ def test_language_held_out_accuracy(sp):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_of_a_few_words_and_ties():
+    predict = langid.predictor({"bb": b"delta alpha gamma beta " * 20, "aa": b"lorem ipsum dolor amet " * 20})
+    assert predict("Gamma.")[:1] == ("bb",) and predict("ipsum")[:1] == ("aa",)
+    lang, score, accepted, margin = predict("qqq")  # fits neither: the language with the most documents, not accepted
+    assert (lang, score, accepted, margin) == ("bb", 0.5, False, 0.0)
+
+
+def test_language_order_follows_the_documents(sp):
+    rows = [(i, f"{'uno dos tres cuatro' if i % 3 else 'one two three four'} {i * 7919}", "es" if i % 3 else "en") for i in range(300)]
+    learnt = langid.learn(sp.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert list(learnt) == ["es", "en"] and b"one two" in learnt["en"]
+
+
 def test_language_odd_and_empty(sp, odd_docs):
     content = langid.learn(table(sp, SF01, "documents"))
     got = langid.predict_languages(odd_docs, content).collect()
