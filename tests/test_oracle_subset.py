@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 from check_oracle import digest, duck  # noqa: E402
 
-from conftest import SF001
+from given_tables import SF001
 
 NAMES = ["a5_monthly_activity", "a2_user_activity", "j2_fanout_activity", "a3_a4_churn_v2", "j6_purchase_dataset",
          "a8_churn_v3", "l2_class_ratio_sample", "l5_train_val_split", "w1_rank_buckets", "f10_f15_scores",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tenure.operators.ranking import global_rank, share_within
 
-from conftest import SF001
+from given_tables import SF001
 
 
 def _formatted(df) -> str:

@@ -87,7 +87,7 @@ def test_scoring_facts_of_saved_models_match_duckdb(spark):
     from check_oracle import digest, duck
 
     import __spark_entry__ as entry
-    from conftest import SF001
+    from given_tables import SF001
     from tenure.plans import q_models as qm
 
     entry.queries()

@@ -2,7 +2,7 @@
 
 import __spark_entry__ as entry
 
-from conftest import SF001
+from given_tables import SF001
 
 
 def _rows(df):

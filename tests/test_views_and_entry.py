@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tenure.sources import views
 
-from conftest import SF001, SF01
+from given_tables import SF001, SF01
 
 
 def test_view_facts(spark):
