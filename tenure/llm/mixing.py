@@ -6,6 +6,12 @@ raised to ``power`` and normed, or given shares, normed over the values that occ
 none). A cell's gain is its raked over its own weight; documents are kept with probability ``rate * gain /
 largest gain``, by a seeded hash of the id, so the kept tokens have the raked mixture in expectation.
 
+The largest gain is that of the rarest cell, so one rare document can thin out all others. With ``least_share`` the
+rate is raised where it would keep less than that share of the tokens: documents are kept with probability
+``min(1, raised rate * gain)`` and exactly that share is expected; cells that would need more than all their
+documents are kept whole, so their margins stay below target. With ``tolerance`` raking goes on beyond ``passes``
+until every margin is that close to its target or no longer comes closer; both shortfalls are logged.
+
 The tables carry no topic, so by default a document's length class stands for it (``topic`` column: null).
 
 Defined cases: null source, language or topic is a value of its own; null and empty texts are documents of one
@@ -16,6 +22,8 @@ columns named like an output are replaced.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +32,14 @@ from tenure.llm.shared import hex_int, seeded_hex, written
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 PASSES = 8
 SEED = 10
+#: Of the tokens, what a mixture keeps at least, and how far a margin may be off its target (relative): for corpora.
+LEAST_SHARE = 0.4
+TOLERANCE = 0.01
 #: Cells up to this many rows are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_CELLS = 100_000
 MARGINS = ("_source", "_lang", "_topic")
 OUTPUTS = ("n_tokens", "topic", "gain", "probability", "sampled")
+_log = logging.getLogger(__name__)
 
 
 def n_tokens(text: Column) -> Column:
@@ -52,7 +64,10 @@ def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], passes:
         cells = cells.withColumn("_m", F.sum("_t").over(mine).cast("double")).withColumn("_all", F.sum("_t").over(whole).cast("double"))
         cells = cells.withColumn("_want", _target_share(margin, spec)).withColumn("_norm", F.sum(F.col("_want") * F.col("_t") / F.col("_m")).over(whole))
         cells = cells.withColumn(f"_to{margin}", F.when(F.col("_norm") > 0, F.col("_want") * F.col("_all") / F.col("_norm")).otherwise(F.col("_m")))
-    cells = cells.withColumn("_w", F.col("_t").cast("double"))
+    return _scaled(cells.withColumn("_w", F.col("_t").cast("double")), passes)
+
+
+def _scaled(cells: DataFrame, passes: int) -> DataFrame:
     for _ in range(passes):
         for margin in MARGINS:
             cells = cells.withColumn("_s", F.sum("_w").over(Window.partitionBy(margin)))
@@ -60,6 +75,51 @@ def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], passes:
     return cells
 
 
+def margin_gap(cells: DataFrame) -> float:
+    """The largest relative distance of any margin's weight from its target."""
+    sums = cells.select("_w", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("v"), F.col(f"_to{m}").alias("to")) for m in MARGINS])).alias("_x"))
+    sums = sums.where("_x.to > 0").groupBy("_x.m", "_x.v").agg(F.sum("_w").alias("w"), F.max("_x.to").alias("to"))
+    return sums.agg(F.max(F.abs(F.col("w") / F.col("to") - 1))).first()[0] or 0.0
+
+
+def raked_cells(cells: DataFrame, targets: dict[str, float | dict[str, float]], passes: int = PASSES, tolerance: float | None = None) -> DataFrame:
+    """``rake``, written; with a tolerance ``passes`` more at a time while a margin is off and still comes closer."""
+    keep = [*MARGINS, "_t", "_w", *[f"_to{m}" for m in MARGINS]]
+    cells = written(rake(cells, targets, passes).select(*keep), "cells")
+    if tolerance is None:
+        return cells
+    gap, before = margin_gap(cells), float("inf")
+    while tolerance < gap < 0.99 * before:
+        cells = written(_scaled(cells.coalesce(1), passes).select(*keep), "cells")
+        gap, before = margin_gap(cells), gap
+    if gap > tolerance:
+        _log.warning("the targets cannot all be met: a margin stays %.1f %% off", 100 * gap)
+    return cells
+
+
+def keep_rate(cells: DataFrame, rate: float = 1.0, least_share: float = 0.0) -> float:
+    """What gains are multiplied by: ``rate`` over the largest gain, or more where that keeps under ``least_share`` of the tokens.
+
+    From the largest gain down, the first cell that is not kept whole when it and all smaller ones share what is
+    left to keep. Runs over the cells, in one partition.
+    """
+    gains = cells.select("_t", "_w", (F.col("_w") / F.col("_t")).alias("_g")).coalesce(1)
+    top, total, weight = gains.agg(F.max("_g"), F.sum("_t"), F.sum("_w")).first()
+    if not top:
+        return rate
+    if least_share * total <= rate / top * weight:
+        return rate / top
+    down = Window.partitionBy().orderBy(F.desc("_g"), "_t")
+    before = F.coalesce(F.sum("_t").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    raised = (F.lit(least_share * total) - before) / F.sum("_w").over(down.rowsBetween(0, Window.unboundedFollowing))
+    some = gains.where("_g > 0").withColumn("_r", raised)
+    found, least = some.agg(F.max_by(F.when(F.col("_r") * F.col("_g") <= 1, F.col("_r")), F.when(F.col("_r") * F.col("_g") <= 1, F.col("_g"))), F.min("_g")).first()
+    found = found if found is not None else 1.0 / least
+    whole = gains.where(F.col("_g") * found > 1).agg(F.count("*"), F.sum("_t")).first()
+    _log.warning("%d cells with %.4f %% of the tokens are kept whole, so that the others keep their share", whole[0], 100 * (whole[1] or 0) / total)
+    return found
+
+
 def _target_share(margin: str, spec: float | dict[str, float]) -> Column:
     if not isinstance(spec, dict):
         return F.pow(F.col("_m") / F.col("_all"), F.lit(float(spec)))
@@ -70,19 +130,21 @@ def _target_share(margin: str, spec: float | dict[str, float]) -> Column:
 
 
 def mix_sources(docs: DataFrame, targets: dict[str, float | dict[str, float]] | None = None, passes: int = PASSES, rate: float = 1.0,
-                seed: int = SEED, topic: str | None = None, carry: list[str] | None = None) -> DataFrame:
+                seed: int = SEED, topic: str | None = None, carry: list[str] | None = None, least_share: float = 0.0, tolerance: float | None = None) -> DataFrame:
     """``carry`` columns (default: all) of every row with n_tokens, topic, gain, probability and sampled."""
     keep = [c for c in (docs.columns if carry is None else carry) if c not in OUTPUTS]
     draw = hex_int(seeded_hex(seed, F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), 1, 12) / float(1 << 48)
     rows = docs.withColumn("_t", n_tokens(F.col("text"))).withColumn("_u", draw)
     rows = rows.withColumns({"_source": F.col("source"), "_lang": F.col("lang"), "_topic": F.col(topic).cast("string") if topic else length_class(F.col("_t"))})
-    cells = written(rake(rows.groupBy(*MARGINS).agg(F.sum("_t").alias("_t")), targets or POWERS, passes).select(*MARGINS, "_t", "_w"), "cells")
+    cells = raked_cells(rows.groupBy(*MARGINS).agg(F.sum("_t").alias("_t")), targets or POWERS, passes, tolerance)
     gains = cells.select(*[F.col(m).alias(f"c{m}") for m in MARGINS], (F.col("_w") / F.col("_t")).alias("_g"))
-    top = gains.agg(F.max("_g")).first()[0] or 1.0
+    factor = keep_rate(cells, rate, least_share)
     if cells.count() <= BROADCAST_CELLS:
         gains = F.broadcast(gains)
     match = [F.col(m).eqNullSafe(F.col(f"c{m}")) for m in MARGINS]
-    p = F.col("_g") * F.lit(rate / top)
+    p = F.col("_g") * F.lit(factor)
+    if least_share:
+        p = F.least(p, F.lit(1.0))
     return (rows.select(*keep, "_t", "_u", *MARGINS).join(gains, match[0] & match[1] & match[2])
             .select(*keep, F.col("_t").alias("n_tokens"), F.col("_topic").alias("topic"), F.col("_g").alias("gain"), p.alias("probability"), (F.col("_u") < p).alias("sampled")))
 

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tenure.llm import lshforest, mixing, queries, sharding, urlfilter, warc
 from tenure.llm.shared import drop_written, table
 
@@ -192,6 +193,42 @@ def test_raking_meets_its_targets(sp):
             assert sum(r["_w"] for r in rows if r[f"_{margin}"] == value) / total == pytest.approx(share, abs=1e-6)
 
 
+@pytest.mark.parametrize("lang", ["en", "xx"])
+def test_a_rare_cell_does_not_thin_out_the_corpus(sp, lang):
+    docs = table(sp, SF01, "documents").select("doc_id", "text", "lang", "source")
+    rare = docs.union(sp.createDataFrame([(10**9, "five tokens of new source", lang, "a new source")], docs.schema))
+    (_, mix), = [s for s in corpus_pipeline.STAGES if "mixing" in s[0]]
+    assert mix(sp, rare, SF01).count() > 0.4 * docs.count()
+    out = mixing.mix_sources(rare, least_share=0.4, tolerance=0.01)
+    kept, total = out.selectExpr("sum(n_tokens * probability)", "sum(n_tokens)").first()
+    assert kept >= 0.4 * total * (1 - 1e-9) and out.where("probability > 1").count() == 0
+    assert out.where("source = 'a new source'").first()["probability"] == 1.0
+
+
+def test_keep_rate_reaches_its_share(sp):
+    rng = random.Random(5)
+    some = [(rng.randint(1, 1000), rng.choice([0.0, rng.random() * 900, 20.0])) for _ in range(40)]
+    cells = sp.createDataFrame([(t, float(w)) for t, w in some], "_t long, _w double")
+    top, total = max(w / t for t, w in some), sum(t for t, _ in some)
+    for share in (0.0, 0.05, 0.3, 0.6):
+        r = mixing.keep_rate(cells, 1.0, share)
+        kept = sum(t * min(1.0, r * w / t) for t, w in some)
+        assert r == pytest.approx(1 / top) if r * top <= 1 + 1e-9 else kept == pytest.approx(share * total)
+    whole = mixing.keep_rate(cells, 1.0, 1.0)  # more than the cells of any weight hold: all of those
+    assert all(whole * w / t >= 1 - 1e-9 for t, w in some if w > 0)
+
+
+def test_raking_goes_on_until_the_margins_fit(sp, caplog):
+    rows = [(s, g, "t", n) for s, g, n in (("a", "en", 10**6), ("a", "de", 10), ("b", "en", 10), ("b", "de", 10), ("c", "en", 3))]
+    cells = sp.createDataFrame(rows, "_source string, _lang string, _topic string, _t long")
+    want = {"source": {"a": 0.5, "b": 0.4, "c": 0.1}, "lang": {"en": 0.5, "de": 0.5}, "topic": 1.0}
+    assert mixing.margin_gap(mixing.raked_cells(cells, want, passes=1)) > 0.001
+    assert mixing.margin_gap(mixing.raked_cells(cells, want, passes=1, tolerance=0.001)) <= 0.001 and not caplog.records
+    apart = cells.where("_source <> _lang AND (_source = 'c') = (_lang = 'en') AND _source <> 'a'")  # b only de, c only en
+    mixing.raked_cells(apart, {"source": {"b": 0.9, "c": 0.1}, "lang": {"en": 0.5, "de": 0.5}, "topic": 1.0}, tolerance=0.001)
+    assert "cannot all be met" in caplog.text
+
+
 def test_mixing_odd_and_empty(sp, odd_docs):
     out = mixing.mix_sources(odd_docs)
     rows = out.collect()
