@@ -74,15 +74,15 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url: str =
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_HEAD_LIMIT = 1 << 16
+_VERSION_LINE = re.compile(rb"\r\nWARC/1\.[01]\r\n")
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     """The record at ``at`` as headers, payload and end, or what is wrong with it."""
     if not (m := _VERSION.match(data, at)):
         return "no version line"
-    end = data.find(b"\r\n\r\n", m.end() - 2, m.end() + _HEAD_LIMIT)
-    if end < 0:
+    end = data.find(b"\r\n\r\n", m.end() - 2)
+    if end < 0 or _VERSION_LINE.search(data, m.end() - 2, end + 2):  # headers of any size, but not into the next record
         return "headers do not end"
     headers = {}
     for line in data[m.end():end].split(b"\r\n") if end > m.end() else []:

@@ -66,6 +66,24 @@ def test_warc_round_trip_of_odd_pages(sp, tmp_path):
     assert warc.read_archives(sp, str(tmp_path / "l")).where("record_type = 'revisit'").count() == 0
 
 
+def test_warc_round_trip_of_long_urls(sp, tmp_path):
+    urls = {1: "http://a/" + "x" * 100_000, 2: "http://a/" + " \n" * 50_000, 3: "http://a/WARC/1.1", 4: "http://a/" + "WARC/1.1\r\n" * 9_000}
+    pages = sp.createDataFrame([(i, u, "<p>same</p>") for i, u in urls.items()], "page_id long, url string, html string")
+    warc.write_archives(pages.coalesce(1), str(tmp_path / "u"))
+    rows = warc.read_archives(sp, str(tmp_path / "u")).collect()
+    assert {r["kind"] for r in rows} == {"record"}
+    coded = {f"<urn:page:{i}>": u.replace(" ", "%20").replace("\n", "%0A").replace("\r", "%0D") for i, u in urls.items()}
+    assert {r["record_id"]: r["target_uri"] for r in rows} == coded
+    assert Counter((r["record_type"], r["refers_to"]) for r in rows) == {("response", None): 1, ("revisit", "<urn:page:1>"): 3}
+
+
+def test_headers_without_an_end_stop_at_the_next_version_line():
+    cut = b"WARC/1.1\r\nWARC-Type: response\r\n"
+    rows = list(warc.salvage(cut + _record(1, b"x") + cut))
+    assert [(a, b, h and h["warc-record-id"]) for a, b, h, _, _ in rows] == [
+        (0, len(cut), None), (len(cut), rows[1][1], "<urn:page:1>"), (rows[1][1], rows[1][1] + len(cut), None)]
+
+
 def _record(i, payload):
     return (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: sha1:{_digest(payload)}\r\n"
             f"Content-Length: {len(payload)}\r\n\r\n").encode() + payload + b"\r\n\r\n"
