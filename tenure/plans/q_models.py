@@ -8,6 +8,7 @@ they report with are oracle-checked in ``q_metrics``.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,10 +121,8 @@ def tuning(spark, sf_dir, task: str, family: str, n_trials: int = md.TRIALS, bou
 
 @register("m7_tuning")
 def m7_tuning(spark, sf_dir):
-    """Two forest trials per task; ``tuning`` runs every family, 20 trials unless told otherwise."""
-    bounds = md.SEARCH["random_forest"] | {"numTrees": (30, 60), "maxDepth": (5, 8)}
-    return tuning(spark, sf_dir, "churn", "random_forest", 2, bounds).unionByName(
-        tuning(spark, sf_dir, "vod_purchase", "random_forest", 2, bounds))
+    """The whole search: every family of ``SEARCH`` within its bounds, ``TRIALS`` trials each, for both tasks."""
+    return reduce(DataFrame.unionByName, [tuning(spark, sf_dir, task, family) for task in TASKS for family in md.SEARCH])
 
 
 # ---------------------------------------------------------------- M14 / Q2
