@@ -69,7 +69,7 @@ def findings(df: DataFrame, features: Sequence[str], id_cols: Sequence[str], cor
         counts = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, (_, c) in enumerate(named)])
         parts.append(counts.select(F.explode(F.array(*[one(check, F.lit(c), F.col(f"n{i}")) for i, (check, c) in enumerate(named)])).alias("f")))
     if dominance is not None:
-        parts.append(dominance.where(F.col("share") >= DOMINANCE_WARN).select(one("dominance", F.col("feature"), F.col("share")).alias("f")))
+        parts.append(dominance.where(F.col("share") > DOMINANCE_WARN).select(one("dominance", F.col("feature"), F.col("share")).alias("f")))
     return reduce(DataFrame.unionAll, parts).select("f.*")
 
 

@@ -136,6 +136,14 @@ def _prior_rf(spark, sf_dir, trees: int = 50, depth: int = 8, task: str = "churn
     return md.importances(model, prep.features), data, prep
 
 
+def importance_shares(spark, sf_dir, task: str = "churn") -> DataFrame:
+    """Feature and share of the importance, for Q7; no rows where the label does not vary, as nothing can be fitted."""
+    _, _, training_rows, _, label = TASKS[task]
+    labels = training_rows(spark, sf_dir).filter(~F.col("is_val")).agg(F.countDistinct(label)).first()[0]
+    rows = [(f, float(v)) for f, v in _prior_rf(spark, sf_dir, task=task)[0]] if labels > 1 else []
+    return spark.createDataFrame(rows, "feature string, share double")
+
+
 @register("m14_prior_importance")
 def m14_prior_importance(spark, sf_dir):
     rows = [(task, i + 1, f, float(v), f in DERIVED) for task in TASKS

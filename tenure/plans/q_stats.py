@@ -339,10 +339,11 @@ def q6_month_format(spark, sf_dir):
 # ---------------------------------------------------------------- Q7
 @register("q7_leakage_report")
 def q7_leakage_report(spark, sf_dir):
+    from tenure.plans.q_models import importance_shares
     names, v2 = _feature_names(spark, sf_dir)
     v2 = cut_lineage(v2)  # read by the correlation, duplicate-key and month checks
     corr = lk.target_correlation(encoded_v2(spark, sf_dir, v2), CORR_COLS, "cancel_yn")
-    return lk.severity(lk.findings(v2, names, ID_COLS, corr, ["user_id", "p_mt"], "p_mt"))
+    return lk.severity(lk.findings(v2, names, ID_COLS, corr, ["user_id", "p_mt"], "p_mt", importance_shares(spark, sf_dir)))
 
 
 _ = ORACLES

@@ -312,6 +312,16 @@ def test_severity_rolls_up_findings(spark):
     assert tuple(none) == ("none", 0, 0, 0, 0, 0, 0, "")
 
 
+@pytest.mark.parametrize("share, n", [(0.7, 1), (0.5, 0)])
+def test_leakage_report_checks_dominance(spark, monkeypatch, share, n):
+    import __spark_entry__ as entry
+    from given_tables import SF001
+    from tenure.plans import q_models as qm
+    report = entry.queries()["q7_leakage_report"]
+    monkeypatch.setattr(qm, "_prior_rf", lambda *a, **k: ([("tv_hours", share), ("recency", 1 - share)], None, None))
+    assert report(spark, SF001).first()["n_dominance"] == n
+
+
 def test_checkpoint_folder_must_be_named_on_a_cluster():
     from types import SimpleNamespace as N
     from tenure.session import ensure_checkpoint_dir
