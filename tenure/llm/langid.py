@@ -1,9 +1,11 @@
 """Operator 2, language ID: compression with a zstandard raw-content dictionary per language.
 
-Learning takes, per language, whole documents in the order of a hash of their id until the dictionary has
+Learning takes, per language, documents in the order of a hash of their id until the dictionary has
 ``dict_bytes``; the candidates are about ``docs_per_lang`` documents of the learning folds (crc32 of the id
-mod 4 other than 2, text and lang not null) of at most ``DOC_BYTES`` that do not shrink below 0.3 (repeated
-words teach little), of at most ``max_langs`` languages, the most frequent ones. A text is lower-cased, ASCII
+mod 4 other than 2, text and lang not null), of those longer than ``DOC_BYTES`` a slice of about that size at a place
+drawn by the hash. Those that shrink below 0.3 (repeated words teach little) count only where a language has no others.
+Every language with a letter in its learning folds gets a dictionary: one that the draw missed learns from the first
+such document by the hash, and beyond ``WHOLE_LANGS`` languages each has a smaller share. A text is lower-cased, ASCII
 characters other than letters become spaces, and it is compressed in blocks of ``block_bytes``, each by every
 dictionary alone, so the whole text speaks against the dictionaries rather than against its own beginning.
 Each block ends in the same run of spaces, without which blocks of a few words would be
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tenure.llm.shared import fold_of, hex_int, seeded_hex
@@ -32,7 +34,9 @@ from tenure.llm.shared import fold_of, hex_int, seeded_hex
 DICT_BYTES = 1 << 17
 DOCS_PER_LANG = 256
 DOC_BYTES = 4096
-MAX_LANGS = 256
+#: Up to so many languages have dictionaries of full size; those of more share the same bytes, down to LEAST_BYTES and LEAST_DOCS each.
+WHOLE_LANGS = 256
+LEAST_BYTES, LEAST_DOCS = 1024, 4
 BLOCK_BYTES = 4096
 LEAST_MARGIN = 0.01
 SEED = 2
@@ -47,23 +51,47 @@ def normal(text: str) -> bytes:
     return out if not out or out.isascii() or any(c.isalpha() for c in text) else b""
 
 
-def learn(docs: DataFrame, dict_bytes: int = DICT_BYTES, docs_per_lang: int = DOCS_PER_LANG, max_langs: int = MAX_LANGS) -> dict[str, bytes]:
-    """Dictionary content per language, the most frequent first; the driver gets about ``docs_per_lang`` texts of at most ``DOC_BYTES`` a language."""
+def learn(docs: DataFrame, dict_bytes: int = DICT_BYTES, docs_per_lang: int = DOCS_PER_LANG) -> dict[str, bytes]:
+    """Dictionary content per language, the most frequent first; the driver gets about ``docs_per_lang`` texts of about ``DOC_BYTES`` a language."""
     rows = (docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
-            .where(fold_of("doc_id", 4) != 2).where(F.octet_length("text") <= DOC_BYTES))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, docs_per_lang / r["count"]))).otherwise(share)
-    order = seeded_hex(SEED, "doc_id")
-    picked = (rows.withColumn("o", order).where(hex_int(F.col("o"), 1, 8) < F.lit(2.0**32) * share)
-              .select("lang", "o", "text").collect())
-    out: dict[str, bytearray] = {}
+            .where(fold_of("doc_id", 4) != 2).withColumn("o", seeded_hex(SEED, "doc_id")))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    if not counts:
+        return {}
+    if len(counts) > WHOLE_LANGS:
+        dict_bytes = min(dict_bytes, max(LEAST_BYTES, dict_bytes * WHOLE_LANGS // len(counts)))
+        docs_per_lang = min(docs_per_lang, max(LEAST_DOCS, docs_per_lang * WHOLE_LANGS // len(counts)))
+    spark = docs.sparkSession
+    shares = spark.createDataFrame([(r["lang"], min(1.0, docs_per_lang / r["count"])) for r in counts], "lang string, share double")
+    drawn = rows.join(F.broadcast(shares), "lang").where(hex_int(F.col("o"), 1, 8) < F.lit(2.0**32) * F.col("share"))
+    out = _content(drawn.select("lang", "o", _slice().alias("text")).collect(), dict_bytes)
+    missed = [(r["lang"],) for r in counts if not out.get(r["lang"])]
+    if missed:
+        some = rows.join(F.broadcast(spark.createDataFrame(missed, "lang string")), "lang").withColumn("text", _slice(at_letter=True))
+        first = some.where(F.col("text").rlike(r"\p{L}")).groupBy("lang").agg(F.min(F.struct("o", "text")).alias("r")).select("lang", "r.*")
+        out |= _content(first.collect(), dict_bytes)
+    return {r["lang"]: bytes(out[r["lang"]][:dict_bytes]) for r in counts if out.get(r["lang"])}
+
+
+def _slice(at_letter: bool = False) -> Column:
+    """``text``, of a long one about ``DOC_BYTES`` from a place drawn by the hash ``o`` (or from its first letter)."""
+    n = F.char_length("text")
+    chars = F.greatest(F.lit(1), F.floor(F.lit(float(DOC_BYTES)) * n / F.octet_length("text"))).cast("int")
+    start = F.char_length(F.regexp_extract("text", r"^[^\p{L}]*+", 0)) if at_letter else F.pmod(hex_int(F.col("o"), 9, 8), n - chars + 1).cast("int")
+    return F.when(F.octet_length("text") <= DOC_BYTES, F.col("text")).otherwise(F.substring(F.col("text"), start + 1, chars))
+
+
+def _content(picked: list[Row], dict_bytes: int) -> dict[str, bytearray]:
+    """Per language the texts in the order of ``o`` up to about ``dict_bytes``; repetitive ones where there are no others."""
+    varied: dict[str, bytearray] = {}
+    repeated: dict[str, bytearray] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["o"], r["text"])):
-        have, text = out.setdefault(r["lang"], bytearray()), normal(r["text"])
-        if text and len(have) < dict_bytes and len(zlib.compress(text)) >= 0.3 * len(text):
+        text = normal(r["text"])
+        into = varied if len(zlib.compress(text)) >= 0.3 * len(text) else repeated
+        have = into.setdefault(r["lang"], bytearray())
+        if text and len(have) < dict_bytes:
             have += text + b" "
-    return {r["lang"]: bytes(out[r["lang"]][:dict_bytes]) for r in counts if out.get(r["lang"])}
+    return repeated | {lang: have for lang, have in varied.items() if have or lang not in repeated}
 
 
 def predictor(dictionaries: dict[str, bytes], block_bytes: int = BLOCK_BYTES, least_margin: float = LEAST_MARGIN):

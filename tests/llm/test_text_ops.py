@@ -111,6 +111,29 @@ def test_language_order_follows_the_documents(sp):
     assert list(learnt) == ["es", "en"] and b"one two" in learnt["en"]
 
 
+def test_every_language_gets_a_dictionary(sp):
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 8)))
+    words = {letters: [word(letters) for _ in range(400)] for letters in ("abcdefg", "hijklmn")}
+    prose = lambda letters, n: " ".join(rng.choice(words[letters]) for _ in range(n))
+    rows = [(prose("abcdefg", 80), "short") for _ in range(20)] + [(prose("hijklmn", 3000), "long") for _ in range(20)]
+    rows += [("opq rst " * 200, "repeated")] * 20 + [("1 " * 9000 + "uvw xyz " * 40, "late")] * 20 + [("123", "no letter")] * 20
+    docs = sp.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    learnt = langid.learn(docs)
+    assert set(learnt) == {"short", "long", "repeated", "late"} and max(map(len, learnt.values())) <= langid.DICT_BYTES
+    got = langid.predict_languages(docs.where("lang <> 'no letter'"), learnt).where("lang <> lang_pred").count()
+    assert got == 0
+
+
+def test_more_languages_than_have_dictionaries_of_full_size(sp):
+    n = langid.WHOLE_LANGS + 44
+    ids = [i for i in range(8 * n) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = sp.createDataFrame([(d, f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100]} words of it", f"l{k}") for k, d in zip((i % n for i in range(len(ids))), ids)],
+                              "doc_id long, text string, lang string")
+    learnt = langid.learn(docs, dict_bytes=4096, docs_per_lang=4)
+    assert len(learnt) == n and max(map(len, learnt.values())) <= 4096 * langid.WHOLE_LANGS // n
+
+
 def test_language_odd_and_empty(sp, odd_docs):
     content = langid.learn(table(sp, SF01, "documents"))
     got = langid.predict_languages(odd_docs, content).collect()
