@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import ftrl, jaccard, langid, logratio, lshforest, mixing, packing, sharding, urlfilter, warc
+from tenure.llm import alignment, ftrl, jaccard, langid, logratio, lshforest, mixing, packing, sharding, urlfilter, warc
 from tenure.llm.shared import fold_of, package_on_workers, table
 from tenure.session import ensure_checkpoint_dir
 
@@ -85,3 +85,8 @@ def op9_url_filter(spark, sf_dir):
 def op10_mixing(spark, sf_dir):
     got = mixing.mix_sources(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return got.select("doc_id", "n_tokens", "topic", F.round("gain", 9).alias("gain"), F.round("probability", 9).alias("probability"), "sampled")
+
+
+@query
+def op11_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"))
