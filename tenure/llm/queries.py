@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import alignment, ftrl, jaccard, langid, logratio, lshforest, mixing, packing, sharding, urlfilter, warc
+from tenure.llm import alignment, ftrl, jaccard, langid, logratio, lshforest, mixing, multiindex, packing, sharding, urlfilter, warc, whitening
 from tenure.llm.shared import fold_of, package_on_workers, table
 from tenure.session import ensure_checkpoint_dir
 
@@ -90,3 +90,13 @@ def op10_mixing(spark, sf_dir):
 @query
 def op11_alignment(spark, sf_dir):
     return alignment.align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_embedding_dedup(spark, sf_dir):
+    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
