@@ -1,23 +1,24 @@
 """Hypothesis tests and effect sizes.
 
-Each test splits into a Spark part that reduces the data to a handful of
-numbers per column (counts, moments, rank sums, contingency cells) and a
-driver part that turns those numbers into a statistic and a p-value. All
-columns of a sweep are reduced together over a long (column, value) form, so
-the number of jobs does not grow with the number of columns.
+Each test reduces the data to a handful of numbers per column (counts,
+moments, rank sums, contingency cells) and turns them into a statistic and a
+p-value as columns (``functions.tails``). All columns of a sweep are reduced
+together over a long (column, value) form, so the number of jobs does not
+grow with the number of columns. The scalar forms are for single results.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions import distributions as dist
+from tenure.functions import tails
 from tenure.operators.ranking import global_rank, running_sums
 from tenure.operators.sampling import hash32
 
@@ -63,18 +64,25 @@ def cohens_d(a: Mapping, b: Mapping) -> float:
 
 
 def moments_table(df: DataFrame, cols: Sequence[str], group_col: str) -> DataFrame:
-    """T1/T2/T8 as a DataFrame: per column n, mean, var by group, Welch t, pooled t, Cohen's d (1 vs 0)."""
+    """T1/T2/T8 as a DataFrame: per column n, mean, var by group, Welch t, pooled t, their two-sided p, Cohen's d (1 vs 0).
+
+    Without variance in both groups t and p are null.
+    """
     m = group_moments(df, cols, group_col)
     g0 = m.filter(F.col("group") == 0).select("column", *[F.col(c).alias(f"{c}0") for c in ("n", "mean", "var")])
     g1 = m.filter(F.col("group") == 1).select("column", *[F.col(c).alias(f"{c}1") for c in ("n", "mean", "var")])
     j = g0.join(g1, "column", "inner")
     se2 = F.col("var0") / F.col("n0") + F.col("var1") / F.col("n1")
-    sp2 = ((F.col("n0") - 1) * F.col("var0") + (F.col("n1") - 1) * F.col("var1")) / (F.col("n0") + F.col("n1") - 2)
-    return j.select("column", "n0", "n1", "mean0", "mean1", "var0", "var1",
-                    ((F.col("mean0") - F.col("mean1")) / F.sqrt(se2)).alias("welch_t"),
-                    ((F.col("mean0") - F.col("mean1")) / F.sqrt(sp2 * (1.0 / F.col("n0") + 1.0 / F.col("n1"))))
-                    .alias("pooled_t"),
-                    F.when(sp2 > 0, (F.col("mean1") - F.col("mean0")) / F.sqrt(sp2)).otherwise(0.0).alias("cohens_d"))
+    sp2 = F.try_divide((F.col("n0") - 1) * F.col("var0") + (F.col("n1") - 1) * F.col("var1"), F.col("n0") + F.col("n1") - 2)
+    part0, part1 = F.col("var0") / F.col("n0"), F.col("var1") / F.col("n1")
+    dof = F.try_divide(se2 * se2, F.try_divide(part0 * part0, F.col("n0") - 1) + F.try_divide(part1 * part1, F.col("n1") - 1))
+    pooled = F.sqrt(sp2 * (1.0 / F.col("n0") + 1.0 / F.col("n1")))
+    t = j.select("column", "n0", "n1", "mean0", "mean1", "var0", "var1",
+                 F.try_divide(F.col("mean0") - F.col("mean1"), F.sqrt(se2)).alias("welch_t"), dof.alias("welch_dof"),
+                 F.try_divide(F.col("mean0") - F.col("mean1"), pooled).alias("pooled_t"),
+                 F.when(sp2 > 0, F.try_divide(F.col("mean1") - F.col("mean0"), F.sqrt(sp2))).otherwise(0.0).alias("cohens_d"))
+    return t.withColumns({"welch_p": tails.t_two_sided(F.col("welch_t"), F.col("welch_dof")),
+                          "pooled_p": tails.t_two_sided(F.col("pooled_t"), F.col("n0") + F.col("n1") - 2)})
 
 
 # ---------------------------------------------------------------- normality
@@ -140,14 +148,24 @@ def mann_whitney_from(n1: float, n2: float, r1: float, tie: float) -> tuple[floa
     return u1, z, p
 
 
+#: Without ties U has an exact distribution: used where a sample has at most ``EXACT_ROWS`` rows, as the usual automatic
+#: choice has it, and the distribution at most ``EXACT_SUMS`` values; else it is close to normal.
+EXACT_ROWS = 8
+EXACT_SUMS = 4096
+
+
 def mw_columns(n_pos: Column, n_neg: Column, r_pos: Column, tie: Column) -> dict[str, Column]:
-    """Column-expression form of the U statistic, z and rank-biserial (T4/T5) for SQL-checkable tables."""
+    """T4/T5 as columns: U of the positives, z, two-sided p (exact for small samples without ties) and rank-biserial."""
     u1 = r_pos - n_pos * (n_pos + 1) / 2.0
     u2 = n_pos * n_neg - u1
     n = n_pos + n_neg
-    s = F.sqrt(n_pos * n_neg / 12.0 * ((n + 1) - tie / (n * (n - 1))))
-    z = (F.greatest(u1, u2) - n_pos * n_neg / 2.0 - 0.5) / s
-    return {"u_pos": u1, "z": z, "rank_biserial": (2.0 * u1) / (n_pos * n_neg) - 1.0}
+    s = F.sqrt(n_pos * n_neg / 12.0 * ((n + 1) - F.try_divide(tie, n * (n - 1))))
+    z = F.try_divide(F.greatest(u1, u2) - n_pos * n_neg / 2.0 - 0.5, s)
+    small = (F.least(n_pos, n_neg).between(1, EXACT_ROWS)) & (n_pos * n_neg <= EXACT_SUMS) & (tie == 0)
+    one = F.lit(1.0)  # where it does not apply the exact form gets the smallest case, so that nothing is counted
+    exact = tails.rank_sum_exact(F.when(small, u1).otherwise(0.0), F.when(small, n_pos).otherwise(one), F.when(small, n_neg).otherwise(one))
+    return {"u_pos": u1, "z": z, "p_value": F.when(small, exact).otherwise(tails.normal_two_sided(z)),
+            "rank_biserial": F.try_divide(2.0 * u1, n_pos * n_neg) - 1.0}
 
 
 def rank_biserial(u: float, n1: float, n2: float) -> float:
@@ -179,7 +197,7 @@ def chi_square(table: np.ndarray, correction: bool = True) -> tuple[float, int,
 
 
 def chi_square_columns(counts: DataFrame) -> DataFrame:
-    """T6/T7 of every column's crosstab (column, value, group, cnt), as columns: chi2, dof, n, cramers_v.
+    """T6/T7 of every column's crosstab (column, value, group, cnt), as columns: chi2, dof, p_value, n, cramers_v.
 
     The grid of a column's values and groups holds the empty cells; the sums stay in Spark, whatever the
     number of values. Tables smaller than 2x2 have no row.
@@ -195,54 +213,41 @@ def chi_square_columns(counts: DataFrame) -> DataFrame:
     gap = gap - F.when(F.col("dof") == 1, F.least(F.lit(0.5), gap)).otherwise(0.0)
     out = grid.withColumns({"dof": dof, "e": expected}).groupBy("column", "dof", "n", "r", "k").agg(F.sum(gap * gap / F.col("e")).alias("chi2"))
     return out.select("column", "chi2", F.col("dof").cast("long").alias("dof"), F.col("n").cast("long").alias("n"),
-                      F.sqrt(F.col("chi2") / F.col("n") / F.least(F.col("r") - 1, F.col("k") - 1)).alias("cramers_v"))
+                      tails.chi_square_tail(F.col("chi2"), F.col("dof")).alias("p_value"), F.sqrt(F.col("chi2") / F.col("n") / F.least(F.col("r") - 1, F.col("k") - 1)).alias("cramers_v"))
 
 
 # ---------------------------------------------------------------- sweep
-def _numeric_tests(df: DataFrame, group_col: str, cols: Sequence[str], alpha: float, least: int) -> pd.DataFrame:
-    """T9, numeric side: both candidate tests of every column and which one applies (one row per column)."""
-    wide = group_moments(df, cols, group_col).toPandas().set_index(["column", "group"]).unstack("group")
-    if {("n", 0), ("n", 1)} - set(wide.columns):
-        return pd.DataFrame()
-    wide = wide[(wide["n"][0] >= least) & (wide["n"][1] >= least)]
+def _numeric_tests(df: DataFrame, group_col: str, cols: Sequence[str], alpha: float, least: int) -> DataFrame:
+    """T9, numeric side: Welch's t where both groups are normal, else Mann-Whitney; a row per column."""
+    normal = normality_columns(group_moments(df, cols, group_col)).where("group IN (0, 1)").groupBy("column").agg(
+        F.bool_and(F.coalesce(F.col("p_value") > alpha, F.lit(False))).alias("normal"))
     split = df.select((F.col(group_col) == 0).alias("is_pos"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("kv"))
-    ranks = rank_sums(split.select("kv.column", "kv.value", "is_pos")).toPandas().set_index("column")
-    side = lambda c, g: wide.loc[c].xs(g, level="group").to_dict()
-    table = pd.DataFrame(index=wide.index)
-    table["normal"] = [all((k := normality(side(c, g))) is not None and k[1] > alpha for g in (0, 1)) for c in table.index]
-    table["t"], table["t_p"] = zip(*[welch_t(side(c, 0), side(c, 1)) for c in table.index]) if len(table) else ((), ())
-    ranked = ranks.loc[table.index]
-    u = [mann_whitney_from(*r) for r in ranked[["n_pos", "n_neg", "rank_sum_pos", "tie_term"]].itertuples(index=False)]
-    table["u"], table["u_p"] = [x[0] for x in u], [x[2] for x in u]
-    pooled = ((wide["n"] - 1) * wide["var"]).sum(axis=1) / (wide["n"].sum(axis=1) - 2)
-    table["effect"] = ((wide["mean"][1] - wide["mean"][0]) / np.sqrt(pooled.where(pooled > 0))).fillna(0.0)
-    return table.assign(test=np.where(table["normal"], "t-test", "Mann-Whitney U"), statistic=np.where(table["normal"], table["t"], table["u"]),
-                        p_value=np.where(table["normal"], table["t_p"], table["u_p"]), mean0=wide["mean"][0], mean1=wide["mean"][1])
+    ranks = rank_sums(split.select("kv.column", "kv.value", "is_pos"))
+    u = mw_columns(F.col("n_pos").cast("double"), F.col("n_neg").cast("double"), F.col("rank_sum_pos"), F.col("tie_term"))
+    table = moments_table(df, cols, group_col).where((F.col("n0") >= least) & (F.col("n1") >= least)).join(normal, "column")
+    table = table.join(ranks.select("column", u["u_pos"].alias("u"), u["p_value"].alias("u_p")), "column")
+    pick = lambda a, b: F.when(F.col("normal"), F.col(a)).otherwise(F.col(b))
+    return table.select("column", F.when(F.col("normal"), "t-test").otherwise("Mann-Whitney U").alias("test"), pick("welch_t", "u").alias("statistic"),
+                        pick("welch_p", "u_p").alias("p_value"), F.coalesce("cohens_d", F.lit(0.0)).alias("effect"), "mean0", "mean1")
 
 
 def eda_sweep(df: DataFrame, group_col: str, numeric: Sequence[str], categorical: Sequence[str], alpha: float = ALPHA,
-              min_group: int = 5) -> pd.DataFrame:
-    """One test per column, a row each, largest effect first.
+              min_group: int = 5) -> DataFrame:
+    """One test per column, a row each: column, test, statistic, p_value, effect, mean0, mean1, significant.
 
     Numeric: normality from the moments of all rows; both groups normal -> Welch t, else Mann-Whitney; effect =
     Cohen's d (group 1 minus group 0); groups under ``min_group`` rows are left out. Categorical: chi-square and
-    Cramer's V (tables under 2x2 are left out). Bonferroni from 10 tests on, counting columns left out. Only one
-    row per column reaches the driver.
+    Cramer's V (tables under 2x2 are left out). Bonferroni from 10 tests on, counting columns left out.
     """
-    parts = []
-    if numeric and len(found := _numeric_tests(df, group_col, numeric, alpha, min_group)):
-        parts.append(found.reset_index())
+    parts = [_numeric_tests(df, group_col, numeric, alpha, min_group)] if numeric else []
     if categorical:
-        chi = chi_square_columns(contingency(df, categorical, group_col)).toPandas()
-        parts.append(chi.assign(test="chi2", statistic=chi["chi2"], effect=chi["cramers_v"], mean0=None, mean1=None,
-                                p_value=[dist.chi2_sf(x, int(d)) for x, d in zip(chi["chi2"], chi["dof"])]))
-    names = ["column", "test", "statistic", "p_value", "effect", "mean0", "mean1"]
-    rows = pd.concat([x[names].astype(object) for x in parts], ignore_index=True) if parts else pd.DataFrame(columns=names)
+        none = F.lit(None).cast("double")
+        parts.append(chi_square_columns(contingency(df, categorical, group_col)).select(
+            "column", F.lit("chi2").alias("test"), F.col("chi2").alias("statistic"), "p_value", F.col("cramers_v").alias("effect"), none.alias("mean0"), none.alias("mean1")))
     tests = len(numeric) + len(categorical)
-    rows["significant"] = [bool(x < (alpha / tests if tests >= 10 else alpha)) for x in rows["p_value"]]
-    order = rows["effect"].astype(float).abs().sort_values(ascending=False, kind="stable").index
-    return rows.loc[order].reset_index(drop=True)
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.withColumn("significant", F.coalesce(F.col("p_value") < (alpha / tests if tests >= 10 else alpha), F.lit(False)))
 
 
 def stars(p: float) -> str:
@@ -267,20 +272,38 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.explode(items).alias("_p")).select("_p.*")
 
 
-def vif_from_corr(names: Sequence[str], corr_rows) -> list[tuple[str, float]]:
-    """VIF_j = 1 / (1 - R2_j), R2_j from the other columns' correlations; inf when R2 >= 0.9999.
+#: A pivot under this is a column that the others already determine; a residual share under it makes R2 count as 1.
+NO_PIVOT = 1e-10
+INFINITE_R2 = 0.9999
+
+
+def vif_columns(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """T12 from correlation pairs (col_a, col_b, r): feature and VIF = 1 / (1 - R2); infinite from an R2 of 0.9999 on.
 
-    A pseudo-inverse solves each column, so that one pair of equal columns does not make every VIF infinite.
+    For each feature the other columns are swept out of the correlation matrix, the one with the largest remaining
+    pivot first; columns without a pivot left (equal columns, constant ones) add nothing. What is left on the
+    feature's diagonal is 1 - R2. The matrices are arrays of k x k numbers, one row per feature.
     """
-    idx = {n: i for i, n in enumerate(names)}
-    k = len(names)
-    r = np.eye(k)
-    for a, b, v in corr_rows:
-        r[idx[a], idx[b]] = r[idx[b], idx[a]] = 0.0 if v is None or (isinstance(v, float) and math.isnan(v)) else v
-    out = []
-    for i, n in enumerate(names):
-        rest = [j for j in range(k) if j != i]
-        own = r[i, rest]
-        r2 = float(own @ np.linalg.pinv(r[np.ix_(rest, rest)], hermitian=True) @ own)
-        out.append((n, float("inf") if r2 >= 0.9999 else 1.0 / (1.0 - r2)))
-    return out
+    k, order = len(names), list(names)
+    place = lambda c: F.array_position(F.array(*[F.lit(n) for n in order]), F.col(c))
+    r = F.coalesce(F.when(~F.isnan("r"), F.col("r")), F.lit(0.0))
+    cells = pairs.select(place("col_a").alias("i"), place("col_b").alias("j"), r.alias("r"))
+    cells = cells.union(cells.select("j", "i", "r"))
+    packed = cells.agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") * (k + 1) + F.col("j")).alias("at"), "r"))).alias("cells"))  # k (k - 1) numbers
+    at = lambda i, j: F.when(i == j, 1.0).otherwise(F.coalesce(F.try_element_at("cells", (i * (k + 1) + j).cast("long")), F.lit(0.0)))
+    every = F.sequence(F.lit(1), F.lit(k))
+    matrix = F.transform(every, lambda i: F.transform(every, lambda j: at(i, j)))
+    start = packed.select(matrix.alias("m")).select("m", F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in order]).alias("feature"), every.alias("own"))).alias("f"))
+    start = start.select("m", "f.feature", "f.own")
+
+    def sweep(m, _):
+        diagonal = F.transform(every, lambda i: F.when(i == F.col("own"), -1.0).otherwise(F.get(F.get(m, i - 1), i - 1)))
+        best = F.array_max(diagonal)
+        row = F.get(m, F.array_position(diagonal, best).cast("int") - 1)
+        p = F.array_position(diagonal, best).cast("int") - 1
+        swept = F.transform(m, lambda line: F.zip_with(line, row, lambda x, y: x - F.get(line, p) * F.try_divide(y, best)))
+        return F.when(best > NO_PIVOT, swept).otherwise(m)
+
+    left = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, k - 1))), F.col("m"), sweep, lambda m: F.get(F.get(m, F.col("own") - 1), F.col("own") - 1))
+    out = start.select("feature", left.alias("rest"))
+    return out.select("feature", F.when(F.col("rest") <= 1 - INFINITE_R2, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1.0), F.col("rest"))).alias("vif"))

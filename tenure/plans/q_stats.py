@@ -7,6 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenure.functions import tails
 from tenure.functions.numeric import fix, fix_sig, fix_sig_sql, fix_sql
 from tenure.operators import leakage as lk
 from tenure.operators import stats as st
@@ -47,16 +48,28 @@ SELECT '{c}' AS "column", {n0} AS n0, {n1} AS n1, {fix_sig_sql(m0)} AS mean0, {f
        {fix_sig_sql(v0)} AS var0, {fix_sig_sql(v1)} AS var1,
        {fix_sig_sql(f'({m0} - {m1}) / SQRT({v0} / {n0} + {v1} / {n1})', 9)} AS welch_t,
        {fix_sig_sql(f'({m0} - {m1}) / SQRT({sp2} * (1.0 / {n0} + 1.0 / {n1}))', 9)} AS pooled_t,
-       {fix_sig_sql(f'CASE WHEN {sp2} > 0 THEN ({m1} - {m0}) / SQRT({sp2}) ELSE 0.0 END', 9)} AS cohens_d
+       {fix_sig_sql(f'CASE WHEN {sp2} > 0 THEN ({m1} - {m0}) / SQRT({sp2}) ELSE 0.0 END', 9)} AS cohens_d,
+       ({m0} - {m1}) / SQRT({v0} / {n0} + {v1} / {n1}) AS wt, ({m0} - {m1}) / SQRT({sp2} * (1.0 / {n0} + 1.0 / {n1})) AS pt, {n0} + {n1} - 2 AS pdof,
+       POW({v0} / {n0} + {v1} / {n1}, 2) / (POW({v0} / {n0}, 2) / ({n0} - 1) + POW({v1} / {n1}, 2) / ({n1} - 1)) AS wdof
 FROM v2x"""
 
 
-@register("t1_t2_t8_moments", with_views(SQL_V2X, " UNION ALL ".join(_moments_sql(c) for c in NUMERIC)))
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+SQL_MOMENTS = "mo AS (" + " UNION ALL ".join(_moments_sql(c) for c in NUMERIC) + "),\n" + ",\n".join(
+    [tails.t_two_sided_sql("wp", "mo", ['"column"'], "wt", "wdof"), tails.t_two_sided_sql("pp", "mo", ['"column"'], "pt", "pdof")])
+
+
+@register("t1_t2_t8_moments", recursive(with_views(SQL_V2X + ",\n" + SQL_MOMENTS, f"""
+SELECT mo.* EXCLUDE (wt, pt, wdof, pdof), {fix_sig_sql('wp.p', 7)} AS welch_p, {fix_sig_sql('pp.p', 7)} AS pooled_p
+FROM mo JOIN wp ON mo."column" = wp."column" JOIN pp ON mo."column" = pp."column\"""")))
 def t1_t2_t8_moments(spark, sf_dir):
     t = st.moments_table(_v2(spark, sf_dir), NUMERIC, "cancel_yn")
-    # differences of close means amplify last-bit noise: effect statistics keep 9 significant digits
+    # differences of close means amplify last-bit noise: effect statistics keep 9 significant digits, tails 7
     return t.select("column", "n0", "n1", *[fix_sig(c).alias(c) for c in ("mean0", "mean1", "var0", "var1")],
-                    *[fix_sig(c, 9).alias(c) for c in ("welch_t", "pooled_t", "cohens_d")])
+                    *[fix_sig(c, 9).alias(c) for c in ("welch_t", "pooled_t", "cohens_d")], *[fix_sig(c, 7).alias(c) for c in ("welch_p", "pooled_p")])
 
 
 # ---------------------------------------------------------------- T3
@@ -120,7 +133,7 @@ def _hyp_table(long):
                        F.col("tie_term"))
     return rs.join(means, "hypothesis", "inner").select(
         "hypothesis", "n_pos", "n_neg", fix("mean_pos").alias("mean_pos"), fix("mean_neg").alias("mean_neg"),
-        fix(mw["u_pos"]).alias("u_pos"), fix(mw["z"]).alias("z"), fix(mw["rank_biserial"]).alias("rank_biserial"))
+        fix(mw["u_pos"]).alias("u_pos"), fix(mw["z"]).alias("z"), fix(mw["rank_biserial"]).alias("rank_biserial"), fix_sig(mw["p_value"], 7).alias("p_value"))
 
 
 def _hyp_sql():
@@ -160,7 +173,7 @@ SELECT rs.hypothesis, CAST(n1 AS BIGINT) AS n_pos, CAST(n0 AS BIGINT) AS n_neg,
        {fix_sql(f'(2.0 * {U1}) / (n1 * n0) - 1.0')} AS rank_biserial
 FROM rs JOIN mm ON rs.hypothesis = mm.hypothesis"""))
 def t4_t5_mann_whitney(spark, sf_dir):
-    return _hyp_table(_hyp_long(spark, sf_dir))
+    return _hyp_table(_hyp_long(spark, sf_dir)).drop("p_value")
 
 
 #: |z| beyond which the two-sided p falls below each level.
@@ -190,22 +203,28 @@ def t10_decisions(spark, sf_dir):
     return t.select("hypothesis", "expected", "direction_ok", "significance", "rank_biserial", "n_pos", "n_neg", result.alias("result"))
 
 
-@register("t10_directed_hypotheses")
+STARS = [(0.001, "***"), (0.01, "**"), (0.05, "*")]
+SQL_STARS = "CASE " + " ".join(f"WHEN p_value < {p} THEN '{mark}'" for p, mark in STARS) + " ELSE 'ns' END"
+SQL_HYP_P = SQL_HYP + f",\nhr AS {SQL_RESULT},\n" + tails.gamma_q_sql("hp", "hr", ["hypothesis"], "0.5", "(z * z / 2)") + f""",
+hq AS (SELECT hr.*, {fix_sig_sql('CASE WHEN z <= 0 THEN 1 ELSE q END', 7)} AS p_value, (mean_pos > mean_neg) = (expected = '+') AS direction_ok
+       FROM hr JOIN hp ON hr.hypothesis = hp.hypothesis)"""
+
+
+@register("t10_directed_hypotheses", recursive(with_views(SQL_HYP_P, f"""
+SELECT hypothesis, p_value, {SQL_STARS} AS significance, {fix_sql('rb')} AS rank_biserial, expected, direction_ok,
+       CASE WHEN direction_ok AND p_value < 0.05 THEN 'accept' ELSE 'reject' END AS result, CAST(n1 AS BIGINT) AS n_pos, CAST(n0 AS BIGINT) AS n_neg
+FROM hq WHERE n1 > 0 AND n0 > 0""")))
 def t10_directed_hypotheses(spark, sf_dir):
-    rows = []
-    expected = {h: e for h, _, e in HYPOTHESES}
-    for r in _hyp_table(_hyp_long(spark, sf_dir)).collect():
-        n1, n0 = float(r["n_pos"]), float(r["n_neg"])
-        if n1 == 0 or n0 == 0:
-            continue
-        z = r["z"]
-        p = min(1.0, 2.0 * st.dist.norm_sf(z)) if z is not None else None
-        ok = (r["mean_pos"] > r["mean_neg"]) == (expected[r["hypothesis"]] == "+")
-        sig = st.stars(p) if p is not None else "ns"
-        rows.append((r["hypothesis"], p, sig, float(r["rank_biserial"]), expected[r["hypothesis"]], ok,
-                     "accept" if ok and sig != "ns" else "reject", int(n1), int(n0)))
-    return spark.createDataFrame(rows, "hypothesis string, p_value double, significance string, rank_biserial double, "
-                                       "expected string, direction_ok boolean, result string, n_pos long, n_neg long")
+    """P-value, significance, effect, direction and result of each hypothesis whose sides both have rows."""
+    expected, mark = F.lit(None).cast("string"), F.lit("ns")
+    for h, _, sign in HYPOTHESES:
+        expected = F.when(F.col("hypothesis") == h, F.lit(sign)).otherwise(expected)
+    for p, stars in reversed(STARS):
+        mark = F.when(F.col("p_value") < p, F.lit(stars)).otherwise(mark)
+    t = _hyp_table(_hyp_long(spark, sf_dir)).where("n_pos > 0 AND n_neg > 0").withColumns({"expected": expected, "significance": mark})
+    t = t.withColumn("direction_ok", (F.col("mean_pos") > F.col("mean_neg")) == (F.col("expected") == "+"))
+    return t.select("hypothesis", "p_value", "significance", "rank_biserial", "expected", "direction_ok",
+                    F.when(F.col("direction_ok") & (F.col("significance") != "ns"), "accept").otherwise("reject").alias("result"), "n_pos", "n_neg")
 
 
 # ---------------------------------------------------------------- T6 / T7
@@ -229,24 +248,44 @@ adj AS (SELECT "column", dof, e, CASE WHEN dof = 1 THEN o + LEAST(0.5, ABS(e - o
 chi AS (SELECT "column", MIN(dof) AS dof, SUM((oa - e) * (oa - e) / e) AS chi2 FROM adj GROUP BY "column")"""
 
 
-@register("t6_t7_chi_square", with_views(SQL_V2X + ",\n" + _chi_sql(), f"""
+SQL_CHI_P = _chi_sql() + ",\n" + tails.gamma_q_sql("cp", "chi", ['"column"'], "dof / 2.0", "chi2 / 2.0")
+
+
+@register("t6_t7_chi_square", recursive(with_views(SQL_V2X + ",\n" + SQL_CHI_P, f"""
 SELECT chi."column", {fix_sql('chi2')} AS chi2, CAST(dof AS BIGINT) AS dof, CAST(tot.n AS BIGINT) AS n,
-       {fix_sql('SQRT((chi2 / tot.n) / LEAST(tot.r - 1, tot.k - 1))')} AS cramers_v
-FROM chi JOIN tot ON chi."column" = tot."column\""""))
+       {fix_sql('SQRT((chi2 / tot.n) / LEAST(tot.r - 1, tot.k - 1))')} AS cramers_v, {fix_sig_sql('q', 7)} AS p_value
+FROM chi JOIN tot ON chi."column" = tot."column" JOIN cp ON chi."column" = cp."column\"""")))
 def t6_t7_chi_square(spark, sf_dir):
     chi = st.chi_square_columns(st.contingency(_v2(spark, sf_dir), CATEGORICAL, "cancel_yn"))
-    return chi.select("column", fix("chi2").alias("chi2"), "dof", "n", fix("cramers_v").alias("cramers_v"))
+    return chi.select("column", fix("chi2").alias("chi2"), "dof", "n", fix("cramers_v").alias("cramers_v"), fix_sig("p_value", 7).alias("p_value"))
 
 
 # ---------------------------------------------------------------- T9
-@register("t9_eda_sweep")
+TESTS = len(NUMERIC) + len(CATEGORICAL)
+SQL_SWEEP = ",\n".join([SQL_V2X, SQL_K2, SQL_MOMENTS, SQL_CHI_P]) + """,
+nm AS (SELECT "column", BOOL_AND(COALESCE(EXP(-(zs * zs + zk * zk) / 2) > 0.05, FALSE)) AS normal FROM k2 WHERE grp IN (0, 1) GROUP BY 1),
+rv AS (SELECT "column", x, COUNT(*) FILTER (WHERE grp = 0) AS c1, COUNT(*) AS t FROM x3 GROUP BY 1, 2),
+rc AS (SELECT *, SUM(t) OVER (PARTITION BY "column" ORDER BY x ROWS UNBOUNDED PRECEDING) AS ct FROM rv),
+ru AS (SELECT "column", CAST(SUM(c1) AS DOUBLE) AS n1, CAST(SUM(t) - SUM(c1) AS DOUBLE) AS n0, SUM(CAST(c1 AS DOUBLE) * (CAST(ct - t AS DOUBLE) + CAST(t + 1 AS DOUBLE) / 2.0)) AS r1,
+       SUM(POW(CAST(t AS DOUBLE), 3) - CAST(t AS DOUBLE)) AS tie FROM rc GROUP BY 1),
+rz AS (SELECT "column", r1 - n1 * (n1 + 1) / 2.0 AS u, (ABS(r1 - n1 * (n1 + 1) / 2.0 - n1 * n0 / 2.0) - 0.5)
+         / SQRT(n1 * n0 / 12.0 * (n1 + n0 + 1 - tie / ((n1 + n0) * (n1 + n0 - 1)))) AS z FROM ru),
+""" + tails.gamma_q_sql("rp", "rz", ['"column"'], "0.5", "(z * z / 2)") + """,
+sw AS (SELECT mo."column", CASE WHEN normal THEN 't-test' ELSE 'Mann-Whitney U' END AS test, CASE WHEN normal THEN wt ELSE u END AS statistic,
+         CASE WHEN normal THEN wp.p WHEN z <= 0 THEN 1 ELSE rp.q END AS p_value, cohens_d AS effect, mean0, mean1
+       FROM mo JOIN nm ON mo."column" = nm."column" JOIN rz ON mo."column" = rz."column" JOIN rp ON mo."column" = rp."column" JOIN wp ON mo."column" = wp."column"
+       WHERE n0 >= 5 AND n1 >= 5
+       UNION ALL SELECT chi."column", 'chi2', chi2, cp.q, SQRT((chi2 / tot.n) / LEAST(tot.r - 1, tot.k - 1)), NULL, NULL
+       FROM chi JOIN tot ON chi."column" = tot."column" JOIN cp ON chi."column" = cp."column")"""
+
+
+@register("t9_eda_sweep", recursive(with_views(SQL_SWEEP, f"""
+SELECT "column", test, {fix_sig_sql('statistic', 8)} AS statistic, {fix_sig_sql('p_value', 7)} AS p_value, {fix_sig_sql('effect', 8)} AS effect, mean0, mean1,
+       COALESCE(p_value < {st.ALPHA / TESTS if TESTS >= 10 else st.ALPHA}, FALSE) AS significant FROM sw""")))
 def t9_eda_sweep(spark, sf_dir):
-    rows = st.eda_sweep(cut_lineage(_v2(spark, sf_dir)), "cancel_yn", NUMERIC, CATEGORICAL)
-    return spark.createDataFrame(
-        [(r["column"], r["test"], r["statistic"], r["p_value"], r["effect"], r["mean0"], r["mean1"], r["significant"])
-         for r in rows.to_dict("records")],
-        "column string, test string, statistic double, p_value double, effect double, mean0 double, mean1 double, "
-        "significant boolean")
+    t = st.eda_sweep(cut_lineage(_v2(spark, sf_dir)), "cancel_yn", NUMERIC, CATEGORICAL)
+    return t.select("column", "test", fix_sig("statistic", 8).alias("statistic"), fix_sig("p_value", 7).alias("p_value"), fix_sig("effect", 8).alias("effect"),
+                    fix_sig("mean0").alias("mean0"), fix_sig("mean1").alias("mean1"), "significant")
 
 
 # ---------------------------------------------------------------- T11 / T12 / Q1
@@ -290,11 +329,26 @@ def t11_correlation(spark, sf_dir):
     return c.select("col_a", "col_b", fix("r").alias("r"))
 
 
-@register("t12_vif")
+_K = len(CORR_COLS)
+SQL_VIF = SQL_ENC + ",\ncr AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS i, {j} AS j, {_corr_sql(_enc_col(a), _enc_col(b))} AS r FROM enc"
+    for i, a in enumerate(CORR_COLS, 1) for j, b in enumerate(CORR_COLS, 1) if i < j) + f"""),
+nm AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(CORR_COLS, 1))}) v(own, feature)),
+ce AS (SELECT i, j, r FROM cr UNION ALL SELECT j, i, r FROM cr UNION ALL SELECT own, own, 1 FROM nm),
+mr AS (SELECT i, LIST(COALESCE(CAST(r AS DOUBLE), 0.0) ORDER BY j) AS line FROM ce GROUP BY i),
+el AS (SELECT own, feature, 0 AS k, m FROM nm, (SELECT LIST(line ORDER BY i) AS m FROM mr) x
+  UNION ALL
+  SELECT own, feature, k + 1, CASE WHEN best > {st.NO_PIVOT} THEN
+    list_transform(m, lambda line: list_transform(range(1, {_K + 1}), lambda j: line[j] - line[p] * (m[p][j] / best))) ELSE m END
+  FROM (SELECT *, list_position(dg, list_max(dg)) AS p, list_max(dg) AS best FROM (
+    SELECT *, list_transform(range(1, {_K + 1}), lambda i: CASE WHEN i = own THEN -1.0 ELSE m[i][i] END) AS dg FROM el WHERE k < {_K - 1}) d) e)"""
+
+
+@register("t12_vif", recursive(with_views(SQL_VIF, f"""
+SELECT feature, CASE WHEN m[own][own] <= {1 - st.INFINITE_R2!r} THEN CAST('inf' AS DOUBLE) ELSE {fix_sig_sql('1 / m[own][own]', 6)} END AS vif FROM el WHERE k = {_K - 1}""")))
 def t12_vif(spark, sf_dir):
-    rows = st.correlation_matrix(encoded_v2(spark, sf_dir), CORR_COLS).collect()
-    vif = st.vif_from_corr(CORR_COLS, [(r["col_a"], r["col_b"], r["r"]) for r in rows])
-    return spark.createDataFrame(vif, "feature string, vif double")
+    t = st.vif_columns(st.correlation_matrix(encoded_v2(spark, sf_dir), CORR_COLS), CORR_COLS)
+    return t.select("feature", F.when(F.col("vif") == float("inf"), F.col("vif")).otherwise(fix_sig("vif", 6)).alias("vif"))
 
 
 @register("q1_target_corr", with_views(SQL_ENC, " UNION ALL ".join(

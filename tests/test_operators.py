@@ -1,5 +1,6 @@
 """Hand-made edge frames per operator (FIXTURES.md section 4) and properties."""
 
+import itertools
 import math
 import random
 
@@ -250,12 +251,53 @@ def test_name_tokens():
     assert not lk.has_risk_token("SMS_SEND_CLS_NM")
 
 
-def test_vif_diag_inverse():
-    names = ["a", "b", "c"]
-    r = [("a", "b", 0.5), ("a", "c", 0.2), ("b", "c", 0.3)]
-    got = dict(st.vif_from_corr(names, r))
+def test_vif_sweeps_equal_the_inverse_and_skip_dependent_columns(spark):
+    def vif(names, pairs):
+        return {r.feature: r.vif for r in st.vif_columns(spark.createDataFrame(pairs, "col_a string, col_b string, r double"), names).collect()}
+
+    got = vif(["a", "b", "c"], [("a", "b", 0.5), ("a", "c", 0.2), ("b", "c", 0.3)])
     m = np.array([[1, .5, .2], [.5, 1, .3], [.2, .3, 1]])
-    assert np.allclose([got[n] for n in names], np.diag(np.linalg.inv(m)))
+    assert np.allclose([got[n] for n in "abc"], np.diag(np.linalg.inv(m)))
+    x = np.random.default_rng(1).standard_normal((400, 7))
+    x[:, 3] = x[:, 0] + 0.3 * x[:, 1]
+    x[:, 5] = x[:, 4]  # equal columns
+    x[:, 6] = x[:, 2] + 0.2 * x[:, 6]
+    names, r = list("abcdefg"), np.corrcoef(x.T)
+    got = vif(names, [(names[i], names[j], float(r[i, j])) for i in range(7) for j in range(i + 1, 7)])
+    for i, n in enumerate(names):
+        rest = [j for j in range(7) if j != i]
+        r2 = r[i, rest] @ np.linalg.pinv(r[np.ix_(rest, rest)], rcond=1e-10, hermitian=True) @ r[i, rest]
+        assert got[n] == float("inf") if r2 >= 0.9999 else math.isclose(got[n], 1 / (1 - r2), rel_tol=1e-6)
+    assert got["e"] == got["f"] == float("inf") and got["g"] > 10
+    assert vif(["a", "b"], [("a", "b", None)]) == {"a": 1.0, "b": 1.0}
+
+
+def test_small_samples_without_ties_have_exact_p(spark):
+    rows = [("exact", 1.0, True), ("exact", 4.0, True), ("exact", 9.0, True), ("exact", 2.0, False), ("exact", 3.0, False), ("exact", 5.0, False), ("exact", 7.0, False)]
+    rows += [("ties", v, p) for v, p in ((1.0, True), (1.0, False), (2.0, True), (3.0, False))]
+    rows += [("large", float(i), i % 3 == 0) for i in range(60)]
+    sums = st.rank_sums(spark.createDataFrame(rows, "column string, value double, is_pos boolean"))
+    mw = st.mw_columns(F.col("n_pos").cast("double"), F.col("n_neg").cast("double"), F.col("rank_sum_pos"), F.col("tie_term"))
+    got = {r.column: r for r in sums.select("column", "n_pos", "n_neg", "rank_sum_pos", "tie_term", mw["u_pos"].alias("u"), mw["p_value"].alias("p")).collect()}
+    us = [sum(c) - 3 for c in itertools.combinations(range(7), 3)]
+    least = min(got["exact"].u, 12 - got["exact"].u)
+    assert math.isclose(got["exact"].p, min(1.0, 2 * sum(u <= least for u in us) / len(us)))
+    for c in ("ties", "large"):
+        r = got[c]
+        assert math.isclose(r.p, st.mann_whitney_from(r.n_pos, r.n_neg, r.rank_sum_pos, r.tie_term)[2], rel_tol=1e-9)
+
+
+def test_sweep_names_test_and_effect_of_each_column(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(y := i % 2), float(rng.normal(y)), float(rng.exponential()), "ab"[int(rng.random() < 0.3 + 0.4 * y)], 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "y int, normal double, skewed double, kind string, flat double")
+    got = {r.column: r for r in st.eda_sweep(df, "y", ["normal", "skewed", "flat"], ["kind"]).collect()}
+    assert {c: r.test for c, r in got.items()} == {"normal": "t-test", "skewed": "Mann-Whitney U", "flat": "Mann-Whitney U", "kind": "chi2"}
+    assert got["normal"].significant and got["kind"].significant and not got["flat"].significant and got["flat"].effect == 0.0
+    a, b = ([r[1] for r in rows if r[0] == g] for g in (0, 1))
+    m = [{"n": len(v), "mean": np.mean(v), "var": np.var(v, ddof=1)} for v in (a, b)]
+    t, p = st.welch_t(*m)
+    assert math.isclose(got["normal"].statistic, t, rel_tol=1e-9) and math.isclose(got["normal"].p_value, p, rel_tol=1e-7)
 
 
 def test_multi_rank_buckets_equal_single(spark):
