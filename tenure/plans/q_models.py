@@ -8,11 +8,10 @@ they report with are oracle-checked in ``q_metrics``.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenure.operators import boosting as bo
 from tenure.operators import models as md
 from tenure.operators.leakage import has_risk_token
 from tenure.operators.sampling import stratified_folds, stratified_split
@@ -20,7 +19,7 @@ from tenure.plans import datasets as ds
 from tenure.plans.fixture import REF_DATE, SEED, YEAR_END, YEAR_START
 from tenure.plans.q_stats import V2_FEATURES, _purchase, _v2
 from tenure.plans.registry import register, with_views
-from tenure.session import ensure_checkpoint_dir
+from tenure.session import cut_lineage, ensure_checkpoint_dir
 from tenure.sources import views
 
 KEYS = ["user_id", "p_mt"]
@@ -89,40 +88,53 @@ def m5_tree_models(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- M6
-# Boosted families mapped onto GBT settings (depth, learning rate) of their defaults.
-FAMILIES = {"lightgbm": {"maxDepth": 5, "stepSize": 0.1}, "xgboost": {"maxDepth": 6, "stepSize": 0.3},
-            "catboost": {"maxDepth": 6, "stepSize": 0.03}}
+BOOSTED = ("lightgbm", "xgboost", "catboost")
+
+
+def boosted(spark, sf_dir, task: str, trees: int | None = None) -> DataFrame:
+    """The three families fitted together on a task's training rows, and scored on all its rows."""
+    _, _, training_rows, features, label = TASKS[task]
+    data = bo.numbered(training_rows(spark, sf_dir))
+    columns, rows = bo.prepare(data.filter(~F.col("is_val")), features, label, KEYS)
+    more = {} if trees is None else {"trees": trees}
+    models = bo.grow(rows, columns, [bo.rules(f, task == "churn", columns.of(f), **more) for f in BOOSTED], KEYS)
+    return cut_lineage(bo.scored(data.select("_row", *KEYS, *features, label, "is_val"), columns, dict(zip(BOOSTED, models)))
+                       .select(*KEYS, label, "is_val", *BOOSTED))
 
 
 @register("m6_boosted_families")
 def m6_boosted_families(spark, sf_dir):
+    """Leaf-wise, depth-wise and symmetric boosting for both tasks, each family by its own rule."""
     rows = []
-    churn = churn_data(spark, sf_dir)
-    for name, params in FAMILIES.items():
-        _, _, r = _fit_eval("churn", name, churn, V2_FEATURES, "cancel_yn", **params)
-        rows += _rows("churn", name, r)
-    purchase = purchase_data(spark, sf_dir)
-    for name, params in FAMILIES.items():
-        _, _, r = _fit_eval("vod_purchase", name, purchase, PURCHASE_FEATURES, "vod_purchase_cnt", **params)
-        rows += _rows("vod_purchase", name, r)
+    for task in TASKS:
+        label = TASKS[task][4]
+        scores = boosted(spark, sf_dir, task)
+        for name in BOOSTED:
+            mine = scores.withColumnRenamed(name, "score")
+            rows += _rows(task, name, md.evaluate_scores(mine.filter(~F.col("is_val")), mine.filter("is_val"), label, KEYS, task))
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
 # ---------------------------------------------------------------- M7 / M8
-def tuning(spark, sf_dir, task: str, family: str, n_trials: int = md.TRIALS, bounds: dict | None = None) -> DataFrame:
+def tuning(spark, sf_dir, task: str, family: str, n_trials: int = bo.TRIALS, bounds: dict | None = None, startup: int = 10) -> DataFrame:
     """Every trial's fold scores for one task and family; ``best`` marks the setting with the best mean."""
     _, _, training_rows, features, label = TASKS[task]
     data = training_rows(spark, sf_dir).filter(~F.col("is_val"))
-    best, trials = md.tune(family, data, md.prepare(data, features, label), "fold", bounds, n_trials, task)
-    rows = [(task, family, i, str(t["params"]), fold, float(s), t["params"] == best)
+    sample = bo.tuning_sample(data, features, label, KEYS, "fold")
+    best, trials = bo.tune(spark, sample, family, task == "churn", n_trials, bounds, startup)
+    rows = [(task, family, i, str(t["params"]), fold, None if s is None else float(s), t["params"] == best)
             for i, t in enumerate(trials) for fold, s in enumerate(t["folds"], start=1)]
     return spark.createDataFrame(rows, "task string, family string, trial int, params string, fold int, score double, best boolean")
 
 
-@register("m7_tuning")
-def m7_tuning(spark, sf_dir):
-    """The whole search: every family of ``SEARCH`` within its bounds, ``TRIALS`` trials each, for both tasks."""
-    return reduce(DataFrame.unionByName, [tuning(spark, sf_dir, task, family) for task in TASKS for family in md.SEARCH])
+def _register_tuning(task: str, family: str) -> None:
+    """One query per task and family: all its ``TRIALS`` trials within the family's bounds, with five folds each."""
+    register(f"m7_tuning_{task}_{family}")(lambda spark, sf_dir: tuning(spark, sf_dir, task, family))
+
+
+for _task in ("churn", "vod_purchase"):
+    for _family in bo.SEARCH:
+        _register_tuning(_task, _family)
 
 
 # ---------------------------------------------------------------- M14 / Q2

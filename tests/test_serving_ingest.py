@@ -43,44 +43,6 @@ def test_saved_model_scores_new_rows(spark, train, tmp_path, task, label, name,
     assert loaded.predict(new.limit(0)).count() == 0
 
 
-def test_settings_stay_within_their_bounds_and_repeat():
-    for family, bounds in md.SEARCH.items():
-        drawn = md.random_settings(bounds, md.TRIALS)
-        assert len(drawn) == 20 and drawn == md.random_settings(bounds, md.TRIALS)
-        for setting in drawn:
-            assert setting.keys() == bounds.keys()
-            assert all(low <= setting[p] <= high and isinstance(setting[p], type(low)) for p, (low, high) in bounds.items())
-
-
-@pytest.mark.parametrize("task, label, family, bounds", [
-    ("churn", "cancel_yn", "random_forest", {"numTrees": (2, 4), "maxDepth": (2, 3), "featureShare": (0.7, 1.0)}),
-    ("vod_purchase", "bought", "xgboost", {"maxIter": (2, 3), "maxDepth": (2, 3), "subsamplingRate": (0.6, 0.95)})])
-def test_tuning_scores_every_fold_and_keeps_the_best(train, task, label, family, bounds):
-    data = train.withColumn("fold", F.col("user_id") % 3)
-    best, trials = md.tune(family, data, md.prepare(data, ["hours", "plan"], label), "fold", bounds, 2, task, parallel=3)
-    assert [len(t["folds"]) for t in trials] == [3, 3]
-    assert best == max(trials, key=lambda t: t["mean"])["params"]
-    assert all(t["mean"] > 0.5 for t in trials if task == "churn")  # the label follows the hours
-
-
-def test_registered_tuning_runs_the_whole_search(spark, train, monkeypatch):
-    from tenure.plans import q_models as qm
-    asked = []
-
-    def fold_scores(name, data, prep, fold_col, params, task="churn", parallel=1):
-        asked.append((task, name, tuple(sorted(params.items()))))
-        return [float(len(asked))]
-
-    monkeypatch.setattr(md, "cv_score", fold_scores)
-    rows = train.withColumn("is_val", F.lit(False))
-    monkeypatch.setattr(qm, "TASKS", {"churn": ("gbt", None, lambda *_: rows, ["hours", "plan"], "cancel_yn"),
-                                      "vod_purchase": ("random_forest", None, lambda *_: rows, ["hours", "plan"], "bought")})
-    got = qm.m7_tuning(spark, "")
-    assert asked == [(task, family, tuple(sorted(s.items()))) for task in ("churn", "vod_purchase")
-                     for family, bounds in md.SEARCH.items() for s in md.random_settings(bounds, 20)]
-    assert got.count() == 160 and got.where("best").select("task", "family").distinct().count() == 8
-
-
 def test_files_of_different_types_and_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k,day,n,flag\n1,2024-01-02,5,true\n2,2024-01-03,6,FALSE\n")
     (tmp_path / "b.csv").write_text("k,n,extra\nabc,1.5,9999999999\n,,\n")
