@@ -6,8 +6,9 @@ together by start (``lexsort``); ``maximum.accumulate`` over their ends gives ho
 group breaks where a start reaches that. Within groups the overlapping pairs are expanded; a pair of ids counts how
 often it overlaps corpus-wide, and each document is then scored against those counts.
 
-Texts are encoded in parts cut at single spaces between ASCII letters, where neither tokenizer has a token across
-(checked when the tokenizers are loaded), so memory follows the part, not the text.
+Neither tokenizer has a token across a single space between other characters (checked when they are loaded), so both
+end there and so does a group. Texts are therefore taken unit by unit, a unit being what stands between such spaces; a
+worker remembers the groups of the units it has met, up to ``MEMORY_BYTES``, and then forgets those met least.
 
 One pass over the texts writes a slim row per document with its distinct id pairs; counts come from those rows by a
 grouped sum with map-side aggregation. Up to ``BROADCAST_PAIRS`` distinct pairs the counts go to every worker,
@@ -33,12 +34,13 @@ from pyspark.sql import functions as F
 
 from tenure.llm.shared import written
 
-PART_CHARS = 1 << 16
-RUN_TOKENS = 1 << 18
+RUN_CHARS = 1 << 20
+#: What a worker's memory of units may take; beyond it the units met least go until half of it is left.
+MEMORY_BYTES = 96 << 20
 #: Distinct id pairs up to which their counts (17 bytes each) are sent to every worker.
 BROADCAST_PAIRS = 2_000_000
 _TIMES_BITS = 31
-_SPACE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def default_tokenizers() -> tuple[str, str]:
@@ -79,8 +81,8 @@ class Pair:
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i)
                                 else piece.replace("▁", " ").encode())
-        if any(re.search(rb"[A-Za-z] [A-Za-z]", t) for t in chain(self.bytes_a, self.bytes_b)):
-            raise ValueError("a token spans a space between letters")
+        if any(re.search(r"\S ", t.decode("utf-8", "replace")) for t in chain(self.bytes_a, self.bytes_b)):
+            raise ValueError("a token spans a space between other characters")
         self.len_a, self.len_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         self.n_b = len(self.bytes_b)
         if len(self.bytes_a) * self.n_b >= 1 << 32:
@@ -88,39 +90,34 @@ class Pair:
         top = max(len(self.bytes_a), self.n_b)
         self.printed = [str(i) + mark for i in range(top) for mark in (",", "|", ";")]
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of A and B; both empty where either does not give back space + text."""
-        a: list[int] = []
-        b: list[int] = []
-        for part in _parts(text):
-            ids = self.a.encode_ordinary(" " + part)
-            pieces = self.b.encode(part)
-            want = b" " + part.encode()
-            if b"".join(map(self.bytes_a.__getitem__, ids)) != want or b"".join(map(self.bytes_b.__getitem__, pieces)) != want:
-                return np.empty(0, np.int64), np.empty(0, np.int64)
-            a += ids
-            b += pieces
-        return np.array(a, np.int64), np.array(b, np.int64)
-
-
-def _parts(text: str | None, size: int = PART_CHARS) -> Iterator[str]:
-    """The text cut at single spaces between letters (the space belongs to none), each part about ``size`` long where it has such spaces."""
-    if not text:
-        return
-    at = 0
-    while len(text) - at > size and (cut := _SPACE.search(text, at + size)):
-        yield text[at:cut.start()]
-        at = cut.end()
-    yield text[at:]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A, ids of B, and how many each text has; none where either does not give back space + text."""
+        spaced = [" " + t for t in texts]
+        a, b = list(map(self.a.encode_ordinary, spaced)), self.b.encode(texts)
+        if not (self._whole(a, spaced, self.bytes_a, self.len_a) and self._whole(b, spaced, self.bytes_b, self.len_b)):
+            for i, text in enumerate(spaced):
+                if not all(b"".join(map(table.__getitem__, ids)) == text.encode() for table, ids in ((self.bytes_a, a[i]), (self.bytes_b, b[i]))):
+                    a[i], b[i] = [], []
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        return (*(np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b))), n_a, n_b)
+
+    @staticmethod
+    def _whole(ids: list[list[int]], texts: list[str], table: list[bytes], size: np.ndarray) -> bool:
+        """Whether every text's tokens are its bytes: all bytes in a row are the same, and so are their cuts."""
+        flat = list(chain.from_iterable(ids))
+        raw = [t.encode() for t in texts]
+        if b"".join(map(table.__getitem__, flat)) != b"".join(raw):
+            return False
+        ends = np.concatenate([[0], np.cumsum(size[np.array(flat, np.int64)])])[np.cumsum([len(i) for i in ids])] if ids else np.zeros(0)
+        return bool((ends == np.cumsum([len(r) for r in raw])).all())
 
 
 class Run:
-    """Documents' tokens, aligned together. ``a`` and ``b`` hold the ids document after document."""
+    """The tokens of texts, aligned together. ``a`` and ``b`` hold the ids text after text ("doc": a text's number)."""
 
-    def __init__(self, pair: Pair, ids_a: list[np.ndarray], ids_b: list[np.ndarray]):
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
+    def __init__(self, pair: Pair, texts: list[str]):
+        self.a, self.b, n_a, n_b = pair.encode(texts)
         self.n_a, self.n_b = n_a, n_b
-        self.a, self.b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (ids_a, ids_b))
         self.doc_a, self.doc_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
         ends_a, ends_b = np.cumsum(pair.len_a[self.a]), np.cumsum(pair.len_b[self.b])
         starts_a, starts_b = ends_a - pair.len_a[self.a], ends_b - pair.len_b[self.b]
@@ -143,15 +140,8 @@ class Run:
         self.starts_a, self.ends_a, self.starts_b, self.ends_b = starts_a, ends_a, starts_b, ends_b
         self.links = np.bincount(self.doc_a[self.link_a], minlength=len(n_a))
 
-    def pairs(self, n_b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Per document its distinct pairs as ``code << 31 | times``, ascending, and where each document's begin."""
-        key = (self.doc_a[self.link_a] << 32) | (self.a[self.link_a] * n_b + self.b[self.link_b])
-        distinct, times = np.unique(key, return_counts=True)
-        packed = ((distinct & 0xFFFFFFFF) << _TIMES_BITS) | times
-        return packed, np.searchsorted(distinct >> 32, np.arange(len(self.n_a) + 1))
-
-    def digests(self, printed: list[str]) -> list[str]:
-        """SHA-256 of each document's groups, written ``a1,a2|b1;a3|b2,b3``."""
+    def written(self, printed: list[str]) -> list[str]:
+        """Each text's groups as ``a1,a2|b1;a3|b2,b3``."""
         group = np.concatenate([self.group_a, self.group_b])
         side = np.repeat([0, 1], [len(self.a), len(self.b)])
         order = np.lexsort((side, group))  # stable: tokens of a side keep their places
@@ -162,7 +152,7 @@ class Run:
         token = np.concatenate([self.a, self.b])[order] * 3 + mark
         cuts = np.searchsorted(doc, np.arange(len(self.n_a) + 1)).tolist()
         words = list(map(printed.__getitem__, token.tolist()))
-        return [hashlib.sha256("".join(words[lo:hi])[:-1].encode()).hexdigest() if hi > lo else "" for lo, hi in zip(cuts[:-1], cuts[1:])]
+        return ["".join(words[lo:hi])[:-1] for lo, hi in zip(cuts[:-1], cuts[1:])]
 
     def spans(self) -> list[list[dict]]:
         """Each document's groups: byte offsets in space + text, A ids and B ids."""
@@ -180,7 +170,74 @@ class Run:
         return out
 
 
-_PAIRS: dict[tuple[str, str], Pair] = {}
+class Units:
+    """The aligned units a worker remembers: figures, written groups and linked id pairs of each."""
+
+    def __init__(self, pair: Pair, limit: int = MEMORY_BYTES):
+        self.pair, self.limit = pair, limit
+        self.slot: dict[str, int] = {}
+        self.texts: list[str] = []
+        #: Per unit: A tokens, B tokens, groups, links, and how often it was met.
+        self.figures = np.zeros((0, 5), np.int64)
+        self.codes, self.first = np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.bytes = 0
+
+    def learn(self, units: list[str]) -> None:
+        run = Run(self.pair, units)
+        self.slot.update(zip(units, range(len(self.texts), len(self.texts) + len(units))))
+        self.texts += run.written(self.pair.printed)
+        self.figures = np.concatenate([self.figures, np.column_stack([run.n_a, run.n_b, run.n_groups, run.links, np.zeros(len(units), np.int64)])])
+        codes = run.a[run.link_a] * self.pair.n_b + run.b[run.link_b]
+        self.codes, self.first = np.concatenate([self.codes, codes]), np.concatenate([self.first, self.first[-1] + np.cumsum(run.links)])
+        self.bytes += sum(map(len, units)) + sum(map(len, self.texts[-len(units):])) + 8 * len(codes) + 300 * len(units)
+
+    def forget(self) -> None:
+        """Where the memory is full, keep what was met most, up to half of it; what was met once goes."""
+        if self.bytes <= self.limit:
+            return
+        names = list(self.slot)
+        size = np.fromiter((len(n) + len(t) for n, t in zip(names, self.texts)), np.int64, len(names)) + 8 * self.figures[:, 3] + 300
+        order = np.argsort(-self.figures[:, 4], kind="stable")
+        order = order[(np.cumsum(size[order]) <= self.limit // 2) & (self.figures[order, 4] > 1)]
+        kept = np.sort(order)
+        at = np.repeat(self.first[kept] - np.r_[0, np.cumsum(self.figures[kept, 3])][:-1], self.figures[kept, 3])
+        self.codes = self.codes[at + np.arange(len(at))]
+        self.figures = self.figures[kept]
+        self.figures[:, 4] = 0
+        self.first = np.r_[0, np.cumsum(self.figures[:, 3])]
+        self.texts = [self.texts[i] for i in kept.tolist()]
+        self.slot = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.bytes = int(size[kept].sum())
+
+    def documents(self, texts: list[str | None]) -> dict[str, np.ndarray | list | pa.Array]:
+        """The figures, digests and distinct pairs (``code << 31 | times``, ascending) of a run of documents."""
+        self.forget()
+        units, n_units = [], []
+        for text in texts:
+            mine = _SPACE.split(text) if text else []
+            units += mine
+            n_units.append(len(mine))
+        if new := [u for u in dict.fromkeys(units) if u not in self.slot]:
+            self.learn(new)
+        slots = np.fromiter(map(self.slot.__getitem__, units), np.int64, len(units))
+        self.figures[:, 4] += np.bincount(slots, minlength=len(self.figures))
+        doc = np.repeat(np.arange(len(texts)), n_units)
+        lost = np.bincount(doc[self.figures[slots, 0] == 0], minlength=len(texts)) > 0  # a unit did not give back its text
+        slots, doc = slots[~lost[doc]], doc[~lost[doc]]
+        cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+        each = self.figures[slots, 3]
+        at = np.repeat(self.first[slots] - (np.cumsum(each) - each), each)
+        distinct, times = np.unique((np.repeat(doc, each) << 32) | self.codes[at + np.arange(len(at))], return_counts=True)
+        sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(self.figures[slots, :4], 0)])
+        sums = sums[cuts[1:]] - sums[cuts[:-1]]
+        words = list(map(self.texts.__getitem__, slots.tolist()))
+        digests = [hashlib.sha256(";".join(words[lo:hi]).encode()).hexdigest() if hi > lo else "" for lo, hi in zip(cuts[:-1], cuts[1:])]
+        pairs = pa.ListArray.from_arrays(pa.array(np.searchsorted(distinct >> 32, np.arange(len(texts) + 1)), pa.int32()),
+                                         pa.array(((distinct & 0xFFFFFFFF) << _TIMES_BITS) | times, pa.int64()))
+        return dict(zip(("n_a", "n_b", "n_groups", "n_links"), sums.T)) | {"groups_sha256": digests, "pairs": pairs}
+
+
+_UNITS: dict[tuple[str, str], Units] = {}
 _SPAN = "array<struct<start: long, end: long, a: array<int>, b: array<int>>>"
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
 SLIM = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -190,29 +247,22 @@ def tokenized(docs: DataFrame, paths: tuple[str, str] | None = None, with_spans:
     """A row per document: its figures, ``pairs`` (distinct id pairs with their times) and, on demand, ``spans``."""
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = paths or default_tokenizers()
-        pair = _PAIRS.get(where) or _PAIRS.setdefault(where, Pair(*where))
+        units = _UNITS.get(where) or _UNITS.setdefault(where, Units(Pair(*where)))
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
-            lo = 0
-            a: list[np.ndarray] = []
-            b: list[np.ndarray] = []
-            size = 0
+            lo, size = 0, 0
+            run: list[str | None] = []
             for i in range(batch.num_rows):
-                got = pair.encode(texts[i].as_py())
-                a.append(got[0])
-                b.append(got[1])
-                size += len(got[0]) + len(got[1])
-                if size >= RUN_TOKENS or i + 1 == batch.num_rows:
-                    yield rows(Run(pair, a, b), ids.slice(lo, i + 1 - lo), pair)
-                    lo, size, a, b = i + 1, 0, [], []
-
-    def rows(run: Run, ids: pa.Array, pair: Pair) -> pa.RecordBatch:
-        packed, cuts = run.pairs(pair.n_b)
-        cols = {"doc_id": ids, "n_a": run.n_a, "n_b": run.n_b, "n_groups": run.n_groups, "n_links": run.links,
-                "groups_sha256": run.digests(pair.printed),
-                "pairs": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(packed, pa.int64()))}
+                run.append(texts[i].as_py())
+                size += len(run[-1] or "")
+                if size >= RUN_CHARS or i + 1 == batch.num_rows:
+                    yield rows(units, ids.slice(lo, i + 1 - lo), run)
+                    lo, size, run = i + 1, 0, []
+
+    def rows(units: Units, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+        cols = {"doc_id": ids} | units.documents(texts)
         if with_spans:
-            cols["spans"] = pa.array(run.spans(), _SPAN_TYPE)
+            cols["spans"] = pa.array(Run(units.pair, [t or "" for t in texts]).spans(), _SPAN_TYPE)
         return pa.RecordBatch.from_pydict(cols)
 
     schema = SLIM + ", pairs array<long>" + f", spans {_SPAN}" * with_spans

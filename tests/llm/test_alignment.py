@@ -90,15 +90,19 @@ def test_spans_give_back_the_text(sp):
             (ga[0][0], ga[-1][1], [t[2] for t in ga], [t[2] for t in gb]) for ga, gb in groups]
 
 
-def test_parts_and_whole_texts_agree(monkeypatch):
+def test_units_remembered_and_forgotten():
     pair = alignment.Pair(*alignment.default_tokenizers())
-    text = "some words. And  more\nwords, 12 numbers a b c isn't it " * 40
-    whole = pair.encode(text)
-    parts = list(alignment._parts(text, 50))
-    assert len(parts) > 20
-    monkeypatch.setattr(alignment._parts, "__defaults__", (50,))
-    cut = pair.encode(text)
-    assert whole[0].tolist() == cut[0].tolist() and whole[1].tolist() == cut[1].tolist()
+    texts = [f"some words. And  more\nwords, {i} numbers a b c isn't it {i % 7} " * 3 for i in range(200)] + TEXTS
+    whole = alignment.Units(pair)
+    small = alignment.Units(pair, limit=20_000)
+    want, _ = _plain(texts)
+    for lo in range(0, len(texts), 20):
+        a, b = whole.documents(texts[lo:lo + 20]), small.documents(texts[lo:lo + 20])
+        assert a["groups_sha256"] == b["groups_sha256"] == [w[6] for w in want[lo:lo + 20]]
+        assert a["pairs"].equals(b["pairs"])
+        for k, c in enumerate(COLUMNS[:4]):
+            assert a[c].tolist() == b[c].tolist() == [w[k] for w in want[lo:lo + 20]]
+    assert len(small.slot) < len(whole.slot)
 
 
 def test_odd_and_empty_tables(sp, odd_docs):
