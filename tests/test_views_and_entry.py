@@ -49,3 +49,11 @@ def test_scale_conf_partition_bounds():
     assert int(c["spark.sql.shuffle.partitions"]) == 30 * 1024 ** 4 // (256 << 20)
     assert scale_conf(1)["spark.sql.shuffle.partitions"] == "200"
     assert scale_conf(10 ** 18)["spark.sql.shuffle.partitions"] == "200000"
+
+
+def test_a_missing_library_costs_only_the_queries_that_need_it():
+    import os
+    import subprocess
+    import sys
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) >= 100 and 'op9_url_filter' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)), timeout=120)
