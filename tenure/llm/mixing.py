@@ -3,21 +3,21 @@
 Tokens (words plus one end mark per document) are summed per cell of source, language and topic. Raking scales
 the cells to one margin's target after another, ``passes`` times over. A margin's targets are its own shares
 raised to ``power`` and normed, or given shares, normed over the values that occur (a value without a share gets
-none). A cell's gain is its raked over its own weight; documents are kept with probability ``rate * gain /
-largest gain``, by a seeded hash of the id, so the kept tokens have the raked mixture in expectation.
+none). A cell's gain is its raked over its own weight; documents are kept with probability ``min(1, rate * gain)``,
+by a seeded hash of the id.
 
-The largest gain is that of the rarest cell, so one rare document can thin out all others. With ``least_share`` the
-rate is raised where it would keep less than that share of the tokens: documents are kept with probability
-``min(1, raised rate * gain)`` and exactly that share is expected; cells that would need more than all their
-documents are kept whole, so their margins stay below target. With ``tolerance`` raking goes on beyond ``passes``
-until every margin is that close to its target or no longer comes closer; both shortfalls are logged.
+The rate is calibrated so that ``share`` of the tokens is expected to be kept, whatever cells there are: a cell that
+would need more than all its documents is kept whole and the others share the rest, so a rare document does not thin
+out the sample; its margins then stay below target. With ``tolerance`` raking goes on beyond ``passes`` until every
+margin is that close to its target or no longer comes closer; both shortfalls are logged.
 
 The tables carry no topic, so by default a document's length class stands for it (``topic`` column: null).
 
 Defined cases: null source, language or topic is a value of its own; null and empty texts are documents of one
 token; repeated rows share their id's draw; a null id draws as its own text; an empty table gives no rows.
-The raking runs over cells only (distinct combinations), in one task; documents are never gathered. Input
-columns named like an output are replaced.
+The raking runs over cells only, in one task: the distinct combinations of source, language and topic, about 100 bytes
+each, so sources should number millions at most; documents are never gathered. Input columns named like an output are
+replaced.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from tenure.llm.shared import hex_int, seeded_hex, written
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 PASSES = 8
 SEED = 10
-#: Of the tokens, what a mixture keeps at least, and how far a margin may be off its target (relative): for corpora.
-LEAST_SHARE = 0.4
+#: Of the tokens, what a mixture keeps, and how far a margin may be off its target (relative) in the pipeline.
+SHARE = 0.5
 TOLERANCE = 0.01
 #: Cells up to this many rows are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_CELLS = 100_000
@@ -97,26 +97,28 @@ def raked_cells(cells: DataFrame, targets: dict[str, float | dict[str, float]],
     return cells
 
 
-def keep_rate(cells: DataFrame, rate: float = 1.0, least_share: float = 0.0) -> float:
-    """What gains are multiplied by: ``rate`` over the largest gain, or more where that keeps under ``least_share`` of the tokens.
+def keep_rate(cells: DataFrame, share: float = SHARE) -> float:
+    """What gains are multiplied by, so that ``share`` of the tokens is expected to be kept.
 
     From the largest gain down, the first cell that is not kept whole when it and all smaller ones share what is
-    left to keep. Runs over the cells, in one partition.
+    left to keep. Where cells with a gain hold fewer tokens than that, all of those are kept. Runs over the cells, in
+    one partition.
     """
-    gains = cells.select("_t", "_w", (F.col("_w") / F.col("_t")).alias("_g")).coalesce(1)
-    top, total, weight = gains.agg(F.max("_g"), F.sum("_t"), F.sum("_w")).first()
-    if not top:
-        return rate
-    if least_share * total <= rate / top * weight:
-        return rate / top
+    gains = cells.select("_t", "_w", (F.col("_w") / F.col("_t")).alias("_g")).where("_g > 0").coalesce(1)
+    total = cells.agg(F.sum("_t")).first()[0]
+    if not total:
+        return 1.0
     down = Window.partitionBy().orderBy(F.desc("_g"), "_t")
     before = F.coalesce(F.sum("_t").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    raised = (F.lit(least_share * total) - before) / F.sum("_w").over(down.rowsBetween(0, Window.unboundedFollowing))
-    some = gains.where("_g > 0").withColumn("_r", raised)
-    found, least = some.agg(F.max_by(F.when(F.col("_r") * F.col("_g") <= 1, F.col("_r")), F.when(F.col("_r") * F.col("_g") <= 1, F.col("_g"))), F.min("_g")).first()
+    rate = (F.lit(share) * total - before) / F.sum("_w").over(down.rowsBetween(0, Window.unboundedFollowing))
+    fits = F.col("_r") * F.col("_g") <= 1
+    found, least = gains.withColumn("_r", rate).agg(F.max_by(F.when(fits, F.col("_r")), F.when(fits, F.col("_g"))), F.min("_g")).first()
+    if least is None:
+        return 1.0
     found = found if found is not None else 1.0 / least
     whole = gains.where(F.col("_g") * found > 1).agg(F.count("*"), F.sum("_t")).first()
-    _log.warning("%d cells with %.4f %% of the tokens are kept whole, so that the others keep their share", whole[0], 100 * (whole[1] or 0) / total)
+    if whole[0]:
+        _log.warning("%d cells with %.4f %% of the tokens are kept whole, so that the others keep their share", whole[0], 100 * whole[1] / total)
     return found
 
 
@@ -129,8 +131,8 @@ def _target_share(margin: str, spec: float | dict[str, float]) -> Column:
     return want
 
 
-def mix_sources(docs: DataFrame, targets: dict[str, float | dict[str, float]] | None = None, passes: int = PASSES, rate: float = 1.0,
-                seed: int = SEED, topic: str | None = None, carry: list[str] | None = None, least_share: float = 0.0, tolerance: float | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: dict[str, float | dict[str, float]] | None = None, passes: int = PASSES, share: float = SHARE,
+                seed: int = SEED, topic: str | None = None, carry: list[str] | None = None, tolerance: float | None = None) -> DataFrame:
     """``carry`` columns (default: all) of every row with n_tokens, topic, gain, probability and sampled."""
     keep = [c for c in (docs.columns if carry is None else carry) if c not in OUTPUTS]
     draw = hex_int(seeded_hex(seed, F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), 1, 12) / float(1 << 48)
@@ -138,13 +140,11 @@ def mix_sources(docs: DataFrame, targets: dict[str, float | dict[str, float]] |
     rows = rows.withColumns({"_source": F.col("source"), "_lang": F.col("lang"), "_topic": F.col(topic).cast("string") if topic else length_class(F.col("_t"))})
     cells = raked_cells(rows.groupBy(*MARGINS).agg(F.sum("_t").alias("_t")), targets or POWERS, passes, tolerance)
     gains = cells.select(*[F.col(m).alias(f"c{m}") for m in MARGINS], (F.col("_w") / F.col("_t")).alias("_g"))
-    factor = keep_rate(cells, rate, least_share)
+    factor = keep_rate(cells, share)
     if cells.count() <= BROADCAST_CELLS:
         gains = F.broadcast(gains)
     match = [F.col(m).eqNullSafe(F.col(f"c{m}")) for m in MARGINS]
-    p = F.col("_g") * F.lit(factor)
-    if least_share:
-        p = F.least(p, F.lit(1.0))
+    p = F.least(F.col("_g") * F.lit(factor), F.lit(1.0))
     return (rows.select(*keep, "_t", "_u", *MARGINS).join(gains, match[0] & match[1] & match[2])
             .select(*keep, F.col("_t").alias("n_tokens"), F.col("_topic").alias("topic"), F.col("_g").alias("gain"), p.alias("probability"), (F.col("_u") < p).alias("sampled")))
 
@@ -165,11 +165,13 @@ def _sql() -> str:
         for m in POWERS:
             k += 1
             steps.append(f"w{k} AS (SELECT {keep}, w * to_{m} / sum(w) OVER (PARTITION BY {m}) AS w FROM w{k - 1})")
-    steps.append(f"g AS (SELECT source, lang, topic, w / t AS g FROM w{k})")
+    steps += [f"g AS (SELECT source, lang, topic, t, w, w / t AS g FROM w{k})",
+              f"""r AS (SELECT g, ({SHARE} * (SELECT sum(t) FROM g) - coalesce(sum(t) OVER (ORDER BY g DESC, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY g DESC, t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM g WHERE g > 0)""",
+              "f AS (SELECT coalesce((SELECT max_by(rate, g) FROM r WHERE rate * g <= 1), 1 / (SELECT min(g) FROM r)) AS rate)"]
     return "WITH " + ",\n".join(steps) + """
-SELECT d.doc_id, d.t AS n_tokens, d.topic, round(g.g, 9) AS gain, round(g.g / (SELECT max(g) FROM g), 9) AS probability,
-  d.u < g.g / (SELECT max(g) FROM g) AS sampled
-FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.lang IS NOT DISTINCT FROM g.lang AND d.topic = g.topic"""
+SELECT d.doc_id, d.t AS n_tokens, d.topic, round(g.g, 9) AS gain, round(least(g.g * f.rate, 1), 9) AS probability, d.u < least(g.g * f.rate, 1) AS sampled
+FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.lang IS NOT DISTINCT FROM g.lang AND d.topic = g.topic CROSS JOIN f"""
 
 
 ORACLE = _sql()
