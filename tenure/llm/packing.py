@@ -14,10 +14,12 @@ rows are packed each on its own; documents of any length are cut, none is droppe
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,11 @@ WINDOW = 4096
 BIN = 16
 END_ID = 2
 CHUNK_PIECES = 20_000
-CACHE_WORDS = 300_000
+#: What a worker's memory of units may take, and what each takes beside its bytes and ids.
+MEMORY_BYTES = 96 << 20
+UNIT_BYTES = 160
+#: Words of ASCII letters up to this long are encoded in runs.
+LETTERS = 200
 
 
 def default_tokenizer() -> str:
@@ -63,52 +69,132 @@ def _units(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.searchsorted(starts, run.offsets)
 
 
-class WordIds:
-    """Token ids of texts, unit by unit, with the ids of up to ``CACHE_WORDS`` units remembered.
+class Letters:
+    """The ids of words of ASCII letters, many in one call, as the tokenizer's merges give them.
 
-    Right for this tokenizer, which drops white space and never joins letters or digits with marks, except
-    after an apostrophe.
+    A word's last letter is another symbol than the same letter inside (it carries the word end); written as a
+    capital, it lets a rank encoder merge whole runs of words, and tells where each ends. ``tests`` hold it against
+    the tokenizer itself.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
+        import tiktoken
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        end, vocab = model["end_of_word_suffix"], model["vocab"]
+        symbol = lambda t: (t[:-len(end) - 1] + t[-len(end) - 1].upper() if t.endswith(end) else t).encode()
+        plain = lambda t: re.fullmatch("[a-z]+", t.removesuffix(end)) is not None
+        tokens = [c + e for e in ("", end) for c in "abcdefghijklmnopqrstuvwxyz"]
+        merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        tokens += [a + b for a, b in merges if plain(a + b)]
+        self.encoding = tiktoken.Encoding("letters", pat_str="[a-z]*[A-Z]", mergeable_ranks={symbol(t): i for i, t in enumerate(tokens)}, special_tokens={})
+        self.ids = np.array([vocab[t] for t in tokens], np.uint32)
+        self.ends = np.array([t.endswith(end) for t in tokens])
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids in a row, and how many each has."""
+        text = b"".join([w[:-1].lower() + w[-1:].upper() for w in words]).decode()
+        got = np.array(self.encoding.encode_ordinary(text), np.int64)
+        return self.ids[got], np.diff(np.flatnonzero(self.ends[got]), prepend=-1)
 
-    def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.end = np.zeros(1 << 18, np.uint32), 0
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+class WordIds:
+    """Token ids of texts, unit by unit; units are remembered, by their bytes, up to ``MEMORY_BYTES``.
+
+    Right for a tokenizer that drops white space and never joins letters or digits with marks, except after an
+    apostrophe; ``__init__`` tries that on a probe text and refuses others.
+    """
+
+    def __init__(self, path: str, limit: int = MEMORY_BYTES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|")}
+        self.mark = min(special, default=None)
+        self.between = f" {special[self.mark]} " if special else None
+        self.letters = Letters(path)
+        self.slot: dict[bytes, int] = {}
+        self.at, self.size, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.flat, self.end, self.bytes = np.zeros(1 << 18, np.uint32), 0, 0
+        probe = "It's 3,5 (or 12%) of\tthe _odd_ \u00fcnits... isn't it?\n\nA-b c&d 'q' x2y"
+        if np.concatenate([*self.documents(pa.array([probe]))]).tolist()[:-1] != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+            raise ValueError(f"{path} does not cut texts at white space and between letters and marks")
+
+    def _ids(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the units in a row, and how many each has."""
+        simple = [u.isalpha() and len(u) <= LETTERS for u in units]  # of bytes: ASCII letters only
+        parts = (self.letters.encode(list(compress(units, simple))), self._others([u for u, easy in zip(units, simple) if not easy]))
+        if all(simple):
+            return parts[0]
+        of = np.where(simple, 0, 1)
+        sizes, starts = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        for k, (ids, size) in enumerate(parts):
+            sizes[of == k] = size
+            starts[of == k] = np.cumsum(size) - size + (len(parts[0][0]) if k else 0)
+        at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return np.concatenate([ids for ids, _ in parts])[at], sizes
+
+    def _others(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the tokenizer: a thousand units are encoded at once, a special token between them."""
+        words = [u.decode() for u in units]
+        alone = [w for w in words if "<|" in w or self.mark is None]
+        joined = [w for w in words if not ("<|" in w or self.mark is None)]
+        parts = [joined[i:i + 1000] for i in range(0, len(joined), 1000)]
+        found: dict[str, np.ndarray] = {}
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([self.between.join(p) for p in parts], add_special_tokens=False) if parts else ()):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark)
+            for w, lo, hi in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
+                found[w] = ids[lo:hi]
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False) if alone else ()):
+            found[w] = np.array(e.ids, np.uint32)
+        got = [found[w] for w in words]
+        return np.concatenate([np.empty(0, np.uint32), *got]), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _learn(self, units: list[bytes]) -> None:
+        ids, sizes = self._ids(units)
         n = len(self.slot)
-        self.slot.update(zip(hashes, range(n, n + len(got))))
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
+        self.slot.update(zip(units, range(n, n + len(units))))
         if len(self.slot) > len(self.at):
-            self.at, self.size = (np.concatenate([a, np.zeros(max(len(a), len(got)), np.int64)]) for a in (self.at, self.size))
+            more = np.zeros(max(len(self.at), len(units)), np.int64)
+            self.at, self.size, self.met = (np.concatenate([a, more]) for a in (self.at, self.size, self.met))
         if self.end + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-        self.at[n:n + len(got)] = self.end + np.cumsum(sizes) - sizes
-        self.size[n:n + len(got)] = sizes
+        self.at[n:n + len(units)] = self.end + np.cumsum(sizes) - sizes
+        self.size[n:n + len(units)] = sizes
+        self.met[n:n + len(units)] = 0
         self.flat[self.end:self.end + len(ids)] = ids
         self.end += len(ids)
+        self.bytes += sum(map(len, units)) + 4 * len(ids) + UNIT_BYTES * len(units)
+
+    def _forget(self) -> None:
+        """Where the memory is full, keep the units met most, up to half of it; those met once go."""
+        if self.bytes <= self.limit:
+            return
+        units, n = list(self.slot), len(self.slot)
+        size = np.fromiter(map(len, units), np.int64, n) + 4 * self.size[:n] + UNIT_BYTES
+        order = np.argsort(-self.met[:n], kind="stable")
+        kept = np.sort(order[(np.cumsum(size[order]) <= self.limit // 2) & (self.met[order] > 1)])
+        ids = np.concatenate([np.empty(0, np.uint32), *(self.flat[self.at[i]:self.at[i] + self.size[i]] for i in kept.tolist())])
+        k = len(kept)
+        self.size[:k] = self.size[kept]
+        self.at[:k] = np.cumsum(self.size[:k]) - self.size[:k]
+        self.met[:] = 0
+        self.flat[:len(ids)], self.end = ids, len(ids)
+        self.slot = {units[i]: j for j, i in enumerate(kept.tolist())}
+        self.bytes = int(size[kept].sum())
 
     def documents(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, with the end id."""
         for run in runs(column):
-            if len(self.slot) > CACHE_WORDS:
-                self.clear()
+            self._forget()
             starts, ends, first = _units(run)
-            distinct, where, back = np.unique(span_hashes(run.data, starts, ends), return_index=True, return_inverse=True)
-            known = distinct.tolist()
-            new = [i for i, h in enumerate(known) if h not in self.slot]
-            if new:
-                raw, at = run.data.tobytes(), where[new]
-                self._learn([known[i] for i in new], [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-            slots = np.fromiter(map(self.slot.__getitem__, known), np.int64, len(known))[back]
+            units, back = _distinct(run.data, starts, ends)
+            if new := [u for u in units if u not in self.slot]:
+                self._learn(new)
+            distinct = np.fromiter(map(self.slot.__getitem__, units), np.int64, len(units))
+            self.met[distinct] += np.bincount(back, minlength=len(units))
+            slots = distinct[back]
             sizes = self.size[slots]
             upto = np.concatenate([[0], np.cumsum(sizes)])
             ids = self.flat[np.repeat(self.at[slots] - upto[:-1], sizes) + np.arange(upto[-1])]
@@ -117,6 +203,19 @@ class WordIds:
                 yield np.append(ids[a:b], np.uint32(END_ID))
 
 
+def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct units, and for each unit which of them it is. Found by hash, then compared byte by byte."""
+    _, where, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    raw, size, like = data.tobytes(), ends - starts, where[back]
+    if (size == size[like]).all():
+        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        if (data[inside + np.repeat(starts, size)] == data[inside + np.repeat(starts[like], size)]).all():
+            return [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())], back
+    found: dict[bytes, int] = {}  # two units share a hash: number them by their bytes
+    back = np.array([found.setdefault(raw[a:b], len(found)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+    return list(found), back
+
+
 _TOKENIZERS: dict[str, WordIds] = {}
 
 
