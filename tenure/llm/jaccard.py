@@ -100,7 +100,9 @@ def profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 def clusters(rows: DataFrame) -> DataFrame:
     """(node, label) of the classes that share a part token with another class, directly or through others."""
     sent = rows.where("class IS NOT NULL AND tokens IS NOT NULL").select("class", F.explode("tokens").alias("token"))
-    hub = sent.withColumn("hub", F.expr("min(class) OVER (PARTITION BY token)")).where("class <> hub")
+    # a token's smallest class by a grouped minimum, written: the join back can then split a hot token
+    hubs = written(sent.groupBy("token").agg(F.min("class").alias("hub"), F.max("class").alias("_top")).where("hub <> _top").drop("_top"), "hubs")
+    hub = sent.join(hubs, "token").where("class <> hub")
     return connected(hub.select(F.col("class").alias("a"), F.col("hub").alias("b")))
 
 
