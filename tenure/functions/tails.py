@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEPS = 400
@@ -83,12 +83,33 @@ def normal_two_sided(z: Column) -> Column:
     return F.when(z <= 0, F.lit(1.0)).otherwise(gamma_q(0.5, z * z / 2.0))
 
 
-def beta_tail(a: Column | float, b: Column | float, x: Column, y: Column) -> Column:
-    """Regularised incomplete beta function I_x(a, b), with y = 1 - x given apart so that neither rounds to 1."""
-    a, b, x, y = _d(a), _d(b), _d(x), _d(y)
-    front = F.exp(a * F.ln(x) + b * F.ln(y) - log_beta(a, b))
-    swap = x >= (a + 1.0) / (a + b + 2.0)
-    p, q, t = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b), F.when(swap, y).otherwise(x)
+def with_t_two_sided(df: DataFrame, tails: dict[str, tuple[str, str]]) -> DataFrame:
+    """``df`` with two-sided p-values of Student's t: per new column, the columns of t and of its degrees of freedom.
+
+    Null where t is null or NaN or there are no degrees of freedom. p is the regularised incomplete beta function
+    I_x(dof / 2, 1 / 2) at x = dof / (dof + t^2), by its continued fraction on the side where that converges fast. Each
+    step's values are columns before the next step reads them, so that the fold holds no whole formulas.
+    """
+    steps: list[dict[str, Column]] = [{}, {}, {}]
+    for name, (t, dof) in tails.items():
+        t, dof = _d(F.col(t)), _d(F.col(dof))
+        sure = F.coalesce(t.isNotNull() & ~F.isnan(t) & (dof > 0), F.lit(False))
+        square, n = F.when(sure, t * t).otherwise(0.0), F.when(sure, dof).otherwise(1.0)
+        c = lambda part, name=name: F.col(f"_{part} {name}")
+        steps[0] |= {f"_sure {name}": sure, f"_a {name}": n / 2.0, f"_x {name}": n / (n + square), f"_y {name}": square / (n + square)}
+        swap = c("x") >= (c("a") + 1.0) / (c("a") + 2.5)
+        steps[1] |= {f"_swap {name}": swap, f"_p {name}": F.when(swap, 0.5).otherwise(c("a")), f"_q {name}": F.when(swap, c("a")).otherwise(0.5),
+                     f"_t {name}": F.when(swap, c("y")).otherwise(c("x")),
+                     f"_front {name}": F.exp(c("a") * F.ln(c("x")) + 0.5 * F.ln(c("y")) - log_beta(c("a"), F.lit(0.5)))}
+        part = c("front") * _beta_fraction(c("p"), c("q"), c("t")) / c("p")
+        steps[2] |= {name: F.when(~c("sure"), F.lit(None).cast("double")).when(c("y") <= 0, 1.0).when(c("x") <= 0, 0.0).when(c("swap"), 1.0 - part).otherwise(part)}
+    out = df
+    for step in steps:
+        out = out.withColumns(step)
+    return out.select(*df.columns, *tails)
+
+
+def _beta_fraction(p: Column, q: Column, t: Column) -> Column:
     first = 1.0 / _some(1.0 - (p + q) * t / (p + 1.0))
 
     def fraction(s, k):
@@ -97,17 +118,7 @@ def beta_tail(a: Column | float, b: Column | float, x: Column, y: Column) -> Col
         odd = -(p + k) * (p + q + k) * t / ((p + 2.0 * k) * (p + 1.0 + 2.0 * k))
         d2, c2 = 1.0 / _some(1.0 + odd * d), _some(1.0 + odd / c)
         return F.struct(c2.alias("c"), d2.alias("d"), (s.h * d * c * d2 * c2).alias("h"))
-    h = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")), fraction, lambda s: s.h)
-    part = front * h / p
-    return F.when(x <= 0, F.lit(0.0)).when(y <= 0, F.lit(1.0)).when(swap, 1.0 - part).otherwise(part)
-
-
-def t_two_sided(t: Column, dof: Column) -> Column:
-    """Two-sided p of Student's t; null where t is null or NaN or there are no degrees of freedom."""
-    t, dof = _d(t), _d(dof)
-    sure = t.isNotNull() & ~F.isnan(t) & (dof > 0)
-    t, dof = F.when(sure, t).otherwise(0.0), F.when(sure, dof).otherwise(1.0)
-    return F.when(sure, beta_tail(dof / 2.0, 0.5, dof / (dof + t * t), t * t / (dof + t * t)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")), fraction, lambda s: s.h)
 
 
 def rank_sum_exact(u: Column, n1: Column, n2: Column) -> Column:

@@ -268,3 +268,14 @@ def user_features(log: DataFrame, ref_date: str | Column, users: DataFrame | Non
     if users is not None:
         agg = restrict_to_users(agg, users, user_col)
     return agg
+
+
+#: The content class of children's programmes.
+KIDS_CLASS = 14
+SQL_KIDS = f"""kids AS (SELECT user_id, CAST(SUBSTR(strt_dt, 1, 6) AS INT) AS p_mt, COUNT(*) AS kids_views FROM activity
+  WHERE strt_dt IS NOT NULL AND ct_cl = {KIDS_CLASS} GROUP BY 1, 2)"""
+
+
+def kids_views(log: DataFrame, user_col: str = "user_id", class_col: str = "ct_cl", month_col: str = "p_mt") -> DataFrame:
+    """Views of children's programmes per user and month, from the dated events of the log (which carries its month)."""
+    return log.where((F.col(class_col) == KIDS_CLASS) & F.col(month_col).isNotNull()).groupBy(user_col, month_col).agg(F.count(F.lit(1)).alias("kids_views"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.functions.numeric import fix
@@ -42,19 +42,22 @@ def ap_auc(preds: DataFrame, score_col: str, label_col: str, group_cols: Sequenc
     scored lower + half the tied negatives) / (P * N). Null when a class is empty.
     """
     groups = list(group_cols)
-    c = score_curve(preds, score_col, label_col, groups)
+    agg = score_curve(preds, score_col, label_col, groups).groupBy(*groups).agg(*_curve_sums())
+    return agg.select(*groups, *_ap_auc_columns())
+
+
+def _curve_sums() -> list[Column]:
     prec = F.col("cum_tp").cast("double") / F.col("cum_n").cast("double")
     below = (F.col("tot_neg") - F.col("cum_neg")).cast("double") + F.col("neg").cast("double") * 0.5
-    agg = c.groupBy(*groups).agg(
-        F.sum(F.col("tp").cast("double") * prec).alias("_ap_num"),
-        F.sum(F.col("tp").cast("double") * below).alias("_auc_num"),
-        F.first("tot_tp").alias("n_pos"), F.first("tot_neg").alias("n_neg"))
-    return agg.select(
-        *groups,
-        F.when(F.col("n_pos") > 0, fix(F.col("_ap_num") / F.col("n_pos").cast("double"))).alias("ap"),
-        F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
-               fix(F.col("_auc_num") / (F.col("n_pos").cast("double") * F.col("n_neg").cast("double")))).alias("roc_auc"),
-        "n_pos", "n_neg")
+    return [F.sum(F.col("tp").cast("double") * prec).alias("_ap_num"), F.sum(F.col("tp").cast("double") * below).alias("_auc_num"),
+            F.first("tot_tp").alias("_pos"), F.first("tot_neg").alias("_neg")]
+
+
+def _ap_auc_columns() -> list[Column]:
+    pos, neg = F.col("_pos"), F.col("_neg")
+    return [F.when(pos > 0, fix(F.col("_ap_num") / pos.cast("double"))).alias("ap"),
+            F.when((pos > 0) & (neg > 0), fix(F.col("_auc_num") / (pos.cast("double") * neg.cast("double")))).alias("roc_auc"),
+            pos.alias("n_pos"), neg.alias("n_neg")]
 
 
 def precision_at(preds: DataFrame, score_col: str, label_col: str, key_cols: Sequence[str],
@@ -79,21 +82,45 @@ def precision_at(preds: DataFrame, score_col: str, label_col: str, key_cols: Seq
     return agg.select(*out, lift.alias(f"lift_at_{t0}"), base.alias("base_rate"))
 
 
-def ranking_metrics(preds: DataFrame, score_col: str, label_col: str, key_cols: Sequence[str]) -> DataFrame:
-    """M9: AP, ROC-AUC, P@10%, P@20%, Lift@10% in one row (two one-row aggregates, combined on the driver).
+TIES_AT_ONCE = 100_000
+
+
+def ranking_metrics(preds: DataFrame, score_col: str, label_col: str, key_cols: Sequence[str], fractions: Sequence[float] = (0.1, 0.2)) -> DataFrame:
+    """M9: AP, ROC-AUC, P@10%, P@20%, Lift@10% in one row, all from one score curve.
 
-    Both aggregates read the predictions, so the needed columns are written
-    once to the checkpoint folder; the upstream plan (features over the whole
-    log) then runs once, not once per metric.
+    The top k rows are whole scores of the curve, and of the score at the cut the first rows by key: only where a
+    cut falls among rows of equal score are those rows ranked. The needed columns are written once to the
+    checkpoint folder, so the upstream plan (features over the whole log) runs once.
     """
     preds = cut_lineage(preds.select(score_col, label_col, *key_cols))
-    a = ap_auc(preds, score_col, label_col).first().asDict()
-    p = precision_at(preds, score_col, label_col, key_cols).first().asDict()
-    row = {**a, **p}
+    curve = score_curve(preds, score_col, label_col)
+    tops = [F.greatest(F.lit(1), F.floor(F.col("tot_n").cast("double") * k)).cast("long") for k in fractions]
+    cuts = []
+    for i, m in enumerate(tops):
+        cuts += [F.max(m).alias(f"m{i}"), F.max(F.when(F.col("cum_n") <= m, F.struct("cum_n", "cum_tp"))).alias(f"upto{i}"),
+                 F.max(F.when(F.col("cum_n") > m, F.struct("_s", "n", "tp"))).alias(f"at{i}")]
+    row = curve.agg(*_curve_sums(), *cuts).select(*_ap_auc_columns(), "*").first().asDict()
+    out = {c: row[c] for c in ("ap", "roc_auc", "n_pos", "n_neg")}
+    total = (out["n_pos"] or 0) + (out["n_neg"] or 0)
+    for i, k in enumerate(fractions):
+        m, upto, at = row[f"m{i}"], row[f"upto{i}"], row[f"at{i}"]
+        hits = upto["cum_tp"] if upto else 0
+        rest = min(m or 0, total) - (upto["cum_n"] if upto else 0)
+        if rest > 0:
+            ties = preds.where(F.col(score_col) == F.lit(at["_s"])).where(F.col(label_col).isNotNull())
+            if rest <= TIES_AT_ONCE:
+                first = ties.orderBy(*key_cols).limit(rest)
+            else:
+                first = global_rank(ties, list(key_cols), rank_col="_r").where(F.col("_r") <= rest)
+            hits += first.agg(F.sum(F.col(label_col).cast("long"))).first()[0] or 0
+        out[f"precision_at_{int(round(k * 100))}"] = hits / min(m, total) if total else None
+    out["base_rate"] = out["n_pos"] / total if total else None
+    first = f"precision_at_{int(round(fractions[0] * 100))}"
+    out["lift_at_10"] = out[first] / out["base_rate"] if out["base_rate"] else None
     schema = ("ap double, roc_auc double, n_pos long, n_neg long, precision_at_10 double, precision_at_20 double, "
               "lift_at_10 double, base_rate double")
     names = [f.split()[0] for f in schema.split(", ")]
-    return preds.sparkSession.createDataFrame([tuple(row[n] for n in names)], schema)
+    return preds.sparkSession.createDataFrame([tuple(out[n] for n in names)], schema)
 
 
 def threshold_metrics(preds: DataFrame, score_col: str, label_col: str, threshold: float = 0.5) -> DataFrame:

@@ -81,8 +81,8 @@ def moments_table(df: DataFrame, cols: Sequence[str], group_col: str) -> DataFra
                  F.try_divide(F.col("mean0") - F.col("mean1"), F.sqrt(se2)).alias("welch_t"), dof.alias("welch_dof"),
                  F.try_divide(F.col("mean0") - F.col("mean1"), pooled).alias("pooled_t"),
                  F.when(sp2 > 0, F.try_divide(F.col("mean1") - F.col("mean0"), F.sqrt(sp2))).otherwise(0.0).alias("cohens_d"))
-    return t.withColumns({"welch_p": tails.t_two_sided(F.col("welch_t"), F.col("welch_dof")),
-                          "pooled_p": tails.t_two_sided(F.col("pooled_t"), F.col("n0") + F.col("n1") - 2)})
+    t = t.withColumn("pooled_dof", (F.col("n0") + F.col("n1") - 2).cast("double"))
+    return tails.with_t_two_sided(t, {"welch_p": ("welch_t", "welch_dof"), "pooled_p": ("pooled_t", "pooled_dof")})
 
 
 # ---------------------------------------------------------------- normality
@@ -154,18 +154,24 @@ EXACT_ROWS = 8
 EXACT_SUMS = 4096
 
 
-def mw_columns(n_pos: Column, n_neg: Column, r_pos: Column, tie: Column) -> dict[str, Column]:
-    """T4/T5 as columns: U of the positives, z, two-sided p (exact for small samples without ties) and rank-biserial."""
-    u1 = r_pos - n_pos * (n_pos + 1) / 2.0
-    u2 = n_pos * n_neg - u1
-    n = n_pos + n_neg
-    s = F.sqrt(n_pos * n_neg / 12.0 * ((n + 1) - F.try_divide(tie, n * (n - 1))))
-    z = F.try_divide(F.greatest(u1, u2) - n_pos * n_neg / 2.0 - 0.5, s)
-    small = (F.least(n_pos, n_neg).between(1, EXACT_ROWS)) & (n_pos * n_neg <= EXACT_SUMS) & (tie == 0)
-    one = F.lit(1.0)  # where it does not apply the exact form gets the smallest case, so that nothing is counted
-    exact = tails.rank_sum_exact(F.when(small, u1).otherwise(0.0), F.when(small, n_pos).otherwise(one), F.when(small, n_neg).otherwise(one))
-    return {"u_pos": u1, "z": z, "p_value": F.when(small, exact).otherwise(tails.normal_two_sided(z)),
-            "rank_biserial": F.try_divide(2.0 * u1, n_pos * n_neg) - 1.0}
+def mann_whitney_columns(sums: DataFrame) -> DataFrame:
+    """T4/T5: rows of ``rank_sums`` with u_pos, z, rank_biserial and the two-sided p_value (exact for small samples without ties).
+
+    The statistics are columns before the p-value is taken from them, so that its folds read values, not whole formulas.
+    """
+    n1, n2, tie = F.col("n_pos").cast("double"), F.col("n_neg").cast("double"), F.col("tie_term")
+    out = sums.withColumn("u_pos", F.col("rank_sum_pos") - n1 * (n1 + 1) / 2.0)
+    n = n1 + n2
+    s = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.try_divide(tie, n * (n - 1))))
+    z = F.try_divide(F.greatest(F.col("u_pos"), n1 * n2 - F.col("u_pos")) - n1 * n2 / 2.0 - 0.5, s)
+    out = out.withColumns({"z": z, "rank_biserial": F.try_divide(2.0 * F.col("u_pos"), n1 * n2) - 1.0})
+    small = F.least(n1, n2).between(1, EXACT_ROWS) & (n1 * n2 <= EXACT_SUMS) & (tie == 0)
+    out = out.withColumns({"_small": small, "_half": F.when(F.col("z") > 0, F.col("z") * F.col("z") / 2.0)})
+    pick = lambda c, other: F.when(F.col("_small"), F.col(c)).otherwise(F.lit(other))
+    # where the exact form does not apply it gets the smallest case, so that nothing is counted
+    out = out.withColumns({"_u": pick("u_pos", 0.0), "_a": pick("n_pos", 1), "_b": pick("n_neg", 1)})
+    p = F.when(F.col("_small"), tails.rank_sum_exact(F.col("_u"), F.col("_a"), F.col("_b"))).when(F.col("z") <= 0, 1.0).otherwise(tails.gamma_q(0.5, F.col("_half")))
+    return out.withColumn("p_value", p).drop("_small", "_half", "_u", "_a", "_b")
 
 
 def rank_biserial(u: float, n1: float, n2: float) -> float:
@@ -212,8 +218,9 @@ def chi_square_columns(counts: DataFrame) -> DataFrame:
     gap = F.abs(F.coalesce("cnt", F.lit(0)).cast("double") - F.col("e"))
     gap = gap - F.when(F.col("dof") == 1, F.least(F.lit(0.5), gap)).otherwise(0.0)
     out = grid.withColumns({"dof": dof, "e": expected}).groupBy("column", "dof", "n", "r", "k").agg(F.sum(gap * gap / F.col("e")).alias("chi2"))
+    out = out.withColumns({"_a": F.col("dof") / 2.0, "_x": F.col("chi2") / 2.0})
     return out.select("column", "chi2", F.col("dof").cast("long").alias("dof"), F.col("n").cast("long").alias("n"),
-                      tails.chi_square_tail(F.col("chi2"), F.col("dof")).alias("p_value"), F.sqrt(F.col("chi2") / F.col("n") / F.least(F.col("r") - 1, F.col("k") - 1)).alias("cramers_v"))
+                      tails.gamma_q(F.col("_a"), F.col("_x")).alias("p_value"), F.sqrt(F.col("chi2") / F.col("n") / F.least(F.col("r") - 1, F.col("k") - 1)).alias("cramers_v"))
 
 
 # ---------------------------------------------------------------- sweep
@@ -223,10 +230,9 @@ def _numeric_tests(df: DataFrame, group_col: str, cols: Sequence[str], alpha: fl
         F.bool_and(F.coalesce(F.col("p_value") > alpha, F.lit(False))).alias("normal"))
     split = df.select((F.col(group_col) == 0).alias("is_pos"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("kv"))
-    ranks = rank_sums(split.select("kv.column", "kv.value", "is_pos"))
-    u = mw_columns(F.col("n_pos").cast("double"), F.col("n_neg").cast("double"), F.col("rank_sum_pos"), F.col("tie_term"))
+    ranks = mann_whitney_columns(rank_sums(split.select("kv.column", "kv.value", "is_pos")))
     table = moments_table(df, cols, group_col).where((F.col("n0") >= least) & (F.col("n1") >= least)).join(normal, "column")
-    table = table.join(ranks.select("column", u["u_pos"].alias("u"), u["p_value"].alias("u_p")), "column")
+    table = table.join(ranks.select("column", F.col("u_pos").alias("u"), F.col("p_value").alias("u_p")), "column")
     pick = lambda a, b: F.when(F.col("normal"), F.col(a)).otherwise(F.col(b))
     return table.select("column", F.when(F.col("normal"), "t-test").otherwise("Mann-Whitney U").alias("test"), pick("welch_t", "u").alias("statistic"),
                         pick("welch_p", "u_p").alias("p_value"), F.coalesce("cohens_d", F.lit(0.0)).alias("effect"), "mean0", "mean1")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tenure.functions.months import month_label
 from tenure.functions.numeric import exact_mean, fix, fix_sql, mean
+from tenure.operators import activity as act
 from tenure.operators import segments as seg
+from tenure.operators.joins import attach
 from tenure.operators.quantiles import column_quantiles
 from tenure.operators.ranking import multi_rank_buckets, share_within
 from tenure.plans import datasets as ds
@@ -339,15 +341,16 @@ def a18_kpi_snapshot(spark, sf_dir):
 USAGE_FLAGS = {"flag_kids": "flag_kids", "flag_movie": "flag_movie", "is_ott": "is_ott",
                "app": f"CASE WHEN {views.APP_USER} THEN 1 ELSE 0 END",
                "vod_active": "CASE WHEN vod_view_cnt > 0 THEN 1 ELSE 0 END",
-               "kids_vod": f"CASE WHEN {views.KIDS_VIEWS} > 0 THEN 1 ELSE 0 END"}
+               "kids_vod": "CASE WHEN kids_views > 0 THEN 1 ELSE 0 END"}
 
 
-@register("a19_usage_rates", with_views(SQL_V2_ALL, "SELECT cancel_yn, " + ", ".join(
-    f"{fix_sql(MEAN_INT(e) + ' * 100.0')} AS {k}_pct" for k, e in USAGE_FLAGS.items()) + " FROM v2x GROUP BY cancel_yn"))
+@register("a19_usage_rates", with_views(SQL_V2_ALL + ",\n" + act.SQL_KIDS, "SELECT cancel_yn, " + ", ".join(
+    f"{fix_sql(MEAN_INT(e) + ' * 100.0')} AS {k}_pct" for k, e in USAGE_FLAGS.items()) + " FROM v2x LEFT JOIN kids USING (user_id, p_mt) GROUP BY cancel_yn"))
 def a19_usage_rates(spark, sf_dir):
     one = lambda cond: F.when(cond, 1).otherwise(0)
-    v2 = _v2(spark, sf_dir).withColumns({"vod_active": one(F.col("vod_view_cnt") > 0), "app": one(F.expr(views.APP_USER)),
-                                         "kids_vod": one(F.expr(views.KIDS_VIEWS) > 0)})
+    kids = act.kids_views(views.activity(spark, sf_dir, with_month=True))
+    v2 = attach(_v2(spark, sf_dir), kids, ["user_id", "p_mt"], {"kids_views": 0}).withColumns({"vod_active": one(F.col("vod_view_cnt") > 0), "app": one(F.expr(views.APP_USER)),
+                                         "kids_vod": one(F.col("kids_views") > 0)})
     return v2.groupBy("cancel_yn").agg(*[fix(exact_mean(k) * 100.0).alias(f"{k}_pct") for k in USAGE_FLAGS])
 
 
@@ -430,6 +433,5 @@ pick AS (SELECT user_id FROM sc ORDER BY churn_risk DESC, user_id LIMIT 1)""", "
 SELECT sc.* FROM sc JOIN pick ON sc.user_id = pick.user_id"""))
 def p13_key_lookup(spark, sf_dir):
     """Look up one customer's scored row by key: the highest-risk customer of the snapshot month."""
-    sc = cut_lineage(scored(spark, sf_dir))  # read for the key, then for its row
-    key = sc.orderBy(F.col("churn_risk").desc(), F.col("user_id")).select("user_id").first()["user_id"]
-    return sc.filter(F.col("user_id") == key)
+    # a snapshot has one row per customer, so the top row is the customer's row: one top-1 in the same plan
+    return scored(spark, sf_dir).orderBy(F.col("churn_risk").desc(), F.col("user_id")).limit(1)

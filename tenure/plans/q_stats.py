@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tenure.functions import tails
 from tenure.functions.numeric import fix, fix_sig, fix_sig_sql, fix_sql
+from tenure.operators import activity as act
 from tenure.operators import leakage as lk
 from tenure.operators import stats as st
+from tenure.operators.joins import attach
 from tenure.operators.encode import apply_codes, code_dictionary, median_fill
 from tenure.operators.quantiles import exact_quantiles
 from tenure.plans import datasets as ds
@@ -106,7 +108,7 @@ def t3_normality(spark, sf_dir):
 # ---------------------------------------------------------------- T4 / T5 / W3 and T10
 # Directed hypotheses on the purchase panel (id, split, expected sign).
 HYPOTHESES = [("H1", "lagged_rvod_cnt > 0", "+"), ("H2", "svod_cnt > 0", "+"),
-              ("H3", "ott_yn", "-"), ("H4", f"{views.KIDS_VIEWS} > 0", "+"), ("H5", "cancel_yn = 1", "-")]
+              ("H3", "ott_yn", "-"), ("H4", "kids_views > 0", "+"), ("H5", "cancel_yn = 1", "-")]
 
 
 def _purchase(spark, sf_dir):
@@ -117,7 +119,8 @@ def _purchase(spark, sf_dir):
 
 
 def _hyp_long(spark, sf_dir):
-    pdf = cut_lineage(_purchase(spark, sf_dir))  # read for the cap, then for the tests
+    kids = act.kids_views(views.activity(spark, sf_dir, months=(YEAR_START, YEAR_END), with_month=True))
+    pdf = cut_lineage(attach(_purchase(spark, sf_dir), kids, ["user_id", "p_mt"], {"kids_views": 0}))  # read for the cap, then for the tests
     p99 = exact_quantiles(pdf, "vod_purchase_cnt", [0.99])[0]
     y = F.least(F.col("vod_purchase_cnt").cast("double"), F.lit(float(p99)))
     items = F.array(*[F.struct(F.lit(h).alias("hypothesis"), F.coalesce(F.expr(cond), F.lit(False)).alias("is_pos")) for h, cond, _ in HYPOTHESES])
@@ -129,18 +132,16 @@ def _hyp_table(long):
     means = long.filter(F.col("is_pos").isNotNull()).groupBy("hypothesis").agg(
         F.avg(F.when(F.col("is_pos"), F.col("value"))).alias("mean_pos"),
         F.avg(F.when(~F.col("is_pos"), F.col("value"))).alias("mean_neg"))
-    mw = st.mw_columns(F.col("n_pos").cast("double"), F.col("n_neg").cast("double"), F.col("rank_sum_pos"),
-                       F.col("tie_term"))
-    return rs.join(means, "hypothesis", "inner").select(
+    return st.mann_whitney_columns(rs).join(means, "hypothesis", "inner").select(
         "hypothesis", "n_pos", "n_neg", fix("mean_pos").alias("mean_pos"), fix("mean_neg").alias("mean_neg"),
-        fix(mw["u_pos"]).alias("u_pos"), fix(mw["z"]).alias("z"), fix(mw["rank_biserial"]).alias("rank_biserial"), fix_sig(mw["p_value"], 7).alias("p_value"))
+        fix("u_pos").alias("u_pos"), fix("z").alias("z"), fix("rank_biserial").alias("rank_biserial"), fix_sig("p_value", 7).alias("p_value"))
 
 
 def _hyp_sql():
     parts = []
     for h, cond, _ in HYPOTHESES:
         parts.append(f"SELECT '{h}' AS hypothesis, COALESCE({cond}, FALSE) AS is_pos, LEAST({D('vod_purchase_cnt')}, p99) AS value "
-                     f"FROM pur JOIN q ON TRUE")
+                     f"FROM pur JOIN q ON TRUE LEFT JOIN kids ON kids.user_id = pur.user_id AND kids.p_mt = pur.p_mt")
     return "long AS (" + " UNION ALL ".join(parts) + ")"
 
 
@@ -151,6 +152,7 @@ pur AS (
     FROM base b LEFT JOIN monthly m ON b.user_id = m.user_id AND b.p_mt = m.p_mt) t
   LEFT JOIN monthly l ON t.user_id = l.user_id
        AND l.p_mt = CASE WHEN t.p_mt % 100 = 1 THEN t.p_mt - 89 ELSE t.p_mt - 1 END),
+""" + act.SQL_KIDS + """,
 q AS (SELECT quantile_cont(CAST(vod_purchase_cnt AS DOUBLE), 0.99) AS p99 FROM pur),
 """ + _hyp_sql() + """,
 vc AS (SELECT hypothesis, value, COUNT(*) FILTER (WHERE is_pos) AS c1, COUNT(*) FILTER (WHERE NOT is_pos) AS c0

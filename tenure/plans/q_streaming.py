@@ -11,7 +11,8 @@ from tenure.plans.fixture import YEAR_END, YEAR_START
 from tenure.plans.registry import ORACLES, QUERIES, register, with_views
 from tenure.sources import ingest, views
 from tenure.sources.tables import read_table
-from tenure.streaming.monthly import monthly_stream, read_latest
+from tenure.streaming.daily import SCHEMA, daily_stream, read_windows
+from tenure.streaming.monthly import monthly_stream, read_monthly
 
 from tenure.plans import q_activity, q_segments  # noqa: F401  (oracles reused below)
 
@@ -98,6 +99,36 @@ def s9_table_store(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+BUCKETS = 16
+
+
+@register("s9_bucketed_store", with_views("", """
+SELECT p.user_id, p.p_mt, CAST(COALESCE(a.n, 0) AS BIGINT) AS vod_view_cnt, CAST(COALESCE(m.n, 0) AS BIGINT) AS month_view_cnt
+FROM panel p LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM activity GROUP BY 1) a ON p.user_id = a.user_id
+LEFT JOIN (SELECT user_id, CAST(SUBSTR(strt_dt, 1, 6) AS INT) AS p_mt, COUNT(*) AS n FROM activity WHERE strt_dt IS NOT NULL GROUP BY 1, 2) m
+  ON p.user_id = m.user_id AND p.p_mt = m.p_mt"""))
+def s9_bucketed_store(spark, sf_dir):
+    """Catalog tables bucketed by user: the log restricted to the panel's users, per-user and per-month counts attached, no shuffle."""
+    log, panel = bucketed_tables(spark, sf_dir)
+    return bucketed_counts(log, panel)
+
+
+def bucketed_tables(spark, sf_dir, buckets: int = BUCKETS):
+    root, tag = _run_dir(spark, "s9b"), uuid.uuid4().hex[:8]
+    log = views.activity(spark, sf_dir, with_month=True).select("user_id", "p_mt")
+    names = {f"activity_{tag}": log, f"panel_{tag}": views.panel(spark, sf_dir).select("user_id", "p_mt")}
+    return [ingest.save_bucketed(df, name, f"{root}/{name}", "user_id", buckets) for name, df in names.items()]
+
+
+def bucketed_counts(log, panel):
+    """J1, J4 and J5 over tables that share their buckets."""
+    mine = log.join(panel.select("user_id"), "user_id", "left_semi")
+    total = mine.groupBy("user_id").agg(F.count(F.lit(1)).alias("vod_view_cnt"))
+    month = mine.where("p_mt IS NOT NULL").groupBy("user_id", "p_mt").agg(F.count(F.lit(1)).alias("month_view_cnt"))
+    out = panel.join(total, "user_id", "left").join(month, ["user_id", "p_mt"], "left")
+    return out.select("user_id", "p_mt", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("vod_view_cnt", "month_view_cnt")])
+
+
 # ---------------------------------------------------------------- A5 as a stream
 @register("a5_streaming_monthly", ORACLES["a5_monthly_activity"])
 def a5_streaming_monthly(spark, sf_dir):
@@ -110,7 +141,22 @@ def a5_streaming_monthly(spark, sf_dir):
     users = panel.filter(F.col("p_mt").between(YEAR_START, YEAR_END)).select("user_id")
     q = monthly_stream(spark, src, log.schema, users, YEAR_START, YEAR_END, target, checkpoint=f"{root}/ckpt")
     q.awaitTermination()
-    return read_latest(spark, target)
+    return read_monthly(spark, target)
+
+
+# ---------------------------------------------------------------- event-time windows over the events
+@register("events_daily_stream", """
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, COUNT(*) AS n_events, COUNT(value) AS n_valued,
+       CAST(COALESCE(SUM(CAST(ROUND(value * 100) AS BIGINT)), 0) AS BIGINT) AS value_cents
+FROM (SELECT DISTINCT event_id, ts, event_type, value FROM events WHERE ts IS NOT NULL) e
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 2 DAY GROUP BY 1, 2""")
+def events_daily_stream(spark, sf_dir):
+    """Daily windows of the events that the watermark has closed: those that end two days before the last event."""
+    root = _run_dir(spark, "daily")
+    events = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
+    ingest.write_parquet(events.select(*[F.col(c).cast(t) for c, t in (f.split() for f in SCHEMA.split(", "))]), f"{root}/source")
+    daily_stream(spark, f"{root}/source", f"{root}/target", f"{root}/ckpt").awaitTermination()
+    return read_windows(spark, f"{root}/target")
 
 
 _ = act

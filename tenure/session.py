@@ -25,11 +25,13 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # tables bucketed by user are joined on (user, month) without a shuffle
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
 def scale_conf(shuffle_bytes: int, split_bytes: int = 256 << 20, target_partition_bytes: int = 256 << 20,
-               max_partitions: int = 200_000) -> dict:
+               max_partitions: int | None = None) -> dict:
     """Sizing for a cluster run, from the bytes the largest shuffle is expected to move.
 
     The initial shuffle partition count keeps each reduce partition near
@@ -38,9 +40,12 @@ def scale_conf(shuffle_bytes: int, split_bytes: int = 256 << 20, target_partitio
     size, and splits a partition above the skew threshold (a user with a
     third of the log) across tasks. Scan splits of ``split_bytes`` keep the
     task count of a 100 TB scan in the hundreds of thousands, not millions.
-    A launcher applies these only for keys it has not set itself.
+    A launcher applies these only for keys it has not set itself. ``max_partitions`` bounds the number of
+    partitions, which then hold more than the target; by default there is no bound.
     """
-    parts = max(200, min(max_partitions, -(-int(shuffle_bytes) // int(target_partition_bytes))))
+    parts = max(200, -(-int(shuffle_bytes) // int(target_partition_bytes)))
+    if max_partitions:
+        parts = min(parts, max_partitions)
     return {
         "spark.sql.files.maxPartitionBytes": str(split_bytes),
         "spark.sql.shuffle.partitions": str(parts),

@@ -113,9 +113,8 @@ def panel(spark: SparkSession, sf_dir: str, months: tuple[int, int] | None = Non
             ))
 
 
-#: Stand-ins, in SQL that both engines read, for two attributes of a user: the streaming app flag and the month's kids views.
+#: A stand-in, in SQL that both engines read, for a user's streaming app flag, which has no column.
 APP_USER = "(user_id % 3 = 0)"
-KIDS_VIEWS = "(user_id % 4)"
 
 
 # DuckDB text of the same views, inlined as CTEs by every oracle query.

@@ -1,21 +1,12 @@
 """Monthly activity (A5) maintained incrementally with Structured Streaming.
 
-The viewing log arrives as files; each micro-batch updates the running
-(user, month) counts held in Spark's state store (update mode), and
-``foreachBatch`` upserts the changed rows into a parquet table (anti-join on
-the key, then append). The table is kept per month (``month_<YYYYMM>``) and
-each month holds versions named by batch id (``batch_<id>``): a batch
-rewrites only the months it touched, each from that month's last complete
-earlier version, so its cost follows the changed months, not the whole
-table. A batch replayed after a failure rewrites only its own versions and
-never a version it reads; readers take each month's newest complete version.
-Restricting to known users is a stream-static semi-join. The checkpoint
-lives in the shared checkpoint folder, so a restarted query resumes from its
-last committed batch.
+The viewing log arrives as files. Each micro-batch is aggregated to (user, month) and written as that batch's own
+partition of a plain parquet table, ``p_mt=<YYYYMM>/batch=<id>``, by dynamic partition overwrite: a replayed batch
+replaces what it had written, and no batch reads or rewrites what others wrote. Readers add the parts up, which month
+filters prune by directory. Restricting to known users is a stream-static semi-join. The checkpoint lives in the shared
+checkpoint folder, so a restarted query resumes from its last committed batch.
 
-Months are calendar months taken from the event text, not fixed-length
-windows, so no watermark is applied: state is one row per active
-(user, month), which the state store keeps on disk.
+No state is kept, so events may be as late as they like.
 """
 
 from __future__ import annotations
@@ -28,9 +19,8 @@ from pyspark.sql import functions as F
 from tenure.functions.months import month_of
 from tenure.session import ensure_checkpoint_dir
 
-# directory names without '=', so reading explicit version paths infers no partition columns
-MONTH_PREFIX = "month_"
-VERSION_PREFIX = "batch_"
+KEYS = ("user_id", "p_mt")
+SUMS = ("vod_view_cnt", "vod_use_tms_sum")
 
 
 def monthly_stream(spark: SparkSession, source_dir: str, schema, users: DataFrame | None, start: int, end: int,
@@ -41,69 +31,17 @@ def monthly_stream(spark: SparkSession, source_dir: str, schema, users: DataFram
                .filter(F.col("p_mt").between(start, end))
     if users is not None:
         ev = ev.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    agg = ev.groupBy("user_id", "p_mt").agg(F.count(F.lit(1)).alias("vod_view_cnt"),
-                                            F.coalesce(F.sum("use_tms"), F.lit(0)).cast("bigint").alias("vod_use_tms_sum"))
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        batch_spark = batch.sparkSession
-        batch = batch.persist()  # read once per touched month
-        # the touched months: at most the months of [start, end]
-        months = sorted(r[0] for r in batch.select("p_mt").distinct().collect())
-        for m in months:
-            rows = batch.filter(F.col("p_mt") == m)
-            month_dir = f"{target}/{MONTH_PREFIX}{m}"
-            prev = latest_version(batch_spark, month_dir, before=batch_id)
-            merged = rows if prev is None else _upsert_keys(batch_spark.read.parquet(prev), rows)
-            merged.write.mode("overwrite").parquet(f"{month_dir}/{VERSION_PREFIX}{batch_id:012d}")
-        batch.unpersist()
+    def add(batch: DataFrame, batch_id: int) -> None:
+        part = batch.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("vod_view_cnt"), F.coalesce(F.sum("use_tms"), F.lit(0)).cast("bigint").alias("vod_use_tms_sum"))
+        (part.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("p_mt", "batch").parquet(target))
 
     ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "stream", "monthly_activity")
-    return (agg.writeStream.outputMode("update").foreachBatch(merge)
-               .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    return ev.writeStream.foreachBatch(add).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
 
 
-def _upsert_keys(current: DataFrame, batch: DataFrame) -> DataFrame:
-    """Replace the rows of keys updated in this batch, keep the rest (anti-join on the composite key)."""
-    kept = current.join(batch.select("user_id", "p_mt"), ["user_id", "p_mt"], "left_anti")
-    return kept.unionByName(batch)
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def latest_version(spark: SparkSession, month_dir: str, before: int | None = None) -> str | None:
-    """Path of the newest complete version (has ``_SUCCESS``) in one month, optionally below a batch id."""
-    jvm, root, fs = _fs(spark, month_dir)
-    if not fs.exists(root):
-        return None
-    best = None
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if not (st.isDirectory() and name.startswith(VERSION_PREFIX)):
-            continue
-        vid = int(name[len(VERSION_PREFIX):])
-        if before is not None and vid >= before:
-            continue
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")) and (best is None or vid > best[0]):
-            best = (vid, st.getPath().toString())
-    return best[1] if best else None
-
-
-def month_dirs(spark: SparkSession, target: str) -> list[str]:
-    """The month directories of a versioned monthly table."""
-    _, root, fs = _fs(spark, target)
-    if not fs.exists(root):
-        return []
-    return sorted(st.getPath().toString() for st in fs.listStatus(root)
-                  if st.isDirectory() and st.getPath().getName().startswith(MONTH_PREFIX))
-
-
-def read_latest(spark: SparkSession, target: str) -> DataFrame:
-    """The current state of the incrementally maintained table (newest complete version of every month)."""
-    paths = [p for p in (latest_version(spark, d) for d in month_dirs(spark, target)) if p]
-    if not paths:
-        raise FileNotFoundError(target)
-    return spark.read.parquet(*paths)
+def read_monthly(spark: SparkSession, target: str) -> DataFrame:
+    """The table's current state: the parts of all batches added up."""
+    parts = spark.read.schema("user_id long, vod_view_cnt long, vod_use_tms_sum long, p_mt int, batch long").parquet(target)
+    return parts.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])

@@ -277,8 +277,7 @@ def test_small_samples_without_ties_have_exact_p(spark):
     rows += [("ties", v, p) for v, p in ((1.0, True), (1.0, False), (2.0, True), (3.0, False))]
     rows += [("large", float(i), i % 3 == 0) for i in range(60)]
     sums = st.rank_sums(spark.createDataFrame(rows, "column string, value double, is_pos boolean"))
-    mw = st.mw_columns(F.col("n_pos").cast("double"), F.col("n_neg").cast("double"), F.col("rank_sum_pos"), F.col("tie_term"))
-    got = {r.column: r for r in sums.select("column", "n_pos", "n_neg", "rank_sum_pos", "tie_term", mw["u_pos"].alias("u"), mw["p_value"].alias("p")).collect()}
+    got = {r.column: r for r in st.mann_whitney_columns(sums).withColumnsRenamed({"u_pos": "u", "p_value": "p"}).collect()}
     us = [sum(c) - 3 for c in itertools.combinations(range(7), 3)]
     least = min(got["exact"].u, 12 - got["exact"].u)
     assert math.isclose(got["exact"].p, min(1.0, 2 * sum(u <= least for u in us) / len(us)))

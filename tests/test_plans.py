@@ -69,3 +69,10 @@ def test_seeded_sample_merges_only_candidates(spark):
     text = _formatted(seeded_sample(df, 10, ["id", "m"], 42))
     assert "TakeOrderedAndProject" in text
     assert "Filter" in text
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    from tenure.plans import q_streaming as qs
+    log, panel = qs.bucketed_tables(spark, SF001, 4)
+    plan = qs.bucketed_counts(log, panel)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SelectedBucketsCount: 4 out of 4" in plan

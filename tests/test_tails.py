@@ -21,14 +21,14 @@ def test_log_gamma_and_beta(spark):
 
 def test_tails_equal_the_scalar_forms(spark):
     pairs = [(x, d) for x in (0.0, 0.01, 0.7, 3.84, 12.5, 80.0, 900.0) for d in (1, 2, 3, 17, 140, 3000)]
-    got = spark.createDataFrame(pairs, "x double, d int").select("x", "d", tails.chi_square_tail(F.col("x"), F.col("d")).alias("c"),
-                                                                 tails.t_two_sided(F.col("x"), F.col("d")).alias("t"), tails.normal_two_sided(F.col("x")).alias("n")).collect()
+    df = tails.with_t_two_sided(spark.createDataFrame(pairs, "x double, d int"), {"t": ("x", "d")})
+    got = df.select("x", "d", "t", tails.chi_square_tail(F.col("x"), F.col("d")).alias("c"), tails.normal_two_sided(F.col("x")).alias("n")).collect()
     for r in got:
         assert r.c == pytest.approx(dist.chi2_sf(r.x, r.d), rel=1e-9, abs=1e-14)
         assert r.t == pytest.approx(dist.t_two_sided_p(r.x, r.d), rel=1e-9, abs=1e-14)
         assert r.n == pytest.approx(min(1.0, 2 * dist.norm_sf(r.x)), rel=1e-9)
     odd = spark.createDataFrame([(None, 3.0), (float("nan"), 3.0), (1.0, 0.0), (1.0, None)], "x double, d double")
-    assert [r.t for r in odd.select(tails.t_two_sided(F.col("x"), F.col("d")).alias("t")).collect()] == [None] * 4
+    assert [r.t for r in tails.with_t_two_sided(odd, {"t": ("x", "d")}).collect()] == [None] * 4
     assert [r.c for r in odd.limit(2).select(tails.chi_square_tail(F.col("x"), F.col("d")).alias("c")).collect()] == [None] * 2
 
 
