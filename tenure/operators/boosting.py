@@ -253,7 +253,7 @@ def _pass(blocks: DataFrame, models: list[Fitted], growing: dict[int, Growth], d
                     part = Tree(g.feature, g.threshold, g.missing_left, g.left, g.right, np.zeros(0), int(g.level.max()))
                     slot_of = np.full(len(g.feature), -1)
                     slot_of[g.open] = np.arange(len(g.open))
-                    got = histogram(bins, layouts[i], slot_of[part.leaf(bins)], len(g.open), (gr, he, weight))
+                    got = histogram(bins, layouts[i], slot_of[part.leaf(bins)], len(g.open), weight, (gr, he, weight))
                     total[i] = total[i] + got if i in total else got
         for i, got in total.items():
             flat = got.reshape(3, -1)

@@ -40,6 +40,11 @@ class Rules:
     def forest(self) -> bool:
         return self.family == "random_forest"
 
+    @property
+    def parts(self) -> int:
+        """Sums a histogram needs: gradients, second derivatives and, where rows count apart from these, rows."""
+        return 3 if self.logistic and not self.forest and self.least_rows > 1 else 2
+
     @property
     def step(self) -> float:
         """What a tree's leaf values are multiplied by; a forest takes the mean of its trees."""
@@ -124,9 +129,9 @@ class Layout:
         self.values = self.bin > 0
 
 
-def histogram(bins: np.ndarray, layout: Layout, slot: np.ndarray, k: int, parts: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Sums of ``parts`` (the last one above 0 where a row counts) per open node (``slot`` of each row, -1 for none) and cell."""
-    rows = np.flatnonzero((slot >= 0) & (parts[-1] > 0))
+def histogram(bins: np.ndarray, layout: Layout, slot: np.ndarray, k: int, weight: np.ndarray, parts: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Sums of ``parts`` per open node (``slot`` of each row, -1 for none) and cell, over rows with a weight."""
+    rows = np.flatnonzero((slot >= 0) & (weight > 0))
     base, parts = slot[rows] * layout.cells, tuple(p[rows] for p in parts)
     out = np.empty((len(parts), k, layout.cells))
     whole = len(rows) == len(slot)
@@ -159,18 +164,18 @@ class Growth:
         self.rounds, self.size = 0, 1
 
     def take(self, sums: np.ndarray, layout: Layout) -> None:
-        """The histograms ([g, h, rows], node, cell) of ``open``, in its order; opens the next nodes."""
+        """The histograms ([g, h, rows if needed], node, cell) of ``open``, in its order; opens the next nodes."""
         r, first = self.rules, layout.first
-        g, h, rows = sums[0] / self.scale, sums[1] / self.scale, sums[2]
+        planes = [sums[0] / self.scale, sums[1] / self.scale, *sums[2:r.parts]]
         end = first[1] if len(first) > 1 else layout.cells
-        total = [x[:, :end].sum(1, keepdims=True) for x in (g, h, rows)]
+        total = [x[:, :end].sum(1, keepdims=True) for x in planes]
         if not self.rounds:
             self.sums[0] = total[0][0, 0], total[1][0, 0]
         self.rounds += 1
-        upto = [x.cumsum(1) for x in (g, h, rows)]
+        upto = [x.cumsum(1) for x in planes]
         upto = [u - u[:, first][:, layout.place] for u in upto]  # of the values up to a bin, without missing ones
-        missing = [x[:, first][:, layout.place] for x in (g, h, rows)]
-        some = bool(missing[2].any())
+        missing = [x[:, first][:, layout.place] for x in planes]
+        some = bool(missing[1].any())
         sides = [True] if r.family == "catboost" else [False, True] if some else [False]  # missing values go left
         found = []
         for left in sides:
@@ -179,8 +184,9 @@ class Growth:
             gain = _score(a[0], a[1], r.ridge) + _score(b[0], b[1], r.ridge) - _score(total[0], total[1], r.ridge)
             gain[:, ~layout.values] = -np.inf
             if r.family != "catboost":
-                least = max(1, r.least_rows)
-                fits = (a[2] >= least) & (b[2] >= least)
+                # a forest's second derivatives, and those of squares, are its rows
+                least = max(1, r.least_rows) if r.parts == 3 or not r.logistic or r.forest else 1 / (2 * self.scale)
+                fits = (a[-1] >= least) & (b[-1] >= least)
                 if r.least_weight:
                     fits &= (a[1] >= r.least_weight) & (b[1] >= r.least_weight)
                 gain[~fits] = -np.inf
@@ -298,7 +304,7 @@ def fit_here(rules: Rules, bins: np.ndarray, y: np.ndarray, row: np.ndarray, wid
         while growth.open:
             slot_of = np.full(len(growth.feature), -1)
             slot_of[growth.open] = np.arange(len(growth.open))
-            growth.take(histogram(bins, layout, slot_of[node], len(growth.open), (g, h, weight)), layout)
+            growth.take(histogram(bins, layout, slot_of[node], len(growth.open), weight, (g, h, weight)[:rules.parts]), layout)
             node = step_down(growth, bins, node)
         trees.append(growth.tree())
         if not rules.forest:
