@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -167,20 +168,27 @@ class Fitted:
 _BLOCK = "bins binary, y binary, fold binary, row binary, margin binary"
 
 
-def _blocks(rows: DataFrame, columns: Columns, keys: Sequence[str], fold: str | None) -> DataFrame:
+def _blocks(rows: DataFrame, columns: Columns, keys: Sequence[str], fold: str | None, n: int) -> DataFrame:
+    """The rows as blocks of about ``BLOCK_ROWS``, a partition each; few rows are one block, whose sums need no shuffle."""
     cuts = columns.cuts
     names = [f"_{j}" for j in range(len(cuts))]
     slim = rows.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(cuts, names)], F.col(columns.label).cast("double").alias("_y"),
                        (F.col(fold) if fold else F.lit(-1)).cast("int").alias("_fold"), F.xxhash64(*keys).alias("_id")).where("_y IS NOT NULL")
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for lo in range(0, len(pdf), BLOCK_ROWS):
-                some = pdf.iloc[lo:lo + BLOCK_ROWS]
+        waiting: list[pd.DataFrame] = []
+        for pdf in chain(parts, [None]):
+            waiting += [] if pdf is None else [pdf]
+            if not waiting or pdf is not None and sum(map(len, waiting)) < BLOCK_ROWS:
+                continue
+            joined, waiting = pd.concat(waiting), []
+            for lo in range(0, len(joined), BLOCK_ROWS):
+                some = joined.iloc[lo:lo + BLOCK_ROWS]
                 bins = to_bins(some, dict(zip(names, cuts.values())))
                 yield pd.DataFrame({"bins": [bins.tobytes()], "y": [some["_y"].to_numpy(np.float64).tobytes()], "fold": [some["_fold"].to_numpy(np.int32).tobytes()],
                                     "row": [some["_id"].to_numpy(np.int64).tobytes()], "margin": [b""]})
-    return slim.mapInPandas(pack, _BLOCK)
+    parts = max(1, -(-n // BLOCK_ROWS))
+    return (slim.coalesce(1) if parts == 1 else slim.repartition(parts)).mapInPandas(pack, _BLOCK)
 
 
 def _block(values: Sequence[bytes], models: list[Fitted]) -> tuple[np.ndarray, ...]:
@@ -195,9 +203,9 @@ def grow(rows: DataFrame, columns: Columns, settings: Sequence[Rules], keys: Seq
          left_out: Sequence[int | None] | None = None) -> list[Fitted]:
     """Fit every setting on ``rows`` (of ``prepare``), without its ``left_out`` fold, all together: one pass per tree level."""
     models = [Fitted(s, 0.0, left_out=f) for s, f in zip(settings, left_out or [None] * len(settings))]
-    blocks = cut_lineage(_blocks(rows, columns, keys, fold))
     y = F.col(columns.label).cast("double")
     by_fold = rows.where(y.isNotNull()).groupBy((F.col(fold) if fold else F.lit(-1)).alias("f")).agg(F.sum(y).alias("s"), F.count(y).alias("n"), F.max(F.abs(y)).alias("m")).collect()
+    blocks = cut_lineage(_blocks(rows, columns, keys, fold, sum(r["n"] for r in by_fold)))
     scale = gradient_scale(max((r["m"] for r in by_fold), default=0.0))
     for m in models:
         mine = [r for r in by_fold if r["f"] != m.left_out or m.left_out is None]

@@ -8,6 +8,8 @@ they report with are oracle-checked in ``q_metrics``.
 from __future__ import annotations
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,13 +107,13 @@ def boosted(spark, sf_dir, task: str, trees: int | None = None) -> DataFrame:
 @register("m6_boosted_families")
 def m6_boosted_families(spark, sf_dir):
     """Leaf-wise, depth-wise and symmetric boosting for both tasks, each family by its own rule."""
-    rows = []
-    for task in TASKS:
-        label = TASKS[task][4]
-        scores = boosted(spark, sf_dir, task)
-        for name in BOOSTED:
-            mine = scores.withColumnRenamed(name, "score")
-            rows += _rows(task, name, md.evaluate_scores(mine.filter(~F.col("is_val")), mine.filter("is_val"), label, KEYS, task))
+    def fitted(task):
+        scores, label = boosted(spark, sf_dir, task), TASKS[task][4]
+        mine = [(name, scores.withColumnRenamed(name, "score")) for name in BOOSTED]
+        return [row for name, s in mine for row in _rows(task, name, md.evaluate_scores(s.filter(~F.col("is_val")), s.filter("is_val"), label, KEYS, task))]
+
+    with ThreadPoolExecutor(len(TASKS)) as pool:  # both tasks at a time: their passes are short jobs
+        rows = [row for part in pool.map(inheritable_thread_target(spark)(fitted), TASKS) for row in part]
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
