@@ -201,15 +201,15 @@ def m13_topk_selection(spark, sf_dir):
 # ---------------------------------------------------------------- M18
 @register("m18_ablation")
 def m18_ablation(spark, sf_dir):
-    """All features, those without a risky name (for every model), and the derived features alone."""
-    churn = churn_data(spark, sf_dir)
-    safe = [f for f in V2_FEATURES if not has_risk_token(f)]
-    variants = [("random_forest", "all", V2_FEATURES), *[(m, "no_temporal_tokens", safe) for m in ("logistic", "random_forest", "gbt")],
-                ("random_forest", "derived_only", [f for f in V2_FEATURES if f in DERIVED])]
+    """For both tasks: all features, those without a risky name (for every model), and the derived features alone."""
     rows = []
-    for name, variant, feats in variants:
-        _, _, r = _fit_eval("churn", name, churn, feats, "cancel_yn")
-        rows += _rows("churn", f"{name}[{variant}]", r)
+    for task, (_, _, training_rows, features, label) in TASKS.items():
+        data, safe, plain = training_rows(spark, sf_dir), [f for f in features if not has_risk_token(f)], "logistic" if task == "churn" else "linear"
+        variants = [("random_forest", "all", features), *[(m, "no_temporal_tokens", safe) for m in (plain, "random_forest", "gbt")],
+                    ("random_forest", "derived_only", [f for f in features if f in DERIVED])]
+        for name, variant, feats in variants:
+            _, _, r = _fit_eval(task, name, data, feats, label)
+            rows += _rows(task, f"{name}[{variant}]", r)
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 

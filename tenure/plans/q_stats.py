@@ -378,6 +378,14 @@ def q4_duplicate_keys(spark, sf_dir):
     return lk.duplicate_keys(log, ["user_id", "strt_dt"])
 
 
+@register("q7_duplicate_samples", with_views("", """
+SELECT user_id, strt_dt, COUNT(*) AS cnt FROM activity WHERE strt_dt IS NOT NULL
+GROUP BY user_id, strt_dt HAVING COUNT(*) > 1 ORDER BY user_id, strt_dt LIMIT 20"""))
+def q7_duplicate_samples(spark, sf_dir):
+    """The first 20 duplicate keys, as the leakage report shows them beside their number."""
+    return q4_duplicate_keys(spark, sf_dir).orderBy("user_id", "strt_dt").limit(20)
+
+
 # ---------------------------------------------------------------- Q6
 @register("q6_month_format", with_views("", """
 SELECT 'panel.p_mt' AS "column", COUNT(*) FILTER (WHERE NOT (CAST(RIGHT(CAST(p_mt AS VARCHAR), 2) AS INT) BETWEEN 1 AND 12)) AS invalid,

@@ -74,5 +74,10 @@ def test_seeded_sample_merges_only_candidates(spark):
 def test_bucketed_tables_join_without_a_shuffle(spark):
     from tenure.plans import q_streaming as qs
     log, panel = qs.bucketed_tables(spark, SF001, 4)
-    plan = qs.bucketed_counts(log, panel)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large to broadcast
+    try:
+        plan = qs.bucketed_counts(log, panel)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") == 4 and "Bucketed: true" in plan
