@@ -199,20 +199,29 @@ def m13_topk_selection(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- M18
-@register("m18_ablation")
-def m18_ablation(spark, sf_dir):
-    """For both tasks: all features, those without a risky name (for every model), and the derived features alone."""
+def ablation(spark, sf_dir, task: str) -> DataFrame:
+    """All features, those without a risky name (for every model), and the derived features alone."""
+    _, _, training_rows, features, label = TASKS[task]
+    data, safe, plain = training_rows(spark, sf_dir), [f for f in features if not has_risk_token(f)], "logistic" if task == "churn" else "linear"
+    variants = [("random_forest", "all", features), *[(m, "no_temporal_tokens", safe) for m in (plain, "random_forest", "gbt")],
+                ("random_forest", "derived_only", [f for f in features if f in DERIVED])]
     rows = []
-    for task, (_, _, training_rows, features, label) in TASKS.items():
-        data, safe, plain = training_rows(spark, sf_dir), [f for f in features if not has_risk_token(f)], "logistic" if task == "churn" else "linear"
-        variants = [("random_forest", "all", features), *[(m, "no_temporal_tokens", safe) for m in (plain, "random_forest", "gbt")],
-                    ("random_forest", "derived_only", [f for f in features if f in DERIVED])]
-        for name, variant, feats in variants:
-            _, _, r = _fit_eval(task, name, data, feats, label)
-            rows += _rows(task, f"{name}[{variant}]", r)
+    for name, variant, feats in variants:
+        _, _, r = _fit_eval(task, name, data, feats, label)
+        rows += _rows(task, f"{name}[{variant}]", r)
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
+@register("m18_ablation")
+def m18_ablation(spark, sf_dir):
+    return ablation(spark, sf_dir, "churn")
+
+
+@register("m18_ablation_purchase")
+def m18_ablation_purchase(spark, sf_dir):
+    return ablation(spark, sf_dir, "vod_purchase")
+
+
 # ---------------------------------------------------------------- M19 / M20
 #: Task: model, rows to score, rows to train on, features, label.
 TASKS = {"churn": ("gbt", _v2, churn_data, V2_FEATURES, "cancel_yn"),
