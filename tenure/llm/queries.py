@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.llm import alignment, ftrl, jaccard, langid, logratio, lshforest, mixing, multiindex, packing, sharding, urlfilter, warc, whitening
-from tenure.llm.shared import fold_of, package_on_workers, table
+from tenure.llm.shared import fold_of, package_on_workers, table, written
 from tenure.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,9 +40,12 @@ def op2_language_id(spark, sf_dir):
 @query
 def op3_warc(spark, sf_dir):
     path = f"{ensure_checkpoint_dir(spark)}/llm-warc-{uuid.uuid4().hex}"
-    warc.write_archives(table(spark, sf_dir, "pages"), path)
-    records = warc.read_archives(spark, path).where("kind = 'record'")
-    return records.select(warc.page_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+    pages = warc.write_archives(table(spark, sf_dir, "pages"), path)
+    read = written(warc.read_archives(spark, path).drop("payload"), "warc-read")
+    found = {r["kind"]: r["n"] for r in read.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # records and gaps
+    if found.get("record", 0) != pages or found.get("gap"):
+        raise RuntimeError(f"{pages} pages were written, but {found} read back from {path}")
+    return read.select(warc.page_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                           warc.page_id(F.col("refers_to")).alias("refers_to"))
 
 

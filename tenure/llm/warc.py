@@ -1,7 +1,7 @@
 """Operator 3, WARC archives: a deduplicating writer and a salvaging reader.
 
-``write_archives`` writes a record per row as plain WARC/1.1 files (``maxRecordsPerFile`` bounds a file) with
-Spark's text writer: the row holds header and payload, the writer's line separator is the blank line that ends
+``write_archives`` writes a record per row as plain WARC/1.1 files with Spark's text writer (long records go to
+files of their own with fewer records, so a file holds ``FILE_BYTES`` at most, or one record): the row holds header and payload, the writer's line separator is the blank line that ends
 a record. Payloads equal by SHA-1 are stored once: the row with the smallest id is the ``response``, the others
 are ``revisit`` records that refer to it. ``read_archives`` reads files of plain records or of gzip members,
 checks version line, headers, length, record end and digest of every record, and after a failed check searches
@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 #: Duplicate digests up to this many rows (about 60 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 RECORDS_PER_FILE = 2_000
+#: Files hold this many bytes at most, or one longer record: readers take a file whole.
+FILE_BYTES = 128 << 20
+#: Records are written by length, those up to each of these bounds together, the rest one to a file.
+LENGTHS = (64 << 10, 1 << 20, 16 << 20)
 _END = "\r\n\r\n"
 
 
@@ -45,8 +49,12 @@ def _prepared(df: DataFrame, id_col: str, url: str, payload: str) -> DataFrame:
 
 
 def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url: str = "url", payload: str = "html",
-                   date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE, least_bytes: int = 0) -> None:
-    """Write every row of ``df`` as a record under ``path``; payloads under ``least_bytes`` are never revisits."""
+                   date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE, least_bytes: int = 0,
+                   lengths: tuple[int, ...] = LENGTHS, file_bytes: int = FILE_BYTES) -> int:
+    """Write every row of ``df`` as a record under ``path`` and return their number; payloads under ``least_bytes`` are never revisits.
+
+    Records are written once per class of ``lengths`` that the table has (counted first, by an upper bound of a record's length).
+    """
     rows = _prepared(df, id_col, url, payload)
     groups = (rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
               .where("n > 1 AND first_id IS NOT NULL").select("digest", "first_id").persist())
@@ -68,22 +76,35 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url: str =
                                      F.lit(f">{eol}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{eol}"))).otherwise(""),
             F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "), F.when(revisit, "0").otherwise(F.col("bytes").cast("string")),
             F.lit(_END), F.when(revisit, "").otherwise(F.col("body")))
-        rows.select(head.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", records_per_file).text(path)
+        # At most this long: a character of the url takes up to three bytes when encoded, the other lines are under 1 KB.
+        longest = F.col("bytes") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + 1024
+        kind = F.lit(len(lengths))
+        for i in reversed(range(len(lengths))):
+            kind = F.when(longest <= lengths[i], i).otherwise(kind)
+        have = _prepared(df, id_col, url, payload).groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).collect()  # a row per class
+        first = True
+        for i in sorted(r["kind"] for r in have) or [0]:
+            each = min(records_per_file, max(1, file_bytes // lengths[i])) if i < len(lengths) else 1
+            (rows.where(kind == i).select(head.alias("value")).write.mode("error" if first else "append")
+             .option("lineSep", _END).option("maxRecordsPerFile", each).text(path))
+            first = False
+        return sum(r["n"] for r in have)
     finally:
         groups.unpersist()
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_VERSION_LINE = re.compile(rb"\r\nWARC/1\.[01]\r\n")
+_HEADER_END = re.compile(rb"\r\n\r\n|\r\nWARC/1\.[01]\r\n")
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     """The record at ``at`` as headers, payload and end, or what is wrong with it."""
     if not (m := _VERSION.match(data, at)):
         return "no version line"
-    end = data.find(b"\r\n\r\n", m.end() - 2)
-    if end < 0 or _VERSION_LINE.search(data, m.end() - 2, end + 2):  # headers of any size, but not into the next record
+    stop = _HEADER_END.search(data, m.end() - 2)  # headers of any size, but not into the next record
+    if not stop or stop[0] != b"\r\n\r\n":
         return "headers do not end"
+    end = stop.start()
     headers = {}
     for line in data[m.end():end].split(b"\r\n") if end > m.end() else []:
         name, colon, value = line.partition(b":")
@@ -122,6 +143,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
     Offsets are those of the file; records of one gzip member share the member's offsets.
     """
     at, gap, why = 0, None, None
+    ahead = {b"WARC/1.": -1, b"\x1f\x8b\x08": -1}  # the last mark found of each kind: the file is searched once for each
     while at < len(data):
         found, end = [], at
         if data[at:at + 2] == b"\x1f\x8b":
@@ -143,8 +165,11 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
             continue
         if gap is None:
             gap, why = at, got if isinstance(got, str) else "empty member"
-        nxt = [x for x in (data.find(b"WARC/1.", at + 1), data.find(b"\x1f\x8b\x08", at + 1)) if x >= 0]
-        at = min(nxt, default=len(data))
+        for mark, last in ahead.items():
+            if last <= at:
+                found_at = data.find(mark, at + 1)
+                ahead[mark] = found_at if found_at >= 0 else len(data)
+        at = min(ahead.values())
     if gap is not None:
         yield gap, len(data), None, None, why
 

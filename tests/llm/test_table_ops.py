@@ -115,6 +115,32 @@ def test_salvage_of_nothing_and_of_noise():
     assert [h for _, _, h, _, _ in warc.salvage(_record(1, b"x").replace(b"Content-Length: 1", b"Content-Length: one"))] == [None]
 
 
+def test_long_records_go_to_files_of_their_own(sp, tmp_path):
+    pages = sp.createDataFrame([(i, f"http://a/{i}", str(i) * (9_000 if i % 4 == 0 else 10)) for i in range(1, 41)], "page_id long, url string, html string")
+    path = tmp_path / "f"
+    n = warc.write_archives(pages.coalesce(1), str(path), lengths=(4_096, 12_000), file_bytes=24_000)
+    files = list(path.glob("*.txt"))
+    assert n == 40 and all(f.stat().st_size <= 24_000 for f in files) and len(files) > 10
+    one = warc.write_archives(pages.coalesce(1), str(tmp_path / "g"), lengths=(4_096,), file_bytes=24_000)  # longer than all classes: alone
+    assert one == 40 and sum(f.stat().st_size > 8_000 for f in (tmp_path / "g").glob("*.txt")) == 10
+    assert warc.read_archives(sp, str(path)).where("kind = 'record'").select("record_id").distinct().count() == 40
+
+
+def test_salvage_of_a_noisy_file_searches_it_once():
+    class Counted(bytes):
+        looked = 0
+
+        def find(self, mark, start=0):
+            at = bytes.find(self, mark, start)
+            Counted.looked += (at if at >= 0 else len(self)) - start
+            return at
+
+    noise = b"WARC/1.x " * 20_000 + _record(1, b"x")
+    rows = list(warc.salvage(Counted(noise)))
+    assert [h is None for _, _, h, _, _ in rows] == [True, False] and rows[0][1] == rows[1][0]
+    assert Counted.looked <= 3 * len(noise)
+
+
 def _check_shards(rows, n, shards=24):
     assert Counter(r["law"] for r in rows) == Counter({"rows": n})
     sizes = Counter(r["shard"] for r in rows)
@@ -148,6 +174,39 @@ def test_sharding_odd_and_empty(sp, odd_docs, slice_rows):
     _check_shards(sharding.interleave(odd_docs, shards=40).collect(), odd_docs.count(), 40)
 
 
+@pytest.mark.parametrize("slice_rows", [1, 7, 10_000])
+def test_sharding_of_many_small_sources(sp, slice_rows):
+    """Sources from one row to most of the table: places equal the plain sort by fractional rank, whatever the slices."""
+    docs = [(i, f"t{i}", "big" if i % 3 else f"s{i % 90}" if i % 2 else f"own{i}") for i in range(600)]
+    got = sharding.interleave(sp.createDataFrame(docs, "doc_id long, text string, source string"), shards=7, rows_per_slice=slice_rows).collect()
+    by_source = defaultdict(list)
+    for i, t, source in docs:
+        by_source[source].append((hashlib.md5(f"5|{i}|{zlib.crc32(t.encode())}|{len(t) + 8}".encode()).hexdigest(), i))
+    order = sorted(((2 * r + 1) / (2 * len(v)), s, r, i) for s, v in by_source.items() for r, (_, i) in enumerate(sorted(v)))
+    assert {r["doc_id"]: r["shard"] for r in got} == {i: k * 7 // 600 for k, (_, _, _, i) in enumerate(order)}
+    _check_shards(got, 600, 7)
+
+
+def test_forest_ascends_many_queries_together():
+    rng = np.random.default_rng(3)
+    rows = rng.standard_normal((500, 12)) + 1e3 * rng.standard_normal(12)
+    rows[100:110] = rows[100]
+    rows[7] += 1e-6
+    forest = lshforest.Forest(rows, 8, 1)
+    asked = np.concatenate([rows[:30], rows[100:102], rows.mean(0)[None]])
+    own = np.arange(500)[None] == np.array([*range(30), 100, 101, -1])[:, None]
+    exact = np.sqrt(((rows[None] - asked[:, None]) ** 2).sum(2))
+    exact[own] = np.inf
+    kth = np.sort(exact, axis=1)[:, 4]
+    q, r, d = forest.search(asked, own, 5, 0.0)  # nothing may be missed: all that is as near as the fifth
+    assert {(a, b) for a, b in zip(q, r)} >= {(a, b) for a, b in zip(*np.nonzero(exact <= kth[:, None]))}
+    assert (d == exact[q, r]).all()
+    alone = [forest.search(asked[i:i + 1], own[i:i + 1], 5, 0.3) for i in range(len(asked))]  # each query as if alone
+    q, r, d = forest.search(asked, own, 5, 0.3)
+    for i, (_, r1, _) in enumerate(alone):
+        assert sorted(exact[i, r[q == i]])[:5] == sorted(exact[i, r1])[:5]
+
+
 def _brute(rows, asked, k):
     rows = [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}
