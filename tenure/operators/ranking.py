@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from tenure.session import cut_lineage
 
+#: Offsets (a row per range partition and group) up to this many rows are broadcast.
+MAX_BROADCAST_OFFSETS = 200_000
+
 
 def _order_exprs(order_cols: Sequence, descending: Sequence[bool] | None) -> list[Column]:
     out = []
@@ -66,8 +69,8 @@ def global_rank(df: DataFrame, order_cols: Sequence, group_cols: Sequence[str] =
     if count_col:
         offsets = offsets.withColumn(count_col, F.sum("_cnt").over(Window.partitionBy(*group_cols)))
     offsets = offsets.drop("_cnt")
-    if not group_cols:
-        offsets = F.broadcast(offsets)  # one row per range partition: bounded by the partition count
+    if not group_cols or durable:
+        offsets = _offsets_side(offsets, group_cols)
     out = parted.join(offsets, ["_pid", *group_cols], "inner")
     return out.withColumn(rank_col, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1) \
               .drop("_pid", "_mid", "_first", "_off")
@@ -92,8 +95,8 @@ def running_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
     if total_prefix:
         offs += [F.sum(f"_tot_{c}").over(Window.partitionBy(*group_cols)).alias(total_prefix + c) for c in sum_cols]
     offsets = totals.select("_pid", *group_cols, *offs)
-    if not group_cols:
-        offsets = F.broadcast(offsets)  # one row per range partition
+    if not group_cols or durable:
+        offsets = _offsets_side(offsets, group_cols)
     w_local = Window.partitionBy("_pid", *group_cols).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
     local = parted
     for c in sum_cols:
@@ -104,6 +107,26 @@ def running_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
     return out.drop("_pid", "_mid", *[f"_loc_{c}" for c in sum_cols], *[f"_off_{c}" for c in sum_cols])
 
 
+def first_rows(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "rank") -> DataFrame:
+    """The first ``k`` rows of each group with their 1-based place.
+
+    Spark keeps the first ``k`` of a group in every task before the shuffle, so a
+    group sends ``k`` rows per task however large it is.
+    """
+    w = Window.partitionBy(*group_cols).orderBy(*order)
+    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+
+
+def _offsets_side(offsets: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Broadcast the per-partition offsets where they are few, so that the rows are not dealt out again.
+
+    Without groups there is one row per range partition. With groups their number is counted first.
+    """
+    if not group_cols or offsets.count() <= MAX_BROADCAST_OFFSETS:
+        return F.broadcast(offsets)
+    return offsets
+
+
 def rank_bucket(rank: Column | str, n: Column | str, q: int) -> Column:
     """Pandas ``qcut(rank(method='first'), q)`` label (1..q) from a 1-based rank r of n.
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenure.operators.ranking import global_rank
+from tenure.operators.ranking import first_rows, global_rank
 
 
 def _key_text(key_cols: Sequence[str]) -> Column:
@@ -94,6 +94,22 @@ def seeded_sample(df: DataFrame, n: int | None, key_cols: Sequence[str], seed: i
     return cand.orderBy(F.col("_h"), *[F.col(k) for k in keys]).limit(int(n)).drop("_h")
 
 
+def rule_samples(df: DataFrame, groups: Sequence[tuple[str, Column, int, int]], key_cols: Sequence[str],
+                 group_col: str = "grp") -> DataFrame:
+    """Of each rule (name, condition, n, seed) its first ``n`` rows by hash order (ties by key), in one plan.
+
+    A row counts in every rule it meets. Each task keeps at most the largest ``n`` rows per rule before the
+    shuffle, so ``n`` is meant to be small (a few rows to look at).
+    """
+    keys = list(key_cols)
+    met = F.array(*[F.when(cond, F.struct(F.lit(name).alias("g"), hash32(keys, seed).alias("h"), F.lit(n).alias("n")))
+                    for name, cond, n, seed in groups])
+    tagged = (df.withColumn("_met", F.explode(F.array_compact(met)))
+                .withColumns({group_col: F.col("_met.g"), "_h": F.col("_met.h"), "_n": F.col("_met.n")}))
+    first = first_rows(tagged, [group_col], [F.col("_h"), *[F.col(k) for k in keys]], max(n for _, _, n, _ in groups), "_r")
+    return first.filter(F.col("_r") <= F.col("_n")).drop("_met", "_h", "_n", "_r")
+
+
 def stratified_split(df: DataFrame, label_col: str | None, key_cols: Sequence[str], val_frac: float = 0.2,
                      seed: int = 42, split_col: str = "is_val") -> DataFrame:
     """Per class, the first ``ceil(val_frac * n_class)`` rows in hash order are validation.

@@ -232,8 +232,7 @@ LEFT JOIN tr ON b.user_id = tr.user_id AND b.p_mt = tr.p_mt
 LEFT JOIN v1agg t ON b.user_id = t.user_id"""))
 def a9_channel_dataset(spark, sf_dir):
     panel, log, content = _inputs(spark, sf_dir, year=True)
-    full_panel, full_log, _ = _inputs(spark, sf_dir)
-    totals = act.user_activity(full_log, users=full_panel)
+    totals = act.user_activity(_inputs(spark, sf_dir)[1])  # the join to the panel rows keeps their users only
     adult = pick_column(content, ADULT_CANDIDATES, required=False)  # no flag -> adult share 0
     return ds.channel(panel, log, content, _trend_assets(spark, sf_dir), totals, Y0, Y1, "tv_hours",
                       attributes=CHANNEL_ATTRS, adult_col=adult)

@@ -38,12 +38,15 @@ def _scores(raw: bool = False) -> dict:
 
 def predictions(spark, sf_dir, raw: bool = False, folds: bool = False) -> DataFrame:
     """(user_id, p_mt, label, is_val, [fold,] score per model) over the whole churn v2 panel."""
+    split = _split(spark, sf_dir, _scores(raw))
+    return stratified_folds(split, "label", ["user_id", "p_mt"], 5, SEED) if folds else split
+
+
+def _split(spark, sf_dir, scores: dict) -> DataFrame:
     panel, log = views.panel(spark, sf_dir), views.activity(spark, sf_dir)
     v2 = ds.churn_v1v2(panel, log, REF_DATE)
-    scored = v2.select("user_id", "p_mt", F.col("cancel_yn").alias("label"),
-                       *[c.alias(m) for m, c in _scores(raw).items()])
-    split = stratified_split(scored, "label", ["user_id", "p_mt"], 0.2, SEED)
-    return stratified_folds(split, "label", ["user_id", "p_mt"], 5, SEED) if folds else split
+    scored = v2.select("user_id", "p_mt", F.col("cancel_yn").alias("label"), *[c.alias(m) for m, c in scores.items()])
+    return stratified_split(scored, "label", ["user_id", "p_mt"], 0.2, SEED)
 
 
 def long_predictions(preds: DataFrame, models=MODELS) -> DataFrame:
@@ -210,10 +213,12 @@ SELECT COALESCE(e.model, r.model) AS model, e.ap AS engineered, r.ap AS raw, {fi
        {fix_sql('(e.ap - r.ap) / ABS(r.ap) * 100.0')} AS delta_pct
 FROM ea e FULL OUTER JOIN ra r ON e.model = r.model"""))
 def m17_feature_impact(spark, sf_dir):
-    eng = mt.ap_auc(long_predictions(predictions(spark, sf_dir)).filter("is_val"), "score", "label", ["model"])
-    raw = mt.ap_auc(long_predictions(predictions(spark, sf_dir, raw=True), ("rule_batch", "rule_lookup"))
-                    .filter("is_val"), "score", "label", ["model"])
-    return mt.feature_impact(eng, raw, "ap")
+    # both score sets share the rows, the split and one curve pass
+    raw = {f"raw {m}": c for m, c in _scores(raw=True).items() if m != "tenure_grp"}
+    preds = _split(spark, sf_dir, _scores() | raw).filter("is_val")
+    board = mt.ap_auc(long_predictions(preds, (*MODELS, *raw)), "score", "label", ["model"])
+    is_raw = F.col("model").startswith("raw ")
+    return mt.feature_impact(board.filter(~is_raw), board.filter(is_raw).withColumn("model", F.substring("model", 5, 100)), "ap")
 
 
 # ---------------------------------------------------------------- M8 (regression) / M16 (purchase gate)

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tenure.operators.joins import attach
-from tenure.operators.sampling import (class_ratio_sample, hash32_sql, seeded_sample, stratified_folds,
+from tenure.operators.sampling import (class_ratio_sample, hash32_sql, rule_samples, seeded_sample, stratified_folds,
                                        stratified_split)
 from tenure.plans import datasets as ds
 from tenure.plans.fixture import KPI_MONTH, REF_DATE, SEED, YEAR_END, YEAR_START
 from tenure.plans.q_activity import MONTH_SQL, SQL_FR, SQL_V1, SQL_V1AGG, SQL_V2
 from tenure.plans.registry import register, with_views
-from tenure.session import cut_lineage
 from tenure.sources import views
 
 USER_HASH = hash32_sql("CAST(user_id AS VARCHAR)", SEED)
@@ -132,17 +131,13 @@ SELECT grp, {L7_COLS.replace('user_id,', 'p.user_id AS user_id,', 1)},
        COALESCE(k.lagged_rvod_cnt, 0) AS lagged_rvod_cnt, COALESCE(k.vod_purchase_cnt, 0) AS vod_purchase_cnt
 FROM picked p LEFT JOIN kpurchase k ON p.user_id = k.user_id"""))
 def l7_rule_sample(spark, sf_dir):
-    rows = cut_lineage(kpi_rows(spark, sf_dir))  # read by every group's hash counts and top-n
     c = F.col
     groups = [
         ("high", (c("last_view_grp") >= 4) & c("voc_cancel_yn"), 2, 42),
         ("mid", c("last_view_grp").between(2, 3) & (c("is_ott") == 1), 1, 1),
         ("low", (c("last_view_grp") <= 1) & ~F.coalesce(c("voc_yn"), F.lit(False)) & (c("vod_view_cnt") > 0), 2, 7),
     ]
-    picked = None
-    for name, cond, n, seed in groups:
-        part = seeded_sample(rows.filter(cond), n, ["user_id"], seed).withColumn("grp", F.lit(name))
-        picked = part if picked is None else picked.unionByName(part)
+    picked = rule_samples(kpi_rows(spark, sf_dir), groups, ["user_id"])
     # Booleans to ints for export
     return picked.select("grp", "user_id", "p_mt", "cancel_yn", "last_view_grp",
                          *[c(b).cast("int").alias(b) for b in ("voc_yn", "voc_cancel_yn", "ott_yn")],
