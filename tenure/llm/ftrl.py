@@ -25,6 +25,8 @@ from tenure.llm.textbatch import WORDS_AND_MARKS, Run, mix, runs
 
 BUCKETS = 1 << 18
 MAX_ROWS = 6_000
+#: A draw of more than so many times its size has ids that many rows share.
+CROWDED = 4
 PASSES = 8
 SEED = 7
 
@@ -63,11 +65,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_rows: int = MAX_ROWS, passes: int = PASSES) -> np.ndarray:
     """Weights learned from at most about ``max_rows`` labelled rows outside the held-out fold (crc32 mod 3 = 1)."""
     learnable = (labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(fold_of("doc_id", 3) != 1)
-                 .select("doc_id", F.col("quality").cast("int").alias("label")))
+                 .select("doc_id", F.col("quality").cast("int").alias("label")).distinct())
     n = learnable.count()
     order = seeded_hex(SEED, "doc_id")
     chosen = learnable.withColumn("_o", order).where(hex_int(F.col("_o"), 1, 8) < int(2**32 * min(1.0, max_rows / max(n, 1))))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about max_rows ids
+    chosen = F.broadcast(chosen)  # about max_rows ids
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
+    found = docs.select("doc_id").join(chosen, "doc_id").count()
+    if found > CROWDED * max_rows:  # an id that many rows share is drawn with all of them: rows are drawn by their texts too
+        by_text = hex_int(seeded_hex(SEED, "doc_id", F.md5(F.col("text").cast("binary"))), 1, 8)
+        texts = texts.where(by_text < int(2**32 * max_rows / found)).distinct()
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,6 +37,8 @@ DOC_BYTES = 4096
 #: Up to so many languages have dictionaries of full size; those of more share the same bytes, down to LEAST_BYTES and LEAST_DOCS each.
 WHOLE_LANGS = 256
 LEAST_BYTES, LEAST_DOCS = 1024, 4
+#: A draw of more than so many times its size has ids that many rows share.
+CROWDED = 4
 BLOCK_BYTES = 4096
 LEAST_MARGIN = 0.01
 SEED = 2
@@ -64,7 +66,13 @@ def learn(docs: DataFrame, dict_bytes: int = DICT_BYTES, docs_per_lang: int = DO
     spark = docs.sparkSession
     shares = spark.createDataFrame([(r["lang"], min(1.0, docs_per_lang / r["count"])) for r in counts], "lang string, share double")
     drawn = rows.join(F.broadcast(shares), "lang").where(hex_int(F.col("o"), 1, 8) < F.lit(2.0**32) * F.col("share"))
-    out = _content(drawn.select("lang", "o", _slice().alias("text")).collect(), dict_bytes)
+    # An id that many rows share is drawn with all of them: where a language has far more than its draw, rows are drawn by their texts too.
+    crowded = [(r["lang"], docs_per_lang / r["count"]) for r in drawn.groupBy("lang").count().collect() if r["count"] > CROWDED * docs_per_lang]
+    if crowded:
+        again = F.broadcast(spark.createDataFrame(crowded, "lang string, again double"))
+        by_text = hex_int(seeded_hex(SEED, "doc_id", F.md5(F.col("text").cast("binary"))), 1, 8)
+        drawn = drawn.join(again, "lang", "left").where(by_text < F.lit(2.0**32) * F.coalesce("again", F.lit(1.0)))
+    out = _content(drawn.select("lang", "o", _slice().alias("text")).distinct().collect(), dict_bytes)
     missed = [(r["lang"],) for r in counts if not out.get(r["lang"])]
     if missed:
         some = rows.join(F.broadcast(spark.createDataFrame(missed, "lang string")), "lang").withColumn("text", _slice(at_letter=True))

@@ -1,4 +1,5 @@
 """Operators 1, 2, 6 and 7 against brute force and held-out accuracy."""
+import hashlib
 import math
 import random
 import re
@@ -8,11 +9,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tenure.llm import ftrl, langid, logratio, packing, queries
 from tenure.llm.shared import table
-from tenure.llm.textbatch import RUN_BYTES, runs
+from tenure.llm.textbatch import RUN_BYTES, WORDS_AND_MARKS, mix, runs, windows
 
 SF01 = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -146,6 +148,65 @@ def test_language_odd_and_empty(sp, odd_docs):
     assert langid.predict_languages(odd_docs.limit(0), content).count() == 0
 
 
+def _plain_language(docs):
+    """Dictionaries and predictions row by row, with the texts normalised by a pattern."""
+    def normal(text):
+        out = re.sub(r"[\x00-\x40\x5b-\x60\x7b-\x7f]+", " ", (text or "").lower()).strip(" ").encode()
+        return out if any(c.isalpha() for c in text or "") else b""
+
+    learn = [d for d in docs if d["text"] is not None and d["lang"] is not None and zlib.crc32(str(d["doc_id"]).encode()) % 4 != 2]
+    counts = Counter(d["lang"] for d in learn)
+    content = {}
+    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
+        parts = {False: b"", True: b""}
+        for o, d in sorted(((hashlib.md5(f"2|{d['doc_id']}".encode()).hexdigest(), d) for d in learn if d["lang"] == lang), key=lambda x: x[0]):
+            if int(o[:8], 16) >= 2**32 * min(1.0, langid.DOCS_PER_LANG / counts[lang]):
+                continue
+            text, n = d["text"], len(d["text"].encode())
+            if n > langid.DOC_BYTES:
+                chars = max(1, langid.DOC_BYTES * len(text) // n)
+                at = int(o[8:16], 16) % (len(text) - chars + 1)
+                text = text[at:at + chars]
+            text = normal(text)
+            varied = len(zlib.compress(text)) >= 0.3 * len(text)
+            if text and len(parts[varied]) < langid.DICT_BYTES:
+                parts[varied] += text + b" "
+        content[lang] = (parts[True] or parts[False])[:langid.DICT_BYTES]
+
+    def size(lang, data):
+        params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, source_size=4096, dict_size=len(content[lang]), min_match=langid.MIN_MATCH,
+                                                                write_content_size=0, write_checksum=0, write_dict_id=0)
+        coder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+        return sum(len(coder.compress(data[i:i + 4096] + b" " * 64)) for i in range(0, len(data), 4096))
+
+    for d in docs:
+        data = normal(d["text"])
+        sizes = {lang: size(lang, data) for lang in content}
+        yield d["doc_id"], min(sizes, key=sizes.get) if data else "und"
+
+
+def test_language_by_brute_force(sp):
+    docs = sp.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = {r["doc_id"]: r["lang_pred"] for r in queries.QUERIES["op2_language_id"](sp, "/root/testdata/sf0.001").collect()}
+    assert got == dict(_plain_language(docs))
+
+
+def test_drawn_ids_that_many_rows_share_do_not_flood_the_sample(sp):
+    def hot(seed, fold):  # the id that is drawn first
+        return min((i for i in range(2_000) if zlib.crc32(str(i).encode()) % fold[0] != fold[1]), key=lambda i: hashlib.md5(f"{seed}|{i}".encode()).hexdigest())
+
+    def docs(i):
+        rows = [(i if k % 3 else 10_000 + k, f"some words of row {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{k}", "en") for k in range(6_000)]
+        return sp.createDataFrame(rows + [(i, "equal words", "en")] * 4_000, "doc_id long, text string, lang string")
+
+    learned = langid.learn(docs(hot(2, (4, 2))), docs_per_lang=40)["en"]
+    assert 100 < len(learned) < 5_000 and learned.count(b"equal words") <= 1  # all rows of the id would fill 70 KB
+    i = hot(7, (3, 1))
+    labels = sp.createDataFrame([(10_000 + k, k % 2) for k in range(0, 6_000, 3)] + [(i, 0)] * 500, "doc_id long, quality long")
+    weights = ftrl.fit(docs(i), labels, max_rows=50)
+    assert np.isfinite(weights).all() and 0 < np.count_nonzero(weights) < 4_000
+
+
 def _base(text):
     text = text or ""
     words = WORD.findall(text)
@@ -186,6 +247,65 @@ def test_log_ratio_counts_by_brute_force(sp, odd_docs):
     assert logratio.quality_rules(odd_docs.limit(0), labels).count() == 0
 
 
+def test_quality_rules_score_every_document_as_brute_force_does(sp):
+    docs = table(sp, SF01, "documents").select("doc_id", "text").collect()
+    trusted = {r["doc_id"] for r in table(sp, SF01, "labels").where("quality = 1").collect()}
+    words = sorted({w for d in docs for w in WORD.findall(d["text"] or "")})
+    code = dict(zip(words, (int(h) for r in runs(pa.array(words)) for h in r.hashes())))
+
+    def grams(text):
+        codes = np.array([code[w] for w in WORD.findall(text or "")], np.uint64)
+        return [int(g) % logratio.BUCKETS for g in (*codes, *windows(codes, 2))]
+
+    raw, target = Counter(), Counter()
+    for d in docs:
+        raw.update(grams(d["text"]))
+        target.update(grams(d["text"]) if d["doc_id"] in trusted else [])
+    share = sum(target.values()) / sum(raw.values())
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_quality_rules"](sp, SF01).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        g = grams(d["text"])
+        score = sum(math.log((target[b] + 5.0) / (raw[b] * share + 5.0)) for b in g) / max(len(g), 1)
+        r = got[d["doc_id"]]
+        assert r["score"] == pytest.approx(score, abs=1e-9) and r["kept"] == (not r["base_failed"] and r["score"] >= -0.1)
+        assert abs(score + 0.1) < 1e-9 or (r["score"] >= -0.1) == (score >= -0.1)
+
+
+def test_classifier_by_brute_force(sp):
+    docs = table(sp, SF01, "documents").select("doc_id", "text")
+    weights = ftrl.fit(docs, table(sp, SF01, "labels"))
+    got = {r["doc_id"]: r["score"] for r in queries.QUERIES["op7_quality_classifier"](sp, SF01).collect()}
+    for d in docs.collect():
+        (run,) = runs(pa.array([d["text"]], pa.string()), classes=WORDS_AND_MARKS)
+        tokens = run.hashes()
+        times = Counter(int(g) % ftrl.BUCKETS for g in (*tokens, *mix(tokens[1:] - tokens[:-1])))
+        length = math.sqrt(sum(math.log1p(k) ** 2 for k in times.values())) or 1.0
+        z = weights[-1] + sum(weights[i] * math.log1p(k) / length for i, k in times.items())
+        assert got[d["doc_id"]] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+def test_ftrl_updates_by_brute_force():
+    rng = random.Random(5)
+    rows = [({rng.randrange(20): rng.random() for _ in range(4)}, rng.randrange(2)) for _ in range(60)]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.02 else -(z[i] - math.copysign(0.02, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.5 + 0.02)
+
+    for _ in range(3):
+        for x, y in rows:
+            x = {**x, 20: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.5 * w[i]
+                n[i] += g * g
+    got = ftrl.train([(np.array([*x], int), np.array([*x.values()]), y) for x, y in rows], buckets=20, passes=3)
+    assert got == pytest.approx([weight(i) for i in range(21)], abs=1e-9)
+
+
 def test_classifier_held_out_accuracy(sp):
     labels = table(sp, SF01, "labels")
     rows = queries.QUERIES["op7_quality_classifier"](sp, SF01).join(labels, "doc_id").collect()
