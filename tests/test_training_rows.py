@@ -56,3 +56,19 @@ def test_models_share_statistics_of_their_features(spark):
     for name, params in (("random_forest", {"numTrees": 3}), ("logistic", {"maxIter": 5})):
         a, b = (md.fit_classifier(name, df, p, **params) for p in (whole, own))
         assert md.score(a, df, whole).select("score").collect() == md.score(b, df, own).select("score").collect()
+
+
+def test_boosting_blocks_lie_in_few_partitions_and_give_the_same_trees(spark, monkeypatch):
+    from tenure.operators import boosting as bo
+    data = bo.numbered(_panel(spark, 600))
+    columns, rows = bo.prepare(data, ["tv_hours", "last_view_grp"], "cancel_yn", KEYS)
+    setting = [bo.rules("xgboost", True, columns.of("xgboost"), trees=2)]
+
+    def grown():
+        return [t.value.tolist() for m in bo.grow(rows, columns, setting, KEYS) for t in m.trees]
+    one = grown()
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(bo, "PASS_CELLS", 16)
+    most = 3 * spark.sparkContext.defaultParallelism
+    assert most < 60 and bo._blocks(rows, columns, KEYS, None, 600).rdd.getNumPartitions() == most
+    assert grown() == one
