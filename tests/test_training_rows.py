@@ -72,3 +72,33 @@ def test_boosting_blocks_lie_in_few_partitions_and_give_the_same_trees(spark, mo
     most = 3 * spark.sparkContext.defaultParallelism
     assert most < 60 and bo._blocks(rows, columns, KEYS, None, 600).rdd.getNumPartitions() == most
     assert grown() == one
+
+
+@pytest.mark.parametrize("make", [md.classifier, md.regressor])
+def test_forests_keep_the_node_of_each_row_and_grow_the_same_trees(spark, make):
+    df = _panel(spark).withColumn("is_val", F.lit(False)).cache()
+    prep = md.prepare(df, ["tv_hours", "last_view_grp"], "cancel_yn")
+    ours = make("random_forest", numTrees=4, maxDepth=6)
+    assert ours.getCacheNodeIds() and ours.getMaxMemoryInMB() > 256
+    with md._ready(df, prep) as data:
+        assert ours.fit(data).toDebugString.split("\n")[1:] == ours.copy({ours.cacheNodeIds: False, ours.maxMemoryInMB: 256}).fit(data).toDebugString.split("\n")[1:]
+
+
+def test_long_chains_begin_first_and_results_keep_their_order(spark, monkeypatch):
+    monkeypatch.setattr(qm, "AT_ONCE", 1)
+    begun, items = [], [("random_forest", "all"), ("logistic", "safe"), ("random_forest", "safe"), ("gbt", "safe")]
+    assert qm._side_by_side(spark, lambda x: begun.append(x) or x, items) == items
+    assert begun == [items[3], items[1], items[0], items[2]]
+    assert qm._side_by_side(spark, lambda k: k, range(5, 9)) == [5, 6, 7, 8]
+    assert qm._side_by_side(spark, lambda task: task, ("vod_purchase", "churn")) == ["vod_purchase", "churn"]
+
+
+def test_columns_of_many_values_are_not_counted_exactly(spark, monkeypatch):
+    from tenure.operators import encode as en
+    counted, exact = [], F.countDistinct
+    monkeypatch.setattr(en.F, "countDistinct", lambda c: counted.append(c) or exact(c))
+    df = spark.range(2000).select(F.col("id").alias("all"), (F.col("id") % 20).alias("twenty"), (F.col("id") % 21).cast("double").alias("more"),
+                                  F.lit(None).cast("int").alias("none"), (F.col("id") % 100 == 0).alias("flag"))
+    assert en.column_kinds(df, df.columns) == {"all": "numeric", "twenty": "categorical", "more": "numeric", "none": "categorical", "flag": "categorical"}
+    assert counted == ["twenty", "more", "none"]
+    assert en.column_kinds(df, ["all"], min_distinct=2000) == {"all": "categorical"}
