@@ -29,6 +29,8 @@ MAX_ROWS = 6_000
 CROWDED = 4
 PASSES = 8
 SEED = 7
+#: Bytes of text whose words are hashed together; each takes some forty bytes of memory.
+SCORE_BYTES = 1 << 18
 
 
 def _features(run: Run, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -79,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_rows: in
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, values = [], []
-            for run in runs(batch.column("text"), classes=WORDS_AND_MARKS):
+            for run in runs(batch.column("text"), classes=WORDS_AND_MARKS, run_bytes=SCORE_BYTES):
                 for i, x in _features(run, buckets):
                     ids.append(i)
                     values.append(x)
@@ -105,17 +107,13 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_rows: in
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
-    """Every row of ``docs`` with score and predicted (1 if score >= threshold)."""
+    """Every row of ``docs`` with score and predicted (1 if score >= threshold); only texts go to Python, only scores come back."""
     buckets = len(weights) - 1
-    rows = docs.drop("score", "predicted")
-    names = rows.columns
 
-    def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [weights[buckets] + weights[i] @ x for run in runs(batch.column("text"), classes=WORDS_AND_MARKS)
-                      for i, x in _features(run, buckets)]
-            p = 1.0 / (1.0 + np.exp(-np.clip(np.array(scores, float), -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p)], [*names, "score"])
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        scores = [weights[buckets] + weights[i] @ x for run in runs(texts, classes=WORDS_AND_MARKS, run_bytes=SCORE_BYTES)
+                  for i, x in _features(run, buckets)]
+        return pa.array(1.0 / (1.0 + np.exp(-np.clip(np.array(scores, float), -35, 35))))
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "score double"])
-    return rows.mapInArrow(dot, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.drop("score", "predicted").withColumn("score", scored("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -332,3 +332,18 @@ def test_classifier_odd_and_empty(sp, odd_docs):
     none = ftrl.fit(odd_docs, labels.limit(0))
     assert {r["score"] for r in ftrl.score(odd_docs, none).collect()} == {0.5}
     assert ftrl.score(odd_docs.limit(0), w).count() == 0
+
+
+def test_scoring_sends_only_texts_to_python_and_only_scores_back(spark, monkeypatch):
+    w = np.random.default_rng(3).normal(size=257)
+    docs = spark.createDataFrame([(1, "a b c " * 50, "en"), (2, None, "de"), (3, "", None), (3, "x" * 3000 + " y", "fr"), (None, "a b !?", "en")],
+                                 "doc_id long, text string, lang string").withColumn("score", F.lit("own"))
+    got = ftrl.score(docs, w)
+    assert got.columns == ["doc_id", "text", "lang", "score", "predicted"]
+    plan = got.where("predicted = 1").select("doc_id", "lang")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan and plan.count("ArrowEvalPython [") == 1
+    scores = sorted(map(str, got.select("doc_id", "score", "predicted").collect()))
+    monkeypatch.setattr(ftrl, "SCORE_BYTES", 8)
+    assert sorted(map(str, ftrl.score(docs, w).select("doc_id", "score", "predicted").collect())) == scores
+    empty = 1 / (1 + np.exp(-w[256]))
+    assert {r["score"] for r in got.where("text IS NULL OR text = ''").collect()} == {empty}
