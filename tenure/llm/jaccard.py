@@ -35,6 +35,8 @@ from tenure.llm.textbatch import mix, runs, shingle_sets
 UNIT = 512
 FILTER_BITS = 1 << 25
 SEEN = 1 << 20
+#: Bytes of text that are hashed and handed on together; each takes some sixty bytes of memory.
+RUN = 1 << 18
 _U = np.uint64
 
 
@@ -78,8 +80,8 @@ def profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            size, klass, tokens = [], [], []
-            for run in runs(batch.column("text"), lower=True):
+            for run in runs(batch.column("text"), lower=True, run_bytes=RUN):
+                size, klass, tokens = [], [], []
                 for s in shingle_sets(run, words):
                     c = class_of(s) if len(s) else None
                     size.append(len(s))
@@ -91,8 +93,7 @@ def profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                         seen.clear()
                     seen.add(c)
                     tokens.append(part_tokens(s, num, den).view(np.int64))
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(klass, pa.int64()),
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(run.lo, run.hi - run.lo), pa.array(size, pa.int64()), pa.array(klass, pa.int64()),
                                                   pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "class", "tokens"])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profile, "doc_id long, n_shingles long, class long, tokens array<long>")
 
@@ -128,7 +129,7 @@ def sets_of(docs: DataFrame, words: int, bloom: np.ndarray) -> DataFrame:
         bits, seen = shared.value, set()
         passes = lambda p: bool((int(bits[p >> 6]) >> (p & 63)) & 1)
         for batch in batches:
-            for run in runs(batch.column("text"), lower=True):
+            for run in runs(batch.column("text"), lower=True, run_bytes=RUN):
                 klass, sets = [], []
                 for s in shingle_sets(run, words):
                     if not len(s) or (c := class_of(s)) in seen or not all(passes(p) for p in _places(c)):

@@ -155,3 +155,15 @@ def test_pipeline_runs_whole_and_over_odd_rows(sp, odd_docs):
             assert out.columns == docs.columns and out.dtypes == docs.dtypes and out.count() <= docs.count()
     twice = corpus_pipeline.STAGES[2][1](sp, odd_docs, SF01)
     assert twice.where("doc_id = 1").count() == 1 and twice.where("doc_id IS NULL").count() == 1
+
+
+def test_profiles_do_not_depend_on_run_bytes_and_leave_run_by_run(sp, monkeypatch):
+    texts = ["a b c d e f", None, "", "g " * 40, "A b c d e f", "x" * 900 + " y z"]
+    docs, left = sp.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1), []
+    whole = sorted(map(str, jaccard.profiles(docs, 3, 90, 100).collect()))
+    monkeypatch.setattr(jaccard, "RUN", 16)
+    assert sorted(map(str, jaccard.profiles(docs, 3, 90, 100).collect())) == whole and len(whole) == 6
+    batch = jaccard.pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "text": texts})
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: left.extend(b.num_rows for b in f(iter([batch]))))
+    jaccard.profiles(docs, 3, 90, 100)
+    assert sum(left) == 6 and len(left) > 2
