@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tenure.llm import jaccard, queries
@@ -127,6 +128,13 @@ def test_components(sp):
     assert connected(sp.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_edges_whose_hashes_add_up_beyond_a_long(sp):
+    pairs = sp.range(9_000).select(F.col("id").alias("b"), (F.col("id") + 10_000).alias("a")).where(F.xxhash64("a", "b") > 2**62)
+    n = pairs.count()
+    assert n > 1_200  # the sum of their hashes, a 256th of each, passes 2^63
+    assert connected(pairs).where("label = node % 10000").count() == 2 * n
+
+
 def test_pipeline_stages(sp):
     docs = table(sp, SF01, "documents")
     quality = {r["doc_id"]: r["quality"] for r in table(sp, SF01, "labels").collect()}
