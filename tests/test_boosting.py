@@ -121,6 +121,36 @@ def test_missing_values_take_the_better_side():
         assert bool(tree.missing_left[0]) is left
 
 
+@pytest.mark.parametrize("family, more", [("lightgbm", {"leaves": 9, "least_rows": 1}), ("xgboost", {"depth": 5}), ("catboost", {"depth": 4}), ("random_forest", {"depth": 6})])
+def test_rows_end_where_steps_from_the_root_lead(family, more, monkeypatch):
+    x, y, row = _rows(700, 4)
+    for tree in tr.fit_here(bo.rules(family, True, range(4), trees=3, **more), x, y, row, [9] * 4)[1]:
+        want = np.zeros(700, np.int64)
+        for _ in range(tree.depth):
+            want = tr.step_down(tree, x, want)
+        assert tree.leaf(x).tolist() == want.tolist() and tree.leaf(x[:, :0]).tolist() == []
+        with monkeypatch.context() as m:
+            m.setattr(tr, "MASKED_NODES", 0)
+            assert tree.leaf(x).tolist() == want.tolist()
+
+
+def test_a_pass_sends_a_few_pieces_not_a_row_per_cell(spark, frame, monkeypatch):
+    """Histograms go through the shuffle in pieces, whose number follows that of the partitions and not of the cells."""
+    columns, rows = bo.prepare(frame, ["a", "b", "c"], "label", KEYS)
+    settings = [bo.rules(f, True, columns.of(f), trees=2) for f in ("lightgbm", "xgboost", "catboost")]
+    want = [t.value.tolist() for m in bo.grow(rows, columns, settings, KEYS) for t in m.trees]
+    sent, real = [], type(rows).mapInArrow
+
+    def seen(df, f, schema):
+        sent.append(schema)
+        return real(df, f, schema)
+    monkeypatch.setattr(type(rows), "mapInArrow", seen)
+    for size in (7, bo.PIECE):
+        monkeypatch.setattr(bo, "PIECE", size)
+        assert [t.value.tolist() for m in bo.grow(rows, columns, settings, KEYS) for t in m.trees] == want
+    assert set(sent) == {"piece long, sums binary"}
+
+
 def test_row_draws_and_bootstrap():
     row = np.random.default_rng(1).integers(0, 1 << 62, 20_000).astype(np.uint64)
     some = bo.rules("xgboost", True, [0], rows_share=0.7)
