@@ -84,6 +84,20 @@ def test_forests_keep_the_node_of_each_row_and_grow_the_same_trees(spark, make):
         assert ours.fit(data).toDebugString.split("\n")[1:] == ours.copy({ours.cacheNodeIds: False, ours.maxMemoryInMB: 256}).fit(data).toDebugString.split("\n")[1:]
 
 
+def test_forests_keep_nodes_that_fit_and_rows_of_logistic_models_are_kept_once(spark, monkeypatch):
+    df, seen = _panel(spark).withColumn("is_val", F.lit(False)).cache(), []
+    prep = md.prepare(df, ["tv_hours", "last_view_grp"], "cancel_yn")
+    for kind in (md.RandomForestClassifier, md.RandomForestRegressor):
+        monkeypatch.setattr(kind, "fit", lambda self, data: seen.append((self.getCacheNodeIds(), data.storageLevel.useMemory)))
+    monkeypatch.setattr(md.LogisticRegression, "fit", lambda self, data: seen.append(("logistic", data.storageLevel.useMemory)))
+    for room in (md.NODE_BYTES, 1):
+        monkeypatch.setattr(md, "NODE_BYTES", room)
+        md.fit_classifier("random_forest", df, prep)
+        md.fit_regressor("random_forest", df, prep)
+    md.fit_classifier("logistic", df, prep)
+    assert seen == [(True, True)] * 2 + [(False, True)] * 2 + [("logistic", False)]
+
+
 def test_long_chains_begin_first_and_results_keep_their_order(spark, monkeypatch):
     monkeypatch.setattr(qm, "AT_ONCE", 1)
     begun, items = [], [("random_forest", "all"), ("logistic", "safe"), ("random_forest", "safe"), ("gbt", "safe")]
